@@ -5,22 +5,48 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import lang_id, license_digest
+from .bm25_decontam import find_leaks
 from .byte_bpe import encode_digests
-from .common import read
+from .common import held_out, read
+from .lm_score import score_by_models
+from .quality_qda import score_quality
 from .secret_scan import scan_secrets
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read(spark, sf_dir, "documents"))
 
 
+def op4_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest.scan_licenses(read(spark, sf_dir, "documents"))
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_by_models(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
+
+
+def op7_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = lang_id.train(docs, public_tokenizers.path(TOKENIZER))
+    return lang_id.predict(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op2_secret_scan": op2_secret_scan, "op8_byte_bpe": op8_byte_bpe}
+def op9_bm25_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_qda, op2_secret_scan, op4_license_digest, op5_lm_score, op7_lang_id, op8_byte_bpe, op9_bm25_decontam)}
 
 #: DuckDB SQL by query; a query without one is tested against a brute-force version in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_license_digest": license_digest.oracle_sql()}
