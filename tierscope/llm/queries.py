@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import lang_id, license_digest
+from . import lang_id, license_digest, substring_dedup
 from .bm25_decontam import find_leaks
 from .byte_bpe import encode_digests
 from .common import held_out, read
@@ -24,6 +25,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest.scan_licenses(read(spark, sf_dir, "documents"))
 
@@ -46,7 +52,7 @@ def op9_bm25_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_qda, op2_secret_scan, op4_license_digest, op5_lm_score, op7_lang_id, op8_byte_bpe, op9_bm25_decontam)}
+QUERIES = {f.__name__: f for f in (op1_quality_qda, op2_secret_scan, op3_substring_dedup, op4_license_digest, op5_lm_score, op7_lang_id, op8_byte_bpe, op9_bm25_decontam)}
 
 #: DuckDB SQL by query; a query without one is tested against a brute-force version in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op4_license_digest": license_digest.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_substring_dedup": substring_dedup.ORACLE_SQL, "op4_license_digest": license_digest.oracle_sql()}
