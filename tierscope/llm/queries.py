@@ -10,6 +10,7 @@ from . import lang_id, license_digest, substring_dedup
 from .bm25_decontam import find_leaks
 from .byte_bpe import encode_digests
 from .common import held_out, read
+from .ngram_jaccard import group_documents
 from .lm_score import score_by_models
 from .quality_qda import score_quality
 from .secret_scan import scan_secrets
@@ -52,7 +53,11 @@ def op9_bm25_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_qda, op2_secret_scan, op3_substring_dedup, op4_license_digest, op5_lm_score, op7_lang_id, op8_byte_bpe, op9_bm25_decontam)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_documents(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_qda, op2_secret_scan, op3_substring_dedup, op4_license_digest, op5_lm_score, op7_lang_id, op8_byte_bpe, op9_bm25_decontam, op10_ngram_jaccard)}
 
 #: DuckDB SQL by query; a query without one is tested against a brute-force version in tests/llm.
 ORACLE_SQL: dict[str, str] = {"op3_substring_dedup": substring_dedup.ORACLE_SQL, "op4_license_digest": license_digest.oracle_sql()}
