@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_id, license_digest, substring_dedup
+from . import embedding_dedup, lang_id, license_digest, substring_dedup
 from .bm25_decontam import find_leaks
 from .byte_bpe import encode_digests
 from .common import held_out, read
@@ -39,6 +39,10 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_by_models(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op7_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = lang_id.train(docs, public_tokenizers.path(TOKENIZER))
@@ -57,7 +61,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_qda, op2_secret_scan, op3_substring_dedup, op4_license_digest, op5_lm_score, op7_lang_id, op8_byte_bpe, op9_bm25_decontam, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_quality_qda, op2_secret_scan, op3_substring_dedup, op4_license_digest, op5_lm_score, op6_embedding_dedup, op7_lang_id, op8_byte_bpe, op9_bm25_decontam, op10_ngram_jaccard)}
 
 #: DuckDB SQL by query; a query without one is tested against a brute-force version in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op3_substring_dedup": substring_dedup.ORACLE_SQL, "op4_license_digest": license_digest.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_substring_dedup": substring_dedup.ORACLE_SQL, "op4_license_digest": license_digest.oracle_sql(), "op6_embedding_dedup": embedding_dedup.ORACLE_SQL}
