@@ -1,6 +1,443 @@
-"""Registered queries of the engine's own operators."""
+"""Registered queries of the engine's own operators, over the driver's tables, with DuckDB SQL for each."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import fixtures as X
+from .functions import structure as ST
+from .functions import text as T
+from .operators import calibration, corpus, export, gate, metrics, oracle, policies, sampling, signals, timing
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+SEED = "tierscope-v1"
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_ROUTE = X.SIGNALS + """, routed AS (SELECT *, coalesce(text_layer_coverage < 0.75, false) AS low, coalesce(full_page_image_ratio >= 0.25, false) AS full_, coalesce(encoding_anomaly_ratio >= 0.01, false) AS odd_,
+  full_page_image_ratio IS NULL AS missing, coalesce(mean_image_area_ratio, 0) >= 0.2 OR chars_per_page_cv >= 0.75 AS layout FROM signals),
+routes AS (SELECT *, CASE WHEN low OR full_ OR odd_ THEN 'T2' WHEN layout THEN 'T1' ELSE 'T0' END AS tier FROM routed)"""
+
+
+@query(f"WITH {_ROUTE} SELECT tier, count(*) AS documents, sum(total_text_chars)::BIGINT AS text_chars FROM routes GROUP BY 1")
+def initial_tier_summary(spark, sf):
+    return signals.initial_route(X.signals(spark, sf)).groupBy(F.col("route.tier").alias("tier")).agg(F.count("*").alias("documents"), F.sum("total_text_chars").alias("text_chars"))
+
+
+@query(f"WITH {X.PAGES} SELECT case_id, page, text_chars, anomalous_chars, letter_chars, thai_chars, latin_chars, image_area_ratio FROM pages")
+def page_counts(spark, sf):
+    return signals.inspect_pages(X.page_evidence(spark, sf))
+
+
+
+
+@query(f"WITH {X.SIGNALS} SELECT case_id, page_count, total_text_chars::BIGINT AS total_text_chars, round(chars_per_page, 6) AS chars_per_page, round(text_layer_coverage, 6) AS text_layer_coverage, round(chars_per_page_cv, 6) AS chars_per_page_cv, round(mean_image_area_ratio, 6) AS mean_image_area_ratio, round(full_page_image_ratio, 6) AS full_page_image_ratio, round(latin_char_ratio, 6) AS latin_char_ratio, mixed_script FROM signals")
+def document_signals(spark, sf):
+    s = X.signals(spark, sf)
+    six = [F.round(c, 6).alias(c) for c in ("chars_per_page", "text_layer_coverage", "chars_per_page_cv", "mean_image_area_ratio", "full_page_image_ratio", "latin_char_ratio")]
+    return s.select("case_id", "page_count", "total_text_chars", *six, "mixed_script")
+
+
+@query(f"WITH {X.STRATA_SQL} SELECT case_id, stratum, CASE stratum WHEN 'born-digital-en' THEN 'T0' WHEN 'layout-heavy-born-digital' THEN 'T1' ELSE 'T2' END AS expected_tier FROM strata")
+def strata(spark, sf):
+    return X.signals(spark, sf).withColumn("stratum", signals.stratum()).select("case_id", "stratum", signals.expected_tier(F.col("stratum")).alias("expected_tier"))
+
+
+@query(f"""WITH {_ROUTE} SELECT case_id, tier, CASE WHEN missing THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence, array_to_string(list_filter([CASE WHEN missing THEN 'MISSING_REQUIRED_SIGNAL' END, CASE WHEN low THEN 'LOW_TEXT_LAYER_COVERAGE' END,
+  CASE WHEN full_ THEN 'HIGH_FULL_PAGE_IMAGE_RATIO' END, CASE WHEN odd_ THEN 'ENCODING_ANOMALY' END, CASE WHEN tier = 'T2' AND mixed_script THEN 'MIXED_SCRIPT' END, CASE WHEN tier = 'T1' THEN 'STRUCTURE_COMPLEXITY' END, CASE WHEN tier = 'T0' THEN 'TEXT_LAYER_INTACT' END], lambda x: x IS NOT NULL), ',') AS rationale FROM routes""")
+def initial_route(spark, sf):
+    return signals.initial_route(X.signals(spark, sf)).select("case_id", "route.tier", "route.confidence", F.array_join("route.rationale", ",").alias("rationale"))
+
+
+@query(f"WITH {X.PAGES} SELECT case_id, count(*) AS page_count, sum(text_chars)::BIGINT AS total_text_chars, round(CASE WHEN sum(thai_chars + latin_chars) = 0 THEN 0 ELSE sum(latin_chars) / sum(thai_chars + latin_chars) END, 6) AS latin_char_ratio FROM pages WHERE page <= 2 GROUP BY 1")
+def sampled_signals(spark, sf):
+    pages = signals.inspect_pages(X.page_evidence(spark, sf))
+    chosen = X.page_evidence(spark, sf).where("page <= 2").select("case_id", "page")
+    return signals.sampled_signals(pages, chosen).select("case_id", "page_count", "total_text_chars", F.round("latin_char_ratio", 6).alias("latin_char_ratio"))
+
+
+_DRAW = X.STRATA_SQL + f""", drawn AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256('{SEED}' || chr(0) || stratum || chr(0) || case_id)) AS r FROM strata WHERE page_count >= 2)"""
+
+
+def _drawn(spark, sf):
+    s = X.signals(spark, sf).withColumn("stratum", signals.stratum())
+    return s, sampling.draw(s, SEED, strict=False)
+
+
+@query(f"WITH {_DRAW} SELECT case_id, stratum, page_count, CASE WHEN r <= 2 THEN 'calibration' ELSE 'evaluation' END AS partition FROM drawn WHERE r <= 6")
+def stratified_draw(spark, sf):
+    return _drawn(spark, sf)[1]
+
+
+@query(f"""WITH {_DRAW}, scored AS (SELECT d.case_id, p.page, row_number() OVER (PARTITION BY d.case_id ORDER BY CASE WHEN d.stratum LIKE 'scanned%' THEN (CASE WHEN p.text_chars < 32 THEN 2 ELSE 0 END) + coalesce(p.image_area_ratio, 0)
+  WHEN d.stratum = 'layout-heavy-born-digital' THEN coalesce(p.image_area_ratio, 0) + abs(p.text_chars - d.chars_per_page) / greatest(1, d.chars_per_page) ELSE abs(p.text_chars - d.chars_per_page) / greatest(1, d.chars_per_page) END DESC,
+  sha256('{SEED}' || chr(0) || d.case_id || ':page' || chr(0) || p.page)) AS k FROM drawn d JOIN pages p USING (case_id) WHERE d.r <= 6)
+SELECT case_id, string_agg(page, ',' ORDER BY page) AS pages FROM scored WHERE k <= 2 GROUP BY 1""")
+def page_selection(spark, sf):
+    s, drawn = _drawn(spark, sf)
+    cases = drawn.join(s.select("case_id", "chars_per_page"), "case_id")
+    pages = signals.inspect_pages(X.page_evidence(spark, sf)).withColumn("warnings", F.lit(0))
+    return sampling.select_pages(cases, pages, SEED).select("case_id", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
+
+
+@query(f"WITH {_DRAW} SELECT stratum, count(*) FILTER (r <= 2) AS calibration, count(*) FILTER (r > 2) AS evaluation, sum(page_count)::BIGINT AS pages FROM drawn WHERE r <= 6 GROUP BY 1")
+def sample_summary(spark, sf):
+    return sampling.sample_summary(_drawn(spark, sf)[1])
+
+
+@query(f"WITH {_DRAW}, d AS (SELECT CASE WHEN r <= 2 THEN 'calibration' ELSE 'evaluation' END AS partition, stratum FROM drawn WHERE r <= 6) SELECT coalesce(partition, 'all') AS partition, coalesce(stratum, 'all') AS stratum, count(*) AS documents, count(*) * 2 AS pages FROM d GROUP BY GROUPING SETS ((partition, stratum), (partition), ())")
+def declared_counts(spark, sf):
+    return sampling.declared_counts(_drawn(spark, sf)[1].withColumn("pages", F.array(F.lit(1), F.lit(2))))
+
+
+@query("SELECT c_custkey AS source_key, 'F' || CASE WHEN row_number() OVER (ORDER BY c_custkey) < 1000 THEN lpad(row_number() OVER (ORDER BY c_custkey)::VARCHAR, 3, '0') ELSE (row_number() OVER (ORDER BY c_custkey))::VARCHAR END AS case_id FROM customer")
+def case_ids(spark, sf):
+    return sampling.case_ids(X.table(spark, sf, "customer").select(F.col("c_custkey").alias("source_key")))
+
+
+_WHITE = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_GATE_ODD = r"[\x00-\x08\x0E-\x1F\x7F\x{E000}-\x{F8FF}\x{FFFD}]"
+_COMPONENTS = X.SIGNALS + ", " + X.TIER_ARTIFACTS + f""", runs AS (SELECT case_id, tier, sum(greatest(n - 7, 0)) AS penalty FROM (SELECT case_id, tier, run, count(*) * max(CASE WHEN unicode(c) > 65535 THEN 2 ELSE 1 END) AS n, count(*) AS k FROM
+  (SELECT case_id, tier, c, sum(new) OVER (PARTITION BY case_id, tier ORDER BY i) AS run FROM (SELECT *, CASE WHEN c = lag(c) OVER (PARTITION BY case_id, tier ORDER BY i) THEN 0 ELSE 1 END AS new FROM
+  (SELECT case_id, tier, unnest(range(1, length(text) + 1)) AS i, unnest(string_split(text, '')) AS c FROM artifacts WHERE text <> ''))) WHERE c NOT IN (chr(10), chr(13)) GROUP BY ALL) WHERE k >= 8 GROUP BY 1, 2),
+parts AS (SELECT a.*, s.total_text_chars, s.page_count, s.thai_char_ratio, s.latin_char_ratio, length(text) - len(regexp_extract_all(text, '{_WHITE}')) AS solid, len(regexp_extract_all(text, '{_GATE_ODD}')) + coalesce(r.penalty, 0) AS bad,
+  len(regexp_extract_all(text, '[\\x{{0E00}}-\\x{{0E7F}}]')) AS thai, len(regexp_extract_all(text, '\\p{{Latin}}')) AS latin FROM artifacts a JOIN signals s USING (case_id) LEFT JOIN runs r ON r.case_id = a.case_id AND r.tier = a.tier),
+components AS (SELECT case_id, tier, CASE WHEN solid = 0 THEN 0 ELSE greatest(0, 1 - bad / solid) END AS character_sanity, CASE WHEN total_text_chars > 0 THEN least(1, length(text) / total_text_chars) END AS text_retention,
+  CASE WHEN tier <> 'T0' AND page_count > 0 THEN len(list_filter(string_split(text, chr(10)), lambda p: length(p) >= 32)) / page_count END AS usable_page_ratio, CASE WHEN case_id % 2 = 0 THEN CASE WHEN has_structure THEN 1.0 ELSE 0.0 END END AS structural_yield,
+  CASE WHEN thai_char_ratio < 0.1 AND latin_char_ratio < 0.1 THEN NULL WHEN thai + latin = 0 THEN 0 ELSE least(CASE WHEN thai_char_ratio >= 0.1 THEN least(1, thai / (thai + latin) / thai_char_ratio) END, CASE WHEN latin_char_ratio >= 0.1 THEN least(1, latin / (thai + latin) / latin_char_ratio) END) END AS script_consistency FROM parts)"""
+
+
+def _components(spark, sf):
+    s = X.signals(spark, sf).select("case_id", "total_text_chars", "page_count", "thai_char_ratio", "latin_char_ratio")
+    return gate.with_components(X.tier_artifacts(spark, sf).join(s, "case_id").withColumn("expects_structure", F.col("case_id") % 2 == 0))
+
+
+@query(f"WITH {_COMPONENTS} SELECT case_id, tier, {', '.join(f'round({c}, 6)::DOUBLE AS {c}' for c in gate.COMPONENTS)} FROM components")
+def gate_components(spark, sf):
+    return _components(spark, sf).select("case_id", "tier", *(F.round(c, 6).alias(c) for c in gate.COMPONENTS))
+
+
+_LIMITS = dict(zip(gate.COMPONENTS, (0.99, 0.75, 0.75, 1.0, 0.95), strict=True))
+_REASONS = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} < {v} THEN '{c.upper()}_FAILED' END" for c, v in _LIMITS.items()) + "], lambda x: x IS NOT NULL), ',')"
+
+
+@query(f"WITH {_COMPONENTS} SELECT case_id, tier, {_REASONS} AS reasons, {_REASONS} = '' AS passed FROM components")
+def gate_decisions(spark, sf):
+    return gate.decide(_components(spark, sf)).select("case_id", "tier", F.array_join("reasons", ",").alias("reasons"), "passed")
+
+
+@query(f"""WITH RECURSIVE {X.REPLAY_GATES}, walk(case_id, i, k, path) AS (SELECT case_id, initial, 0, 'T' || initial FROM ids UNION ALL
+  SELECT w.case_id, n.i, w.k + 1, w.path || '>' || 'T' || n.i FROM walk w JOIN gates g ON g.case_id = w.case_id AND g.i = w.i AND NOT g.passed, LATERAL (SELECT CASE w.i WHEN 0 THEN CASE WHEN g.text_failure THEN 2 ELSE 1 END WHEN 1 THEN CASE WHEN g.text_failure THEN 2 ELSE 3 END WHEN 2 THEN 3 END AS i) n WHERE w.k < 2 AND n.i IS NOT NULL),
+last AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY k DESC) = 1)
+SELECT l.case_id, CASE WHEN g.i IS NULL THEN 'unavailable' WHEN g.passed THEN 'accepted' ELSE 'low-confidence' END AS status, CASE WHEN g.i IS NOT NULL THEN 'T' || l.i END AS final_tier, CASE WHEN g.i IS NOT NULL THEN l.case_id || ':T' || l.i END AS selected_key,
+  CASE WHEN g.i IS NOT NULL THEN l.path WHEN l.k > 0 THEN left(l.path, length(l.path) - 3) ELSE '' END AS path, CASE WHEN g.i IS NULL OR g.passed THEN '' WHEN l.i = 3 THEN 'TERMINAL_TIER_FAILED' ELSE 'MAX_ESCALATIONS_REACHED' END AS stopped
+FROM last l LEFT JOIN gates g ON g.case_id = l.case_id AND g.i = l.i""")
+def escalation_replay(spark, sf):
+    out = gate.replay(*X.replay_gates(spark, sf))
+    tail = F.flatten(F.col("steps.reasons"))
+    stopped = F.filter(tail, lambda r: r.isin("TERMINAL_TIER_FAILED", "MAX_ESCALATIONS_REACHED"))
+    return out.select("case_id", "status", "final_tier", "selected_key", F.array_join("steps.tier", ">").alias("path"), F.array_join(stopped, ",").alias("stopped"))
+
+
+_GAP = "list_filter(['T0', 'T1', 'T2', 'T3'], lambda t: NOT list_contains({0}, t) AND len({0}) > 0 AND t > list_min({0}) AND t < list_max({0}))"
+_DEGRADED = f"list_filter(['T0', 'T1', 'T2', 'T3'], lambda t: list_contains({_GAP.format('usable_tiers')}, t) OR list_contains({_GAP.format('structurally_adequate_tiers')}, t))"
+
+
+@query(f"WITH {X.ORACLE_PAGES} SELECT case_id, array_to_string(usable_tiers, ',') AS usable, coalesce(usable_tiers[1], 'unusable') AS lowest_usable_tier, coalesce(structurally_adequate_tiers[1], 'unusable') AS lowest_structurally_adequate_tier, array_to_string({_DEGRADED}, ',') AS degraded, len({_DEGRADED}) > 0 AS higher_tier_degraded FROM oracle_pages")
+def oracle_derived(spark, sf):
+    d = oracle.derive(X.oracle_pages(spark, sf))
+    return d.select("case_id", F.array_join("usable_tiers", ",").alias("usable"), "lowest_usable_tier", "lowest_structurally_adequate_tier", F.array_join("degraded_tiers", ",").alias("degraded"), "higher_tier_degraded")
+
+
+@query(f"WITH {X.ORACLE_PAGES} SELECT case_id % 50 AS case_id, tier, bool_and(list_contains(usable_tiers, tier)) AS accepted FROM oracle_pages, (VALUES ('T0'), ('T1'), ('T2'), ('T3')) AS v(tier) GROUP BY 1, 2")
+def accepted_by_all_pages(spark, sf):
+    return calibration.accepted_by_all_pages(X.oracle_pages(spark, sf).withColumn("case_id", F.col("case_id") % 50), "usable_tiers")
+
+
+_CASES = X.ORACLE_PAGES + """, cases AS (SELECT case_id, 'T' || (case_id % 3) AS static_tier, CASE WHEN case_id % 7 <> 0 THEN 'T' || (case_id % 4) END AS gated_tier FROM oracle_pages),
+tier_cells AS (SELECT case_id, 'T' || i AS tier, CASE WHEN (case_id + i) % 9 = 0 THEN 'failed' ELSE 'succeeded' END AS status, CASE WHEN (case_id + i) % 8 <> 0 THEN (i + 1) * 100.0::DOUBLE + case_id END AS wall_ms FROM cases, (VALUES (0), (1), (2), (3)) AS v(i)),
+chosen AS (SELECT case_id, p AS policy, CASE p WHEN 'allT0' THEN 'T0' WHEN 'staticInspection' THEN static_tier ELSE gated_tier END AS tier FROM cases, (VALUES ('allT0'), ('staticInspection'), ('gated')) AS v(p))"""
+
+
+def _policy_inputs(spark, sf):
+    pages = X.oracle_pages(spark, sf)
+    c = F.col("case_id")
+    cases = pages.select("case_id", F.concat(F.lit("T"), (c % 3).cast("string")).alias("static_tier"), F.when(c % 7 != 0, F.concat(F.lit("T"), (c % 4).cast("string"))).alias("gated_tier"))
+    i = F.col("i")
+    cells = pages.select("case_id", F.explode(F.array(*map(F.lit, range(4)))).alias("i")).select("case_id", F.concat(F.lit("T"), i.cast("string")).alias("tier"), F.when((c + i) % 9 == 0, "failed").otherwise("succeeded").alias("status"), F.when((c + i) % 8 != 0, (i + 1) * 100.0 + c).alias("wall_ms"))
+    return cases, cells, pages
+
+
+def _errors(axis: str, column: str) -> str:
+    return f"""count(*) FILTER (tier IS NOT NULL AND NOT list_contains({column}, tier)) AS {axis}_false_accepts, count(*) FILTER (tier IS NOT NULL AND list_contains({column}, tier) AND list_min({column}) < tier) AS {axis}_false_escalations"""
+
+
+@query(f"""WITH {_CASES}, docs AS (SELECT c.policy, count(*) AS documents, count(c.tier) AS selected_documents, {', '.join(f"count(*) FILTER (c.tier = 'T{i}') AS selected_t{i}" for i in range(4))}, count(t.wall_ms) AS observed_documents, coalesce(sum(t.wall_ms), 0) AS observed_wall_ms
+  FROM chosen c LEFT JOIN tier_cells t ON t.case_id = c.case_id AND t.tier = c.tier AND t.status = 'succeeded' AND t.wall_ms IS NOT NULL GROUP BY 1),
+quality AS (SELECT policy, count(*) AS pages, count(tier) AS covered_pages, {_errors('reading', 'usable_tiers')}, {_errors('structural', 'structurally_adequate_tiers')} FROM oracle_pages JOIN chosen USING (case_id) GROUP BY 1)
+SELECT d.*, CASE WHEN observed_documents <> 0 THEN observed_wall_ms / observed_documents END AS mean_wall_ms, q.* EXCLUDE (policy) FROM docs d LEFT JOIN quality q USING (policy)""")
+def policy_simulation(spark, sf):
+    return policies.simulate(*_policy_inputs(spark, sf), check=False)
+
+
+@query(f"WITH {_CASES} SELECT (SELECT count(*) FILTER (status = 'succeeded' AND wall_ms IS NOT NULL) FROM tier_cells WHERE tier = 'T3') AS observed_pages, (SELECT count(*) FROM tier_cells WHERE tier = 'T3') AS page_cells, (SELECT sum(wall_ms) FILTER (status = 'succeeded') FROM tier_cells WHERE tier = 'T3') AS observed_wall_ms, count(*) AS pages, {_errors('reading', 'usable_tiers')}, {_errors('structural', 'structurally_adequate_tiers')} FROM (SELECT *, 'T3' AS tier FROM oracle_pages)")
+def page_baseline(spark, sf):
+    _, cells, pages = _policy_inputs(spark, sf)
+    return policies.page_baseline(cells.where("tier = 'T3'").withColumn("page", F.lit(1)), pages)
+
+
+_GATE_ERRORS = f"""WITH {_CASES}, e AS (SELECT policy, {_errors('x', 'usable_tiers')}, count(tier) AS denominator, count(*) - count(tier) AS excluded_count FROM oracle_pages JOIN chosen USING (case_id) GROUP BY 1)
+SELECT policy, x_false_accepts AS false_accepts, x_false_escalations AS false_escalations, denominator, excluded_count, x_false_accepts / denominator AS false_accept_rate, x_false_escalations / denominator AS false_escalation_rate FROM e"""
+
+
+@query(_GATE_ERRORS)
+def gate_errors(spark, sf):
+    cases, _, pages = _policy_inputs(spark, sf)
+    return policies.gate_errors(pages.join(policies.selections(cases), "case_id"), ["policy"], "usable_tiers", "tier")
+
+
+@query(f"""WITH {X.STRATA_SQL} SELECT t_coverage::DOUBLE AS t_coverage, t_full_page_image::DOUBLE AS t_full_page_image, t_anomaly::DOUBLE AS t_anomaly, count(*) FILTER (CASE WHEN coalesce(text_layer_coverage < t_coverage, false) OR coalesce(full_page_image_ratio >= t_full_page_image, false) OR coalesce(encoding_anomaly_ratio >= t_anomaly, false) THEN 'T2'
+  WHEN coalesce(mean_image_area_ratio, 0) >= 0.2 OR chars_per_page_cv >= 0.75 THEN 'T1' ELSE 'T0' END = CASE stratum WHEN 'born-digital-en' THEN 'T0' WHEN 'layout-heavy-born-digital' THEN 'T1' ELSE 'T2' END) AS correct, count(*) AS denominator
+FROM strata, (VALUES (0.25), (0.5), (0.75)) AS a(t_coverage), (VALUES (0.25), (0.5), (0.75)) AS b(t_full_page_image), (VALUES (0.01), (0.02), (0.05)) AS c(t_anomaly) GROUP BY 1, 2, 3""")
+def routing_grid(spark, sf):
+    return calibration.routing_candidates(X.signals(spark, sf).withColumn("stratum", signals.stratum()))
+
+
+_GATE_GRID = f"""WITH {_COMPONENTS}, g AS (SELECT * FROM components, (VALUES (0.9::DOUBLE), (0.95), (0.99)) AS a(t_character_sanity), (VALUES (0.25::DOUBLE), (0.5), (0.75)) AS b(t_text_retention), (VALUES (0.25::DOUBLE), (0.5), (0.75)) AS c(t_usable_page_ratio), (VALUES (1.0::DOUBLE)) AS d(t_structural_yield), (VALUES (0.5::DOUBLE), (0.8), (0.95)) AS e(t_script_consistency)),
+p AS (SELECT *, NOT ({' OR '.join(f'coalesce({c} < t_{c}, false)' for c in gate.COMPONENTS)}) AS passed, case_id % 3 <> 0 AS r, case_id % 4 <> 0 AS s FROM g),
+n AS (SELECT {', '.join(f't_{c}' for c in gate.COMPONENTS)}, count(*) AS denominator, count(*) FILTER (passed AND NOT r) AS reading_false_accepts, count(*) FILTER (NOT passed AND r) AS reading_false_rejects, count(*) FILTER (passed AND NOT s) AS structural_false_accepts, count(*) FILTER (NOT passed AND s) AS structural_false_rejects FROM p GROUP BY ALL)
+SELECT *, reading_false_accepts + structural_false_accepts AS total_false_accepts, greatest(reading_false_accepts, structural_false_accepts) AS worst_false_accepts, reading_false_rejects + structural_false_rejects AS total_false_rejects, greatest(reading_false_rejects, structural_false_rejects) AS worst_false_rejects FROM n"""
+
+
+@query(_GATE_GRID)
+def gate_grid(spark, sf):
+    c = F.col("case_id")
+    examples = _components(spark, sf).select(*gate.COMPONENTS, (c % 3 != 0).alias("reading_accepted"), (c % 4 != 0).alias("structurally_accepted"))
+    return calibration.gate_candidates(examples)
+
+
+def _overheads(spark):
+    return spark.createDataFrame([("p0", 5.0), ("p1", 10.0)], "provider_id string, fixed_overhead_ms double")
+
+
+@query(f"""WITH {X.RUN_CELLS}, m AS (SELECT *, status = 'succeeded' AND has_artifact AS done, CASE WHEN provider_timing_status = 'observed' THEN coalesce(provider_ms, 0) ELSE greatest(0, wall_ms - CASE provider_id WHEN 'p0' THEN 5.0 ELSE 10.0 END) END AS marginal FROM cells),
+levels AS (SELECT *, unnest(['overall', 'partition:' || partition, 'stratum:' || stratum]) AS grp FROM m),
+domain AS (SELECT tier, grp FROM (VALUES ('T0'), ('T1'), ('T2'), ('T3')) AS v(tier), (SELECT unnest(['overall', 'partition:calibration', 'partition:evaluation', 'stratum:born-digital-en', 'stratum:layout-heavy-born-digital', 'stratum:scanned-degraded-en', 'stratum:scanned-degraded-thai-mixed']) AS grp))
+SELECT d.tier, d.grp AS "group", count(*) FILTER (done) AS succeeded, count(status) AS documents, count(*) FILTER (status IN ('failed', 'unavailable', 'censored')) AS excluded, coalesce(sum(page_count) FILTER (done), 0)::BIGINT AS pages, count(*) FILTER (done AND cache_hit) AS cache_hits,
+  round(coalesce(sum(wall_ms) FILTER (done), 0), 4) AS wall_ms, round(coalesce(sum(marginal) FILTER (done), 0), 4) AS marginal_ms, count(*) FILTER (done AND provider_timing_status = 'observed') AS provider_reported, round(coalesce(sum(observed_minimum_wall_ms) FILTER (status = 'censored'), 0), 4) AS censored_minimum_wall_ms
+FROM domain d LEFT JOIN levels l ON l.tier = d.tier AND l.grp = d.grp GROUP BY 1, 2""")
+def timing_cube(spark, sf):
+    c = timing.timing_cube(X.run_cells(spark, sf), _overheads(spark))
+    return c.select("tier", "group", "succeeded", "documents", "excluded", "pages", "cache_hits", *(F.round(x, 4).alias(x) for x in ("wall_ms", "marginal_ms")), "provider_reported", F.round("censored_minimum_wall_ms", 4).alias("censored_minimum_wall_ms"))
+
+
+@query(f"""WITH {X.RUN_CELLS}, t AS (SELECT partition, stratum, status, CASE WHEN status = 'succeeded' THEN wall_ms END AS w FROM cells WHERE tier = 'T3')
+SELECT partition, stratum, count(w) AS numerator, count(*) AS denominator, count(*) - count(w) AS excluded_count, count(*) FILTER (status = 'failed') AS failed, round(coalesce(sum(w), 0), 2) AS total_ms, quantile_disc(w, 0.5) AS median_ms, min(w) AS min_ms, max(w) AS max_ms FROM t GROUP BY GROUPING SETS ((), (partition), (partition, stratum))""")
+def page_timing(spark, sf):
+    out = timing.page_groups(X.run_cells(spark, sf).where("tier = 'T3'"), [[], ["partition"], ["partition", "stratum"]])
+    return out.select("partition", "stratum", "numerator", "denominator", "excluded_count", "failed", F.round("total_ms", 2).alias("total_ms"), "median_ms", "min_ms", "max_ms")
+
+
+@query(f"WITH {X.RUN_CELLS} SELECT tier, {', '.join(f'count(*) FILTER (status = {chr(39)}{s}{chr(39)}) AS {s}' for s in ('succeeded', 'failed', 'unavailable', 'censored'))} FROM cells GROUP BY 1")
+def status_counts(spark, sf):
+    return timing.status_counts(X.run_cells(spark, sf), ["tier"])
+
+
+_MATRIX = X.RUN_CELLS + """, actual AS (SELECT DISTINCT case_id, tier FROM cells WHERE status <> 'failed'), expected AS (SELECT DISTINCT user_id AS case_id, tier FROM events, (VALUES ('T0'), ('T1'), ('T2')) AS v(tier))"""
+
+
+def _matrix(spark, sf):
+    cells = X.run_cells(spark, sf)
+    expected = cells.select("case_id").distinct().withColumn("partition", F.lit("evaluation"))
+    return timing.expected_cells(expected), cells.where("status <> 'failed'").select("case_id", "tier").distinct()
+
+
+@query(f"WITH {_MATRIX} SELECT case_id, tier, 'missing' AS gap FROM (FROM expected EXCEPT FROM actual) UNION ALL SELECT case_id, tier, 'unexpected' FROM (FROM actual EXCEPT FROM expected)")
+def matrix_gaps(spark, sf):
+    expected, actual = _matrix(spark, sf)
+    return timing.matrix_gaps(expected, actual, ["case_id", "tier"])
+
+
+@query(f"WITH {_MATRIX} SELECT case_id, tier, 'evaluation' AS partition FROM (FROM expected EXCEPT FROM actual)")
+def todo_cells(spark, sf):
+    expected, actual = _matrix(spark, sf)
+    return timing.todo_cells(expected, actual, ["case_id", "tier"]).select("case_id", "tier", "partition")
+
+
+@query(f"WITH {X.PAGE_EVIDENCE}, p AS (SELECT case_id, count(*) AS n FROM page_evidence GROUP BY 1) SELECT count(*) AS documents, quantile_disc(n, 0.5) AS p50, quantile_disc(n, 0.75) AS p75, quantile_disc(n, 0.9) AS p90, quantile_disc(n, 0.95) AS p95, min(n) AS min, max(n) AS max, avg(n) AS mean FROM p")
+def page_count_profile(spark, sf):
+    return timing.page_count_profile(X.page_evidence(spark, sf).groupBy("case_id").agg(F.count("*").alias("page_count")))
+
+
+@query(f"WITH {X.RUN_CELLS} SELECT provider_id, round(greatest(0, median(wall_ms - provider_ms)), 3) AS fixed_overhead_ms, 'provider-reported' AS basis FROM cells GROUP BY 1")
+def provider_overheads(spark, sf):
+    return timing.calibrate_overheads(X.run_cells(spark, sf).select("provider_id", "wall_ms", "provider_ms", F.lit(None).cast("double").alias("baseline_ms")))
+
+
+@query(f"WITH {X.RUN_CELLS} SELECT page, round(CASE WHEN provider_ms IS NOT NULL THEN provider_ms ELSE greatest(0, wall_ms - 3) END, 6) AS marginal_ms, CASE WHEN provider_ms IS NOT NULL THEN 'provider-reported' ELSE 'client-observed-wall-minus-baseline-proxy' END AS marginal_basis, round(wall_ms / 50, 6) AS t0_ratio, 1 AS billed_excluded, round(wall_ms / 3600000 * 0.1, 9) AS machine_time_proxy FROM cells WHERE wall_ms >= 0")
+def timing_and_cost(spark, sf):
+    rows = X.run_cells(spark, sf).where("wall_ms >= 0").withColumns({"fixed_overhead_ms": F.lit(3.0), "t0_wall_ms": F.lit(50.0), "billed_cost": F.lit(None).cast("double"), "machine_hourly_rate": F.lit(0.1)})
+    out = timing.timing_and_cost(rows)
+    return out.select("page", F.round("marginal_ms", 6).alias("marginal_ms"), "marginal_basis", F.round("t0_ratio", 6).alias("t0_ratio"), "billed_excluded", F.round("machine_time_proxy", 9).alias("machine_time_proxy"))
+
+
+@query("SELECT p_size AS page_count, count(*) AS parts, round(p_size * 2856.500583 / 3600000, 9) AS born_digital_hours, round(p_size * ((7499.753416 + 7564.891833) / 2) / 3600000, 9) AS scanned_warm_hours FROM part GROUP BY 1")
+def page_projection(spark, sf):
+    counts = X.table(spark, sf, "part").groupBy(F.col("p_size").alias("page_count")).agg(F.count("*").alias("parts"))
+    return timing.project_pages(counts).select("page_count", "parts", F.round("born_digital_hours", 9).alias("born_digital_hours"), F.round("scanned_warm_hours", 9).alias("scanned_warm_hours"))
+
+
+_FIXED = X.ELEMENTS + """, fixed AS (SELECT doc_id, id, (coalesce(sum(tokens) OVER (PARTITION BY doc_id ORDER BY reading_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS b, tokens FROM elements),
+chunks AS (SELECT doc_id, id, b // 50 AS first_chunk, (b + greatest(tokens, 1) - 1) // 50 AS last_chunk FROM fixed)"""
+
+
+@query(f"WITH {_FIXED} SELECT doc_id, id, first_chunk, last_chunk FROM chunks")
+def fixed_chunks(spark, sf):
+    return metrics.fixed_chunks(X.elements(spark, sf), 50).select("doc_id", "id", "first_chunk", "last_chunk")
+
+
+@query(f"""WITH RECURSIVE {X.ELEMENTS}, e AS (SELECT x.*, b.after_id IS NOT NULL AS brk, row_number() OVER (PARTITION BY x.doc_id ORDER BY reading_order) AS rn FROM elements x LEFT JOIN boundaries b ON b.after_id = x.id AND b.expected_action = 'break'),
+c(doc_id, id, rn, chunk, used) AS (SELECT doc_id, id, rn, 0::BIGINT, tokens::BIGINT FROM e WHERE rn = 1 UNION ALL SELECT e.doc_id, e.id, e.rn, CASE WHEN e.brk OR c.used + e.tokens > 60 THEN c.chunk + 1 ELSE c.chunk END, CASE WHEN e.brk OR c.used + e.tokens > 60 THEN e.tokens ELSE c.used + e.tokens END FROM c JOIN e ON e.doc_id = c.doc_id AND e.rn = c.rn + 1)
+SELECT doc_id, id, chunk FROM c""")
+def structural_chunks(spark, sf):
+    return metrics.structural_chunks(metrics.breaks_before(X.elements(spark, sf), X.boundaries(spark, sf)), 60)
+
+
+@query(f"""WITH {_FIXED}, j AS (SELECT b.expected_action = 'join' AS jn, x.last_chunk = y.first_chunk AS same FROM boundaries b JOIN chunks x ON x.id = b.before_id JOIN chunks y ON y.id = b.after_id)
+SELECT count(*) FILTER (jn) AS joins, count(*) FILTER (NOT jn) AS breaks, 0::BIGINT AS excluded_joins, 0::BIGINT AS excluded_breaks, count(*) FILTER (jn AND NOT same) AS splits, count(*) FILTER (NOT jn AND same) AS merges, CASE WHEN count(*) FILTER (jn) = 0 THEN 0 ELSE count(*) FILTER (jn AND NOT same) / count(*) FILTER (jn) END AS split_rate,
+  CASE WHEN count(*) FILTER (NOT jn) = 0 THEN 0 ELSE count(*) FILTER (NOT jn AND same) / count(*) FILTER (NOT jn) END AS merge_rate, count(*) FILTER (jn <> same) * 100 / count(*) AS violations_per_100 FROM j""")
+def boundary_metrics(spark, sf):
+    return metrics.boundary_metrics(X.boundaries(spark, sf), metrics.fixed_chunks(X.elements(spark, sf), 50))
+
+
+def _element_sides(spark, sf):
+    e = X.elements(spark, sf).select("doc_id", F.col("role").alias("type"), F.col("reading_order").alias("idx"), F.substring(F.regexp_replace("text", r"[^\x00-\x7F]", ""), 1, 80).alias("text"))
+    return e, e.withColumn("text", F.when(F.col("idx") % 3 == 0, F.regexp_replace("text", "e", "")).otherwise(F.col("text")))
+
+
+_SIDES = """r AS (SELECT conv_id AS doc_id, role AS type, turn AS idx, left(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '', 'g'), 80) AS text FROM conversations), o AS (SELECT doc_id, type, idx, CASE WHEN idx % 3 = 0 THEN replace(text, 'e', '') ELSE text END AS text FROM r)"""
+
+
+@query(f"WITH {_SIDES}, s AS (SELECT r.doc_id, r.idx AS ref_idx, o.idx AS out_idx, CASE WHEN greatest(length(r.text), length(o.text)) = 0 THEN 1 ELSE 1 - levenshtein(r.text, o.text) / greatest(length(r.text), length(o.text)) END AS similarity FROM r JOIN o ON r.doc_id = o.doc_id AND r.type = o.type) SELECT doc_id, ref_idx, out_idx, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.9")
+def similar_elements(spark, sf):
+    return metrics.similar_elements(*_element_sides(spark, sf)).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def structure_matching(spark, sf):
+    return metrics.structure_metrics(*_element_sides(spark, sf)).select("doc_id", "true_positives", "false_positives", "false_negatives", F.col("f1.value").alias("f1"))
+
+
+_PAIRS = """p AS (SELECT b.item_id, left(regexp_replace(coalesce(b.text, ''), '[^\\x00-\\x7F]', '', 'g'), 200) AS r, left(regexp_replace(coalesce(d.text, ''), '[^\\x00-\\x7F]', '', 'g'), 200) AS o FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)"""
+
+
+def _pairs(spark, sf):
+    plain = lambda c: F.substring(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\x00-\x7F]", ""), 1, 200)
+    d = X.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), plain(F.col("text")).alias("o"))
+    return X.table(spark, sf, "benchmark").select("item_id", plain(F.col("text")).alias("r")).join(d, "item_id")
+
+
+@query(f"WITH {_PAIRS} SELECT item_id, levenshtein(r, o) AS edits, length(r) AS reference_length, round(levenshtein(r, o) / length(r), 6) AS cer, round(1 - levenshtein(r, o) / greatest(length(r), length(o)), 6) AS similarity FROM p WHERE length(r) > 0")
+def character_errors(spark, sf):
+    p = _pairs(spark, sf).where(F.length("r") > 0).withColumn("e", T.character_error_rate(F.col("r"), F.col("o")))
+    return p.select("item_id", F.col("e.numerator").alias("edits"), F.col("e.denominator").alias("reference_length"), F.round("e.value", 6).alias("cer"), F.round(T.text_similarity(F.col("r"), F.col("o")), 6).alias("similarity"))
+
+
+@query()
+def word_errors(spark, sf):
+    tokens = T.word_tokens()
+    p = _pairs(spark, sf).withColumn("s", F.lit("english"))
+    p = p.withColumn("e", T.word_error_rate(tokens(T.for_wer(F.col("r"), F.col("s")), F.col("s")), tokens(T.for_wer(F.col("o"), F.col("s")), F.col("s"))))
+    return p.select("item_id", F.col("e.numerator").alias("edits"), F.col("e.denominator").alias("reference_words"), F.round("e.value", 6).alias("wer"))
+
+
+@query(r"""SELECT page_id, sha256(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<[A-Za-z/!?](?:[^"''>]|"[^"]*"|''[^'']*'')*>', ' ', 'g'), '\$\$([\s\S]*?)\$\$', '\1', 'g'), '\$((?:[^0-9$][^$]*)?)\$', '\1', 'g')) AS plain_sha256 FROM pages""")
+def markup_stripped(spark, sf):
+    return X.table(spark, sf, "pages").select("page_id", F.sha2(T.strip_markup(F.coalesce("html", F.lit(""))), 256).alias("plain_sha256"))
+
+
+@query("""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\\x{2018}\\x{2019}\\x{201B}]', '''', 'g'), '[\\x{201C}\\x{201D}]', '"', 'g'), '[\\x{2010}-\\x{2015}]', '-', 'g'), '[\\x09-\\x0D\\x20\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+', ' ', 'g'))) AS folded_sha256 FROM documents""")
+def typography_folded(spark, sf):
+    return X.table(spark, sf, "documents").select("doc_id", F.sha2(T.fold_typography(F.coalesce("text", F.lit(""))), 256).alias("folded_sha256"))
+
+
+@query("SELECT doc_id, sha256(lang || chr(0) || source || chr(0) || doc_id) AS source_key FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def source_keys(spark, sf):
+    d = X.table(spark, sf, "documents").where("lang IS NOT NULL AND source IS NOT NULL")
+    return d.select("doc_id", ST.source_key(F.col("lang"), F.col("source"), F.col("doc_id").cast("string")).alias("source_key"))
+
+
+@query("""SELECT doc_id, sha256('{"contentHash":"' || sha256(coalesce(text, '')) || '","model":null,"parametersHash":"' || sha256('{"ocr":false}') || '","providerId":"' || source || '","providerVersion":"1.0"}') AS artifact_key FROM documents WHERE source IS NOT NULL""")
+def artifact_keys(spark, sf):
+    d = X.table(spark, sf, "documents").where("source IS NOT NULL")
+    return d.select("doc_id", ST.artifact_key_column(F.sha2(F.coalesce("text", F.lit("")), 256), F.col("source"), F.lit("1.0"), F.lit(None).cast("string"), F.lit('{"ocr":false}')).alias("artifact_key"))
+
+
+_VERSIONS = """latest AS (SELECT o_custkey AS document_id, max(o_orderkey) AS version_id FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus <> 'P' AND c_mktsegment = 'BUILDING' GROUP BY 1)"""
+
+
+def _current(spark, sf):
+    versions = X.table(spark, sf, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("version_id"), F.col("o_custkey").alias("collection_id"), (F.col("o_orderstatus") == "P").alias("deleted"))
+    collections = X.table(spark, sf, "customer").select(F.col("c_custkey").alias("collection_id"), F.col("c_mktsegment").alias("path"))
+    return corpus.current_versions(versions, collections, "BUILDING")
+
+
+@query(f"WITH {_VERSIONS} SELECT document_id, version_id FROM latest")
+def current_versions(spark, sf):
+    return _current(spark, sf).select("document_id", "version_id")
+
+
+@query(f"WITH {_VERSIONS} SELECT document_id, version_id, l_linenumber AS field_path, l_partkey AS file_id FROM latest JOIN lineitem ON l_orderkey = version_id WHERE l_returnflag = 'N'")
+def current_files(spark, sf):
+    files = X.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("version_id"), F.col("l_returnflag").alias("field_name"), F.col("l_linenumber").alias("field_path"), F.col("l_partkey").alias("file_id"))
+    return corpus.current_files(_current(spark, sf), files, "N").select("document_id", "version_id", "field_path", "file_id")
+
+
+_ATTACHMENTS = """a AS (SELECT event_id, CASE WHEN event_type = 'view' THEN 'image/png' ELSE 'application/pdf' END AS media_type, CASE WHEN event_type = 'error' THEN 'PDF_MALFORMED' END AS error_code, event_id % 30 AS page_count FROM events),
+s AS (SELECT *, CASE WHEN media_type <> 'application/pdf' THEN 'excluded' WHEN error_code IS NULL THEN 'included' ELSE 'unreadable' END AS status FROM a)"""
+
+
+def _attachments(spark, sf):
+    e = X.table(spark, sf, "events")
+    rows = e.select("event_id", F.when(F.col("event_type") == "view", "image/png").otherwise("application/pdf").alias("media_type"), F.when(F.col("event_type") == "error", "PDF_MALFORMED").alias("error_code"), (F.col("event_id") % 30).alias("page_count"))
+    return corpus.attachment_status(rows)
+
+
+@query(f"WITH {_ATTACHMENTS} SELECT event_id, status, CASE WHEN status = 'excluded' THEN 'NON_PDF_MEDIA_TYPE' ELSE error_code END AS exclusion_reason FROM s")
+def attachment_status(spark, sf):
+    return _attachments(spark, sf).select("event_id", "status", "exclusion_reason")
+
+
+@query(f"WITH {_ATTACHMENTS} SELECT count(*) AS attachments, count(*) FILTER (status = 'included') AS included, count(*) FILTER (status = 'excluded') AS excluded, count(*) FILTER (status = 'unreadable') AS unreadable, coalesce(sum(page_count) FILTER (status = 'included'), 0)::BIGINT AS pages, count(*) FILTER (status = 'included') - 341 AS difference FROM s")
+def corpus_summary(spark, sf):
+    return corpus.corpus_summary(_attachments(spark, sf), 341)
+
+
+@query(f"WITH {X.SIGNALS} SELECT count(*) AS documents, count(*) FILTER (text_layer_coverage >= 0.95) AS high, count(*) FILTER (text_layer_coverage < 0.1) AS low, count(*) FILTER (text_layer_coverage >= 0.1 AND text_layer_coverage < 0.95) AS middle FROM signals")
+def coverage_regimes(spark, sf):
+    return corpus.coverage_regimes(X.signals(spark, sf))
+
+
+@query("SELECT count(*) AS n_rows, count(DISTINCT (conv_id, turn)) AS n_keys, count(*) = count(DISTINCT (conv_id, turn)) AS is_unique FROM conversations")
+def key_uniqueness(spark, sf):
+    return corpus.uniqueness(X.table(spark, sf, "conversations"), ["conv_id", "turn"])
+
+
+@query("""SELECT 'tier.' || event_type || '_share' AS key, 'Tier ' || event_type || ' share' AS name, 'observed' AS label, count(*) / (SELECT count(*) FROM events) AS value_num, NULL::VARCHAR AS value_str, count(*)::DOUBLE AS numerator, (SELECT count(*) FROM events)::DOUBLE AS denominator, 0::DOUBLE AS excluded_count FROM events GROUP BY event_type""")
+def report_values(spark, sf):
+    e = X.table(spark, sf, "events")
+    rows = e.groupBy("event_type").agg(F.count("*").alias("numerator")).crossJoin(F.broadcast(e.agg(F.count("*").alias("denominator"))))
+    return export.metric_values(rows.select(F.concat(F.lit("tier."), "event_type", F.lit("_share")).alias("key"), "numerator", "denominator", F.lit(0).alias("excluded_count"), (F.col("numerator") / F.col("denominator")).alias("value")))
