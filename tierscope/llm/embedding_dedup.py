@@ -121,6 +121,7 @@ def _meet(frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """Of whole groups by (table, cell, x, y): (id, links, root), links counted in copies."""
     ids, copies, slot = frame["id_"].to_numpy(), frame["copies"].to_numpy(), frame["home"].to_numpy(bool)
     vectors = [np.frombuffer(v, np.float64) for v in frame["vector"]]
+    length = np.array([len(v) for v in vectors])
     cells = np.stack([np.frombuffer(c, np.int64) for c in frame["cells"]]).reshape(len(frame), TABLES, -1)
     table, cell, tile = frame["t"].to_numpy(), frame["cell"].to_numpy(), frame["tile"].to_numpy()
     x, y = frame["x"].to_numpy(), frame["y"].to_numpy()
@@ -137,13 +138,15 @@ def _meet(frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
     found_a, found_b = [], []
     for s in range(0, len(a), 32_768):
         p, q = a[s : s + 32_768], b[s : s + 32_768]
-        fine = (slot[p] | slot[q]) & ((x[p] == y[p]) | (tile[p] != tile[q])) & (ids[p] != ids[q])
+        fine = (slot[p] | slot[q]) & ((x[p] == y[p]) | (tile[p] != tile[q])) & (ids[p] != ids[q]) & (length[p] == length[q])
         p, q = p[fine], q[fine]
-        if len(p):
-            u, v = np.stack([vectors[i] for i in p]), np.stack([vectors[i] for i in q])
+        for n in np.unique(length[p]):
+            alike = length[p] == n
+            own_p, own_q = p[alike], q[alike]
+            u, v = np.stack([vectors[i] for i in own_p]), np.stack([vectors[i] for i in own_q])
             ok = np.einsum("ij,ij->i", u, v) / (np.linalg.norm(u, axis=1) * np.linalg.norm(v, axis=1)) >= cosine
-            found_a.append(p[ok])
-            found_b.append(q[ok])
+            found_a.append(own_p[ok])
+            found_b.append(own_q[ok])
     for h, n in zip(head[size > SMALL], size[size > SMALL], strict=True):
         own = np.arange(h, h + n)
         left, right = (own, own) if x[h] == y[h] else (own[tile[own] == x[h]], own[tile[own] == y[h]])
