@@ -11,6 +11,7 @@ from . import fixtures as X
 from .functions import structure as ST
 from .functions import text as T
 from .operators import calibration, corpus, export, gate, metrics, oracle, policies, sampling, signals, timing
+from .sources import providers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -441,3 +442,109 @@ def report_values(spark, sf):
     e = X.table(spark, sf, "events")
     rows = e.groupBy("event_type").agg(F.count("*").alias("numerator")).crossJoin(F.broadcast(e.agg(F.count("*").alias("denominator"))))
     return export.metric_values(rows.select(F.concat(F.lit("tier."), "event_type", F.lit("_share")).alias("key"), "numerator", "denominator", F.lit(0).alias("excluded_count"), (F.col("numerator") / F.col("denominator")).alias("value")))
+
+
+@query("SELECT p_partkey, CASE WHEN regexp_matches(lower(h), '^[a-f0-9]{64}$') THEN lower(h) END AS content_hash FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN upper(sha256(p_partkey::VARCHAR)) WHEN p_partkey % 3 = 1 THEN p_name END AS h FROM part)")
+def clean_hashes(spark, sf):
+    p = X.table(spark, sf, "part")
+    h = F.when(F.col("p_partkey") % 3 == 0, F.upper(F.sha2(F.col("p_partkey").cast("string"), 256))).when(F.col("p_partkey") % 3 == 1, F.col("p_name"))
+    return p.select("p_partkey", corpus.clean_hash(h).alias("content_hash"))
+
+
+_ONE_SPACE = r"trim(regexp_replace({0}, '[\x09-\x0D\x20\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}]+', '{1}', 'g'), ' ')"
+
+
+@query(f"SELECT doc_id, sha256({_ONE_SPACE.format('nfc_normalize(text)', ' ')}) AS metadata_sha256, sha256({_ONE_SPACE.format('lower(nfc_normalize(text))', '')}) AS control_sha256 FROM documents WHERE text IS NOT NULL")
+def normalised_texts(spark, sf):
+    d = X.table(spark, sf, "documents").where("text IS NOT NULL")
+    return d.select("doc_id", F.sha2(F.coalesce(T.metadata_text(F.col("text")), F.lit("")), 256).alias("metadata_sha256"), F.sha2(T.control_text(F.col("text")), 256).alias("control_sha256"))
+
+
+@query(f"WITH {_COMPONENTS} SELECT case_id || ':' || tier AS artifact_key, round(character_sanity, 6)::DOUBLE AS character_sanity, character_sanity < 0.95 AS below FROM components")
+def sanity_audit(spark, sf):
+    return gate.audit_sanity(X.tier_artifacts(spark, sf)).withColumn("character_sanity", F.round("character_sanity", 6))
+
+
+@query(f"""WITH {X.TIER_ARTIFACTS} SELECT case_id, tier, sum(CASE WHEN length(w) <= 2 THEN length(w) ELSE 0 END)::BIGINT AS numerator, sum(len(regexp_extract_all(w, '[\\x{{0E00}}-\\x{{0E7F}}]')))::BIGINT AS denominator
+FROM (SELECT case_id, tier, unnest(list_filter(regexp_split_to_array(text, '[\\x09-\\x0D\\x20\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+'), lambda x: regexp_matches(x, '[\\x{{0E00}}-\\x{{0E7F}}]'))) AS w FROM artifacts WHERE tier = 'T2') GROUP BY 1, 2""")
+def short_run_density(spark, sf):
+    a = X.tier_artifacts(spark, sf).where("tier = 'T2'").withColumn("m", T.short_thai_runs(F.col("text")))
+    return a.select("case_id", "tier", "m.numerator", "m.denominator")
+
+
+@query("""WITH items AS (SELECT conv_id AS case_id, turn AS ord, coalesce(text, '') AS text, unnest([turn % 3 + 1, turn % 2 + 1]) AS page FROM conversations), t AS (SELECT case_id, page, string_agg(text, chr(10) || chr(10) ORDER BY ord, text) AS text FROM (SELECT DISTINCT * FROM items WHERE trim(text) <> '') GROUP BY 1, 2)
+SELECT c.case_id, c.page::INT AS page, sha256(coalesce(t.text, '')) AS text_sha256 FROM (SELECT DISTINCT conv_id AS case_id, unnest(range(1, 5)) AS page FROM conversations) c LEFT JOIN t USING (case_id, page)""")
+def derived_pages(spark, sf):
+    c = X.table(spark, sf, "conversations")
+    items = c.select(F.col("conv_id").alias("case_id"), F.col("turn").alias("ord"), F.coalesce("text", F.lit("")).alias("text"), F.array((F.col("turn") % 3 + 1).cast("int"), (F.col("turn") % 2 + 1).cast("int")).alias("pages"))
+    documents = c.select(F.col("conv_id").alias("case_id"), F.lit(4).alias("page_count")).distinct()
+    return ST.derived_pages(documents, ST.page_texts(items)).select("case_id", "page", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("""SELECT conv_id AS case_id, sha256(string_agg(conv_id || '-' || turn, ':' ORDER BY turn, conv_id || '-' || turn)) AS artifact_key, sha256(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn)) AS text_sha256, sum(turn)::DOUBLE AS wall_ms, count(*) AS page_count FROM conversations GROUP BY 1""")
+def combined_pages(spark, sf):
+    c = X.table(spark, sf, "conversations")
+    pages = c.select(F.col("conv_id").alias("case_id"), F.col("turn").alias("page"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("cache_key"), F.coalesce("text", F.lit("")).alias("text"), F.col("turn").cast("double").alias("wall_ms"))
+    return providers.combine_pages(pages).select("case_id", "artifact_key", F.sha2("text", 256).alias("text_sha256"), "wall_ms", "page_count")
+
+
+_NOTES = X.ORACLE_PAGES + """, notes AS (SELECT case_id, page, CASE case_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'complete' ELSE 'structure-partial' END AS annotation_status, CASE WHEN case_id % 3 <> 0 THEN 'complete' ELSE 'unavailable' END AS scope, CASE WHEN case_id % 4 = 0 THEN 'available' END AS reference, 's' || (case_id % 2) AS stratum FROM oracle_pages),
+folded AS (SELECT case_id, stratum, CASE WHEN annotation_status = 'pending' THEN 'oracle-complete' ELSE annotation_status END AS annotation_status, scope AS structural_scope_status, coalesce(reference, 'unavailable') AS text_reference_status FROM notes)"""
+
+
+def _folded(spark, sf):
+    j = oracle.derive(X.oracle_pages(spark, sf)).withColumns({"script": F.lit("english"), "annotator": F.lit("a"), "judged_at": F.lit("2026-01-01")})
+    c = F.col("case_id")
+    notes = j.select("case_id", "page", F.when(c % 3 == 0, "pending").when(c % 3 == 1, "complete").otherwise("structure-partial").alias("annotation_status"), F.when(c % 3 != 0, "complete").otherwise("unavailable").alias("structural_scope_status"), F.when(c % 4 == 0, "available").alias("text_reference_status"), F.concat(F.lit("s"), (c % 2).cast("string")).alias("stratum"))
+    return oracle.fold(notes, j)
+
+
+@query(f"WITH {_NOTES} SELECT case_id, annotation_status, structural_scope_status, text_reference_status FROM folded")
+def folded_annotations(spark, sf):
+    return _folded(spark, sf).select("case_id", "annotation_status", "structural_scope_status", "text_reference_status")
+
+
+@query(f"WITH {_NOTES} SELECT coalesce(stratum, 'all') AS stratum, count(*) AS pages, count(*) FILTER (annotation_status <> 'pending') AS oracle_complete, count(*) FILTER (annotation_status IN ('structure-partial', 'complete')) AS structure_annotated, count(*) FILTER (text_reference_status = 'available') AS text_references FROM folded GROUP BY GROUPING SETS ((stratum), ())")
+def pack_summary(spark, sf):
+    return oracle.pack_summary(_folded(spark, sf))
+
+
+@query("SELECT CASE doc_id % 4 WHEN 0 THEN 'thai' WHEN 1 THEN 'english' ELSE 'mixed' END AS script, count(*) AS pages FROM labels GROUP BY 1")
+def script_histogram(spark, sf):
+    c = F.col("doc_id") % 4
+    return oracle.script_histogram(X.table(spark, sf, "labels").select(F.when(c == 0, "thai").when(c == 1, "english").otherwise("mixed").alias("script")))
+
+
+@query(f"""WITH {X.ORACLE_PAGES} SELECT case_id, array_to_string(list_filter([CASE WHEN case_id % 5 = 0 THEN 'SCRIPT_REQUIRED' END, CASE WHEN case_id % 7 = 0 THEN 'ANNOTATOR_REQUIRED' END, CASE WHEN case_id % 11 = 0 AND len(usable_tiers) > 0 THEN 'USABLE_TIERS_REPEATED' END, CASE WHEN case_id % 13 = 0 THEN 'STRUCTURAL_TIER_UNKNOWN' END, CASE WHEN case_id % 2 = 0 THEN 'STRUCTURE_NOT_CONFIRMED' END], lambda x: x IS NOT NULL), ',') AS problems FROM oracle_pages""")
+def judgement_checks(spark, sf):
+    c = F.col("case_id")
+    j = X.oracle_pages(spark, sf).withColumns({
+        "script": F.when(c % 5 == 0, "latin").otherwise("thai"), "annotator": F.when(c % 7 == 0, " ").otherwise("a"), "structural_assessment_confirmed": c % 2 != 0,
+        "usable_tiers": F.when(c % 11 == 0, F.concat("usable_tiers", "usable_tiers")).otherwise(F.col("usable_tiers")),
+        "structurally_adequate_tiers": F.when(c % 13 == 0, F.array(F.lit("T7"))).otherwise(F.col("structurally_adequate_tiers"))})
+    return j.select("case_id", F.array_join(oracle.judgement_violations(), ",").alias("problems"))
+
+
+@query(f"""WITH {X.ORACLE_PAGES} SELECT case_id, array_to_string(list_filter([CASE WHEN case_id % 3 = 0 THEN 'IDENTITY' END, CASE WHEN case_id % 5 = 0 AND coalesce(usable_tiers[1], 'unusable') <> 'T0' THEN 'LOWEST_USABLE_TIER' END, CASE WHEN case_id % 7 = 0 THEN 'READING_ORDER_GAPS' END, CASE WHEN case_id % 2 = 0 THEN 'AFTER_ELEMENT_UNKNOWN' END], lambda x: x IS NOT NULL), ',') AS problems FROM oracle_pages""")
+def annotation_checks(spark, sf):
+    c = F.col("case_id")
+    element = lambda name, order: F.struct(F.lit(name).alias("id"), F.lit("body").alias("type"), F.lit("t").alias("text"), order.cast("int").alias("reading_order"))
+    boundary = F.struct(F.lit("b").alias("id"), F.lit("k").alias("type"), F.lit("join").alias("expected_action"), F.lit("x").alias("before_element_id"), F.when(c % 2 == 0, "q").otherwise("y").alias("after_element_id"))
+    a = oracle.derive(X.oracle_pages(spark, sf)).withColumns({
+        "expected_case_id": F.when(c % 3 == 0, -c - 1).otherwise(c), "expected_page": F.col("page"), "annotation_status": F.lit("complete"), "structural_scope_status": F.lit("complete"),
+        "lowest_usable_tier": F.when(c % 5 == 0, "T0").otherwise(F.col("lowest_usable_tier")),
+        "elements": F.array(element("x", F.lit(0)), element("y", F.when(c % 7 == 0, 2).otherwise(1))), "boundaries": F.array(boundary)})
+    return a.select("case_id", F.array_join(oracle.annotation_violations(), ",").alias("problems"))
+
+
+@query("SELECT DISTINCT CASE WHEN user_id % 3 = 0 THEN 'calibration' ELSE 'evaluation' END || '-F' || lpad((user_id % 900)::VARCHAR, 3, '0') || '-P' || lpad((event_id % 50)::VARCHAR, 4, '0') || '-T' || (event_id % 4) || '.json' AS name FROM events")
+def cell_names(spark, sf):
+    e = X.table(spark, sf, "events")
+    name = sampling.cell_name(F.when(F.col("user_id") % 3 == 0, "calibration").otherwise("evaluation"), F.format_string("F%03d", F.col("user_id") % 900), F.concat(F.lit("T"), (F.col("event_id") % 4).cast("string")), F.col("event_id") % 50)
+    return e.select(name.alias("name")).distinct()
+
+
+@query(f"WITH {_DRAW}, s AS (SELECT CASE WHEN r <= 2 THEN 0 ELSE 1 END AS e FROM drawn WHERE r <= 6), n AS (SELECT count(*) FILTER (e = 0) AS calibration_documents, count(*) FILTER (e = 1) AS evaluation_documents, sum(e * 2)::BIGINT AS evaluation_pages FROM s) SELECT *, calibration_documents * 2 AS calibration_pages, calibration_documents * 2 + evaluation_pages AS total_pages, (calibration_documents * 2 + evaluation_pages) * 40000.0::DOUBLE AS warm_ms FROM n")
+def page_budget(spark, sf):
+    sample = _drawn(spark, sf)[1].withColumn("pages", F.when(F.col("partition") == "evaluation", F.array(F.lit(1), F.lit(2))))
+    return timing.page_budget(sample, 40_000.0, 1_461_000.0).select("calibration_documents", "evaluation_documents", "evaluation_pages", "calibration_pages", "total_pages", "warm_ms")
