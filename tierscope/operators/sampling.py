@@ -15,13 +15,17 @@ def seeded_rank(seed: str, context: Column, value: Column) -> Column:
     return F.sha2(F.concat_ws("\x00", F.lit(seed), context, value), 256)
 
 
-def case_ids(sources: DataFrame, key: str = "source_key") -> DataFrame:
-    """Stable ids F001, F002, ... by source key. Numbers come from counts by range partition, so no task
-    sorts all keys; beyond 999 they widen."""
-    parts = sources.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key).withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()})
-    first = parts.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("first"))
-    ahead = first.select("part", "first", (F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("ahead"))
-    return parts.join(F.broadcast(ahead), "part").select(key, F.format_string("F%03d", F.col("row") - F.col("first") + F.col("ahead") + 1).alias("case_id"))
+def case_ids(sources: DataFrame, key: str = "source_key", prefix: int = 3) -> DataFrame:
+    """Stable ids F001, F002, ... by source key, a string; beyond 999 they widen.
+
+    Keys are numbered within their prefix and prefixes by the counts before them, so only the counts, at most
+    one row a prefix, meet in one task; source keys are hashes, whose prefixes are even.
+    """
+    rows = sources.select(F.col(key).cast("string").alias(key)).distinct().withColumn("prefix", F.substring(key, 1, prefix))
+    before = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = rows.groupBy("prefix").agg(F.count("*").alias("n")).select("prefix", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    numbered = rows.withColumn("r", F.row_number().over(Window.partitionBy("prefix").orderBy(key))).join(ahead, "prefix")
+    return numbered.select(key, F.format_string("F%03d", F.col("r") + F.col("ahead")).alias("case_id"))
 
 
 def adjusted_strata(signals: DataFrame, adjustments: DataFrame | None = None, routing: Routing = Routing(), inspection: Inspection = Inspection(), reviewed: bool = False) -> DataFrame:

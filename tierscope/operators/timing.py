@@ -70,7 +70,7 @@ def timing_cube(cells: DataFrame, overheads: DataFrame | None = None, tariff: Ta
     fixed_overhead_ms; a provider without one has 0. Excluded documents are those failed, unavailable or
     censored; a success without an artifact is neither counted nor excluded.
     """
-    rows = cells.join(F.broadcast(overheads.limit(1000)), "provider_id", "left") if overheads is not None else cells.withColumn("fixed_overhead_ms", F.lit(0.0))
+    rows = cells.join(overheads, "provider_id", "left") if overheads is not None else cells.withColumn("fixed_overhead_ms", F.lit(0.0))
     cube = rows.groupingSets([["tier"], ["tier", "partition"], ["tier", "stratum"]], "tier", "partition", "stratum").agg(F.grouping_id().alias("level"), *_group_columns(tariff))
     group = F.when(F.col("level") == 3, "overall").when(F.col("level") == 1, F.concat(F.lit("partition:"), "partition")).otherwise(F.concat(F.lit("stratum:"), "stratum"))
     cube = cube.withColumn("group", group)

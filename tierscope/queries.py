@@ -104,9 +104,9 @@ def declared_counts(spark, sf):
     return sampling.declared_counts(_drawn(spark, sf)[1].withColumn("pages", F.array(F.lit(1), F.lit(2))))
 
 
-@query("SELECT c_custkey AS source_key, 'F' || CASE WHEN row_number() OVER (ORDER BY c_custkey) < 1000 THEN lpad(row_number() OVER (ORDER BY c_custkey)::VARCHAR, 3, '0') ELSE (row_number() OVER (ORDER BY c_custkey))::VARCHAR END AS case_id FROM customer")
+@query("WITH k AS (SELECT sha256(c_name) AS source_key FROM customer), r AS (SELECT source_key, row_number() OVER (ORDER BY source_key) AS n FROM (SELECT DISTINCT source_key FROM k)) SELECT source_key, 'F' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END AS case_id FROM r")
 def case_ids(spark, sf):
-    return sampling.case_ids(X.table(spark, sf, "customer").select(F.col("c_custkey").alias("source_key")))
+    return sampling.case_ids(X.table(spark, sf, "customer").select(F.sha2("c_name", 256).alias("source_key")))
 
 
 _WHITE = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
