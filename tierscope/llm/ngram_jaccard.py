@@ -159,7 +159,7 @@ def _prefix(s: np.ndarray, last: np.ndarray) -> np.ndarray:
     size = n - -(-PERCENT * n // 100) + 1 if n else 0
     if not len(last):
         return s[:size]
-    late = np.isin(s, last)
+    late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
     return np.concatenate([s[~late], s[late]])[:size]
 
 
