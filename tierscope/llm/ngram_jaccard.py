@@ -9,10 +9,12 @@ common bits, sizes and hash collisions inside a set, is below the least overlap
 2. Classes that share their smallest shingle hash form blocks. A large block is dealt out in tiles of bounded
    size, each with a copy of the first tile, and each tile is joined with itself by its tree. Links found join
    classes into components, which takes in copies of all group sizes with few links sent on.
-3. A linked pair has a shingle in common among the first n - ceil(0.85 n) + 1 of both sets in any fixed order,
-   so only shingles whose such holders lie in different components can hide another link. The order puts
-   shingles with many holders last (a list of bounded length, over all documents). The holders that are left
-   are joined by trees for each shingle, large groups as pairs of tiles, and what passes is compared in full.
+3. With s = n - ceil(0.85 n) + 1, a linked pair has m shingles in common among the first s + m - 1 of both sets
+   in any fixed order. For m about s / 3, a class goes on only if so many of its first shingles are held by
+   other components as well; passages that texts merely share don't come near that.
+4. Of the classes left, pairs of different components with a shingle in common among the first s are joined by
+   trees for each shingle, large groups as pairs of tiles, and what passes is compared in full. Here the order
+   puts the shingles with most holders last (a list of bounded length).
 
 Null texts, and texts without words, have an empty set and link with nothing. Rows that share id and text
 are alike; an id must be an integer. Rows that share an id and differ in text are each judged by their text.
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, blocks, components, join_checked, mix, shingles_of, signed, stored, texts_in, words_of
@@ -216,70 +218,133 @@ def block_links(rows: DataFrame, classes: DataFrame, k: int = SHINGLE) -> DataFr
     return dealt.mapInPandas(run, "a long, b long")
 
 
-def first_shingles(rows: DataFrame, last: np.ndarray, k: int = SHINGLE) -> DataFrame:
-    """(shingle, set_) for the first shingles of each row's set."""
+def _least_shared(size: int) -> int:
+    """How many shingles a linked pair must share among the first size + this - 1 of both, for size as in _prefix."""
+    return 1 + size // 3
+
+
+def may_have_more(rows: DataFrame, classes: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(set_, id_, n) of the classes that can be in a link between components.
+
+    rows: (id_, text_, known_, root_, skip_), the class that is known by the id, its component where it has
+    others, and whether another row stands for the class. Among its first shingles a class needs as many that other components hold too. A
+    shingle that a block of texts holds in several components is known to be shared at once, so it sends on one
+    row for the block, however many texts hold it.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in blocks(frames, "text_"):
             sets = shingle_sets(texts_in(frame, "text_"), k)
-            own = [_prefix(s, last) for s in sets]
-            yield pd.DataFrame({"shingle": signed(np.concatenate([*own, np.zeros(0, np.uint64)])), "set_": np.repeat(np.array([_class_of(s) for s in sets], np.int64), [len(p) for p in own])})
+            name = np.array([_class_of(s) for s in sets], np.int64)
+            # An id can stand for several texts; what is known is of one of them.
+            known_of = np.array([c is not None and c == c and int(c) == n for c, n in zip(frame["known_"], name, strict=True)], bool)
+            root = np.array([int(r) if ok and r is not None and r == r else n for r, ok, n in zip(frame["root_"], known_of, name, strict=True)], np.int64)
+            keep = np.flatnonzero(~(known_of & frame["skip_"].to_numpy(bool)))
+            sets, name, root = [sets[i] for i in keep], name[keep], root[keep]
+            firsts = []
+            for s in sets:
+                size = len(s) - -(-PERCENT * len(s) // 100) + 1 if len(s) else 0
+                firsts.append(s[: size + _least_shared(size) - 1 if size else 0])
+            token = np.concatenate([*firsts, np.zeros(0, np.uint64)])
+            doc = np.repeat(np.arange(len(sets)), [len(f) for f in firsts])
+            if not len(token):
+                continue
+            order = np.argsort(token, kind="stable")
+            token, doc = token[order], doc[order]
+            head = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            lo, hi = np.minimum.reduceat(root[doc], head), np.maximum.reduceat(root[doc], head)
+            size = np.diff(np.append(head, len(token)))
+            shared = np.repeat(lo < hi, size)
+            known = np.bincount(doc[shared], minlength=len(sets))
+            some, both = np.flatnonzero(known), lo < hi
+            # What is known already travels under a shingle of its own that counts as shared.
+            own = mix(name[some].view(np.uint64) ^ token[0], 99)
+            yield pd.DataFrame({
+                "shingle": signed(np.concatenate([token[~shared], token[head[both]], own])),
+                "lo": np.concatenate([root[doc[~shared]], lo[both], np.zeros(len(some), np.int64)]),
+                "hi": np.concatenate([root[doc[~shared]], hi[both], np.ones(len(some), np.int64)]),
+                "set_": np.concatenate([name[doc[~shared]], np.zeros(both.sum(), np.int64), name[some]]),
+                "w": np.concatenate([np.ones((~shared).sum(), np.int32), np.zeros(both.sum(), np.int32), known[some].astype(np.int32)]),
+            })
+
+    sent = rows.mapInPandas(run, "shingle long, lo long, hi long, set_ long, w int")
+    by = Window.partitionBy("shingle")
+    marked = sent.withColumns({"least": F.min("lo").over(by), "most": F.max("hi").over(by)})
+    counts = marked.where("w > 0 AND least < most").groupBy("set_").agg(F.sum("w").alias("w"))
+    size = F.expr(f"n - ({PERCENT} * n + 99) div 100 + 1")
+    return classes.join(counts, "set_").withColumn("size", size).where(F.col("w") >= F.expr("1 + size div 3")).select("set_", "id_", "n")
+
+
+def first_shingles(sets: DataFrame, last: np.ndarray) -> DataFrame:
+    """(shingle, set_, root) for the first shingles of each stored set."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            own = [_prefix(np.frombuffer(s, np.uint64), last) for s in frame["shingles"]]
+            size = [len(p) for p in own]
+            yield pd.DataFrame({"shingle": signed(np.concatenate([*own, np.zeros(0, np.uint64)])), "set_": np.repeat(frame["set_"].to_numpy(), size), "root": np.repeat(frame["root"].to_numpy(), size)})
 
-    return rows.mapInPandas(run, "shingle long, set_ long")
+    return sets.select("set_", "root", "shingles").mapInPandas(run, "shingle long, set_ long, root long")
 
 
-def _between(rows: DataFrame, joined: DataFrame, last: np.ndarray, k: int) -> DataFrame:
+def _between(sets: DataFrame, last: np.ndarray) -> DataFrame:
     """(shingle, c): first shingles held in more than one component, with the number of their holders."""
-    held = join_checked(first_shingles(rows, last, k), joined, "set_", "left").withColumn("root", F.coalesce("root", "set_"))
-    return held.groupBy("shingle").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle", "c")
+    held = first_shingles(sets, last).groupBy("shingle").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    return held.where("lo < hi").select("shingle", "c")
 
 
-def other_links(rows: DataFrame, classes: DataFrame, joined: DataFrame, k: int = SHINGLE) -> DataFrame:
+def other_links(rows: DataFrame, described: DataFrame, classes: DataFrame, joined: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(a, b): all links between classes of different components. joined: (set_, root), stored."""
-    often = _between(rows, joined, np.zeros(0, np.uint64), k).orderBy(F.desc("c"), "shingle").limit(FREQUENT).select("shingle").toPandas()
-    last = np.sort(often["shingle"].to_numpy(np.int64).view(np.uint64))
-    shared = stored(_between(rows, joined, last, k), "jaccard-shared")
-    held = join_checked(first_shingles(rows, last, k), shared, "shingle").distinct()
-    held = stored(join_checked(held, joined, "set_", "left").withColumn("root", F.coalesce("root", "set_")), "jaccard-held")
-    ids = stored(classes.join(held.select("set_").distinct(), "set_").select("id_", "set_"), "jaccard-ids")
+    named = classes.select("set_", F.col("id_").alias("first_"), "copies").join(joined, "set_", "left").where("copies > 1 OR root IS NOT NULL")
+    known = stored(described.select("id_", "set_").join(named, "set_").select("id_", F.col("set_").cast("string").alias("known_"), F.col("root").cast("string").alias("root_"), (F.col("id_") != F.col("first_")).alias("skip_")).distinct(), "jaccard-known")
+    told = join_checked(rows, known, "id_", "left").withColumn("skip_", F.coalesce("skip_", F.lit(False)))
+    left = stored(join_checked(may_have_more(told, classes, k), joined, "set_", "left").withColumn("root", F.coalesce("root", "set_")), "jaccard-left")
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in blocks(frames, "text_"):
             sets = shingle_sets(texts_in(frame, "text_"), k)
             ok = [i for i, (s, c) in enumerate(zip(sets, frame["set_"], strict=True)) if _class_of(s) == c]
-            yield pd.DataFrame({"set_": frame["set_"].to_numpy()[ok], "n": [len(sets[i]) for i in ok], "bits": [signature(sets[i]).tobytes() for i in ok], "shingles": [sets[i].tobytes() for i in ok]})
+            yield pd.DataFrame({"set_": frame["set_"].to_numpy()[ok], "root": frame["root"].to_numpy()[ok], "n": [len(sets[i]) for i in ok], "bits": [signature(sets[i]).tobytes() for i in ok], "shingles": [sets[i].tobytes() for i in ok]})
 
-    sets = stored(join_checked(rows, ids, "id_").mapInPandas(whole, "set_ long, n long, bits binary, shingles binary").dropDuplicates(["set_"]), "jaccard-sets")
-    tiles = F.ceil(F.col("c") / TILE)
-    dealt = held.join(sets.select("set_", "n", "bits"), "set_").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("set_"), F.col("tiles")))
+    # An id seen with several texts can give a set twice; where a set occurs twice below, its pairs do, and no more.
+    sets = stored(join_checked(rows, left.select("set_", "id_", "root"), "id_").mapInPandas(whole, "set_ long, root long, n long, bits binary, shingles binary"), "jaccard-sets")
+    often = _between(sets, np.zeros(0, np.uint64)).orderBy(F.desc("c"), "shingle").limit(FREQUENT).select("shingle").toPandas()
+    last = np.sort(often["shingle"].to_numpy(np.int64).view(np.uint64))
+    shared = stored(_between(sets, last), "jaccard-shared")
+    held = join_checked(first_shingles(sets, last), shared, "shingle")
+    dealt = held.withColumn("tiles", F.ceil(F.col("c") / TILE)).withColumn("tile", F.pmod(F.xxhash64("set_"), F.col("tiles")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    dealt = dealt.select("shingle", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "tile", "set_", "root", "n", "bits")
-    dealt = dealt.repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y", "n")
+    dealt = dealt.select("shingle", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "tile", "set_", "root")
+    dealt = dealt.join(sets.select("set_", "n", "bits"), "set_").repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y", "n")
 
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _groups(frames, ["shingle", "x", "y"]):
             found = []
-            for (_, x, y), group in batch.groupby(["shingle", "x", "y"], sort=False):
-                parts = [group] if x == y else [group[group["tile"] == x], group[group["tile"] == y]]
-                if group["root"].nunique() < 2 or not all(map(len, parts)):
+            keys = batch[["shingle", "x", "y"]].to_numpy()
+            head = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+            name, root, tile, n = (batch[c].to_numpy() for c in ("set_", "root", "tile", "n"))
+            bits = np.frombuffer(b"".join(batch["bits"]), np.uint64).reshape(len(batch), -1)
+            for a, b in zip(head, np.append(head[1:], len(batch)), strict=True):
+                at = np.arange(a, b)
+                parts = [at] if keys[a, 1] == keys[a, 2] else [at[tile[at] == keys[a, 1]], at[tile[at] == keys[a, 2]]]
+                if (root[at] == root[a]).all() or not all(map(len, parts)):
                     continue
-                trees = [SignatureTree(np.stack([np.frombuffer(b, np.uint64) for b in p["bits"]]), p["n"].to_numpy()) for p in parts]
-                i, j, _ = walk(*trees)
-                (sa, ra), (sb, rb) = ((p["set_"].to_numpy(), p["root"].to_numpy()) for p in (parts[0], parts[-1]))
-                apart = ra[i] != rb[j]
-                a, b = sa[i[apart]], sb[j[apart]]
-                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+                i, j, _ = walk(*(SignatureTree(bits[p], n[p]) for p in parts))
+                i, j = parts[0][i], parts[-1][j]
+                apart = root[i] != root[j]
+                p, q = name[i[apart]], name[j[apart]]
+                found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
             yield pd.DataFrame(np.unique(np.concatenate([*found, np.zeros((0, 2), np.int64)]), axis=0), columns=["a", "b"])
 
-    maybe = dealt.mapInPandas(pairs, "a long, b long").distinct()
-    left, right = (sets.select(F.col("set_").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab")
+    maybe = stored(dealt.mapInPandas(pairs, "a long, b long").distinct(), "jaccard-maybe")
+    left_set, right_set = (sets.select(F.col("set_").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(frame["s_a"], frame["s_b"], strict=True)]
             yield frame.loc[np.array(ok, bool), ["a", "b"]]
 
-    return maybe.join(left, "a").join(right, "b").mapInPandas(compare, "a long, b long")
+    return maybe.join(left_set, "a").join(right_set, "b").mapInPandas(compare, "a long, b long").distinct()
 
 
 def group_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
@@ -289,7 +354,7 @@ def group_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = stored(described.where("n > 0").groupBy("set_", "n", "least_").agg(F.min("id_").alias("id_"), F.count("*").alias("copies")), "jaccard-classes")
     links = stored(block_links(rows, classes, k), "jaccard-links")
     joined = stored(components(links).select(F.col("node").alias("set_"), "root"), "jaccard-joined")
-    more = stored(other_links(rows, classes, joined, k), "jaccard-more")
+    more = stored(other_links(rows, described, classes, joined, k), "jaccard-more")
     if more.limit(1).count():
         joined = stored(components(links.unionByName(more)).select(F.col("node").alias("set_"), "root"), "jaccard-all")
     # Only classes with copies or links need more than their own id.
@@ -298,3 +363,17 @@ def group_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = stored(named.join(first, "root").select("set_", "component_"), "jaccard-names")
     out = join_checked(described, names, "set_", "left")
     return out.select(F.col("id_").cast(df.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_", "id_").alias("component_id"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) >= 4),
+k AS (SELECT doc_id, string_agg(x, ' ') OVER ahead AS key, count(*) OVER ahead AS n FROM p WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+s AS (SELECT DISTINCT doc_id, key FROM k WHERE n = 4 UNION SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 3),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.key = b.key AND a.doc_id < b.doc_id GROUP BY 1, 2),
+one_way AS (SELECT x, y FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+links AS (SELECT x, y FROM one_way UNION ALL SELECT y, x FROM one_way),
+reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.y) AS component_id FROM d JOIN reach r ON r.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
