@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, lang_id, license_digest, substring_dedup
+from . import embedding_dedup, lang_id, license_digest, ngram_jaccard, substring_dedup
 from .bm25_decontam import find_leaks
 from .byte_bpe import encode_digests
 from .common import held_out, read
@@ -32,7 +32,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_digest.scan_licenses(read(spark, sf_dir, "documents"))
+    return license_digest.scan_licenses(read(spark, sf_dir, "documents", even=False))
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +64,9 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_quality_qda, op2_secret_scan, op3_substring_dedup, op4_license_digest, op5_lm_score, op6_embedding_dedup, op7_lang_id, op8_byte_bpe, op9_bm25_decontam, op10_ngram_jaccard)}
 
 #: DuckDB SQL by query; a query without one is tested against a brute-force version in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op3_substring_dedup": substring_dedup.ORACLE_SQL, "op4_license_digest": license_digest.oracle_sql(), "op6_embedding_dedup": embedding_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op4_license_digest": license_digest.oracle_sql(),
+    "op6_embedding_dedup": embedding_dedup.ORACLE_SQL,
+    "op10_ngram_jaccard": ngram_jaccard.ORACLE_SQL,
+}
