@@ -299,3 +299,13 @@ def test_export(spark):
     naked = m.withColumn("denominator", F.lit(None).cast("double"))
     assert rows(export.unaccounted(naked.union(naked)), "problem") == [("number without accounting",), ("number without accounting",), ("repeated key",)]
     assert spark.range(1).select(export.value_name(F.lit("a.b"), {"a.b": "Fixed"}).alias("n")).first()["n"] == "Fixed"
+
+
+def test_published_policy_hash():
+    """The frozen routing candidates hash to the published value: 8 of 8 correct below an anomaly limit of 0.05, else 7."""
+    names = ("minimumTextLayerCoverage", "maximumFullPageImageRatio", "maximumEncodingAnomalyRatio")
+    ordered = [(c, i, a, n) for n, limits in ((8, (0.01, 0.02)), (7, (0.05,))) for c in (0.75, 0.5, 0.25) for i in (0.25, 0.5, 0.75) for a in limits]
+    candidates = [{"thresholds": dict(zip(names, r[:3], strict=True)), "correct": r[3], "denominator": 8} for r in ordered]
+    cases = ["F129", "F047", "F155", "F120", "F085", "F015", "F318", "F279"]
+    assert len(candidates) == 27
+    assert calibration.routing_policy_hash(candidates[0]["thresholds"], cases, candidates) == "c1f14b50218c6ccb242af166ad660ea1bcb9af64e8b9f86d0c9c30985e9976fb"
