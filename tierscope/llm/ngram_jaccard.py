@@ -6,14 +6,15 @@ together, and a pair of nodes is left out when the largest overlap that any of t
 common bits, sizes and hash collisions inside a set, is below the least overlap that a link needs.
 
 1. Equal sets are one class from here on, whatever their number.
-2. Classes that share their smallest shingle hash form blocks. A large block is dealt out in tiles of bounded
+2. Classes that share their smallest shingle in one of a few hash orders form blocks. A large block is dealt out in tiles of bounded
    size, each with a copy of the first tile, and each tile is joined with itself by its tree. Links found join
    classes into components, which takes in copies of all group sizes with few links sent on.
 3. With s = n - ceil(0.85 n) + 1, a linked pair has m shingles in common among the first s + m - 1 of both sets
    in any fixed order. For m about s / 3, a class goes on only if so many of its first shingles are held by
    other components as well; passages that texts merely share don't come near that.
 4. Of the classes left, pairs of different components with a shingle in common among the first s are joined by
-   trees for each shingle, large groups as pairs of tiles, and what passes is compared in full. Here the order
+   trees for each shingle, large groups as pairs of tiles, and what passes is compared in full: first the most
+   promising pair of each two components, then, between those that are still apart, every pair. Here the order
    puts the shingles with most holders last (a list of bounded length).
 
 Null texts, and texts without words, have an empty set and link with nothing. Rows that share id and text
@@ -39,6 +40,8 @@ PERCENT = 85
 SIGNATURE_WORDS, TILE, FAN = 32, 256, 8
 #: Shingles at most that the order puts last.
 FREQUENT = 65_536
+#: Orders whose smallest shingle makes blocks.
+ORDERS = 3
 
 
 def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -182,18 +185,19 @@ def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Data
 
 
 def describe(rows: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(id_, n, set_, least_) of each row of (id_, text_): size and hash of its set, smallest shingle."""
+    """(id_, n, set_, least_) of each row of (id_, text_): size and hash of its set, its smallest shingle in each order."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in blocks(frames, "text_"):
             sets = shingle_sets(texts_in(frame, "text_"), k)
-            yield pd.DataFrame({"id_": frame["id_"], "n": [len(s) for s in sets], "set_": [_class_of(s) for s in sets], "least_": signed(np.array([s[0] if len(s) else 0 for s in sets], np.uint64))})
+            yield pd.DataFrame({"id_": frame["id_"], "n": [len(s) for s in sets], "set_": [_class_of(s) for s in sets], "least_": [signed(np.array([mix(s, salt).min() if len(s) else 0 for salt in range(ORDERS)], np.uint64)) for s in sets]})
 
-    return rows.mapInPandas(run, "id_ long, n long, set_ long, least_ long")
+    return rows.mapInPandas(run, "id_ long, n long, set_ long, least_ array<long>")
 
 
 def block_links(rows: DataFrame, classes: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(a, b): links between classes whose smallest shingle is the same, as many as join their components."""
+    """(a, b): links between classes whose smallest shingle in an order is the same, as many as join their components."""
+    classes = classes.select("id_", "set_", F.posexplode("least_").alias("order_", "least_")).withColumn("least_", F.xxhash64("order_", "least_"))
     sizes = classes.groupBy("least_").agg(F.count("*").alias("c")).where("c > 1")
     chosen = classes.join(sizes, "least_").withColumn("tiles", F.ceil(F.col("c") / TILE)).withColumn("tile", F.pmod(F.xxhash64("set_"), F.col("tiles")))
     chosen = stored(chosen.select("id_", "set_", "least_", "tiles", "tile"), "jaccard-blocks")
@@ -308,6 +312,17 @@ def other_links(rows: DataFrame, described: DataFrame, classes: DataFrame, joine
 
     # An id seen with several texts can give a set twice; where a set occurs twice below, its pairs do, and no more.
     sets = stored(join_checked(rows, left.select("set_", "id_", "root"), "id_").mapInPandas(whole, "set_ long, root long, n long, bits binary, shingles binary"), "jaccard-sets")
+    first = stored(_compared(sets, _candidates(sets, best=True)), "jaccard-first")
+    ends = sets.select("set_", "root").distinct()
+    roots = first.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select("x", "y")
+    merged = stored(components(roots, "x", "y").toDF("root", "into"), "jaccard-merged")
+    rest = join_checked(sets, merged, "root", "left").withColumn("root", F.coalesce("into", "root")).drop("into")
+    return first.unionByName(_compared(sets, _candidates(rest, best=False)))
+
+
+def _candidates(sets: DataFrame, best: bool) -> DataFrame:
+    """(a, b): pairs of classes of different components that may link by their signatures and have a first shingle
+    in common. best: of each two components that a shingle brings together only the pair that may overlap most."""
     often = _between(sets, np.zeros(0, np.uint64)).orderBy(F.desc("c"), "shingle").limit(FREQUENT).select("shingle").toPandas()
     last = np.sort(often["shingle"].to_numpy(np.int64).view(np.uint64))
     shared = stored(_between(sets, last), "jaccard-shared")
@@ -332,19 +347,27 @@ def other_links(rows: DataFrame, described: DataFrame, classes: DataFrame, joine
                 i, j, _ = walk(*(SignatureTree(bits[p], n[p]) for p in parts))
                 i, j = parts[0][i], parts[-1][j]
                 apart = root[i] != root[j]
-                p, q = name[i[apart]], name[j[apart]]
-                found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
+                i, j = i[apart], j[apart]
+                if best and len(i):  # the pairs come most overlapping first
+                    ends = np.stack([np.minimum(root[i], root[j]), np.maximum(root[i], root[j])], 1)
+                    one = np.unique(ends, axis=0, return_index=True)[1]
+                    i, j = i[one], j[one]
+                found.append(np.stack([np.minimum(name[i], name[j]), np.maximum(name[i], name[j])], 1))
             yield pd.DataFrame(np.unique(np.concatenate([*found, np.zeros((0, 2), np.int64)]), axis=0), columns=["a", "b"])
 
-    maybe = stored(dealt.mapInPandas(pairs, "a long, b long").distinct(), "jaccard-maybe")
-    left_set, right_set = (sets.select(F.col("set_").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab")
+    return stored(dealt.mapInPandas(pairs, "a long, b long").distinct(), "jaccard-maybe")
+
+
+def _compared(sets: DataFrame, maybe: DataFrame) -> DataFrame:
+    """The pairs that link, by their whole sets."""
+    left, right = (sets.select(F.col("set_").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(frame["s_a"], frame["s_b"], strict=True)]
             yield frame.loc[np.array(ok, bool), ["a", "b"]]
 
-    return maybe.join(left_set, "a").join(right_set, "b").mapInPandas(compare, "a long, b long").distinct()
+    return maybe.join(left, "a").join(right, "b").mapInPandas(compare, "a long, b long").distinct()
 
 
 def group_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
