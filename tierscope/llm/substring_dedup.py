@@ -29,7 +29,7 @@ from .common import Words, blocks, join_checked, mix, signed, stored, texts_in,
 
 WINDOW, MINIMISER = 20, 3
 #: Characters of text for each bucket, and in each block.
-BUCKET_CHARS, BLOCK_CHARS = 8 << 20, 2 << 20
+BUCKET_CHARS, BLOCK_CHARS = 4 << 20, 1 << 20
 _PLACE_BITS = 24
 _MOST = np.uint64(2**64 - 1)
 
@@ -160,8 +160,16 @@ def repeats(packed: list[tuple[bytes, bytes]], window: int = WINDOW) -> pd.DataF
     return pd.DataFrame({"doc": doc[first], "start": start[first], "end": start[last] + window})
 
 
+def _merge(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges that touch or overlap as one."""
+    order = np.argsort(start)
+    start, end = start[order], np.maximum.accumulate(end[order])
+    first = np.append(True, start[1:] > end[:-1])
+    return start[first], end[np.append(first[1:], True)]
+
+
 def repeated_ranges(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, m: int = MINIMISER) -> DataFrame:
-    """(doc, ranges): by id, the word ranges to remove, as a list of (start, end) that may overlap."""
+    """(doc, starts, ends): by id, the word ranges to remove, apart from one another and in order."""
     rows = df.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).alias("text_"))
     chars = rows.agg(F.sum(F.length("text_"))).first()[0] or 0
     n_buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / BUCKET_CHARS))
@@ -186,7 +194,14 @@ def repeated_ranges(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return repeats(list(zip(bucket["numbers"], bucket["words"], strict=True)), window)
 
     found = rows.where("id_ IS NOT NULL").mapInPandas(packed, "bucket long, numbers binary, words binary").groupBy("bucket").applyInPandas(sorted_, "doc long, start long, end long")
-    return stored(found.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "repeats")
+
+    def merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [_merge(np.asarray(a), np.asarray(b)) for a, b in zip(frame["starts"], frame["ends"], strict=True)]
+            yield pd.DataFrame({"doc": frame["doc"], "starts": [a for a, _ in out], "ends": [b for _, b in out]})
+
+    gathered = found.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    return stored(gathered.mapInPandas(merged, "doc long, starts array<long>, ends array<long>"), "repeats")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, m: int = MINIMISER) -> DataFrame:
@@ -194,7 +209,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = df.schema[id_col].dataType.simpleString()
     ranges = repeated_ranges(df, id_col, text_col, window, m)
     rows = df.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"), F.col(id_col).cast("long").alias("doc"))
-    rows = join_checked(rows, ranges, "doc", "left").select("id_", "text_", F.col("ranges.start").alias("starts_"), F.col("ranges.end").alias("ends_"))
+    rows = join_checked(rows, ranges, "doc", "left").select("id_", "text_", F.col("starts").alias("starts_"), F.col("ends").alias("ends_"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in blocks(frames, "text_"):
@@ -222,12 +237,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d),
-ranked AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(w[s:s + 19], ' ') ORDER BY doc_id, s) AS r FROM starts),
-gone AS (SELECT DISTINCT doc_id, s + k AS i FROM ranked, range(0, 20) AS o(k) WHERE r > 1),
-places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
-kept AS (SELECT p.doc_id, count(g.i) AS n_removed, coalesce(string_agg(p.w[p.i], ' ' ORDER BY p.i) FILTER (WHERE g.i IS NULL), '') AS t
-  FROM places p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i GROUP BY 1)
-SELECT d.doc_id, len(d.w) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
-FROM d LEFT JOIN kept k USING (doc_id)
+p AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT doc_id, i, string_agg(x, ' ') OVER ahead AS key, count(*) OVER ahead AS n FROM p WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+later AS (SELECT doc_id, i FROM k WHERE n = 20 QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, i) > 1),
+m AS (SELECT p.doc_id, p.i, p.x, coalesce(max(CASE WHEN l.i IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) AS gone FROM p LEFT JOIN later l ON l.doc_id = p.doc_id AND l.i = p.i),
+kept AS (SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (WHERE gone = 0), '') AS t FROM m GROUP BY 1)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
 """
