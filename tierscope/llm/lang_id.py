@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import load_ranks
 from .common import _power_tables, _BYTE, blocks, held_out, join_checked, mix, stored, texts_in, words_of
 
-#: Training documents for each language at most: those whose hashed ids come first.
+#: Training documents for each language at most: those whose hashed ids come first, among the first few times as many.
 TRAIN_DOCS = 400
 #: Distinct words for each language at most that expectation maximisation runs over, the most frequent ones.
 TRAIN_WORDS = 60_000
@@ -187,8 +187,11 @@ def train(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     """Learn from the rows that aren't held out, of train_docs documents and train_words distinct words by
     language at most."""
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id_"), F.col(lang_col).cast("string").alias("lang_"), F.col(text_col).alias("text_"))
-    ids = rows.select("id_", "lang_").distinct()
-    chosen = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang_").orderBy(F.xxhash64("id_"), "id_"))).where(F.col("n") <= train_docs)
+    ids = rows.select("id_", "lang_", F.pmod(F.xxhash64("id_"), F.lit(1 << 40)).alias("place")).distinct()
+    # Hashed places are even, so a few times as many ids as wanted lie below this bound, whatever the language's size.
+    sizes = stored(ids.groupBy("lang_").agg(F.count("*").alias("size")), "lang-sizes")
+    first = join_checked(ids, sizes, "lang_").where(F.col("place") < (1 << 40) * F.lit(4.0 * train_docs) / F.col("size"))
+    chosen = first.withColumn("n", F.row_number().over(Window.partitionBy("lang_").orderBy("place", "id_"))).where(F.col("n") <= train_docs)
     sample = join_checked(rows, stored(chosen.select("id_", "lang_"), "lang-sample"), ["id_", "lang_"])
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
