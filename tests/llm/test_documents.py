@@ -377,3 +377,47 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: find(n) for a, b in edges if a != b for n in (a, b)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- whole jobs ---------------------------------------------------------------------------------------
+
+def brute_losses(texts, target, least=2):
+    """Interpolated bigram losses by text, counts made one by one; rare words by length, digit, symbol and script."""
+    def rare(w):
+        raw = w.encode()
+        return (sum(len(raw) > n for n in (4, 8, 14)), any(48 <= b <= 57 for b in raw), any(32 < b < 127 and not chr(b).isalnum() and chr(b) not in ".,;:!?'" for b in raw), any(b > 127 for b in raw))
+
+    split = [[w.lower() for w in words(t)] for t in texts]
+    seen = Counter(w for t in split for w in t)
+    split = [[w if seen[w] >= least else rare(w) for w in t] for t in split]
+    n_ids = sum(c >= least for c in seen.values()) + 1 + 32
+    out = []
+    for part in ([t for i, t in enumerate(split) if i in target], split):
+        pairs = Counter(p for t in part for p in zip([None, *t], t, strict=False))
+        later, earlier = Counter(), Counter()
+        for (x, y), n in pairs.items():
+            earlier[x] += n
+            later[y] += n
+        total = sum(later.values()) + n_ids
+
+        def loss(x, y):
+            c = earlier[x]
+            return -np.log((pairs[x, y] + 20 * (later[y] + 1) / total) / (c + 20))
+
+        out.append([np.mean([loss(x, y) for x, y in zip([None, *t], t, strict=False)]) if t else 0.0 for t in split])
+    return out
+
+
+def test_lm_vocabulary_follows_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK", 4000)
+    monkeypatch.setattr(lm_score, "BUCKET", 3000)
+    rng = random.Random(31)
+    topic = [[f"{c}{rng.randrange(10**5):05d}" for _ in range(3000)] for c in "ab"]
+    texts = [" ".join(rng.choices(topic[i % 2], k=rng.randrange(50, 150))) for i in range(200)] + ["", "Ab1 é! " * 9]
+    target = set(range(0, 100, 2))
+    got = by_id(lm_score.score_by_models(docs_of(spark, texts), spark.createDataFrame([(i,) for i in target], "doc_id long")))
+    near, all_ = brute_losses(texts, target)
+    for i in range(len(texts)):
+        assert (got[i]["loss_target"], got[i]["loss_background"]) == pytest.approx((near[i], all_[i]), rel=1e-9), i
+    # Texts of the two topics have words of the same shapes; only the words themselves tell them apart.
+    assert max(got[i]["score"] for i in range(100, 200, 2)) < min(got[i]["score"] for i in range(101, 200, 2))

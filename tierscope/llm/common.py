@@ -6,6 +6,7 @@ word: about 10 ns a byte, in memory proportional to the block (BLOCK_BYTES, or o
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -183,7 +184,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def collect_garbage(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps; it follows the driver's collector."""
+    """Let Spark's cleaner drop the shuffle files of finished steps; it follows the driver's collector, and that
+    Python's, whose objects for Java's hold each other."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
