@@ -421,3 +421,18 @@ def test_lm_vocabulary_follows_the_corpus(spark, monkeypatch):
         assert (got[i]["loss_target"], got[i]["loss_background"]) == pytest.approx((near[i], all_[i]), rel=1e-9), i
     # Texts of the two topics have words of the same shapes; only the words themselves tell them apart.
     assert max(got[i]["score"] for i in range(100, 200, 2)) < min(got[i]["score"] for i in range(101, 200, 2))
+
+
+def test_long_items_are_found(spark):
+    rng = random.Random(32)
+    sizes = [100, 150, 200, 250, 400, 700, 1000]
+    items = [(i, sentence(rng, n - 6, 20000) + ". " + sentence(rng, 6, 20000) + ".") for i, n in enumerate(sizes)] + [(50 + i, sentence(rng, rng.randrange(15, 60), 20000)) for i in range(20)]
+    texts, planted = [], set()
+    for i in range(len(sizes)):
+        for at in (0, 7, 40):
+            planted.add((len(texts), i))
+            texts.append(f"{sentence(rng, at, 20000)} {items[i][1]} {sentence(rng, 90, 20000)}")
+    # Less than OVERLAP of an item is no leak, whatever piece is found.
+    texts += [" ".join(items[i][1].split()[: n // 2]) for i, n in enumerate(sizes)] + [sentence(rng, 500, 20000) for _ in range(10)]
+    got = {(r["doc_id"], r["item_id"]) for r in bm.find_leaks(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == planted

@@ -1,14 +1,16 @@
 """Benchmark decontamination: block-max WAND over a BM25 index of test items, then question and answer overlap.
 
 The test items are the indexed side, and every passage of every document is a query. Impacts are BM25 scores
-divided by the item's own score, so one threshold fits short and long items. Posting lists lie in blocks of
+divided by the item's own score, so one threshold fits short and long items. An item of more
+than PASSAGE words, of which a passage holds too small a share, is indexed as pieces of at most PIECE words, each
+with its own score: a copy of a piece lies whole in some passage. A find of a piece is verified on the whole item. Posting lists lie in blocks of
 items that keep each term's largest impact. All pivot tests of a block of passages are taken at once with
 numpy: the sum of the terms' list maxima must reach the threshold, then the sum of their block maxima for an
 item block, and only then are the items of that block scored in full. Both are upper bounds, so every passage
 and item above the threshold is found. A find is verified on words: at least OVERLAP of the item's runs of
 five words stand near the passage, and both its question and its answer are covered.
 
-The index is made in shards of SHARD_ITEMS items whose size is bounded; documents are read once. Null texts
+The index is made in shards of SHARD_ITEMS items or pieces whose size is bounded; documents are read once. Null texts
 count as empty and match nothing; items without words are left out; repeated items and rows repeat finds.
 """
 
@@ -27,6 +29,8 @@ from .common import NON_WORD, Words, blocks, join_checked, stored, texts_in, wor
 
 #: Words in a passage, and from one passage's begin to the next one's.
 PASSAGE, STRIDE = 64, 32
+#: Most words of a piece of a longer item: a run of so many words lies within a passage, wherever it begins.
+PIECE = PASSAGE - STRIDE
 #: Least BM25 score of a find, as a share of the item's own score.
 THRESHOLD = 0.4
 #: Words in a run, and the share of an item's runs that make it a leak.
@@ -46,11 +50,19 @@ class Item:
     runs: np.ndarray
 
 
+@dataclass
+class Piece:
+    """What is indexed: an item's words, or a run of them."""
+
+    item: Item
+    words: np.ndarray
+
+
 @dataclass
 class Shard:
-    """An index of some items: sorted term hashes; impacts by term and item, term and block, term."""
+    """An index of some pieces: sorted term hashes; impacts by term and item, term and block, term."""
 
-    items: list[Item]
+    items: list[Piece]
     terms: np.ndarray
     impact: np.ndarray
     block_max: np.ndarray
@@ -91,15 +103,22 @@ def build_items(rows: list[tuple[object, str | None]]) -> list[Item]:
     return items
 
 
+def pieces_of(item: Item) -> list[Piece]:
+    """The whole item where two passages that follow each other hold it, so that one has half of its score; else pieces of like size."""
+    n = len(item.words)
+    return [Piece(item, part) for part in np.array_split(item.words, 1 if n <= PASSAGE else -(-n // PIECE))]
+
+
 def build_index(items: list[Item], k1: float = K1, b: float = B) -> list[Shard]:
-    """Shards with term statistics over all items."""
+    """Shards of pieces; inverse document frequencies are over items."""
     if not items:
         return []
     all_terms, df = np.unique(np.concatenate([np.unique(i.words) for i in items]), return_counts=True)
     idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
-    mean = np.mean([len(i.words) for i in items])
+    pieces = [p for i in items for p in pieces_of(i)]
+    mean = np.mean([len(p.words) for p in pieces])
     shards = []
-    ordered = sorted(items, key=lambda i: len(i.words))  # alike lengths make tight block maxima
+    ordered = sorted(pieces, key=lambda i: len(i.words))  # alike lengths make tight block maxima
     for at in range(0, len(ordered), SHARD_ITEMS):
         part = ordered[at : at + SHARD_ITEMS]
         terms = np.unique(np.concatenate([i.words for i in part]))
@@ -187,7 +206,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             bounds, best = w.bounds(), {}
             for shard in shards if len(w.h) else []:
                 for first, last, i, score in search(w, shard, threshold):
-                    item, doc = shard.items[i], int(w.doc[first])
+                    item, doc = shard.items[i].item, int(w.doc[first])
                     wide = len(item.words)
                     found = verify(w.h[max(bounds[doc], first - wide) : min(bounds[doc + 1], last + wide)], item)
                     if found[0] >= OVERLAP and min(found[1:]) >= PART_OVERLAP:
