@@ -13,6 +13,9 @@ from tierscope.llm.ngram_jaccard import group_documents
 from tierscope.llm.queries import TOKENIZER
 from tierscope.llm.secret_scan import redact_secrets
 
+#: Words of a shingle and least similarity in percent of the near-duplicate stage; op10 as a query has its own.
+STAGE_SHINGLE, STAGE_PERCENT = 5, 80
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; what has no letters, or no clear language, goes."""
@@ -20,8 +23,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    gone = stored(group_documents(docs).where("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
+    """Of each group of documents linked by five-word shingles, 80 percent or more alike, the one with the smallest id stays."""
+    gone = stored(group_documents(docs, k=STAGE_SHINGLE, percent=STAGE_PERCENT).where("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
     return join_checked(docs, gone, "doc_id", "left_anti").select(docs.columns)
 
 

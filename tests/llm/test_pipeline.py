@@ -68,3 +68,39 @@ def test_queries_cover_every_document(spark, name):
     ids = sorted(r["doc_id"] for r in queries.QUERIES[name](spark, sf).select("doc_id").collect())
     assert ids == sorted(r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
     assert lang_id.TRAIN_DOCS > 0
+
+
+def test_near_duplicates_by_five_words_and_80_percent(spark, monkeypatch):
+    import random
+
+    from tierscope.llm import ngram_jaccard
+
+    from .test_documents import docs_of, edited, words
+
+    monkeypatch.setattr(ngram_jaccard, "TILE", 8)
+    rng = random.Random(22)
+    base = sentence(rng, 100, 10**6)
+    texts = [base, base + " " + sentence(rng, 20, 10**6), base + " " + sentence(rng, 30, 10**6), *ODD]
+    for _ in range(40):
+        own = sentence(rng, rng.randrange(30, 200), 5000)
+        texts += [own] + [edited(rng, own, rng.randrange(0, 6)) for _ in range(3)]
+    sets = []
+    for t in texts:
+        w = words("".join(c.lower() if c.isascii() else c for c in t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both and 100 * both >= 80 * len(a | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    want = {i for i in range(len(texts)) if find(i) == i}
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs_of(spark, texts), "").collect()}
+    assert got == want and {0, 2} <= want and 1 not in want

@@ -9,7 +9,7 @@ common bits, sizes and hash collisions inside a set, is below the least overlap
 2. Classes that share their smallest shingle in one of a few hash orders form blocks. A large block is dealt out in tiles of bounded
    size, each with a copy of the first tile, and each tile is joined with itself by its tree. Links found join
    classes into components, which takes in copies of all group sizes with few links sent on.
-3. With s = n - ceil(0.85 n) + 1, a linked pair has m shingles in common among the first s + m - 1 of both sets
+3. With s = n - ceil(p n) + 1, p being the least similarity, a linked pair has m shingles in common among the first s + m - 1 of both sets
    in any fixed order. For m about s / 3, a class goes on only if so many of its first shingles are held by
    other components as well; passages that texts merely share don't come near that.
 4. Of the classes left, pairs of different components with a shingle in common among the first s are joined by
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, blocks, components, join_checked, mix, shingles_of, signed, stored, texts_in, words_of
 
 SHINGLE = 4
-#: A pair links when 100 * intersection >= PERCENT * union.
+#: A pair links when 100 * intersection >= PERCENT * union, unless another percentage is given.
 PERCENT = 85
 #: 64-bit words of a signature; sets of a tile; children of a node.
 SIGNATURE_WORDS, TILE, FAN = 32, 256, 8
@@ -44,9 +44,9 @@ FREQUENT = 65_536
 ORDERS = 3
 
 
-def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def needed(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Least intersection with which sets of a and b shingles link."""
-    return -(-PERCENT * (a + b) // (100 + PERCENT))
+    return -(-percent * (a + b) // (100 + percent))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -77,24 +77,24 @@ class SignatureTree:
         return self.levels[min(k, len(self.levels) - 1)]
 
 
-def _may_link(a: Level, i: np.ndarray, b: Level, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _may_link(a: Level, i: np.ndarray, b: Level, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Which node pairs can hold a link, and the largest overlap of each."""
     most = np.empty(len(i), np.int64)
     for at in range(0, len(i), 16_384):
         s = slice(at, at + 16_384)
         most[s] = np.bitwise_count(a.bits[i[s]] & b.bits[j[s]]).sum(axis=1)
     most = np.minimum(most + np.minimum(a.spare[i], b.spare[j]), np.minimum(a.high[i], b.high[j]))
-    fits = (100 * a.high[i] >= PERCENT * b.low[j]) & (100 * b.high[j] >= PERCENT * a.low[i])
-    return fits & (most >= needed(a.low[i], b.low[j])), most
+    fits = (100 * a.high[i] >= percent * b.low[j]) & (100 * b.high[j] >= percent * a.low[i])
+    return fits & (most >= needed(a.low[i], b.low[j], percent)), most
 
 
-def walk(a: SignatureTree, b: SignatureTree | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def walk(a: SignatureTree, b: SignatureTree | None = None, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of sets that may link, most overlapping first, with their largest overlap; b None: a with itself."""
     own, other = b is None, a if b is None else b
     top = max(len(a.levels), len(other.levels)) - 1
     i = j = np.zeros(1, np.int64)
     for k in range(top, -1, -1):
-        ok, most = _may_link(a.level(k), i, other.level(k), j)
+        ok, most = _may_link(a.level(k), i, other.level(k), j, percent)
         i, j, most = i[ok], j[ok], most[ok]
         if k:
             wide_a, wide_b = (FAN if k < len(t.levels) else 1 for t in (a, other))
@@ -110,9 +110,9 @@ def walk(a: SignatureTree, b: SignatureTree | None = None) -> tuple[np.ndarray,
     return i[order], j[order], most[order]
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two sorted sets link."""
-    least = int(needed(np.int64(len(a)), np.int64(len(b))))
+    least = int(needed(np.int64(len(a)), np.int64(len(b)), percent))
     if min(len(a), len(b)) < least:
         return False
     if len(a) > len(b):
@@ -122,7 +122,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return int((b[at] == a).sum()) >= least
 
 
-def join_sets(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def join_sets(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links enough to join the components of the sets: each pair that may link is compared unless both ends
     are together already."""
     if len(sets) < 2:
@@ -138,9 +138,9 @@ def join_sets(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         return x
 
     found = []
-    for i, j, _ in zip(*(x.tolist() for x in walk(tree)), strict=True):
+    for i, j, _ in zip(*(x.tolist() for x in walk(tree, percent=percent)), strict=True):
         p, q = find(i), find(j)
-        if p != q and linked(sets[order[i]], sets[order[j]]):
+        if p != q and linked(sets[order[i]], sets[order[j]], percent):
             root[q] = p
             found.append((order[i], order[j]))
     return found
@@ -158,10 +158,10 @@ def _class_of(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s, 11).sum() + np.uint64(len(s))], np.uint64), 3).view(np.int64)[0]) if len(s) else 0
 
 
-def _prefix(s: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The first n - ceil(n * PERCENT / 100) + 1 of a set, by hash, those in last behind all others."""
+def _prefix(s: np.ndarray, last: np.ndarray, percent: int) -> np.ndarray:
+    """The first n - ceil(n * percent / 100) + 1 of a set, by hash, those in last behind all others."""
     n = len(s)
-    size = n - -(-PERCENT * n // 100) + 1 if n else 0
+    size = n - -(-percent * n // 100) + 1 if n else 0
     if not len(last):
         return s[:size]
     late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
@@ -195,7 +195,7 @@ def describe(rows: DataFrame, k: int = SHINGLE) -> DataFrame:
     return rows.mapInPandas(run, "id_ long, n long, set_ long, least_ array<long>")
 
 
-def block_links(rows: DataFrame, classes: DataFrame, k: int = SHINGLE) -> DataFrame:
+def block_links(rows: DataFrame, classes: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(a, b): links between classes whose smallest shingle in an order is the same, as many as join their components."""
     classes = classes.select("id_", "set_", F.posexplode("least_").alias("order_", "least_")).withColumn("least_", F.xxhash64("order_", "least_"))
     sizes = classes.groupBy("least_").agg(F.count("*").alias("c")).where("c > 1")
@@ -216,7 +216,7 @@ def block_links(rows: DataFrame, classes: DataFrame, k: int = SHINGLE) -> DataFr
                         if _class_of(s) == c:
                             sets[c] = s
                 names = list(sets)
-                found += [(names[i], names[j]) for i, j in join_sets(list(sets.values()))]
+                found += [(names[i], names[j]) for i, j in join_sets(list(sets.values()), percent)]
             yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     return dealt.mapInPandas(run, "a long, b long")
@@ -227,7 +227,7 @@ def _least_shared(size: int) -> int:
     return 1 + size // 3
 
 
-def may_have_more(rows: DataFrame, classes: DataFrame, k: int = SHINGLE) -> DataFrame:
+def may_have_more(rows: DataFrame, classes: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(set_, id_, n) of the classes that can be in a link between components.
 
     rows: (id_, text_, known_, root_, skip_), the class that is known by the id, its component where it has
@@ -247,7 +247,7 @@ def may_have_more(rows: DataFrame, classes: DataFrame, k: int = SHINGLE) -> Data
             sets, name, root = [sets[i] for i in keep], name[keep], root[keep]
             firsts = []
             for s in sets:
-                size = len(s) - -(-PERCENT * len(s) // 100) + 1 if len(s) else 0
+                size = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 firsts.append(s[: size + _least_shared(size) - 1 if size else 0])
             token = np.concatenate([*firsts, np.zeros(0, np.uint64)])
             doc = np.repeat(np.arange(len(sets)), [len(f) for f in firsts])
@@ -275,34 +275,34 @@ def may_have_more(rows: DataFrame, classes: DataFrame, k: int = SHINGLE) -> Data
     by = Window.partitionBy("shingle")
     marked = sent.withColumns({"least": F.min("lo").over(by), "most": F.max("hi").over(by)})
     counts = marked.where("w > 0 AND least < most").groupBy("set_").agg(F.sum("w").alias("w"))
-    size = F.expr(f"n - ({PERCENT} * n + 99) div 100 + 1")
+    size = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
     return classes.join(counts, "set_").withColumn("size", size).where(F.col("w") >= F.expr("1 + size div 3")).select("set_", "id_", "n")
 
 
-def first_shingles(sets: DataFrame, last: np.ndarray) -> DataFrame:
+def first_shingles(sets: DataFrame, last: np.ndarray, percent: int = PERCENT) -> DataFrame:
     """(shingle, set_, root) for the first shingles of each stored set."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            own = [_prefix(np.frombuffer(s, np.uint64), last) for s in frame["shingles"]]
+            own = [_prefix(np.frombuffer(s, np.uint64), last, percent) for s in frame["shingles"]]
             size = [len(p) for p in own]
             yield pd.DataFrame({"shingle": signed(np.concatenate([*own, np.zeros(0, np.uint64)])), "set_": np.repeat(frame["set_"].to_numpy(), size), "root": np.repeat(frame["root"].to_numpy(), size)})
 
     return sets.select("set_", "root", "shingles").mapInPandas(run, "shingle long, set_ long, root long")
 
 
-def _between(sets: DataFrame, last: np.ndarray) -> DataFrame:
+def _between(sets: DataFrame, last: np.ndarray, percent: int) -> DataFrame:
     """(shingle, c): first shingles held in more than one component, with the number of their holders."""
-    held = first_shingles(sets, last).groupBy("shingle").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    held = first_shingles(sets, last, percent).groupBy("shingle").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     return held.where("lo < hi").select("shingle", "c")
 
 
-def other_links(rows: DataFrame, described: DataFrame, classes: DataFrame, joined: DataFrame, k: int = SHINGLE) -> DataFrame:
+def other_links(rows: DataFrame, described: DataFrame, classes: DataFrame, joined: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(a, b): all links between classes of different components. joined: (set_, root), stored."""
     named = classes.select("set_", F.col("id_").alias("first_"), "copies").join(joined, "set_", "left").where("copies > 1 OR root IS NOT NULL")
     known = stored(described.select("id_", "set_").join(named, "set_").select("id_", F.col("set_").cast("string").alias("known_"), F.col("root").cast("string").alias("root_"), (F.col("id_") != F.col("first_")).alias("skip_")).distinct(), "jaccard-known")
     told = join_checked(rows, known, "id_", "left").withColumn("skip_", F.coalesce("skip_", F.lit(False)))
-    left = stored(join_checked(may_have_more(told, classes, k), joined, "set_", "left").withColumn("root", F.coalesce("root", "set_")), "jaccard-left")
+    left = stored(join_checked(may_have_more(told, classes, k, percent), joined, "set_", "left").withColumn("root", F.coalesce("root", "set_")), "jaccard-left")
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in blocks(frames, "text_"):
@@ -312,21 +312,21 @@ def other_links(rows: DataFrame, described: DataFrame, classes: DataFrame, joine
 
     # An id seen with several texts can give a set twice; where a set occurs twice below, its pairs do, and no more.
     sets = stored(join_checked(rows, left.select("set_", "id_", "root"), "id_").mapInPandas(whole, "set_ long, root long, n long, bits binary, shingles binary"), "jaccard-sets")
-    first = stored(_compared(sets, _candidates(sets, best=True)), "jaccard-first")
+    first = stored(_compared(sets, _candidates(sets, True, percent), percent), "jaccard-first")
     ends = sets.select("set_", "root").distinct()
     roots = first.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select("x", "y")
     merged = stored(components(roots, "x", "y").toDF("root", "into"), "jaccard-merged")
     rest = join_checked(sets, merged, "root", "left").withColumn("root", F.coalesce("into", "root")).drop("into")
-    return first.unionByName(_compared(sets, _candidates(rest, best=False)))
+    return first.unionByName(_compared(sets, _candidates(rest, False, percent), percent))
 
 
-def _candidates(sets: DataFrame, best: bool) -> DataFrame:
+def _candidates(sets: DataFrame, best: bool, percent: int) -> DataFrame:
     """(a, b): pairs of classes of different components that may link by their signatures and have a first shingle
     in common. best: of each two components that a shingle brings together only the pair that may overlap most."""
-    often = _between(sets, np.zeros(0, np.uint64)).orderBy(F.desc("c"), "shingle").limit(FREQUENT).select("shingle").toPandas()
+    often = _between(sets, np.zeros(0, np.uint64), percent).orderBy(F.desc("c"), "shingle").limit(FREQUENT).select("shingle").toPandas()
     last = np.sort(often["shingle"].to_numpy(np.int64).view(np.uint64))
-    shared = stored(_between(sets, last), "jaccard-shared")
-    held = join_checked(first_shingles(sets, last), shared, "shingle")
+    shared = stored(_between(sets, last, percent), "jaccard-shared")
+    held = join_checked(first_shingles(sets, last, percent), shared, "shingle")
     dealt = held.withColumn("tiles", F.ceil(F.col("c") / TILE)).withColumn("tile", F.pmod(F.xxhash64("set_"), F.col("tiles")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     dealt = dealt.select("shingle", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "tile", "set_", "root")
@@ -344,7 +344,7 @@ def _candidates(sets: DataFrame, best: bool) -> DataFrame:
                 parts = [at] if keys[a, 1] == keys[a, 2] else [at[tile[at] == keys[a, 1]], at[tile[at] == keys[a, 2]]]
                 if (root[at] == root[a]).all() or not all(map(len, parts)):
                     continue
-                i, j, _ = walk(*(SignatureTree(bits[p], n[p]) for p in parts))
+                i, j, _ = walk(*(SignatureTree(bits[p], n[p]) for p in parts), percent=percent)
                 i, j = parts[0][i], parts[-1][j]
                 apart = root[i] != root[j]
                 i, j = i[apart], j[apart]
@@ -358,26 +358,26 @@ def _candidates(sets: DataFrame, best: bool) -> DataFrame:
     return stored(dealt.mapInPandas(pairs, "a long, b long").distinct(), "jaccard-maybe")
 
 
-def _compared(sets: DataFrame, maybe: DataFrame) -> DataFrame:
+def _compared(sets: DataFrame, maybe: DataFrame, percent: int) -> DataFrame:
     """The pairs that link, by their whole sets."""
     left, right = (sets.select(F.col("set_").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(frame["s_a"], frame["s_b"], strict=True)]
+            ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(frame["s_a"], frame["s_b"], strict=True)]
             yield frame.loc[np.array(ok, bool), ["a", "b"]]
 
     return maybe.join(left, "a").join(right, "b").mapInPandas(compare, "a long, b long").distinct()
 
 
-def group_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
+def group_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row: id, n_shingles, component_id, the smallest id that links reach, its own included."""
     rows = df.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).alias("text_"))
     described = stored(describe(rows, k), "jaccard-described")
     classes = stored(described.where("n > 0").groupBy("set_", "n", "least_").agg(F.min("id_").alias("id_"), F.count("*").alias("copies")), "jaccard-classes")
-    links = stored(block_links(rows, classes, k), "jaccard-links")
+    links = stored(block_links(rows, classes, k, percent), "jaccard-links")
     joined = stored(components(links).select(F.col("node").alias("set_"), "root"), "jaccard-joined")
-    more = stored(other_links(rows, described, classes, joined, k), "jaccard-more")
+    more = stored(other_links(rows, described, classes, joined, k, percent), "jaccard-more")
     if more.limit(1).count():
         joined = stored(components(links.unionByName(more)).select(F.col("node").alias("set_"), "root"), "jaccard-all")
     # Only classes with copies or links need more than their own id.
