@@ -29,7 +29,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _WEAK_ID = re.compile(r"""(?:access[_-]?key[_-]?id|client[_-]?id|account(?:[_-]?name)?|user(?:[_-]?name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A)
-_WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/=_-])")
+_WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])")
 _ENDPOINT = re.compile(r"""(?:https?|ftps?|s3|redis|amqps?|mongodb|mysql|postgres(?:ql)?|jdbc:[a-z0-9]+)://[^\s"'<>]{3,}|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]+)?""", re.I | re.A)
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
@@ -57,7 +57,11 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     identifier, an endpoint with both. Weak parts that overlap a base span are left to it."""
     weak: list[Span] = [(m.start(), 4, m.end()) for m in _WEAK_SECRET.finditer(text) if _opaque(m.group())]
     if ":" in text or "=" in text:
-        weak += [(m.start(), 3, m.end()) for m in _WEAK_ID.finditer(text)]
+        ids = list(_WEAK_ID.finditer(text))
+        # An identifier's own value in key=value form is no second part.
+        values = {m.start(1) for m in ids if text[m.start(1) - 1] == "="}
+        weak = [w for w in weak if w[0] not in values]
+        weak += [(m.start(), 3, m.end()) for m in ids]
         weak += [(m.start(), 5, m.end()) for m in _ENDPOINT.finditer(text)]
     if not weak:
         return []
