@@ -46,3 +46,17 @@ def test_query(spark, tables, name):
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+def test_whole_texts_are_compared(spark, tmp_path):
+    own = [f"w{i}" for i in range(100)]
+    other = own[:90] + [f"z{i}" for i in range(14)]
+    spark.createDataFrame([(1, " ".join(own))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, " ".join(other))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    # Of the turns that are divisible by 3 the other side has no "e": the third keeps 80 of 180 characters.
+    turns = [(7, 1, "user", "y" * 300), (7, 2, "user", "z" * 300), (7, 3, "user", "x" * 80 + "e" * 100)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    errors = queries.QUERIES["word_errors"](spark, str(tmp_path)).first()
+    assert (errors["edits"], errors["reference_words"], errors["wer"]) == (14, 100, 0.14)
+    matched = queries.QUERIES["structure_matching"](spark, str(tmp_path)).first()
+    assert (matched["true_positives"], matched["false_positives"], matched["false_negatives"]) == (2, 1, 1)

@@ -324,8 +324,10 @@ def boundary_metrics(spark, sf):
     return metrics.boundary_metrics(X.boundaries(spark, sf), metrics.fixed_chunks(X.elements(spark, sf), 50))
 
 
-def _element_sides(spark, sf):
-    e = X.elements(spark, sf).select("doc_id", F.col("role").alias("type"), F.col("reading_order").alias("idx"), F.substring(F.regexp_replace("text", r"[^\x00-\x7F]", ""), 1, 80).alias("text"))
+def _element_sides(spark, sf, n=None):
+    """n: characters of each text, as the SQL has them; None: whole texts."""
+    text = F.regexp_replace("text", r"[^\x00-\x7F]", "")
+    e = X.elements(spark, sf).select("doc_id", F.col("role").alias("type"), F.col("reading_order").alias("idx"), (F.substring(text, 1, n) if n else text).alias("text"))
     return e, e.withColumn("text", F.when(F.col("idx") % 3 == 0, F.regexp_replace("text", "e", "")).otherwise(F.col("text")))
 
 
@@ -334,7 +336,7 @@ _SIDES = """r AS (SELECT conv_id AS doc_id, role AS type, turn AS idx, left(rege
 
 @query(f"WITH {_SIDES}, s AS (SELECT r.doc_id, r.idx AS ref_idx, o.idx AS out_idx, CASE WHEN greatest(length(r.text), length(o.text)) = 0 THEN 1 ELSE 1 - levenshtein(r.text, o.text) / greatest(length(r.text), length(o.text)) END AS similarity FROM r JOIN o ON r.doc_id = o.doc_id AND r.type = o.type) SELECT doc_id, ref_idx, out_idx, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.9")
 def similar_elements(spark, sf):
-    return metrics.similar_elements(*_element_sides(spark, sf)).withColumn("similarity", F.round("similarity", 6))
+    return metrics.similar_elements(*_element_sides(spark, sf, 80)).withColumn("similarity", F.round("similarity", 6))
 
 
 @query()
@@ -345,15 +347,17 @@ def structure_matching(spark, sf):
 _PAIRS = """p AS (SELECT b.item_id, left(regexp_replace(coalesce(b.text, ''), '[^\\x00-\\x7F]', '', 'g'), 200) AS r, left(regexp_replace(coalesce(d.text, ''), '[^\\x00-\\x7F]', '', 'g'), 200) AS o FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)"""
 
 
-def _pairs(spark, sf):
-    plain = lambda c: F.substring(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\x00-\x7F]", ""), 1, 200)
+def _pairs(spark, sf, n=None):
+    """n: characters of each text, as the SQL has them; None: whole texts."""
+    ascii_ = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\x00-\x7F]", "")
+    plain = lambda c: F.substring(ascii_(c), 1, n) if n else ascii_(c)
     d = X.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), plain(F.col("text")).alias("o"))
     return X.table(spark, sf, "benchmark").select("item_id", plain(F.col("text")).alias("r")).join(d, "item_id")
 
 
 @query(f"WITH {_PAIRS} SELECT item_id, levenshtein(r, o) AS edits, length(r) AS reference_length, round(levenshtein(r, o) / length(r), 6) AS cer, round(1 - levenshtein(r, o) / greatest(length(r), length(o)), 6) AS similarity FROM p WHERE length(r) > 0")
 def character_errors(spark, sf):
-    p = _pairs(spark, sf).where(F.length("r") > 0).withColumn("e", T.character_error_rate(F.col("r"), F.col("o")))
+    p = _pairs(spark, sf, 200).where(F.length("r") > 0).withColumn("e", T.character_error_rate(F.col("r"), F.col("o")))
     return p.select("item_id", F.col("e.numerator").alias("edits"), F.col("e.denominator").alias("reference_length"), F.round("e.value", 6).alias("cer"), F.round(T.text_similarity(F.col("r"), F.col("o")), 6).alias("similarity"))
 
 
