@@ -230,12 +230,33 @@ def test_forward_sums_all_segmentations():
     def brute(w):
         if not w:
             return 1.0
-        return sum(prob[names[h]] * brute(w[n:]) for n in range(1, min(len(w), lang_id.PIECE_BYTES) + 1) if (h := int(pieces.hashes([w[:n]])[0])) in names)
+        return sum(prob[names[h]] * brute(w[n:]) for n in range(1, len(w) + 1) if (h := int(pieces.hashes([w[:n]])[0])) in names)
 
     for w in (b" the", b" nation", "é".encode(), b" a"):
         lat, _ = lang_id.lattice([w], pieces)
         assert lang_id.forward(lat, prob[:, None])[0, len(w), 0] == pytest.approx(brute(w), rel=1e-9)
         assert lang_id.expected(lat, prob, np.ones(1)).sum() >= 1
+        assert lang_id.log_sums([w], prob[:, None], pieces)[0, 0] == pytest.approx(np.log(brute(w)), rel=1e-9)
+
+
+def test_long_words_are_summed_whole(monkeypatch):
+    """One word after another, in step, and by itself in parts: the same sums, however long the words are."""
+    pieces = lang_id.pieces_of(PATH)
+    rng = np.random.default_rng(17)
+    prob = rng.dirichlet(np.ones(pieces.size), 3).T
+    some = ["kindness", "internationalization" * 3, "สวัสดีครับ" * 9, "ab" * 150, "z"]
+    got = lang_id.log_sums([w.encode() for w in some], prob, pieces)
+    for w, found in zip(some, got, strict=True):
+        w, logs = w.encode(), [np.zeros(3)]
+        for e in range(1, len(w) + 1):
+            number = {k: int(pieces.find(pieces.hashes([w[e - k : e]]))[0]) for k in range(1, min(e, pieces.lengths[-1]) + 1)}
+            logs.append(np.logaddexp.reduce([logs[e - k] + np.log(prob[p]) for k, p in number.items() if p >= 0], axis=0))
+        assert np.allclose(found, logs[-1], rtol=1e-9)
+        assert np.allclose(lang_id.log_sum_long(w, prob, pieces, 37), logs[-1], rtol=1e-9)
+    model = lang_id.LanguageModel(["a", "b", "c"], np.log(prob), PATH)
+    usual = lang_id.word_log_probs([w.encode() for w in some], model)
+    monkeypatch.setattr(lang_id, "LONG_BYTES", 50)
+    assert np.allclose(lang_id.word_log_probs([w.encode() for w in some], model), usual, rtol=1e-9)
 
 
 def test_lm_scores(spark):

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from tierscope.llm import byte_bpe, lang_id, secret_scan
+from tierscope.llm import byte_bpe, secret_scan
 
 from .test_documents import ODD, brute_groups, sentence
 
@@ -67,7 +67,6 @@ def test_queries_cover_every_document(spark, name):
         pytest.skip("no test tables")
     ids = sorted(r["doc_id"] for r in queries.QUERIES[name](spark, sf).select("doc_id").collect())
     assert ids == sorted(r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
-    assert lang_id.TRAIN_DOCS > 0
 
 
 def test_near_duplicates_by_five_words_and_80_percent(spark, monkeypatch):

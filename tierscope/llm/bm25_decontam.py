@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, Words, blocks, join_checked, stored, texts_in, words_of
+from .common import NON_WORD, Words, blocks, in_batches, join_checked, stored, texts_in, tidy, words_of
 
 #: Words in a passage, and from one passage's begin to the next one's.
 PASSAGE, STRIDE = 64, 32
@@ -217,7 +217,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             yield pd.DataFrame(rows, columns=[id_col, item_col, "score", "overlap", "question_overlap", "answer_overlap"])
 
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, score double, overlap double, question_overlap double, answer_overlap double"
-    return docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).mapInPandas(run, schema)
+    return in_batches(docs).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).mapInPandas(tidy(run), schema)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,10 +23,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, texts_in
+from .common import blocks, in_batches, keeps, texts_in, tidy
 
 #: Pieces kept by the store of a Python worker, at about 400 bytes each.
-KEPT_PIECES = 250_000
+KEPT_PIECES = 100_000
 _NONE = 1 << 62
 
 
@@ -222,6 +222,7 @@ class ByteBPE:
 
 
 _codecs: dict[tuple[str, str], ByteBPE] = {}
+keeps(__name__, _codecs.clear)
 
 
 def codec(path: str, pattern: str) -> ByteBPE:
@@ -246,7 +247,7 @@ def encode_texts(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 rows = own.encoded([t or "" for t in texts_in(part, "text_")])
                 yield pd.DataFrame({id_col: part["id_"].to_numpy(), "n_tokens": [r[0] for r in rows], "ids": [r[1] for r in rows], "decoded": [r[2] for r in rows]})
 
-    return df.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).mapInPandas(run, f"`{id_col}` {kind}, n_tokens long, ids string, decoded binary")
+    return in_batches(df).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).mapInPandas(tidy(run, __name__), f"`{id_col}` {kind}, n_tokens long, ids string, decoded binary")
 
 
 def encode_digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,4 +262,4 @@ def encode_digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id
             out.insert(0, id_col, frame["id_"])
             yield out
 
-    return df.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).mapInPandas(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_batches(df).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).mapInPandas(tidy(run, __name__), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -6,21 +6,27 @@ word: about 10 ns a byte, in memory proportional to the block (BLOCK_BYTES, or o
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 #: Bytes of text that one block of the vectorised operators holds at a time.
 BLOCK_BYTES = 1 << 20
-#: Most rows of a side that is broadcast; beyond it the same join runs as a shuffle.
-BROADCAST_ROWS = 500_000
+#: Most bytes of a side that is broadcast; beyond it the same join runs as a shuffle.
+BROADCAST_BYTES = 12 << 20
+#: Bytes of an Arrow batch on the way to Python, unless the session has a bound of its own.
+BATCH_BYTES = 2 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -141,6 +147,51 @@ def texts_in(frame: pd.DataFrame, text: str) -> list[str | None]:
     return [t if isinstance(t, str) else None for t in frame[text]]
 
 
+_stores: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, drop: Callable[[], None]) -> None:
+    """Says how to empty what an operator keeps in a Python worker from task to task."""
+    _stores[owner] = drop
+
+
+def _trim() -> None:
+    """Give free memory back: workers live on after a task, and the next stage's tasks use others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+Run = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+
+
+def tidy(run: Run, owner: str = "") -> Run:
+    """The same function for mapInPandas; its tasks empty the stores of other operators and leave no free memory held."""
+
+    def tidied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        global _powers
+        for name, drop in _stores.items():
+            if name != owner:
+                drop()
+        try:
+            yield from run(frames)
+        finally:
+            _powers = (_powers[0][:1].copy(), _powers[1][:1].copy())
+            _trim()
+
+    return tidied
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """The same rows, to go to Python in batches of bounded bytes, however long the texts are: rows by count alone
+    would hold ten thousand texts at once. The bound is a setting of the session; one of its own stays."""
+    conf = df.sparkSession.conf
+    if int(str(conf.get(_BATCH, str(_BATCH_DEFAULT))).rstrip("bB") or 0) == _BATCH_DEFAULT:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.astype(np.uint64).view(np.int64)
 
@@ -163,13 +214,16 @@ def held_out(doc_id: str | Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder from spark.checkpoint.dir; only where that is unset, as in tests, one of our own."""
+    """The cluster's folder from spark.checkpoint.dir; only where that is unset and all runs in one process, as in tests,
+    one of our own."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = sc._jsc.sc().getCheckpointDir()
         folder = folder.get() if folder.isDefined() else None
     if not folder:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tierscope-")
         sc.setCheckpointDir(folder)
     return folder
@@ -190,9 +244,22 @@ def collect_garbage(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def join_checked(df: DataFrame, small: DataFrame, on: list[str] | str, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a stored table: broadcast if it has at most rows rows, a shuffled join otherwise."""
-    return df.join(F.broadcast(small) if small.count() <= rows else small, on, how)
+def _row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row has."""
+    size = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, ArrayType):
+            size = size + F.greatest(F.size(f.name), F.lit(0)) * 8
+        size = size + 8
+    return size
+
+
+def join_checked(df: DataFrame, small: DataFrame, on: list[str] | str, how: str = "inner", most: int | None = None) -> DataFrame:
+    """Join with a stored table: broadcast if it has at most so many bytes, a shuffled join of the same result otherwise."""
+    size = small.agg(F.sum(_row_bytes(small))).first()[0] or 0
+    return df.join(F.broadcast(small) if size <= (BROADCAST_BYTES if most is None else most) else small, on, how)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -4,7 +4,8 @@ A word's probability in a language is the sum, over all ways to cut it into piec
 pieces' probabilities; a forward pass over its bytes gives it. Piece probabilities are learned by
 expectation maximisation, whose expected counts come from the same forward pass and a backward one.
 Words (runs of letters, lower case, with a leading space) are independent, so each distinct word of a
-block is scored once, all words of a block in step, one array column for each language.
+block is scored once, all words of a block in step, one array column for each language. Words and pieces may have any
+length: the pass keeps the last bytes that a piece can reach back to, scaled, and a text without spaces is one word.
 
 Null texts and texts without a letter are `und` with score 0, and so is everything where there is nothing
 to learn from. Rows are independent; repeated rows get repeated results.
@@ -17,20 +18,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import load_ranks
-from .common import _power_tables, _BYTE, blocks, held_out, join_checked, mix, stored, texts_in, words_of
+from .common import _power_tables, _BYTE, blocks, held_out, in_batches, join_checked, keeps, mix, stored, texts_in, tidy, words_of
 
 #: Training documents for each language at most: those whose hashed ids come first, among the first few times as many.
 TRAIN_DOCS = 400
-#: Distinct words for each language at most that expectation maximisation runs over, the most frequent ones.
-TRAIN_WORDS = 60_000
 EM_ROUNDS = 3
-#: Longer words are cut into runs of so many bytes, the leading space included.
-WORD_BYTES = 40
-PIECE_BYTES = 12
+#: To learn from, longer words are cut into runs of so many bytes; to be scored they aren't.
+LEARN_BYTES = 40
+#: Bytes after which the forward pass is scaled; a longer word than LONG_BYTES goes by itself.
+SCALED_BYTES, LONG_BYTES = 8, 2048
 #: Words that count in full for the posterior; longer texts are as sure as one of this length.
 FULL_WORDS = 20
 #: Word log-probabilities that a Python worker keeps.
@@ -45,10 +46,11 @@ class Pieces:
     def __init__(self, path: str):
         def usable(t: bytes) -> bool:
             body = t[1:] if t[:1] == b" " else t
-            return len(t) <= PIECE_BYTES and t.lower() == t and not any(NOT_LETTER[b] for b in body)
+            return t.lower() == t and not any(NOT_LETTER[b] for b in body)
 
         kept = sorted({t for t in load_ranks(path) if usable(t)} | {bytes([b]) for b in range(256)})
         self.size = len(kept)
+        self.lengths = sorted({len(t) for t in kept})
         self.hash = self.hashes(kept)
         self.order = np.argsort(self.hash)
         self.sorted = self.hash[self.order]
@@ -92,7 +94,7 @@ class Lattice:
 
 
 def lattice(words: list[bytes], pieces: Pieces) -> tuple[Lattice, np.ndarray]:
-    """The lattice of words of at most WORD_BYTES bytes each, and the order of its rows."""
+    """The lattice of short words, and the order of its rows."""
     length = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(-length, kind="stable")
     total, down = prefix(np.frombuffer(b"".join(words), np.uint8))
@@ -101,12 +103,12 @@ def lattice(words: list[bytes], pieces: Pieces) -> tuple[Lattice, np.ndarray]:
     for e in range(1, int(length.max(initial=0)) + 1):
         n = int(np.searchsorted(-out.length, -e, side="right"))
         rows, starts, found = [], [], []
-        for s in range(max(0, e - PIECE_BYTES), e):
+        for s in (e - k for k in pieces.lengths if k <= e):
             p = pieces.find(substring_hashes(total, down, first[:n] + s, first[:n] + e))
             at = np.flatnonzero(p >= 0)
-            rows.append(at)
-            starts.append(np.full(len(at), s))
-            found.append(p[at])
+            rows.append(at.astype(np.int32))
+            starts.append(np.full(len(at), s, np.int32))
+            found.append(p[at].astype(np.int32))
         out.arcs.append((np.concatenate(rows), np.concatenate(starts), np.concatenate(found)))
     return out, order
 
@@ -122,6 +124,68 @@ def forward(lat: Lattice, prob: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def log_sums(words: list[bytes], prob: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """By word and language, the log of the summed probability of all segmentations; words of any length."""
+    n, wide = len(words), pieces.lengths[-1] + 1
+    length = np.fromiter(map(len, words), np.int64, n)
+    order = np.argsort(-length, kind="stable")
+    total, down = prefix(np.frombuffer(b"".join(words), np.uint8))
+    first, length = (np.cumsum(length) - length)[order], length[order]
+    # alpha[row, e % wide, language] is of the bytes before e, divided by exp(scale).
+    alpha, scale = np.zeros((n, wide, prob.shape[1])), np.zeros((n, prob.shape[1]))
+    alpha[:, 0] = 1
+    out = np.zeros((n, prob.shape[1]))
+    live = n
+    for e in range(1, int(length.max(initial=0)) + 1):
+        here = np.zeros((live, prob.shape[1]))
+        for k in pieces.lengths:
+            if k > e:
+                break
+            p = pieces.find(substring_hashes(total, down, first[:live] + (e - k), first[:live] + e))
+            at = np.flatnonzero(p >= 0)
+            here[at] += alpha[at, (e - k) % wide] * prob[p[at]]
+        alpha[:live, e % wide] = here
+        going = int(np.searchsorted(-length[:live], -e, side="left"))
+        out[order[going:live]] = np.log(here[going:]) + scale[going:live]
+        live = going
+        if e % SCALED_BYTES == 0 and live:
+            top = alpha[:live].max(axis=1)
+            alpha[:live] /= top[:, None]
+            scale[:live] += np.log(top)
+    return out
+
+
+def log_sum_long(word: bytes, prob: np.ndarray, pieces: Pieces, part: int = 1 << 16) -> np.ndarray:
+    """log_sums of one long word: the pieces of a part of it are found at once, then summed byte by byte."""
+    wide = pieces.lengths[-1] + 1
+    alpha, scale = np.zeros((wide, prob.shape[1])), np.zeros(prob.shape[1])
+    alpha[0] = 1
+    for at in range(0, len(word), part):
+        before = min(at, wide)
+        data = np.frombuffer(word[at - before : at + part], np.uint8)
+        total, down = prefix(data)
+        ends, starts, found = [], [], []
+        for k in pieces.lengths:
+            end = np.arange(max(before + 1, k), len(data) + 1)
+            p = pieces.find(substring_hashes(total, down, end - k, end))
+            hit = np.flatnonzero(p >= 0)
+            ends.append(end[hit])
+            starts.append(end[hit] - k)
+            found.append(p[hit])
+        end, start, p = (np.concatenate(x) for x in (ends, starts, found))
+        by = np.argsort(end, kind="stable")
+        cut = np.searchsorted(end[by], np.arange(before + 1, len(data) + 2)).tolist()
+        start, p = (start[by] + (at - before)) % wide, p[by]
+        for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
+            e = at + i + 1
+            alpha[e % wide] = (alpha[start[a:b]] * prob[p[a:b]]).sum(axis=0)
+            if e % SCALED_BYTES == 0:
+                top = alpha.max(axis=0)
+                alpha /= top
+                scale += np.log(top)
+    return np.log(alpha[len(word) % wide]) + scale
+
+
 def expected(lat: Lattice, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected piece counts over the words' segmentations, each word weighing as often as it occurs."""
     alpha = forward(lat, prob[:, None])[:, :, 0]
@@ -146,6 +210,7 @@ class LanguageModel:
 
 
 _pieces: dict[str, Pieces] = {}
+keeps(__name__, _pieces.clear)
 
 
 def pieces_of(path: str) -> Pieces:
@@ -155,24 +220,25 @@ def pieces_of(path: str) -> Pieces:
 
 
 def cut(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Words with their leading space in runs of WORD_BYTES, and the number of the word of each run."""
+    """Words with their leading space in runs of LEARN_BYTES, and the number of the word of each run."""
     runs, of = [], []
     for i, w in enumerate(words):
         w = b" " + w
-        for at in range(0, len(w), WORD_BYTES):
-            runs.append(w[at : at + WORD_BYTES])
+        for at in range(0, len(w), LEARN_BYTES):
+            runs.append(w[at : at + LEARN_BYTES])
             of.append(i)
     return runs, np.array(of, np.int64)
 
 
 def word_log_probs(words: list[bytes], model: LanguageModel) -> np.ndarray:
-    runs, of = cut(words)
     out = np.zeros((len(words), len(model.languages)))
-    prob = np.exp(model.log_prob)
-    for at in range(0, len(runs), 20_000):
-        lat, order = lattice(runs[at : at + 20_000], pieces_of(model.path))
-        alpha = forward(lat, prob)
-        np.add.at(out, of[at : at + 20_000][order], np.log(alpha[np.arange(len(order)), lat.length]))
+    prob, pieces = np.exp(model.log_prob), pieces_of(model.path)
+    usual = [i for i, w in enumerate(words) if len(w) < LONG_BYTES]
+    for at in range(0, len(usual), 10_000):
+        part = usual[at : at + 10_000]
+        out[part] = log_sums([b" " + words[i] for i in part], prob, pieces)
+    for i in set(range(len(words))).difference(usual) if len(usual) < len(words) else ():
+        out[i] = log_sum_long(b" " + words[i], prob, pieces)
     return out
 
 
@@ -183,9 +249,8 @@ def distinct_words(texts: list[str | None]) -> tuple[np.ndarray, list[bytes], np
     return h, [w.data[a:b] for a, b in zip(w.start[first], w.end[first], strict=True)], inverse, w.doc
 
 
-def train(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, train_words: int = TRAIN_WORDS) -> LanguageModel:
-    """Learn from the rows that aren't held out, of train_docs documents and train_words distinct words by
-    language at most."""
+def train(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> LanguageModel:
+    """Learn from the rows that aren't held out, of train_docs documents by language at most, from all their words."""
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id_"), F.col(lang_col).cast("string").alias("lang_"), F.col(text_col).alias("text_"))
     ids = rows.select("id_", "lang_", F.pmod(F.xxhash64("id_"), F.lit(1 << 40)).alias("place")).distinct()
     # Hashed places are even, so a few times as many ids as wanted lie below this bound, whatever the language's size.
@@ -200,13 +265,13 @@ def train(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
                 _, words, inverse, _ = distinct_words(texts_in(part, "text_"))
                 yield pd.DataFrame({"lang": lang, "word": words, "n": np.bincount(inverse, minlength=len(words))})
 
-    counted = sample.mapInPandas(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= train_words).toPandas()
-    languages = sorted(top["lang"].unique())
+    # The words of a bounded number of documents, on the driver.
+    words = in_batches(sample).mapInPandas(tidy(count, __name__), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
+    languages = sorted(words["lang"].unique())
     pieces = pieces_of(path)
     columns = []
     for lang in languages:
-        own = top[top["lang"] == lang].sort_values(["n", "word"], ascending=[False, True])
+        own = words[words["lang"] == lang].sort_values(["n", "word"], ascending=[False, True])
         runs, of = cut([bytes(w) for w in own["word"]])
         weight = own["n"].to_numpy(float)[of]
         parts = [(lattice(runs[at : at + 20_000], pieces), weight[at : at + 20_000]) for at in range(0, len(runs), 20_000)]
@@ -266,16 +331,19 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
             lang, score = posteriors(texts_in(frame, "text_"), model, known)
             yield pd.DataFrame({id_col: frame["id_"], "lang_pred": lang, "score": score})
 
-    return df.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).mapInPandas(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return in_batches(df).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).mapInPandas(tidy(run, __name__), f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def accepted(df: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows, with all their columns, whose language is known with a posterior of least or more."""
+    at = df.columns.index(text_col)
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(model)
-        for series in texts:
-            parts = [posteriors(texts_in(f, "text_"), model, known) for f in blocks([pd.DataFrame({"text_": series})], "text_")]
-            yield pd.Series(np.concatenate([(lang != "und") & (score >= least) for lang, score in parts]) if parts else [], dtype=bool)
+        for batch in batches:
+            frame = pd.DataFrame({"text_": pd.Series(batch.column(at).to_pylist(), dtype=object)})
+            parts = [posteriors(texts_in(f, "text_"), model, known) for f in blocks([frame], "text_")]
+            keep = np.concatenate([np.zeros(0, bool), *((lang != "und") & (score >= least) for lang, score in parts)])
+            yield batch.filter(pa.array(keep))
 
-    return df.where(F.pandas_udf(run, "boolean", F.PandasUDFType.SCALAR_ITER)(F.col(text_col)))
+    return in_batches(df).mapInArrow(tidy(run, __name__), df.schema)

@@ -10,7 +10,8 @@ bigrams; both are tables spread over the cluster.
 3. A block then has all counts that its texts need.
 
 A word or pair goes to its bucket once a block, however often it occurs, so hot ones make no large groups. The
-number of buckets follows the input. A document's score is its mean loss per token under the target less that
+number of buckets follows the input. Words and pairs go by hashes with SPARE_BITS bits more than the corpus has places
+in binary, so that they take few bytes and yet hardly ever meet by chance. A document's score is its mean loss per token under the target less that
 under the background: lower means closer to the target.
 
 Null texts count as empty; texts without words have loss and score 0. Rows are independent; repeated rows
@@ -19,6 +20,7 @@ get repeated results. Target ids that are null or repeated count once.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, Words, blocks, collect_garbage, join_checked, mix, stored, texts_in, words_of
+from .common import ASCII_LOWER, Words, blocks, collect_garbage, in_batches, join_checked, mix, stored, texts_in, tidy, words_of
 
 #: Fewest occurrences in the corpus that make a word one of the vocabulary.
 LEAST_COUNT = 2
@@ -40,6 +42,8 @@ BACKOFF = 20.0
 BLOCK, BUCKET = 2 << 20, 1 << 20
 #: Blocks of a partition that waits for its counts.
 WAITING = 4
+#: Bits of a hash beyond those of the number of characters.
+SPARE_BITS = 15
 _DIGIT = np.array([48 <= b <= 57 for b in range(256)])
 _SYMBOL = np.array([32 < b < 127 and not chr(b).isalnum() and chr(b) not in ".,;:!?'" for b in range(256)])
 _WIDE = np.arange(256) >= 128
@@ -94,7 +98,8 @@ class Block:
         self.sizes = _unpacked(row["sizes"], np.int64)
         self.target = np.frombuffer(row["target"], bool)
         self.words, self.shapes = _keys(row["words"]), _unpacked(row["shapes"], np.uint8)
-        self.tokens = _unpacked(row["tokens"], np.uint32).astype(np.int64)
+        # Tokens are stored by the rank of their words, the most frequent first.
+        self.tokens = np.argsort(-_unpacked(row["counts"], np.int64), kind="stable")[_unpacked(row["tokens"], np.uint32)]
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.chosen = self.target[self.doc]
         end = np.cumsum(self.sizes)
@@ -109,12 +114,12 @@ class Block:
         """The corpus's counts of the words."""
         return _unpacked(row["totals"], np.int64).reshape(4, -1) if len(self.words) else np.zeros((4, 0), np.int64)
 
-    def pairs(self, totals: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pairs(self, totals: np.ndarray, least: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct pairs, a token that ends each, and the pair of each token."""
         own = np.where(totals[0] >= least, self.words, _CLASS_ID[self.shapes])[self.tokens]
         before = np.roll(own, 1)
         before[self.first] = _BEGIN
-        return np.unique(mix(before * np.uint64(0xD6E8FEB86659FD93) + own, 2), return_index=True, return_inverse=True)
+        return np.unique(mix(before * np.uint64(0xD6E8FEB86659FD93) + own, 2) >> np.uint64(64 - bits), return_index=True, return_inverse=True)
 
     def alone(self, totals: np.ndarray, least: int, at: np.ndarray) -> np.ndarray:
         """Which pairs, ended by the tokens at, have a word that no other block has: their counts here are all there are."""
@@ -122,13 +127,15 @@ class Block:
         return own[at] | (own[at - 1] & ~np.isin(at, self.first))
 
 
-def make_blocks(docs: DataFrame) -> DataFrame:
-    """The block table of rows (id_, text_, target_); ids as strings."""
+def make_blocks(docs: DataFrame, bits: int) -> DataFrame:
+    """The block table of rows (id_, text_, target_); ids as strings, words by hashes of so many bits."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in blocks(frames, "text_", BLOCK):
             w = words_of(texts_in(frame, "text_"), fold=ASCII_LOWER)
-            words, first, tokens = np.unique(w.h, return_index=True, return_inverse=True)
+            words, first, tokens, counts = np.unique(w.h >> np.uint64(64 - bits), return_index=True, return_inverse=True, return_counts=True)
+            rank = np.empty(len(words), np.uint32)
+            rank[np.argsort(-counts, kind="stable")] = np.arange(len(words), dtype=np.uint32)
             yield pd.DataFrame({
                 "block": [uuid.uuid4().int >> 65],
                 "ids": [[i if isinstance(i, str) else None for i in frame["id_"]]],
@@ -138,18 +145,19 @@ def make_blocks(docs: DataFrame) -> DataFrame:
                 "target": [frame["target_"].to_numpy(bool).tobytes()],
                 "words": [_packed_keys(words)],
                 "shapes": [_packed(_shape(w)[first].astype(np.uint8))],
-                "tokens": [_packed(tokens.astype(np.uint32))],
+                "counts": [_packed(counts.astype(np.int64))],
+                "tokens": [_packed(rank[tokens])],
             })
 
-    return docs.mapInPandas(run, _BLOCK)
+    return in_batches(docs).mapInPandas(tidy(run), _BLOCK)
 
 
-_BLOCK = "block long, ids array<string>, n_words long, n_tokens long, sizes binary, target binary, words binary, shapes binary, tokens binary"
+_BLOCK = "block long, ids array<string>, n_words long, n_tokens long, sizes binary, target binary, words binary, shapes binary, counts binary, tokens binary"
 
 
-def _deal(block: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pd.DataFrame:
-    """One row for each bucket that has some of the sorted keys."""
-    cut = np.append(np.searchsorted(keys, np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)), len(keys))
+def _deal(block: int, keys: np.ndarray, counts: np.ndarray, buckets: int, bits: int) -> pd.DataFrame:
+    """One row for each bucket that has some of the sorted keys, which have so many bits."""
+    cut = np.append(np.searchsorted(keys, np.array([(b << bits) // buckets for b in range(buckets)], np.uint64)), len(keys))
     some = np.flatnonzero(np.diff(cut))
     counts = counts.astype(np.uint32)
     parts = [slice(cut[b], cut[b + 1]) for b in some]
@@ -186,7 +194,7 @@ def _joined(replies: pd.DataFrame, kinds: int) -> np.ndarray:
     return np.concatenate([np.zeros((kinds, 0), np.int64), *parts], axis=1)
 
 
-def word_totals(table: DataFrame, n_words: int, waiting: int, least: int) -> DataFrame:
+def word_totals(table: DataFrame, n_words: int, waiting: int, least: int, bits: int) -> DataFrame:
     """(block, totals, model): the corpus's counts of each block's words; the models add up to the whole one."""
     buckets = max(1, -(-n_words // BUCKET))
 
@@ -194,13 +202,13 @@ def word_totals(table: DataFrame, n_words: int, waiting: int, least: int) -> Dat
         for frame in frames:
             for _, row in frame.iterrows():
                 b = Block(row)
-                yield _deal(b.name, b.words, np.concatenate([b.word_counts(), b.shapes[None].astype(np.int64)]), buckets)
+                yield _deal(b.name, b.words, np.concatenate([b.word_counts(), b.shapes[None].astype(np.int64)]), buckets, bits)
 
     def gather(replies: pd.DataFrame) -> pd.DataFrame:
         model = np.sum([np.zeros(1 + 4 * CLASSES, np.int64), *(np.array(m, np.int64) for m in replies["model"] if len(m))], axis=0)
         return pd.DataFrame({"block": replies["block"].iloc[:1], "totals": [_packed(_joined(replies, 4))], "model": [model.tolist()]})
 
-    replies = totals_of(table.mapInPandas(deal, "block long, bucket long, keys binary, counts binary"), buckets, 4, least)
+    replies = totals_of(table.mapInPandas(tidy(deal), "block long, bucket long, keys binary, counts binary"), buckets, 4, least)
     return replies.repartition(waiting, "block").groupBy("block").applyInPandas(gather, "block long, totals binary, model array<long>")
 
 
@@ -214,10 +222,12 @@ def score_by_models(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_i
     chosen = stored(target_ids.toDF("id_").where("id_ IS NOT NULL").distinct().withColumn("target_", F.lit(True)), "lm-target")
     rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"))
     flagged = join_checked(rows, chosen, "id_", "left").select(F.col("id_").cast("string").alias("id_"), "text_", F.coalesce("target_", F.lit(False)).alias("target_"))
-    table = stored(make_blocks(flagged), "lm-blocks")
+    places = rows.agg(F.sum(F.length("text_"))).first()[0] or 0
+    bits = min(64, math.ceil(math.log2(places + 2)) + SPARE_BITS)
+    table = stored(make_blocks(flagged, bits), "lm-blocks")
     n_blocks, n_words, n_tokens = (x or 0 for x in table.agg(F.count("*"), F.sum("n_words"), F.sum("n_tokens")).first())
     waiting = max(-(-n_blocks // WAITING), docs.sparkSession.sparkContext.defaultParallelism)
-    told = stored(word_totals(table, n_words, waiting, least), "lm-words")
+    told = stored(word_totals(table, n_words, waiting, least, bits), "lm-words")
     collect_garbage(docs.sparkSession)
     model = np.zeros(1 + 4 * CLASSES)
     for at, n in told.select(F.posexplode("model").alias("at", "n")).groupBy("at").agg(F.sum("n")).collect():
@@ -235,16 +245,16 @@ def score_by_models(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_i
             for _, row in frame.iterrows():
                 b = Block(row)
                 totals = b.totals(row)
-                pair, at, of = b.pairs(totals, least)
+                pair, at, of = b.pairs(totals, least, bits)
                 sent = ~b.alone(totals, least, at)
-                yield _deal(b.name, pair[sent], _count(of, len(pair), b.chosen)[:, sent], buckets)
+                yield _deal(b.name, pair[sent], _count(of, len(pair), b.chosen)[:, sent], buckets, bits)
 
-    replies = totals_of(whole.mapInPandas(deal, "block long, bucket long, keys binary, counts binary"), buckets, 2)
+    replies = totals_of(whole.mapInPandas(tidy(deal), "block long, bucket long, keys binary, counts binary"), buckets, 2)
 
     def score(left: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         b = Block(left.iloc[0])
         totals = b.totals(left.iloc[0])
-        pair, at, of = b.pairs(totals, least)
+        pair, at, of = b.pairs(totals, least, bits)
         both, known = _count(of, len(pair), b.chosen), totals[0] >= least
         both[:, ~b.alone(totals, least, at)] = _joined(replies, 2)
         counts = np.where(known, totals, of_class[:, b.shapes])

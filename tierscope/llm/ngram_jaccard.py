@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, blocks, components, join_checked, mix, shingles_of, signed, stored, texts_in, words_of
+from .common import ASCII_LOWER, blocks, components, in_batches, join_checked, mix, shingles_of, signed, stored, texts_in, tidy, words_of
 
 SHINGLE = 4
 #: A pair links when 100 * intersection >= PERCENT * union, unless another percentage is given.
@@ -192,7 +192,7 @@ def describe(rows: DataFrame, k: int = SHINGLE) -> DataFrame:
             sets = shingle_sets(texts_in(frame, "text_"), k)
             yield pd.DataFrame({"id_": frame["id_"], "n": [len(s) for s in sets], "set_": [_class_of(s) for s in sets], "least_": [signed(np.array([mix(s, salt).min() if len(s) else 0 for salt in range(ORDERS)], np.uint64)) for s in sets]})
 
-    return rows.mapInPandas(run, "id_ long, n long, set_ long, least_ array<long>")
+    return rows.mapInPandas(tidy(run), "id_ long, n long, set_ long, least_ array<long>")
 
 
 def block_links(rows: DataFrame, classes: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -219,7 +219,7 @@ def block_links(rows: DataFrame, classes: DataFrame, k: int = SHINGLE, percent:
                 found += [(names[i], names[j]) for i, j in join_sets(list(sets.values()), percent)]
             yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    return dealt.mapInPandas(run, "a long, b long")
+    return dealt.mapInPandas(tidy(run), "a long, b long")
 
 
 def _least_shared(size: int) -> int:
@@ -271,7 +271,7 @@ def may_have_more(rows: DataFrame, classes: DataFrame, k: int = SHINGLE, percent
                 "w": np.concatenate([np.ones((~shared).sum(), np.int32), np.zeros(both.sum(), np.int32), known[some].astype(np.int32)]),
             })
 
-    sent = rows.mapInPandas(run, "shingle long, lo long, hi long, set_ long, w int")
+    sent = rows.mapInPandas(tidy(run), "shingle long, lo long, hi long, set_ long, w int")
     by = Window.partitionBy("shingle")
     marked = sent.withColumns({"least": F.min("lo").over(by), "most": F.max("hi").over(by)})
     counts = marked.where("w > 0 AND least < most").groupBy("set_").agg(F.sum("w").alias("w"))
@@ -288,7 +288,7 @@ def first_shingles(sets: DataFrame, last: np.ndarray, percent: int = PERCENT) ->
             size = [len(p) for p in own]
             yield pd.DataFrame({"shingle": signed(np.concatenate([*own, np.zeros(0, np.uint64)])), "set_": np.repeat(frame["set_"].to_numpy(), size), "root": np.repeat(frame["root"].to_numpy(), size)})
 
-    return sets.select("set_", "root", "shingles").mapInPandas(run, "shingle long, set_ long, root long")
+    return sets.select("set_", "root", "shingles").mapInPandas(tidy(run), "shingle long, set_ long, root long")
 
 
 def _between(sets: DataFrame, last: np.ndarray, percent: int) -> DataFrame:
@@ -299,8 +299,9 @@ def _between(sets: DataFrame, last: np.ndarray, percent: int) -> DataFrame:
 
 def other_links(rows: DataFrame, described: DataFrame, classes: DataFrame, joined: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(a, b): all links between classes of different components. joined: (set_, root), stored."""
-    named = classes.select("set_", F.col("id_").alias("first_"), "copies").join(joined, "set_", "left").where("copies > 1 OR root IS NOT NULL")
-    known = stored(described.select("id_", "set_").join(named, "set_").select("id_", F.col("set_").cast("string").alias("known_"), F.col("root").cast("string").alias("root_"), (F.col("id_") != F.col("first_")).alias("skip_")).distinct(), "jaccard-known")
+    # Stored first: then a class with very many copies is split where its documents are joined.
+    named = stored(classes.select("set_", F.col("id_").alias("first_"), "copies").join(joined, "set_", "left").where("copies > 1 OR root IS NOT NULL"), "jaccard-named")
+    known = stored(join_checked(described.select("id_", "set_"), named, "set_").select("id_", F.col("set_").cast("string").alias("known_"), F.col("root").cast("string").alias("root_"), (F.col("id_") != F.col("first_")).alias("skip_")).distinct(), "jaccard-known")
     told = join_checked(rows, known, "id_", "left").withColumn("skip_", F.coalesce("skip_", F.lit(False)))
     left = stored(join_checked(may_have_more(told, classes, k, percent), joined, "set_", "left").withColumn("root", F.coalesce("root", "set_")), "jaccard-left")
 
@@ -311,7 +312,7 @@ def other_links(rows: DataFrame, described: DataFrame, classes: DataFrame, joine
             yield pd.DataFrame({"set_": frame["set_"].to_numpy()[ok], "root": frame["root"].to_numpy()[ok], "n": [len(sets[i]) for i in ok], "bits": [signature(sets[i]).tobytes() for i in ok], "shingles": [sets[i].tobytes() for i in ok]})
 
     # An id seen with several texts can give a set twice; where a set occurs twice below, its pairs do, and no more.
-    sets = stored(join_checked(rows, left.select("set_", "id_", "root"), "id_").mapInPandas(whole, "set_ long, root long, n long, bits binary, shingles binary"), "jaccard-sets")
+    sets = stored(join_checked(rows, left.select("set_", "id_", "root"), "id_").mapInPandas(tidy(whole), "set_ long, root long, n long, bits binary, shingles binary"), "jaccard-sets")
     first = stored(_compared(sets, _candidates(sets, True, percent), percent), "jaccard-first")
     ends = sets.select("set_", "root").distinct()
     roots = first.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select("x", "y")
@@ -355,7 +356,7 @@ def _candidates(sets: DataFrame, best: bool, percent: int) -> DataFrame:
                 found.append(np.stack([np.minimum(name[i], name[j]), np.maximum(name[i], name[j])], 1))
             yield pd.DataFrame(np.unique(np.concatenate([*found, np.zeros((0, 2), np.int64)]), axis=0), columns=["a", "b"])
 
-    return stored(dealt.mapInPandas(pairs, "a long, b long").distinct(), "jaccard-maybe")
+    return stored(dealt.mapInPandas(tidy(pairs), "a long, b long").distinct(), "jaccard-maybe")
 
 
 def _compared(sets: DataFrame, maybe: DataFrame, percent: int) -> DataFrame:
@@ -367,12 +368,12 @@ def _compared(sets: DataFrame, maybe: DataFrame, percent: int) -> DataFrame:
             ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(frame["s_a"], frame["s_b"], strict=True)]
             yield frame.loc[np.array(ok, bool), ["a", "b"]]
 
-    return maybe.join(left, "a").join(right, "b").mapInPandas(compare, "a long, b long").distinct()
+    return maybe.join(left, "a").join(right, "b").mapInPandas(tidy(compare), "a long, b long").distinct()
 
 
 def group_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row: id, n_shingles, component_id, the smallest id that links reach, its own included."""
-    rows = df.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).alias("text_"))
+    rows = in_batches(df).select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).alias("text_"))
     described = stored(describe(rows, k), "jaccard-described")
     classes = stored(described.where("n > 0").groupBy("set_", "n", "least_").agg(F.min("id_").alias("id_"), F.count("*").alias("copies")), "jaccard-classes")
     links = stored(block_links(rows, classes, k, percent), "jaccard-links")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_in
+from .common import in_batches, texts_in, tidy
 
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 #: Most code points between two parts of one credential.
@@ -107,7 +107,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield out
 
     schema = f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, n_linked long, base_sha256 string, spans string"
-    return df.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).mapInPandas(run, schema)
+    return in_batches(df).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).mapInPandas(tidy(run), schema)
 
 
 def redact(text: str | None, mark: str = "[REDACTED]", reach: int = REACH) -> str | None:
@@ -130,7 +130,7 @@ def redact_secrets(df: DataFrame, text_col: str = "text", length_col: str | None
     def cleaned(texts: pd.Series) -> pd.Series:
         return pd.Series([redact(t if isinstance(t, str) else None, mark) for t in texts], dtype=object)
 
-    out = df.withColumn(text_col, cleaned(F.col(text_col)))
+    out = in_batches(df).withColumn(text_col, cleaned(F.col(text_col)))
     if length_col and length_col in df.columns:
         out = out.withColumn(length_col, F.when(F.col(text_col).isNotNull(), F.length(text_col).cast(df.schema[length_col].dataType)).otherwise(F.col(length_col)))
     return out

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, join_checked, mix, signed, stored, texts_in, words_of
+from .common import Words, blocks, in_batches, join_checked, mix, signed, stored, texts_in, tidy, words_of
 
 WINDOW, MINIMISER = 20, 3
 #: Characters of text for each bucket, and in each block.
@@ -170,7 +170,7 @@ def _merge(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated_ranges(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, m: int = MINIMISER) -> DataFrame:
     """(doc, starts, ends): by id, the word ranges to remove, apart from one another and in order."""
-    rows = df.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).alias("text_"))
+    rows = in_batches(df).select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).alias("text_"))
     chars = rows.agg(F.sum(F.length("text_"))).first()[0] or 0
     n_buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / BUCKET_CHARS))
 
@@ -232,7 +232,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             part.insert(0, id_col, frame["id_"])
             yield part
 
-    return rows.mapInPandas(run, f"`{id_col}` {kind}, n_words long, n_removed long, kept_text string")
+    return rows.mapInPandas(tidy(run), f"`{id_col}` {kind}, n_words long, n_removed long, kept_text string")
 
 
 ORACLE_SQL = r"""
