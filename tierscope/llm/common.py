@@ -234,12 +234,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    collect_garbage(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def collect_garbage(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps; it follows the driver's collector, and that
-    Python's, whose objects for Java's hold each other."""
+    """Let Spark's cleaner drop the shuffle files and broadcasts of finished steps; it follows the driver's collector, and
+    that Python's, whose objects for Java's hold each other."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, Words, blocks, collect_garbage, in_batches, join_checked, mix, stored, texts_in, tidy, words_of
+from .common import ASCII_LOWER, Words, blocks, in_batches, join_checked, mix, stored, texts_in, tidy, words_of
 
 #: Fewest occurrences in the corpus that make a word one of the vocabulary.
 LEAST_COUNT = 2
@@ -228,7 +228,6 @@ def score_by_models(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_i
     n_blocks, n_words, n_tokens = (x or 0 for x in table.agg(F.count("*"), F.sum("n_words"), F.sum("n_tokens")).first())
     waiting = max(-(-n_blocks // WAITING), docs.sparkSession.sparkContext.defaultParallelism)
     told = stored(word_totals(table, n_words, waiting, least, bits), "lm-words")
-    collect_garbage(docs.sparkSession)
     model = np.zeros(1 + 4 * CLASSES)
     for at, n in told.select(F.posexplode("model").alias("at", "n")).groupBy("at").agg(F.sum("n")).collect():
         model[at] = n
