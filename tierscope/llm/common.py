@@ -155,8 +155,17 @@ def keeps(owner: str, drop: Callable[[], None]) -> None:
     _stores[owner] = drop
 
 
-def _trim() -> None:
-    """Give free memory back: workers live on after a task, and the next stage's tasks use others."""
+def _begin(owner: str) -> None:
+    """A task of an operator begins: the stores of the others are emptied."""
+    for name, drop in _stores.items():
+        if name != owner:
+            drop()
+
+
+def _end() -> None:
+    """A task is over. Workers live on, and the next stage's tasks may use others: free memory goes back."""
+    global _powers
+    _powers = (_powers[0][:1].copy(), _powers[1][:1].copy())
     gc.collect()
     pa.default_memory_pool().release_unused()
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
@@ -167,18 +176,15 @@ Run = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
 def tidy(run: Run, owner: str = "") -> Run:
-    """The same function for mapInPandas; its tasks empty the stores of other operators and leave no free memory held."""
+    """The same function for mapInPandas; its tasks empty the stores of other operators and leave no free memory held.
+    What is sent to the workers names the module's functions only, so that these act on the worker's own module."""
 
     def tidied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        global _powers
-        for name, drop in _stores.items():
-            if name != owner:
-                drop()
+        _begin(owner)
         try:
             yield from run(frames)
         finally:
-            _powers = (_powers[0][:1].copy(), _powers[1][:1].copy())
-            _trim()
+            _end()
 
     return tidied
 
