@@ -23,7 +23,7 @@ from pyspark.sql.types import ArrayType, BinaryType, StringType
 #: Bytes of text that one block of the vectorised operators holds at a time.
 BLOCK_BYTES = 1 << 20
 #: Most bytes of a side that is broadcast; beyond it the same join runs as a shuffle.
-BROADCAST_BYTES = 12 << 20
+BROADCAST_BYTES = 6 << 20
 #: Bytes of an Arrow batch on the way to Python, unless the session has a bound of its own.
 BATCH_BYTES = 2 << 20
 _BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
