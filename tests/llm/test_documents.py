@@ -161,6 +161,35 @@ def test_hot_minimisers_travel_as_windows():
     assert everything[0] == everything[1] == everything[2] and everything[0]
 
 
+def test_minimisers_are_hot_over_all_partitions(spark, monkeypatch):
+    """A passage that is rare in each partition and frequent in all: few of its windows travel, and the result is the same."""
+    rng = random.Random(41)
+    shared = sentence(rng, 40)
+    texts = [sentence(rng, 25) + " " + shared + " " + sentence(rng, 5) for _ in range(300)]
+    df = docs_of(spark, texts).repartition(6)
+    sent, split = [], substring_dedup._split_hot
+    want = brute_substrings(list(enumerate(texts)))
+    got = by_id(substring_dedup.remove_repeats(df))
+    assert all((got[i]["n_words"], got[i]["n_removed"], got[i]["kept_text"]) == want[i] for i in want)
+    from tierscope.llm.common import words_of
+
+    w = words_of(texts)
+    key, _, _ = substring_dedup.super_kmers(w)
+    names, n = np.unique(key, return_counts=True)
+    hot = names[n > 64]
+    assert len(hot)
+    key, first, count, single = split(w, hot, 20, 3)
+    for _, _, words_ in substring_dedup.pack(np.arange(300), w, 4, hot):
+        sent.append(words_)
+    import zstandard
+
+    plain = b"\n".join(zstandard.ZstdDecompressor().decompress(x) for x in sent if x is not None)
+    every = [x for t in texts for x in words(t)]
+    distinct = {tuple(every[a : a + 20]) for a in first[single]}
+    assert len(distinct) < single.sum() / 2 and plain.count(b"\n") + 1 == (~single).sum() + len(distinct), "equal windows of a block travel once"
+    assert None in sent
+
+
 # --- licences -----------------------------------------------------------------------------------------
 
 def test_license_digest(spark):

@@ -8,7 +8,13 @@ so a bucket sees all copies of its windows. There, words become exact numbers, w
 one super-k-mer all differ, as each has the minimiser at another place, so a minimiser seen once is skipped.
 
 The number of buckets grows with the text, so a bucket's size doesn't. A minimiser that would fill a good part
-of a bucket by itself is counted beforehand; its windows travel one by one, by their own hash.
+of a bucket by itself is counted beforehand; its windows travel one by one, by their own hash. Of those that are
+alike in a block only the earliest travels: the others are known to be repeats there and then, so a passage that a
+third of all documents share sends one window a block.
+
+Counts are summed by stretch of text; a stretch keeps a minimiser to itself only below a share of the bound that
+all stretches together can't reach unseen. So every minimiser above the bound is found, and the list of those has at
+most MOST_HOT entries, whatever the input.
 
 Null texts have no words. Rows that share an id count as one document seen several times: what is removed at a
 place of it is removed in all of them. Documents under WINDOW words stay as they are.
@@ -30,6 +36,8 @@ from .common import Words, blocks, in_batches, join_checked, mix, signed, stored
 WINDOW, MINIMISER = 20, 3
 #: Characters of text for each bucket, and in each block.
 BUCKET_CHARS, BLOCK_CHARS = 4 << 20, 1 << 20
+#: Characters of the stretches that minimisers are counted by, and most minimisers that travel as windows.
+STRETCH_CHARS, MOST_HOT = 32 << 20, 1 << 22
 _PLACE_BITS = 24
 _MOST = np.uint64(2**64 - 1)
 
@@ -68,16 +76,29 @@ def super_kmers(w: Words, window: int = WINDOW, m: int = MINIMISER) -> tuple[np.
     return np.concatenate(key), np.concatenate(first), np.concatenate(count)
 
 
-def _split_hot(w: Words, hot: np.ndarray, window: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Super-k-mers, those of hot minimisers as single windows keyed by their own hash."""
+def _split_hot(w: Words, hot: np.ndarray, window: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Super-k-mers, those of hot minimisers as single windows keyed by their own hash, and which ones are such."""
     key, first, count = super_kmers(w, window, m)
     is_hot = np.isin(key, hot) if len(hot) else np.zeros(len(key), bool)
     if not is_hot.any():
-        return key, first, count
+        return key, first, count, is_hot
     n = count[is_hot]
     single = np.repeat(first[is_hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     own = _grams(w.h, window)[single]
-    return np.concatenate([key[~is_hot], own]), np.concatenate([first[~is_hot], single]), np.concatenate([count[~is_hot], np.ones(len(single), np.int64)])
+    return (np.concatenate([key[~is_hot], own]), np.concatenate([first[~is_hot], single]),
+            np.concatenate([count[~is_hot], np.ones(len(single), np.int64)]), np.repeat([False, True], [(~is_hot).sum(), len(single)]))
+
+
+def _later_in_block(text: bytes, a: np.ndarray, b: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of single windows text[a:b] at (doc, start): which have to travel, and which repeat an earlier one of them."""
+    order = np.lexsort((start, doc))
+    earliest: dict[bytes, int] = {}
+    travel, later = np.zeros(len(a), bool), np.zeros(len(a), bool)
+    for i, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        before = earliest.setdefault(text[x:y], i)
+        travel[i] = before == i
+        later[i] = doc[before] != doc[i] or start[before] != start[i]
+    return travel, later
 
 
 def _normal(w: Words) -> tuple[bytes, np.ndarray]:
@@ -92,19 +113,29 @@ def _normal(w: Words) -> tuple[bytes, np.ndarray]:
 
 
 def pack(ids: np.ndarray, w: Words, n_buckets: int, hot: np.ndarray, window: int = WINDOW, m: int = MINIMISER) -> Iterator[tuple[int, bytes, bytes]]:
-    """(bucket, packed numbers, packed words) for each bucket that the block has super-k-mers for."""
-    key, first, count = _split_hot(w, hot, window, m)
+    """(bucket, packed numbers, packed words) for each bucket that the block has super-k-mers for; without words, the
+    numbers are the ids and places of windows that are known to be repeats."""
+    key, first, count, single = _split_hot(w, hot, window, m)
     if not len(key):
         return
+    text, begin = _normal(w)
+    bounds = w.bounds()
+    squeeze = zstandard.ZstdCompressor(level=3)
+    if single.any():
+        at = first[single]
+        doc, start = ids[w.doc[at]], at - bounds[w.doc[at]]
+        travel, later = _later_in_block(text, begin[at], begin[at + window] - 1, doc, start)
+        if later.any():
+            yield int(mix(key[single][later][:1], 5)[0] % np.uint64(n_buckets)), squeeze.compress(np.concatenate([doc[later], start[later]]).tobytes()), None
+        keep = ~single
+        keep[single] = travel
+        key, first, count = key[keep], first[keep], count[keep]
     bucket = ((mix(key, 77) >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
     order = np.lexsort((key, bucket))
     key, first, count, bucket = key[order], first[order], count[order], bucket[order]
-    text, begin = _normal(w)
     a, b = begin[first], begin[first + count + window - 1] - 1
-    bounds = w.bounds()
     doc = ids[w.doc[first]]
     start = first - bounds[w.doc[first]]
-    squeeze = zstandard.ZstdCompressor(level=3)
     heads = np.flatnonzero(np.diff(bucket, prepend=-1))
     for x, y in zip(heads, np.append(heads[1:], len(bucket)), strict=True):
         numbers = np.concatenate([signed(key[x:y]), doc[x:y], start[x:y], count[x:y]]).astype(np.int64)
@@ -112,9 +143,26 @@ def pack(ids: np.ndarray, w: Words, n_buckets: int, hot: np.ndarray, window: int
         yield int(bucket[x]), squeeze.compress(numbers.tobytes()), squeeze.compress(words)
 
 
-def repeats(packed: list[tuple[bytes, bytes]], window: int = WINDOW) -> pd.DataFrame:
+def _ranges(doc: np.ndarray, start: np.ndarray, window: int) -> pd.DataFrame:
+    """(doc, start, end) of windows, adjoining ones as one range."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    joined = (np.diff(doc) == 0) & (np.diff(start) <= 1)
+    first, last = np.flatnonzero(np.append(True, ~joined)), np.flatnonzero(np.append(~joined, True))
+    return pd.DataFrame({"doc": doc[first], "start": start[first], "end": start[last] + window})
+
+
+def repeats(packed: list[tuple[bytes, bytes | None]], window: int = WINDOW) -> pd.DataFrame:
     """Of one bucket: (doc, start, end) word ranges of windows that occur earlier, adjoining windows as one range."""
     open_ = zstandard.ZstdDecompressor()
+    none = pd.DataFrame({"doc": np.zeros(0, np.int64), "start": np.zeros(0, np.int64), "end": np.zeros(0, np.int64)})
+    known = [np.frombuffer(open_.decompress(a), np.int64).reshape(2, -1) for a, b in packed if b is None]
+    packed = [x for x in packed if x[1] is not None]
+    found = _repeats(packed, window, open_) if packed else none
+    return pd.concat([found, *(_ranges(doc, start, window) for doc, start in known)], ignore_index=True) if known else found
+
+
+def _repeats(packed: list[tuple[bytes, bytes]], window: int, open_: zstandard.ZstdDecompressor) -> pd.DataFrame:
     numbers = np.concatenate([np.frombuffer(open_.decompress(a), np.int64).reshape(4, -1) for a, _ in packed], axis=1)
     key, doc, start, count = numbers
     order = np.argsort(key, kind="stable")
@@ -151,13 +199,7 @@ def repeats(packed: list[tuple[bytes, bytes]], window: int = WINDOW) -> pd.DataF
     of = np.repeat(head, np.diff(np.append(head, len(window_id))))
     later = (doc != doc[of]) | (start != start[of])
     doc, start = doc[later], start[later]
-    if not len(doc):
-        return none
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    joined = (np.diff(doc) == 0) & (np.diff(start) <= 1)
-    first, last = np.flatnonzero(np.append(True, ~joined)), np.flatnonzero(np.append(~joined, True))
-    return pd.DataFrame({"doc": doc[first], "start": start[first], "end": start[last] + window})
+    return _ranges(doc, start, window) if len(doc) else none
 
 
 def _merge(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,19 +213,35 @@ def _merge(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeated_ranges(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, m: int = MINIMISER) -> DataFrame:
     """(doc, starts, ends): by id, the word ranges to remove, apart from one another and in order."""
     rows = in_batches(df).select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).alias("text_"))
-    chars = rows.agg(F.sum(F.length("text_"))).first()[0] or 0
+    chars, last = (x or 0 for x in rows.select(F.length("text_").alias("n"), F.spark_partition_id().alias("p")).agg(F.sum("n"), F.max("p")).first())
+    n_stretches = last + 1 + chars // STRETCH_CHARS
     n_buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / BUCKET_CHARS))
 
+    # A super-k-mer has about half as many windows as a window has runs, and a word about six characters. The bound on
+    # a minimiser is half of what a bucket has, and no lower than keeps the list of those above it short.
+    every = chars / 6 / ((window - m + 2) / 2)
+    bound = max(64.0, every / n_buckets / 2, 2 * every / MOST_HOT)
+    share = int(bound / 2 / n_stretches)
+
     def frequent(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in blocks(frames, "text_", BLOCK_CHARS):
-            key, n = np.unique(super_kmers(words_of(texts_in(frame, "text_")), window, m)[0], return_counts=True)
-            often = n >= max(16, n.sum() / (8 * n_buckets))
-            yield pd.DataFrame({"key": signed(key[often]), "n": n[often]})
+        key, n, seen = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+
+        def told() -> pd.DataFrame:
+            return pd.DataFrame({"key": signed(key[n > share]), "n": n[n > share]})
 
-    # A super-k-mer has about half as many windows as a window has runs, and a word about six characters.
-    usual = chars / 6 / ((window - m + 2) / 2) / n_buckets
-    counts = rows.mapInPandas(frequent, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    hot = np.sort(counts.where(F.col("n") > max(64, usual / 2)).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64))
+        for frame in blocks(frames, "text_", BLOCK_CHARS):
+            own, more = np.unique(super_kmers(words_of(texts_in(frame, "text_")), window, m)[0], return_counts=True)
+            both, at = np.unique(np.concatenate([key, own]), return_inverse=True)
+            key, n = both, np.bincount(at, np.concatenate([n, more]), len(both)).astype(np.int64)
+            seen += int(frame["text_"].str.len().fillna(0).sum())
+            if seen >= STRETCH_CHARS:
+                yield told()
+                key, n, seen = key[:0], n[:0], 0
+        yield told()
+
+    counts = rows.mapInPandas(tidy(frequent), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    # What stretches kept to themselves is at most half of the bound.
+    hot = np.sort(counts.where(F.col("n") > bound / 2).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64))
 
     def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in blocks(frames, "text_", BLOCK_CHARS):
@@ -193,7 +251,7 @@ def repeated_ranges(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def sorted_(bucket: pd.DataFrame) -> pd.DataFrame:
         return repeats(list(zip(bucket["numbers"], bucket["words"], strict=True)), window)
 
-    found = rows.where("id_ IS NOT NULL").mapInPandas(packed, "bucket long, numbers binary, words binary").groupBy("bucket").applyInPandas(sorted_, "doc long, start long, end long")
+    found = rows.where("id_ IS NOT NULL").mapInPandas(tidy(packed), "bucket long, numbers binary, words binary").groupBy("bucket").applyInPandas(sorted_, "doc long, start long, end long")
 
     def merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
