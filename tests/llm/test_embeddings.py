@@ -88,3 +88,17 @@ def test_recall_at_the_threshold():
     assert met.mean() >= 0.95
     apart = np.roll(y, 1, axis=0)
     assert ((x[:, :, :1] == apart).any(2) | (apart[:, :, :1] == x).any(2)).any(1).mean() < 0.02
+
+
+def test_extreme_components_null_ids_and_repeated_rows(spark):
+    """Components whose squares leave the range of doubles, rows without an id, and rows alike in id and vector or in one of them."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=32)
+    base /= np.linalg.norm(base)
+    rows = [(1, base * 1e200), (2, near(rng, base, 0.99) * 1e-200), (3, near(rng, base, 0.99) * 1e-310), (4, -base * 1e300), (5, near(rng, base, 0.5)), (None, base), (None, base), (2, near(rng, base, 0.5) * 1e5)]
+    rows = [(i, list(map(float, v)), 0, "k", 7, 7) for i, v in rows]
+    df = spark.createDataFrame([*rows, rows[0], rows[1], (None, None, 0, "k", 7, 7)], SCHEMA)
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in E.link_vectors(df).collect()), key=str)
+    assert got == sorted([(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (5, 0, 5, True), (None, 0, None, True), (None, 0, None, True)], key=str)
+    tied = spark.createDataFrame([(i, [0.0, 3.0, 4.0], 0, "k", 7, 7) for i in (9, 8, 7, 7)], SCHEMA)
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in E.link_vectors(tied).collect()) == [(7, 2, 7, True), (8, 2, 7, False), (9, 2, 7, False)]

@@ -11,7 +11,9 @@ never listed. Equal vectors are one class with a number of copies. A cell with m
 pairs of tiles.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; nor do vectors
-of different lengths. Ids must be integers; rows that share id and vector count as copies, but give one row.
+of different lengths, nor rows without an id. Ids must be integers; rows that share id and vector are one row.
+An id names a vector: of rows that share an id and differ in their vectors, each gets what all of them have.
+Vectors are held scaled by a power of two, which changes no digit and lets components of any size be multiplied.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_checked, mix, signed, stored
+from .common import components, in_batches, join_checked, mix, signed, stored, tidy
 from .ngram_jaccard import _groups
 
 COSINE = 0.95
@@ -89,6 +91,11 @@ def cells_of(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, cell:
     return out
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """x times a power of two, its largest component between 0.5 and 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max())[1])
+
+
 def _counts(cells: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray, table: np.ndarray, cell: np.ndarray) -> np.ndarray:
     """Which of the pairs (a, b), met at table and cell, count there."""
     swap = ids[a] > ids[b]
@@ -175,27 +182,26 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     """Per distinct id and vector: id, n_links (other vectors of at least that cosine found), component_id (the
     smallest id that links reach, its own included), kept (whether that is its own id)."""
 
-    def valid(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    v = F.col("vector_")
+    fine = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for v in frame["vector_"]:
-                x = None if v is None else np.array([np.nan if c is None else c for c in v], np.float64)
-                out.append(x.tobytes() if x is not None and len(x) and np.isfinite(x).all() and x.any() else None)
-            yield pd.DataFrame({"id_": frame["id_"], "vector": out})
+            yield pd.DataFrame({"id_": frame["id_"], "vector": [None if x is None else scaled(np.asarray(x, np.float64)).tobytes() for x in frame["vector_"]]})
 
-    rows = df.select(F.col(id_col).cast("long").alias("id_"), F.col(vector_col).alias("vector_")).mapInPandas(valid, "id_ long, vector binary")
-    rows = stored(rows.groupBy("id_", "vector").agg(F.count("*").alias("seen")).withColumn("key", F.sha2("vector", 256)), "vectors")
-    classes = stored(rows.where("vector IS NOT NULL").groupBy("key").agg(F.min("id_").alias("id_"), F.count("*").alias("copies"), F.first("vector").alias("vector")), "vector-classes")
+    rows = in_batches(df).select(F.col(id_col).cast("long").alias("id_"), F.col(vector_col).cast("array<double>").alias("vector_")).withColumn("vector_", F.when(fine, v))
+    rows = rows.mapInPandas(tidy(packed), "id_ long, vector binary").distinct()
+    rows = stored(rows.withColumn("key", F.when(F.col("id_").isNotNull(), F.sha2("vector", 256))), "vectors")
+    classes = stored(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id_").alias("id_"), F.count("*").alias("copies"), F.first("vector").alias("vector")), "vector-classes")
 
     def entered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for n, part in frame.groupby(frame["vector"].map(len)):
                 x = np.stack([np.frombuffer(v, np.float64) for v in part["vector"]])
-                x = x / np.abs(x).max(axis=1, keepdims=True)
                 found = signed(cells_of(x / np.linalg.norm(x, axis=1, keepdims=True)).ravel()).reshape(len(part), -1)
                 yield pd.DataFrame({"id_": part["id_"], "copies": part["copies"], "vector": part["vector"], "places": list(found), "cells": [c.tobytes() for c in found]})
 
-    placed = stored(classes.mapInPandas(entered, "id_ long, copies long, vector binary, places array<long>, cells binary"), "vector-cells")
+    placed = stored(classes.mapInPandas(tidy(entered), "id_ long, copies long, vector binary, places array<long>, cells binary"), "vector-cells")
     spread = placed.select("id_", F.posexplode("places").alias("at", "cell")).select("id_", "cell", F.expr(f"at div {1 + PROBES}").alias("t"), (F.col("at") % (1 + PROBES) == 0).alias("home"))
     sizes = spread.groupBy("t", "cell").agg(F.count("*").alias("c"), F.max("home").alias("any")).where("c > 1 AND any").select("t", "cell", F.ceil(F.col("c") / TILE).alias("tiles"))
     meeting = spread.join(sizes, ["t", "cell"]).withColumn("tile", F.pmod(F.xxhash64("id_"), F.col("tiles")))
@@ -207,14 +213,14 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         for batch in _groups(frames, ["t", "cell", "x", "y"]):
             yield _meet(batch, cosine)
 
-    found = stored(meeting.mapInPandas(compared, "id_ long, links long, root long"), "vector-links")
+    found = stored(meeting.mapInPandas(tidy(compared), "id_ long, links long, root long"), "vector-links")
     links = found.groupBy("id_").agg(F.sum("links").alias("links"))
     joined = components(found, "id_", "root").select(F.col("node").alias("id_"), F.col("root").alias("component_"))
     named = classes.select("key", "id_", "copies").join(links, "id_", "left").join(joined, "id_", "left")
     named = stored(named.select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_", "id_").alias("component_id")), "vector-names")
     out = join_checked(rows.select("id_", "key"), named, "key", "left")
     out = out.select(F.col("id_").cast(df.schema[id_col].dataType).alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id_").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
 ORACLE_SQL = """
