@@ -201,6 +201,47 @@ def test_license_digest(spark):
     assert license_digest.scan_licenses(docs_of(spark, [])).count() == 0
 
 
+def wrapped(text, width, indent=""):
+    import textwrap
+
+    return "\n\n".join(textwrap.fill(p, width, initial_indent=indent, subsequent_indent=indent) for p in text.split("\n\n"))
+
+
+def test_licenses_however_they_are_wrapped(spark):
+    """Whole texts at many widths, with notices of their own, repeated rows, shared ids: as the SQL has it."""
+    import duckdb
+
+    rows = []
+    for name, text in (("MIT", license_digest.MIT), ("ISC", license_digest.ISC), ("BSD-2-Clause", license_digest.BSD_2), ("BSD-3-Clause", license_digest.BSD_3), ("Zlib", license_digest.ZLIB), ("0BSD", license_digest.ZERO_BSD)):
+        for width in range(40, 121, 5):
+            notice = ("Copyright (c) 2020 Some One\nCopyright 2021, Another\n\n", "© 2019 Someone. All rights reserved.\n", "(c) X\n\n", "")[width % 4]
+            rows.append((len(rows), notice + wrapped(text.replace("License", "Licence") if width % 3 else text, width, " * " if width % 2 else ""), name))
+    first = len(rows)
+    rows += [(first, "Copyright notices are text.", None), (first + 1, None, None), (first + 2, "", None)]
+    rows += [(first + 3, "Released under the MIT License.", None)] * 3 + [(first + 3, "Released under the MIT License.\n", None), (None, "Released under the MIT License.", None)]
+    got = license_digest.scan_licenses(spark.createDataFrame([(i, t, "x") for i, t, _ in rows], "doc_id long, text string, digest_ string")).collect()
+    found = {r["doc_id"]: r["license_id"] for r in got}
+    assert [found[i] for i, _, _ in rows[:first]] == [name for _, _, name in rows[:first]] and found[first] is None
+    assert sorted((r["n_notices"], r["notice_ids"]) for r in got if r["doc_id"] in (first + 3, None)) == [(1, "MIT")] * 3
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, t, _ in rows])
+    columns = ("doc_id", "canonical_sha256", "license_id", "n_notices", "notice_ids")
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({license_digest.oracle_sql()})").fetchall()
+    assert sorted((tuple(r[c] for c in columns) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_digests_are_of_the_published_texts(spark):
+    import os
+
+    folder = "/usr/share/common-licenses"
+    files = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0"}
+    if not all(os.path.exists(f"{folder}/{f}") for f in files.values()):
+        pytest.skip("no published texts here")
+    got = by_id(license_digest.scan_licenses(docs_of(spark, [open(f"{folder}/{f}", encoding="utf-8").read() for f in files.values()])))
+    assert [got[i]["license_id"] for i in range(len(files))] == list(files)
+
+
 # --- learned models -----------------------------------------------------------------------------------
 
 def labelled(spark, n=240):
