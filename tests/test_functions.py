@@ -38,17 +38,25 @@ def test_character_counts(spark):
 
 
 def test_sanity(spark):
-    value = lambda s: one(spark, v=text.character_sanity(lit(s)))["v"]
+    def value(s):
+        counts = text.gate_counts(lit(s))
+        return one(spark, v=text.character_sanity(counts["solid_"], counts["bad_"]))["v"]
+
+
     assert value("") == 0.0 and value(" \n") == 0.0 and value("plain text") == 1.0
     assert value("abcdefghi�") == pytest.approx(0.9)
     assert value("." * 10 + "a" * 7) == pytest.approx(1 - 3 / 17), "runs under 8 are fine"
     assert value("x" + " " * 9) == 0.0, "runs of spaces count though spaces don't"
     assert value("ab" + "😀" * 8) == pytest.approx(1 - 9 / 10), "run lengths are in UTF-16 units"
-    assert value("\n" * 20 + "ab") == 1.0
+    assert value("\n" * 20 + "ab" + "\u2028" * 9) == 1.0
 
 
 def test_script_consistency(spark):
-    value = lambda s, t, l: one(spark, v=text.script_consistency(lit(s), lit(t), lit(l)))["v"]
+    def value(s, thai, latin):
+        counts = text.gate_counts(lit(s))
+        return one(spark, v=text.script_consistency(counts["thai_"], counts["latin_"], lit(thai), lit(latin)))["v"]
+
+
     assert value("abc", 0.0, 0.05) is None
     assert value("123", 0.0, 1.0) == 0.0
     assert value("abกข", 0.5, 0.5) == 1.0

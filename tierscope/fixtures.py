@@ -13,9 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of texts, over as many partitions as there are cores: a small one is a single row group."""
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def page_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for each line of a document, with a made-up image ratio, missing in every 13th document."""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "text"))
+    rows = texts(spark, sf_dir).select(F.col("doc_id").alias("case_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "text"))
     rows = rows.withColumn("page", (F.col("pos") + 1).cast("long"))
     return rows.select("case_id", "page", "text", F.when(F.col("case_id") % 13 != 0, ((F.col("case_id") * 7 + F.col("page") * 3) % 11) / 10.0).alias("image_area_ratio"))
 
@@ -54,7 +60,7 @@ STRATA_SQL = SIGNALS + """, strata AS (SELECT *, CASE WHEN degraded AND (thai_ch
 
 def tier_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four made-up extractions of each document: unpaged, plain, with stray characters and long runs, cut off."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    docs = texts(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     rows = docs.select("doc_id", "t", F.explode(F.array(*map(F.lit, TIERS))).alias("tier"))
     odd = F.concat("t", F.repeat(F.lit("�"), (F.col("doc_id") % 5).cast("int")), F.repeat(F.lit("."), (F.col("doc_id") % 20).cast("int")), F.lit("กิ"), F.repeat(F.lit("é"), (F.col("doc_id") % 15).cast("int")))
     cut = F.substr("t", F.lit(1), F.floor(F.length("t") / (1 + F.col("doc_id") % 3)).cast("int"))

@@ -24,45 +24,59 @@ THAI_BLOCK = r"[\x{0E00}-\x{0E7F}]"
 THAI_LETTER = r"[\x{0E01}-\x{0E30}\x{0E32}\x{0E33}\x{0E40}-\x{0E46}]"
 LATIN = r"\p{IsLatin}"
 LATIN_LETTER = r"[\p{L}&&\p{IsLatin}]"
-LONG_RUN = r"(([^\n\r\x{2028}\x{2029}])\2{7,})"
+LONG_RUN = r"(?s)((.)\2{7,})"
+LINE_ENDS = ("\n", "\r", "\u2028", "\u2029")
 
 
 @F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
+def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("long")
+def nfc(text: Column) -> Column:
+    """The text in NFC. Code points below U+0300 are so already; only texts with others go to Python."""
+    wide = text.rlike(r"[^\x{0000}-\x{02FF}]")
+    return F.when(wide, _nfc(F.when(wide, text))).otherwise(text)
+
+
+def count_of(text: Column, pattern: str) -> Column:
+    """Code points of a class, by the length that a text loses without them: no match becomes an object."""
+    return (F.length(text) - F.length(F.regexp_replace(text, pattern + "+", ""))).cast("long")
 
 
 def character_counts(text: Column) -> Column:
     """Of NFC text: non-space characters, anomalies, letters, Thai and Latin letters."""
     return F.struct(
-        (F.length(text).cast("long") - _count(text, ECMA_SPACE)).alias("text_chars"),
-        _count(text, SIGNAL_ANOMALY).alias("anomalous_chars"),
-        _count(text, r"\p{L}").alias("letter_chars"),
-        _count(text, THAI_LETTER).alias("thai_chars"),
-        _count(text, LATIN_LETTER).alias("latin_chars"),
+        (F.length(text).cast("long") - count_of(text, ECMA_SPACE)).alias("text_chars"),
+        count_of(text, SIGNAL_ANOMALY).alias("anomalous_chars"),
+        count_of(text, r"\p{L}").alias("letter_chars"),
+        count_of(text, THAI_LETTER).alias("thai_chars"),
+        count_of(text, LATIN_LETTER).alias("latin_chars"),
     )
 
 
 def run_penalty(text: Column) -> Column:
-    """Over all maximal runs of 8 or more of one character: their UTF-16 length less 7."""
-    runs = F.regexp_extract_all(text, F.lit(LONG_RUN), F.lit(1))
-    return F.aggregate(runs, F.lit(0).cast("long"), lambda total, run: total + (F.octet_length(F.encode(run, "UTF-16BE")) / 2).cast("long") - 7)
+    """Over all maximal runs of 8 or more of one character that ends no line: their UTF-16 length less 7."""
+    runs = F.regexp_extract_all(F.when(text.rlike(LONG_RUN), text), F.lit(LONG_RUN), F.lit(1))
+    runs = F.filter(runs, lambda run: ~F.substring(run, 1, 1).isin(*LINE_ENDS))
+    total = F.aggregate(runs, F.lit(0).cast("long"), lambda total, run: total + (F.octet_length(F.encode(run, "UTF-16BE")) / 2).cast("long") - 7)
+    return F.coalesce(total, F.lit(0).cast("long"))
+
+
+def gate_counts(text: Column) -> dict[str, Column]:
+    """What the gate counts in a text, one pass for each class: solid_, bad_, thai_, latin_. As columns of a projection of
+    their own they are counted once, since Catalyst keeps costly columns that are used more than once."""
+    solid = F.length(text).cast("long") - count_of(text, WHITE_SPACE)
+    return {"solid_": solid, "bad_": count_of(text, GATE_ANOMALY) + run_penalty(text), "thai_": count_of(text, THAI_BLOCK), "latin_": count_of(text, LATIN)}
 
 
-def character_sanity(text: Column) -> Column:
+def character_sanity(solid: Column, bad: Column) -> Column:
     """1 less the share of anomalies and run penalty among the non-space characters, at least 0."""
-    solid = F.length(text).cast("long") - _count(text, WHITE_SPACE)
-    bad = _count(text, GATE_ANOMALY) + run_penalty(text)
     return F.when(solid == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - bad / F.when(solid > 0, solid)))
 
 
-def script_consistency(text: Column, thai_ratio: Column, latin_ratio: Column) -> Column:
+def script_consistency(thai: Column, latin: Column, thai_ratio: Column, latin_ratio: Column) -> Column:
     """Least share of an expected script against what the inspection saw; null if neither is expected."""
-    thai, latin = _count(text, THAI_BLOCK), _count(text, LATIN)
     total = thai + latin
 
     def share(n: Column, expected: Column) -> Column:
@@ -167,7 +181,7 @@ def short_thai_runs(text: Column) -> Column:
 
     words = F.split(text, WHITE_SPACE + "+")
     short = F.aggregate(F.filter(words, lambda w: w.rlike(f"^{THAI_BLOCK}{{1,2}}$")), F.lit(0).cast("long"), lambda n, w: n + F.length(w))
-    return metric(short, _count(text, THAI_BLOCK))
+    return metric(short, count_of(text, THAI_BLOCK))
 
 
 def _fold(text: str) -> str:

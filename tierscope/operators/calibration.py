@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.core import TIERS
 from ..functions.structure import canonical_json, sha256_text
-from .gate import COMPONENTS, failures
+from .gate import COMPONENTS
 from .signals import expected_tier, route
 
 # The declared grids.
@@ -63,14 +65,24 @@ def tune_routing(sample: DataFrame, signals: DataFrame, evaluation_cells: DataFr
 def gate_candidates(examples: DataFrame, axes: dict[str, Sequence[float]] = GATE_GRID) -> DataFrame:
     """Every threshold vector with its errors over examples (components, reading_accepted,
     structurally_accepted), best first: fewest false accepts in total, then on the worse axis, then false
-    rejects likewise, then higher thresholds in component order. Components are computed once, before the grid."""
-    all_ = examples.crossJoin(F.broadcast(grid(examples.sparkSession, axes))).withColumn("passed", F.size(failures([F.col(f"t_{c}") for c in COMPONENTS])) == 0)
-    keys = [f"t_{c}" for c in COMPONENTS]
-    count = {}
+    rejects likewise, then higher thresholds in component order.
+
+    An example counts by how many thresholds of each component it reaches; a null one reaches all. So examples meet
+    as few kinds as the grid tells apart, and only the kinds meet the grid.
+    """
+    reached = [F.when(F.col(c).isNull(), len(axes[c])).otherwise(sum((F.col(c) >= t).cast("int") for t in axes[c])).alias(f"n_{c}") for c in COMPONENTS]
+    count = {"all_": F.count("*")}
     for axis, expected in (("reading", "reading_accepted"), ("structural", "structurally_accepted")):
-        count[f"{axis}_false_accepts"] = F.count_if(F.col("passed") & ~F.col(expected))
-        count[f"{axis}_false_rejects"] = F.count_if(~F.col("passed") & F.col(expected))
-    out = all_.groupBy(*keys).agg(F.count("*").alias("denominator"), *(c.alias(n) for n, c in count.items()))
+        count[f"{axis}_wanted"], count[f"{axis}_unwanted"] = F.count_if(F.col(expected)), F.count_if(~F.col(expected))
+    kinds = examples.select(*reached, "reading_accepted", "structurally_accepted").groupBy(*(f"n_{c}" for c in COMPONENTS)).agg(*(c.alias(n) for n, c in count.items()))
+    # A threshold passes examples that reach at least as many thresholds of its component as lie at or below it.
+    least = [sum((F.lit(t) <= F.col(f"t_{c}")).cast("int") for t in axes[c]) for c in COMPONENTS]
+    passed = reduce(and_, (F.col(f"n_{c}") >= n for c, n in zip(COMPONENTS, least, strict=True)))
+    all_ = kinds.crossJoin(F.broadcast(grid(examples.sparkSession, axes))).withColumn("passed", passed)
+    keys = [f"t_{c}" for c in COMPONENTS]
+    total = lambda when, n: F.sum(F.when(when, F.col(n)).otherwise(F.lit(0)))
+    errors = [f(axis) for axis in ("reading", "structural") for f in (lambda a: total(F.col("passed"), f"{a}_unwanted").alias(f"{a}_false_accepts"), lambda a: total(~F.col("passed"), f"{a}_wanted").alias(f"{a}_false_rejects"))]
+    out = all_.groupBy(*keys).agg(F.sum("all_").alias("denominator"), *errors)
     for kind in ("false_accepts", "false_rejects"):
         a, b = F.col(f"reading_{kind}"), F.col(f"structural_{kind}")
         out = out.withColumn(f"total_{kind}", a + b).withColumn(f"worst_{kind}", F.greatest(a, b))

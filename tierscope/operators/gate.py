@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import TIERS, reasons
-from ..functions.text import character_sanity, script_consistency
+from ..functions.text import character_sanity, gate_counts, script_consistency
 
 COMPONENTS = ("character_sanity", "text_retention", "usable_page_ratio", "structural_yield", "script_consistency")
 REASONS = tuple(f"{c.upper()}_FAILED" for c in COMPONENTS)
@@ -29,13 +29,14 @@ def with_components(artifacts: DataFrame) -> DataFrame:
     total_text_chars, page_count, thai_char_ratio, latin_char_ratio, expects_structure. Only sanity is never null."""
     total, pages = F.col("total_text_chars"), F.col("page_count")
     long_pages = F.size(F.filter("pages", lambda p: F.length(F.coalesce(p, F.lit(""))) >= 32))
-    return artifacts.withColumns({
-        "character_sanity": character_sanity(F.col("text")),
-        "text_retention": F.when(total > 0, F.least(F.lit(1.0), F.length("text") / F.when(total > 0, total))),
-        "usable_page_ratio": F.when(F.col("pages").isNotNull() & (pages != 0), long_pages / F.when(pages != 0, pages)),
+    counted = artifacts.withColumns({**gate_counts(F.col("text")), "chars_": F.length("text"), "long_pages_": long_pages})
+    return counted.withColumns({
+        "character_sanity": character_sanity(F.col("solid_"), F.col("bad_")),
+        "text_retention": F.when(total > 0, F.least(F.lit(1.0), F.col("chars_") / F.when(total > 0, total))),
+        "usable_page_ratio": F.when(F.col("pages").isNotNull() & (pages != 0), F.col("long_pages_") / F.when(pages != 0, pages)),
         "structural_yield": F.when(F.col("expects_structure"), F.when(F.col("has_structure"), 1.0).otherwise(0.0)),
-        "script_consistency": script_consistency(F.col("text"), F.col("thai_char_ratio"), F.col("latin_char_ratio")),
-    })
+        "script_consistency": script_consistency(F.col("thai_"), F.col("latin_"), F.col("thai_char_ratio"), F.col("latin_char_ratio")),
+    }).drop("solid_", "bad_", "thai_", "latin_", "chars_", "long_pages_")
 
 
 def failures(thresholds: Thresholds | list[Column]) -> Column:
@@ -88,4 +89,5 @@ def replay(initial: DataFrame, artifacts: DataFrame, max_escalations: int = 2, k
 
 def audit_sanity(artifacts: DataFrame, least: float = 0.95) -> DataFrame:
     """(artifact_key, character_sanity, below) of a single diagnostic threshold."""
-    return artifacts.select("artifact_key", character_sanity(F.col("text")).alias("character_sanity")).withColumn("below", F.col("character_sanity") < least)
+    counts = gate_counts(F.col("text"))
+    return artifacts.select("artifact_key", counts["solid_"].alias("solid_"), counts["bad_"].alias("bad_")).select("artifact_key", character_sanity(F.col("solid_"), F.col("bad_")).alias("character_sanity")).withColumn("below", F.col("character_sanity") < least)
