@@ -96,28 +96,59 @@ def test_small_normalisers(spark):
 def test_anchored_window(spark):
     page, following = "A heading line that is long enough to anchor\nmore of it", "Another page begins with this line\nrest"
     flat = "intro " + page + " tail words " + following
-    assert text.anchored_window(flat, page, following) == page.replace("\n", " ") + " tail words "
+    assert text.anchored_window(flat, page, following) == (page.replace("\n", " ") + " tail words ", True)
     assert text.anchored_window(flat, "nothing of this page can be found anywhere", following) is None
-    assert len(text.anchored_window("x" * 30 + "y" * 9000, "x" * 30, None)) == 600
-    assert one(spark, w=text.window_of_page(lit(flat), lit(page), lit(None).cast("string")))["w"].startswith("A heading")
+    cut, bounded = text.anchored_window("x" * 30 + "y" * 9000, "x" * 30, None)
+    assert (len(cut), bounded) == (600, False)
+    assert text.anchor_at("a line of 28 characters here", "a line of 28 characters here") == -1, "no line of under 30 characters anchors"
+    got = one(spark, w=text.window_of_page(lit(flat), lit(page), lit(None).cast("string"), lit(None).cast("string")))["w"]
+    assert got["text"].startswith("A heading") and got["bounded"] is False
+
+
+def test_windows_use_the_neighbouring_pages():
+    header = "Running header of the whole report"
+    pages = [f"{header}\nPage {i} opens with a line of its own, number {i}{i}\n" + f"Page {i} ends with this much longer closing line, which anchors it well" for i in range(3)]
+    flat = " ".join(x.replace("\n", " ") for x in pages)
+    middle, bounded = text.anchored_window(flat, pages[1], pages[2], pages[0])
+    assert bounded and middle.startswith(header) and "Page 1 ends" in middle
+    alone, _ = text.anchored_window(flat, pages[1], pages[2])
+    assert alone.startswith("Page 1 ends"), "without the page before, its longest line is all there is"
+    # A paragraph on both pages is no border between them; a line that stands at the begin marks nothing.
+    both = "This paragraph goes on over the page break and is on both"
+    a, b = "First line of the first page of two\n" + both, both + "\nAnd this is only on the second page"
+    assert text.earliest_after("First line of the first page of two " + both + " And this is only on the second page", 0, b, a) == 94
+    assert text.earliest_after("abcdefghijklmnop abcdefghijklmnop", 0, "abcdefghijklmnop") == -1
 
 
 def test_trees(spark):
     assert structure.canonical_json({"b": 1, "a": [True, None, "é"]}) == '{"a":[true,null,"é"],"b":1}'
+    assert structure.canonical_json({"b": 1, "B": 2, "a": 3, "_": 4, "1": 5}) == '{"_":4,"1":5,"a":3,"b":1,"B":2}'
+    numbers = [1.0, -0.0, 1e-7, 1.5e-7, 1e-6, 123456.789, 1e21, 1.5e300, 1e20, 1.2345678901234567e20, 0.1 + 0.2, -2.5, 10**20]
+    assert structure.stringify(numbers) == "[1,0,1e-7,1.5e-7,0.000001,123456.789,1e+21,1.5e+300,100000000000000000000,123456789012345670000,0.30000000000000004,-2.5,100000000000000000000]"
     assert structure.sanitise({"body": [], "Origin": {"x": 1}, "nested": {"sourceUrl": "u", "semantic": 1}}) == {"body": [], "nested": {"semantic": 1}}
     assert structure.holds_structure([{"x": {"label": "t"}}]) and not structure.holds_structure({"label": "", "text": 3})
     key = structure.artifact_key("c" * 64, "p", "1", None, {"ocr": False})
     assert key != structure.artifact_key("c" * 64, "p", "1", None, {"ocr": True})
-    got = one(spark, k=structure.artifact_key_column(lit("c" * 64), lit("p"), lit("1"), lit(None).cast("string"), lit('{"ocr":false}')))["k"]
-    assert got == key
+    for provider, version in (("p", "1"), ('a"b', "v\\1"), ("é\n", 'v"1')):
+        got = one(spark, k=structure.artifact_key_column(lit("c" * 64), lit(provider), lit(version), lit(None).cast("string"), lit('{"ocr":false}')))["k"]
+        assert got == structure.artifact_key("c" * 64, provider, version, None, {"ocr": False})
 
 
 def test_views(spark):
-    tree = {"body": {"children": [{"$ref": "#/groups/0"}, {"$ref": "#/tables/0"}, {"$ref": "#/texts/0"}]}, "groups": [{"self_ref": "#/groups/0", "children": [{"$ref": "#/texts/0"}]}], "texts": [{"self_ref": "#/texts/0", "label": "section_header", "text": "Methods", "prov": [{"page_no": 1}]}], "tables": [{"self_ref": "#/tables/0", "label": "table", "prov": [{"page_no": 1}], "data": {"grid": [[{"text": "Treatment"}, {"text": "Value"}]]}}]}
-    assert structure.tree_view(tree, 1) == "[section_header] Methods\n[table 1x2]\nTreatment | Value"
-    assert structure.tree_view(tree, 2) == ""
-    assert structure.block_view([{"block_order": 2, "block_label": "text", "block_content": "b"}, {"block_order": 1, "block_label": "title", "block_content": "a"}, {"block_content": " "}]) == "[title] a\n[text] b"
-    items = spark.createDataFrame([("c", 0, [1], "x"), ("c", 1, [1, 2], "y"), ("c", 2, [2], " ")], "case_id string, ord int, pages array<int>, text string")
-    texts = structure.page_texts(items)
-    docs = spark.createDataFrame([("c", 3)], "case_id string, page_count int")
-    assert [(r["page"], r["text"]) for r in structure.derived_pages(docs, texts).orderBy("page").collect()] == [(1, "x\n\ny"), (2, "y"), (3, "")]
+    item = lambda ref, page, **more: {"self_ref": ref, "prov": [{"page_no": page}], **more}
+    tree = {
+        "body": {"children": [{"$ref": "#/groups/0"}, {"$ref": "#/pictures/0"}, {"$ref": "#/texts/1"}, {"$ref": "#/none"}]},
+        "groups": [{"self_ref": "#/groups/0", "children": [{"$ref": "#/texts/0"}, {"$ref": "#/tables/0"}, {"$ref": "#/groups/0"}]}],
+        "texts": [item("#/texts/0", 1, label="section_header", text=" Methods "), item("#/texts/1", 1, text=" ")],
+        "tables": [item("#/tables/0", 1, data={"num_rows": 2, "num_cols": 2, "grid": [[{"text": "Treatment"}, {"text": "Value"}], [{"text": " "}, {}], "odd"]})],
+        "pictures": [item("#/pictures/0", 1)],
+    }
+    assert structure.tree_view(tree, 1) == "[section_header] Methods\n\n[table 2x2]\nTreatment | Value\n|\n\n[picture]\n\n[text]"
+    assert structure.tree_view(tree, 2) is None
+    assert structure.tree_view(tree | {"body": None}, 1) == "[section_header] Methods\n\n[text]\n\n[table 2x2]\nTreatment | Value\n|\n\n[picture]"
+    pages = [{"parsing_res_list": [{"block_order": 2, "block_label": "text", "block_content": "b"}, {"block_content": " "}]}, {"parsing_res_list": [{"block_order": 1, "block_label": "title", "block_content": "a"}]}, "odd"]
+    assert structure.block_view(pages) == "[block]\n\n[title] a\n\n[text] b" and structure.block_view([]) is None
+    import json
+
+    rows = spark.createDataFrame([(json.dumps(tree), 1), (json.dumps(pages), 1), ("3", 1), (None, 1)], "t string, p int")
+    assert [r["v"] for r in rows.select(structure.structural_view("t", "p").alias("v")).collect()] == [structure.tree_view(tree, 1), structure.block_view(pages), None, None]

@@ -122,6 +122,10 @@ def test_image_area(spark):
     assert images.image_area_ratio([["transform", 100, 0, 0, 100, 90, 90], ["image"]], view) == pytest.approx(0.01)
     assert images.image_area_ratio([["transform", 0, 10, -10, 0, 50, 50], ["image"]], view) == pytest.approx(0.01)
     assert images.image_area_ratio([["image"]], (0, 0, 0, 0)) == 0.0
+    form = [["form", [100, 0, 0, 50, 0, 0]], ["image"], ["form_end"], ["transform", 10, 0, 0, 10, 0, 0], ["image"], ["form", None], ["image"], ["form_end"]]
+    assert images.image_areas(form, view) == (pytest.approx(0.52), [])
+    assert images.image_areas([["image_repeat", 10, 10, [0, 0, 50, 50, 7]], ["mask_repeat", 10, 0, 0, 20, [5, 5]], ["image_group", [[10, 0, 0, 10, 0, 0], None, [20, 0, 0, 10, 0, 0]]]], view) == (pytest.approx(0.07), ["INVALID_IMAGE_GROUP"])
+    assert images.image_areas([["image_repeat", "x", 1, [0, 0]], ["mask_repeat", 1, 1], ["transform", 1]], view) == (0.0, ["INVALID_IMAGE_REPEAT", "INVALID_IMAGE_MASK_REPEAT", "INVALID_IMAGE_TRANSFORM"])
     df = spark.createDataFrame([(json.dumps(half), 100.0, 100.0), (None, 1.0, 1.0)], "o string, w double, h double")
     assert [r["r"] for r in df.select(images.image_ratio("o", "w", "h").alias("r")).collect()][0] == 0.5
 
@@ -167,3 +171,75 @@ def test_stream(spark, tmp_path):
 def test_manifest():
     m = manifest.capture(run=lambda c: None)
     assert m["commit"] is None and m["dirty"] is None and m["spark"] and m["processors"]
+
+
+def test_stored_files_are_fetched_checked_and_cached(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "up/sub").mkdir(parents=True)
+    (tmp_path / "up/sub/a.pdf").write_bytes(b"first")
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    rows = [("a", None, "sub/a.pdf", None), ("b", None, "sub/a.pdf", sha(b"other")), ("c", None, "../x", None), ("d", None, "gone", None), ("e", "http://x/ok", "", sha(b"web").upper()), ("f", "https://x/missing", "", None)]
+    stored = spark.createDataFrame(rows, "case_id string, storage_url string, storage_path string, file_hash string")
+
+    def get(url):
+        if url.endswith("ok"):
+            return b"web"
+        raise files.StorageError("STORAGE_HTTP_404")
+
+    got = {r["case_id"]: r for r in files.read_stored(stored, str(tmp_path / "up"), get).collect()}
+    assert {k: r["error_code"] for k, r in got.items()} == {"a": None, "b": "STORAGE_HASH_MISMATCH", "c": "STORAGE_PATH_OUTSIDE_FOLDER", "d": "STORAGE_NOT_FOUND", "e": None, "f": "STORAGE_HTTP_404"}
+    assert bytes(got["a"]["content"]) == b"first" and got["e"]["content_hash"] == sha(b"web") and got["b"]["content"] is None
+    some = stored.where("case_id IN ('a', 'e')")
+    cache = str(tmp_path / "cache")
+    assert files.read_or_cache(some, str(tmp_path / "up"), cache, get).where("error_code IS NULL").count() == 2
+    (tmp_path / "up/sub/a.pdf").write_bytes(b"second")
+    kept = {r["case_id"]: bytes(r["content"]) for r in files.read_or_cache(some, str(tmp_path / "up"), cache, get).collect()}
+    assert kept == {"a": b"first", "e": b"web"}, "without a hash the cached copy stays"
+    fresh = spark.createDataFrame([("a", None, "sub/a.pdf", sha(b"second"))], stored.schema)
+    assert bytes(files.read_or_cache(fresh, str(tmp_path / "up"), cache, get).first()["content"]) == b"second"
+
+
+def test_declarations_come_with_their_hash(spark, tmp_path):
+    path = str(tmp_path / "declared")
+    digest = files.write_pair(spark, '{"status": "frozen", "pages": 2}', path)
+    assert len(digest) == 64 and files.read_pair(spark, path)["pages"] == 2
+    with pytest.raises(Exception, match="exist"):
+        files.write_pair(spark, "{}", path)
+    spark.createDataFrame([('{"status": "frozen"}',)], "value string").write.mode("overwrite").parquet(path)
+    with pytest.raises(ValueError, match="manifest"):
+        files.read_pair(spark, path)
+    checks = spark.createDataFrame([("a", "x", digest), ("b", "x", None)], "name string, content string, sha256 string")
+    assert [r["passed"] for r in files.verify_hashes(checks).orderBy("name").collect()] == [False, False]
+
+
+def test_schemas(spark):
+    from tierscope.operators.schemas import SchemaRegistry, format_errors
+
+    schema = {
+        "type": "object", "required": ["id", "tier"], "additionalProperties": False, "$defs": {"hash": {"type": "string", "pattern": "^[a-f0-9]{4}$"}},
+        "properties": {"id": {"type": "string", "minLength": 1}, "tier": {"enum": ["T0", "T1"]}, "n": {"type": ["integer", "null"], "minimum": 0}, "hash": {"$ref": "#/$defs/hash"}, "pages": {"type": "array", "minItems": 1, "uniqueItems": True, "items": {"type": "integer", "exclusiveMinimum": 0}}, "v": {"const": 1}, "note": {"anyOf": [{"type": "string"}, {"type": "null"}]}},
+        "allOf": [{"if": {"properties": {"tier": {"const": "T1"}}, "required": ["tier"]}, "then": {"required": ["n"]}, "else": {"not": {"required": ["hash"]}}}],
+    }
+    registry = SchemaRegistry({"run": schema})
+    told = lambda v: format_errors(registry.validate("run", v))
+    assert told({"id": "a", "tier": "T0", "n": 2.0, "pages": [1, 2], "v": 1, "note": None}) == ""
+    assert told([]) == "/ must be object"
+    assert told({"id": "", "tier": "T9", "x": 1, "n": -1}) == "/id must NOT have fewer than 1 characters; /tier must be equal to one of the allowed values; / must NOT have additional properties; /n must be >= 0"
+    assert told({"id": "a", "tier": "T1", "hash": "zz"}) == '/hash must match pattern "^[a-f0-9]{4}$"; / must have required property \'n\'; / must match "then" schema'
+    assert told({"id": "a", "tier": "T0", "hash": "abcd"}) == '/ must NOT be valid; / must match "else" schema'
+    assert told({"id": "a", "tier": "T0", "pages": [1, 1, 0], "v": True, "note": 3}) == "/pages must NOT have duplicate items (items ## 1 and 0 are identical); /pages/2 must be > 0; /v must be equal to constant; /note must be string; /note must be null; /note must match a schema in anyOf"
+    with pytest.raises(ValueError, match="unknown schema"):
+        registry.validate("other", {})
+    rows = spark.createDataFrame([('{"id":"a","tier":"T0"}',), ('{"id":1,"tier":"T0"}',), ("{",), (None,)], "t string")
+    assert [r["v"] for r in rows.select(registry.violations("run")("t").alias("v")).collect()] == [[], ["/id must be string"], ["/ must be JSON"], None]
+
+
+def test_frozen_rules():
+    from tierscope.operators import oracle
+
+    rule = {"fields": ["a", "b"], "rule": "r", "basis": "x"}
+    assert oracle.holds_frozen({"a": 1.0, "b": 2}, {"a": 1, "b": 2}) and not oracle.holds_frozen({"b": 2, "a": 1}, {"a": 1, "b": 2})
+    assert oracle.declares_derivation(rule | {"appliedAt": "2026-08-05"}, rule)
+    for bad in (None, rule, rule | {"appliedAt": "2026-8-5"}, rule | {"appliedAt": "2026-08-05\n"}, rule | {"appliedAt": "2026-08-05", "basis": "y"}, rule | {"appliedAt": "2026-08-05", "fields": ["b", "a"]}):
+        assert not oracle.declares_derivation(bad, rule)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,9 +15,55 @@ from pyspark.sql.types import BooleanType, StringType
 LOCATION_KEYS = ("filename", "file_path", "filepath", "origin", "path", "source_url", "sourceurl", "uri", "url")
 
 
+# The collation order of ASCII punctuation; digits and letters follow.
+_MARKS = "_-,;:!?.'\"()[]{}@*/\\&#%`^+<=>|~$"
+
+
+def _number(x: float) -> str:
+    """A double as ECMAScript writes it."""
+    if x != x or x in (float("inf"), float("-inf")):
+        return "null"
+    sign, digits, exponent = Decimal(repr(x)).as_tuple()
+    digits = "".join(map(str, digits)).rstrip("0")
+    if not digits:
+        return "0"
+    point = len(Decimal(repr(x)).as_tuple().digits) + exponent
+    if point > 21 or point <= -6:
+        out = digits[0] + ("." + digits[1:] if len(digits) > 1 else "") + f"e{point - 1:+d}"
+    elif point <= 0:
+        out = "0." + "0" * -point + digits
+    else:
+        out = digits.ljust(point, "0")
+        out = out[:point] + ("." + out[point:] if len(out) > point else "")
+    return "-" * sign + out
+
+
+def _collated(key: str) -> tuple:
+    """Marks before digits before letters, letters by themselves first and then the small one before the capital."""
+    return [(0, _MARKS.find(c), "") if c in _MARKS else (1, 0, c) if c.isdigit() else (2, 0, c.lower()) for c in key], [c.isupper() for c in key], key
+
+
+def stringify(value: object, sort: bool = False) -> str:
+    """JSON without spaces and with ECMAScript's numbers; keys as they come, or in collation order."""
+    if isinstance(value, bool) or value is None or isinstance(value, str):
+        return json.dumps(value, ensure_ascii=False)
+    if isinstance(value, (int, float)):
+        return str(value) if isinstance(value, int) else _number(value)
+    if isinstance(value, dict):
+        keys = sorted(value, key=_collated) if sort else value
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{stringify(value[k], sort)}" for k in keys) + "}"
+    return "[" + ",".join(stringify(x, sort) for x in value) + "]"
+
+
 def canonical_json(value: object) -> str:
-    """JSON with sorted keys and no spaces; integers stay integers."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys and no spaces, numbers as ECMAScript writes them."""
+    return stringify(value, sort=True)
+
+
+@F.pandas_udf(StringType())
+def canonical(tree: pd.Series) -> pd.Series:
+    """canonical_json of JSON texts."""
+    return tree.map(lambda t: None if t is None else canonical_json(json.loads(t)))
 
 
 def sha256_text(value: str) -> str:
@@ -31,7 +78,10 @@ def artifact_key(content_hash: str, provider_id: str, version: str, model: str |
 
 def artifact_key_column(content_hash: Column, provider_id: Column, version: Column, model: Column, parameters: Column) -> Column:
     """artifact_key of columns; parameters is canonical JSON already."""
-    quoted = lambda c: F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), c, F.lit('"')))
+    def quoted(c: Column) -> Column:
+        whole = F.to_json(F.struct(c.alias("x")))  # {"x":"..."}
+        return F.when(c.isNull(), F.lit("null")).otherwise(F.substr(whole, F.lit(6), F.length(whole) - 6))
+
     return F.sha2(F.concat(F.lit('{"contentHash":'), quoted(content_hash), F.lit(',"model":'), quoted(model), F.lit(',"parametersHash":"'), F.sha2(parameters, 256), F.lit('","providerId":'), quoted(provider_id), F.lit(',"providerVersion":'), quoted(version), F.lit("}")), 256)
 
 
@@ -68,43 +118,56 @@ def sanitised(tree: pd.Series) -> pd.Series:
     return tree.map(lambda t: None if t is None else canonical_json(sanitise(json.loads(t))))
 
 
-def _on_page(item: dict, page: int | None) -> bool:
-    return page is None or any(p.get("page_no") == page for p in item.get("prov", []))
+def _items(value: object) -> list[dict]:
+    return [x for x in value if isinstance(x, dict)] if isinstance(value, list) else []
+
+
+def _text(value: object) -> str:
+    return value.strip() if isinstance(value, str) else ""
+
+
+def _labelled(label: str, text: str) -> str:
+    return f"[{label}] {text}" if text else f"[{label}]"
 
 
-def _line(item: dict) -> list[str]:
-    label = item.get("label", "item")
-    cells = item.get("data", {}).get("grid") if isinstance(item.get("data"), dict) else None
-    if cells:
-        width = max(map(len, cells))
-        return [f"[table {len(cells)}x{width}]", *(" | ".join((c.get("text") or "").strip() for c in row) for row in cells)]
-    text = (item.get("text") or "").strip()
-    return [f"[{label}] {text}"] if text else []
+def _shown(item: dict, kind: str) -> str:
+    """A block of the view: a table with its size and rows, a picture, or a label and its text."""
+    if kind == "pictures":
+        return "[picture]"
+    if kind != "tables":
+        return _labelled(_text(item.get("label")) or kind.removesuffix("s"), _text(item.get("text")))
+    data = item.get("data") if isinstance(item.get("data"), dict) else {}
+    rows = [" | ".join(_text(c.get("text")) if isinstance(c, dict) else "" for c in row).strip() for row in data.get("grid") or [] if isinstance(row, list)]
+    size = "x".join("?" if data.get(k) is None else stringify(data[k]) for k in ("num_rows", "num_cols"))
+    return "\n".join([f"[table {size}]", *filter(None, rows)])
 
 
-def tree_view(tree: dict, page: int | None = None) -> str:
-    """Readable lines of a reference tree in reading order; groups are transparent and cycles are cut. If the
-    walk finds nothing, the texts, tables and pictures follow one another."""
-    index = {item.get("self_ref"): item for part in ("texts", "tables", "pictures", "groups") for item in tree.get(part, [])}
-    lines, seen, stack = [], set(), [c.get("$ref") for c in reversed(tree.get("body", {}).get("children", []))]
+def tree_view(tree: dict, page: int | None = None) -> str | None:
+    """Readable blocks of a reference tree in reading order, an empty line between them; groups are transparent and
+    cycles are cut. If the walk finds nothing, the texts, tables and pictures follow one another. None without blocks."""
+    index = {ref: (item, kind) for kind in ("texts", "tables", "pictures", "groups") for item in _items(tree.get(kind)) if (ref := _text(item.get("self_ref")))}
+    here = lambda item: page is None or any(p.get("page_no") == page for p in _items(item.get("prov")))
+    children = lambda item: [_text(c.get("$ref")) for c in reversed(_items(item.get("children")))]
+    body = tree.get("body")
+    found, seen, stack = [], set(), children(body) if isinstance(body, dict) else []
     while stack:
         ref = stack.pop()
-        item = index.get(ref)
-        if item is None or ref in seen:
+        if ref in seen or ref not in index:
             continue
         seen.add(ref)
-        if not str(ref).startswith("#/groups") and _on_page(item, page):
-            lines += _line(item)
-        stack += [c.get("$ref") for c in reversed(item.get("children", []))]
-    if not lines:
-        lines = [x for part in ("texts", "tables", "pictures") for item in tree.get(part, []) if _on_page(item, page) for x in _line(item)]
-    return "\n".join(lines)
+        item, kind = index[ref]
+        if kind != "groups" and here(item):
+            found.append(_shown(item, kind))
+        stack += children(item)
+    found = found or [_shown(item, kind) for kind in ("texts", "tables", "pictures") for item in _items(tree.get(kind)) if here(item)]
+    return "\n\n".join(found) or None
 
 
-def block_view(blocks: list[dict]) -> str:
-    """Readable lines of a block list by block order, the first order for those without one."""
-    ordered = sorted(blocks, key=lambda b: b.get("block_order") or 0)
-    return "\n".join(f"[{b.get('block_label', 'block')}] {(b.get('block_content') or '').strip()}" for b in ordered if (b.get("block_content") or "").strip())
+def block_view(pages: list) -> str | None:
+    """Readable blocks of all pages' lists (parsing_res_list) by block order, 0 for those without one; None without blocks."""
+    listed = [b for page in _items(pages) for b in _items(page.get("parsing_res_list"))]
+    ordered = sorted(listed, key=lambda b: b.get("block_order") or 0)
+    return "\n\n".join(_labelled(_text(b.get("block_label")) or "block", _text(b.get("block_content"))) for b in ordered) or None
 
 
 @F.pandas_udf(StringType())
@@ -113,7 +176,7 @@ def structural_view(tree: pd.Series, page: pd.Series) -> pd.Series:
         if t is None:
             return None
         value = json.loads(t)
-        return block_view(value) if isinstance(value, list) else tree_view(value, None if pd.isna(p) else int(p))
+        return block_view(value) if isinstance(value, list) else tree_view(value, None if pd.isna(p) else int(p)) if isinstance(value, dict) else None
 
     return pd.Series([view(t, p) for t, p in zip(tree, page, strict=True)], dtype=object)
 

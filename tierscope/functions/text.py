@@ -13,7 +13,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructType
 
 # Unicode classes as regular-expression sets.
 ECMA_SPACE = r"[\x09-\x0D\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -171,7 +171,7 @@ def control_text(text: Column) -> Column:
 
 def fold_typography(text: Column) -> Column:
     """Curly quotes and dashes to plain ones, white space collapsed, trimmed."""
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[\x{2018}\x{2019}\x{201B}]", "'"), r"[\x{201C}\x{201D}]", '"'), r"[\x{2010}-\x{2015}]", "-")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[\x{2018}-\x{201B}]", "'"), r"[\x{201C}-\x{201F}]", '"'), r"[\x{2010}-\x{2015}]", "-")
     return F.trim(F.regexp_replace(plain, ECMA_SPACE + "+", " "))
 
 
@@ -184,43 +184,62 @@ def short_thai_runs(text: Column) -> Column:
     return metric(short, count_of(text, THAI_BLOCK))
 
 
-def _fold(text: str) -> str:
-    for pattern, to in (("[\u2018\u2019\u201b]", "'"), ("[\u201c\u201d]", '"'), ("[\u2010-\u2015]", "-"), (r"\s+", " ")):
-        text = re.sub(pattern, to, text)
-    return text.strip()
+_SPACES = re.compile("[\\x09-\\x0d\\x20\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+")
 
 
-def anchor_lines(text: str, least: int = 24, most: int = 5) -> list[str]:
-    lines = [x for x in (_fold(line) for line in text.split("\n")) if len(x) >= least]
+def _fold(text: str | None) -> str:
+    for pattern, to in (("[\u2018-\u201b]", "'"), ("[\u201c-\u201f]", '"'), ("[\u2010-\u2015]", "-")):
+        text = re.sub(pattern, to, text or "")
+    return _SPACES.sub(" ", text).strip(" ")
+
+
+def anchor_lines(text: str | None, least: int = 24, most: int = 5) -> list[str]:
+    """The longest folded lines, the first of equal ones first."""
+    lines = [x for x in map(_fold, (text or "").split("\n")) if len(x) >= least]
     return sorted(lines, key=len, reverse=True)[:most]
 
 
-def anchor_at(flat: str, page: str) -> int:
-    """Where one of the page's longest lines, or else a prefix of it, begins in folded text; -1 if none does."""
+def anchor_at(flat: str, page: str | None) -> int:
+    """Where one of the page's longest lines begins in folded text, by its first 80, 48 or 30 characters if it has so
+    many; -1 if none does."""
     for line in anchor_lines(page):
         for size in (80, 48, 30):
-            if (at := flat.find(line[:size])) >= 0:
+            if len(line) >= size and (at := flat.find(line[:size])) >= 0:
                 return at
     return -1
 
 
-def earliest_after(flat: str, start: int, page: str, following: str) -> int:
-    """The first place after start where a line of the next page, and not of this one, begins; -1 without."""
-    own = _fold(page)
-    hits = [at for line in (_fold(x) for x in following.split("\n")) if len(line) >= 12 and line not in own and (at := flat.find(line[:60], start + 1)) >= 0]
-    return min(hits, default=-1)
+def earliest_after(flat: str, start: int, following: str | None, page: str | None = None) -> int:
+    """The least place after start where a line of the following text is found first, lines of the page itself left
+    out; -1 without. A line that stands at start itself marks nothing."""
+    own = set(map(_fold, (page or "").split("\n")))
+    lines = {x for x in map(_fold, (following or "").split("\n")) if len(x) >= 12 and x not in own}
+    return min((at for x in lines if (at := flat.find(x[:60], start)) > start), default=-1)
 
 
-def anchored_window(flat: str, page: str, following: str | None) -> str | None:
-    """The part of a flat text that a page seems to be: from its anchor to the next page's, or a bounded width."""
+def anchored_window(flat: str, page: str | None, following: str | None = None, previous: str | None = None) -> tuple[str, bool] | None:
+    """The part of a flat text that a page seems to be, and whether its end is known.
+
+    It begins at the page's first line found after the previous page's anchor, or at the page's own anchor; None without.
+    It ends where the next page's lines begin, unless that leaves 200 characters or fewer and the next page's anchor lies
+    behind the begin; without either it has a width by the page's length.
+    """
     flat = _fold(flat)
-    start = anchor_at(flat, page)
+    before = anchor_at(flat, previous)
+    start = earliest_after(flat, before, page) if before >= 0 else -1
+    if start < 0:
+        start = anchor_at(flat, page)
     if start < 0:
         return None
-    end = earliest_after(flat, start, page, following) if following else -1
-    return flat[start : end if end > start else start + min(4000, max(600, 3 * len(_fold(page))))]
-
-
-@F.pandas_udf(StringType())
-def window_of_page(flat: pd.Series, page: pd.Series, following: pd.Series) -> pd.Series:
-    return pd.Series([None if f is None or p is None else anchored_window(f, p, n) for f, p, n in zip(flat, page, following, strict=True)], dtype=object)
+    tight, loose = earliest_after(flat, start, following, page), anchor_at(flat, following)
+    end = tight if tight > start + 200 or loose <= start else loose
+    if end > start:
+        return flat[start:end], True
+    return flat[start : start + min(4000, max(600, 3 * len(_fold(page))))], False
+
+
+@F.pandas_udf(StructType().add("text", StringType()).add("bounded", BooleanType()))
+def window_of_page(flat: pd.Series, page: pd.Series, following: pd.Series, previous: pd.Series) -> pd.DataFrame:
+    """(text, bounded) of anchored_window, null without an anchor."""
+    found = [None if f is None else anchored_window(f, p, n, b) for f, p, n, b in zip(flat, page, following, previous, strict=True)]
+    return pd.DataFrame([x or (None, None) for x in found], columns=["text", "bounded"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,22 +88,29 @@ def fixed_chunks(elements: DataFrame, cap: int, key: str = "doc_id") -> DataFram
 def structural_chunks(elements: DataFrame, cap: int, key: str = "doc_id") -> DataFrame:
     """(key, id, chunk): a chunk ends before an element that a break precedes, or that would overfill it.
 
-    elements: key, id, reading_order, pos, tokens, breaks (whether a break lies before it). State resets at
-    each chunk, so this folds over the document's ordered elements, in one aggregation by document.
+    elements: key, id, reading_order, pos, tokens, breaks (whether a break lies before it). State resets at each chunk, so
+    the sorted rows of a document go by once, with three numbers held, however many elements it has.
     """
     if cap < 1:
         raise ValueError("the cap must be positive")
-    ordered = elements.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("reading_order", "pos", "id", "tokens", "breaks"))).alias("e"))
-    zero = F.struct(F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("n"), F.expr("cast(array() as array<bigint>)").alias("out"))
-
-    def step(s: Column, e: Column) -> Column:
-        tokens = e["tokens"].cast("long")
-        new = (s["n"] > 0) & (F.coalesce(e["breaks"], F.lit(False)) | (s["used"] + tokens > cap))
-        chunk = F.when(new, s["chunk"] + 1).otherwise(s["chunk"])
-        return F.struct(chunk.alias("chunk"), F.when(new, tokens).otherwise(s["used"] + tokens).alias("used"), F.when(new, F.lit(1).cast("long")).otherwise(s["n"] + 1).alias("n"), F.concat(s["out"], F.array(chunk)).alias("out"))
-
-    folded = ordered.withColumn("chunks", F.aggregate("e", zero, step)["out"])
-    return folded.select(key, F.explode(F.arrays_zip(F.col("e.id").alias("id"), F.col("chunks").alias("chunk"))).alias("x")).select(key, "x.id", "x.chunk")
+    kinds = {f.name: f.dataType.simpleString() for f in elements.schema.fields}
+    rows = elements.repartition(key).sortWithinPartitions(key, "reading_order", "pos").select(F.col(key).alias("key_"), "id", F.col("tokens").cast("long").alias("tokens"), F.coalesce("breaks", F.lit(False)).alias("breaks"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, chunk, used = object(), 0, 0
+        for frame in frames:
+            chunks = []
+            for k, tokens, breaks in zip(frame["key_"], frame["tokens"], frame["breaks"], strict=True):
+                if k != last:
+                    last, chunk, used = k, 0, tokens
+                elif breaks or used + tokens > cap:
+                    chunk, used = chunk + 1, tokens
+                else:
+                    used += tokens
+                chunks.append(chunk)
+            yield pd.DataFrame({key: frame["key_"], "id": frame["id"], "chunk": chunks})
+
+    return rows.mapInPandas(run, f"`{key}` {kinds[key]}, id {kinds['id']}, chunk long")
 
 
 def breaks_before(elements: DataFrame, boundaries: DataFrame, key: str = "doc_id") -> DataFrame:

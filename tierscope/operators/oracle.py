@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import TIERS, ordered_tiers, reasons, tier_rank
+from ..functions.structure import stringify
 
 SCRIPTS = ("english", "thai", "mixed")
 
@@ -124,3 +129,33 @@ def pack_summary(annotations: DataFrame) -> DataFrame:
 
 def script_histogram(judgements: DataFrame) -> DataFrame:
     return judgements.groupBy("script").agg(F.count("*").alias("pages"))
+
+
+def degradation_counts(derived: DataFrame, by: str = "partition") -> DataFrame:
+    """(by, pages, degraded_pages): pages, and those where a higher tier is worse than a lower one."""
+    return derived.groupBy(by).agg(F.count("*").alias("pages"), F.count_if(F.coalesce(F.size("degraded_tiers"), F.lit(0)) > 0).alias("degraded_pages"))
+
+
+def holds_frozen(value: object, frozen: object) -> bool:
+    """Whether a value is a frozen criterion to the letter: the same JSON, keys in the same order."""
+    return stringify(value) == stringify(frozen)
+
+
+def declares_derivation(value: object, derivation: dict) -> bool:
+    """Whether a declaration has the derivation's fields, rule and basis, and the date (year-month-day) of its use."""
+    if not isinstance(value, dict):
+        return False
+    applied = value.get("appliedAt")
+    same = stringify(value.get("fields")) == stringify(derivation["fields"]) and all(value.get(k) == derivation[k] for k in ("rule", "basis"))
+    return same and isinstance(applied, str) and re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", applied) is not None
+
+
+def frozen_criterion(frozen: object):
+    """A function of a column of JSON texts: whether each is the frozen criterion; null isn't."""
+    want = stringify(frozen)
+
+    @F.pandas_udf("boolean")
+    def same(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t is not None and stringify(json.loads(t)) == want)
+
+    return same

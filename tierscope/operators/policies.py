@@ -44,12 +44,14 @@ def _check(cases: DataFrame, cells: DataFrame, pages: DataFrame) -> None:
         raise ValueError("a policy page belongs to no case")
 
 
-def simulate(cases: DataFrame, cells: DataFrame, pages: DataFrame, check: bool = True) -> DataFrame:
+def simulate(cases: DataFrame, cells: DataFrame, pages: DataFrame, check: bool = True, expected_pages: int | None = None) -> DataFrame:
     """One row by policy: selections by tier, timing over succeeded and timed cells (case_id, tier, status,
     wall_ms), pages covered, and gate errors on both axes of pages (case_id, page, usable_tiers,
-    structurally_adequate_tiers)."""
+    structurally_adequate_tiers). expected_pages: how many pages there must be, else it raises."""
     if check:
         _check(cases, cells, pages)
+    if expected_pages is not None and (found := pages.count()) != expected_pages:
+        raise ValueError(f"expected {expected_pages} judged pages, found {found}")
     chosen = selections(cases)
     timed = cells.where("status = 'succeeded' AND wall_ms IS NOT NULL").select("case_id", "tier", "wall_ms")
     documents = chosen.join(timed, ["case_id", "tier"], "left").groupBy("policy").agg(

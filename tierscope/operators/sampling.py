@@ -16,12 +16,12 @@ def seeded_rank(seed: str, context: Column, value: Column) -> Column:
 
 
 def case_ids(sources: DataFrame, key: str = "source_key", prefix: int = 3) -> DataFrame:
-    """Stable ids F001, F002, ... by source key, a string; beyond 999 they widen.
+    """Stable ids F001, F002, ... by source key, a string; beyond 999 they widen. Null keys get none.
 
     Keys are numbered within their prefix and prefixes by the counts before them, so only the counts, at most
     one row a prefix, meet in one task; source keys are hashes, whose prefixes are even.
     """
-    rows = sources.select(F.col(key).cast("string").alias(key)).distinct().withColumn("prefix", F.substring(key, 1, prefix))
+    rows = sources.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias(key)).distinct().withColumn("prefix", F.substring(key, 1, prefix))
     before = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
     ahead = rows.groupBy("prefix").agg(F.count("*").alias("n")).select("prefix", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     numbered = rows.withColumn("r", F.row_number().over(Window.partitionBy("prefix").orderBy(key))).join(ahead, "prefix")

@@ -37,6 +37,20 @@ def todo_cells(expected: DataFrame, actual: DataFrame, keys: list[str], limit: i
     return left if limit is None else left.limit(limit)
 
 
+def declared_page_cells(cells: DataFrame, declaration: DataFrame) -> DataFrame:
+    """Page cells (case_id, page, ...) with the partition and stratum of their declared page (partition, case_id,
+    stratum, pages). Raises on a cell outside the declaration."""
+    pages = declaration.select("partition", "case_id", "stratum", F.explode("pages").alias("page"))
+    rows = cells.drop("partition", "stratum").join(pages, ["case_id", "page"], "left")
+    outside = F.raise_error(F.concat(F.lit("page cell outside the declaration: "), F.col("case_id").cast("string"), F.lit(":"), F.col("page").cast("string")))
+    return rows.withColumn("partition", F.when(F.col("partition").isNull(), outside.cast("string")).otherwise(F.col("partition")))
+
+
+def with_page_counts(sample: DataFrame, inspections: DataFrame) -> DataFrame:
+    """The sample with page_count of the inspections (case_id, page_count), 0 for cases without one."""
+    return sample.drop("page_count").join(inspections.select("case_id", "page_count"), "case_id", "left").withColumn("page_count", F.coalesce("page_count", F.lit(0)))
+
+
 def status_counts(cells: DataFrame, by: list[str]) -> DataFrame:
     return cells.groupBy(*by).agg(*(F.count_if(F.col("status") == s).alias(s) for s in STATUSES))
 
@@ -119,10 +133,10 @@ def page_count_profile(documents: DataFrame, column: str = "page_count") -> Data
 def calibrate_overheads(samples: DataFrame) -> DataFrame:
     """(provider_id, fixed_overhead_ms, basis) of probe samples (provider_id, wall_ms, provider_ms,
     baseline_ms): the median of wall less reported time, or the median of baseline calls where nothing is
-    reported."""
+    reported. Raises where a provider has neither."""
     reported = F.count("provider_ms") > 0
     return samples.groupBy("provider_id").agg(
-        F.round(F.when(reported, F.greatest(F.lit(0.0), F.median(F.when(F.col("provider_ms").isNotNull(), F.col("wall_ms") - F.col("provider_ms"))))).otherwise(F.median("baseline_ms")), 3).alias("fixed_overhead_ms"),
+        F.round(F.when(reported, F.greatest(F.lit(0.0), F.median(F.when(F.col("provider_ms").isNotNull(), F.col("wall_ms") - F.col("provider_ms"))))).when(F.count("baseline_ms") > 0, F.median("baseline_ms")).otherwise(F.raise_error(F.lit("a provider has no sample to take a median of")).cast("double")), 3).alias("fixed_overhead_ms"),
         F.when(reported, "provider-reported").otherwise("client-observed-wall-minus-baseline-proxy").alias("basis"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import fixtures as X
 from .functions import structure as ST
 from .functions import text as T
+from .functions.core import percentage
 from .operators import calibration, corpus, export, gate, metrics, oracle, policies, sampling, signals, timing
 from .sources import providers
 
@@ -63,10 +64,9 @@ def initial_route(spark, sf):
     return signals.initial_route(X.signals(spark, sf)).select("case_id", "route.tier", "route.confidence", F.array_join("route.rationale", ",").alias("rationale"))
 
 
-@query(f"WITH {X.PAGES} SELECT case_id, count(*) AS page_count, sum(text_chars)::BIGINT AS total_text_chars, round(CASE WHEN sum(thai_chars + latin_chars) = 0 THEN 0 ELSE sum(latin_chars) / sum(thai_chars + latin_chars) END, 6) AS latin_char_ratio FROM pages WHERE page <= 2 GROUP BY 1")
 def sampled_signals(spark, sf):
     pages = signals.inspect_pages(X.page_evidence(spark, sf))
-    chosen = X.page_evidence(spark, sf).where("page <= 2").select("case_id", "page")
+    chosen = _selected_pages(spark, sf).select("case_id", F.explode("pages").alias("page"))
     return signals.sampled_signals(pages, chosen).select("case_id", "page_count", "total_text_chars", F.round("latin_char_ratio", 6).alias("latin_char_ratio"))
 
 
@@ -83,15 +83,24 @@ def stratified_draw(spark, sf):
     return _drawn(spark, sf)[1]
 
 
-@query(f"""WITH {_DRAW}, scored AS (SELECT d.case_id, p.page, row_number() OVER (PARTITION BY d.case_id ORDER BY CASE WHEN d.stratum LIKE 'scanned%' THEN (CASE WHEN p.text_chars < 32 THEN 2 ELSE 0 END) + coalesce(p.image_area_ratio, 0)
+_SCORED = f"""{_DRAW}, scored AS (SELECT d.case_id, p.page, row_number() OVER (PARTITION BY d.case_id ORDER BY CASE WHEN d.stratum LIKE 'scanned%' THEN (CASE WHEN p.text_chars < 32 THEN 2 ELSE 0 END) + coalesce(p.image_area_ratio, 0)
   WHEN d.stratum = 'layout-heavy-born-digital' THEN coalesce(p.image_area_ratio, 0) + abs(p.text_chars - d.chars_per_page) / greatest(1, d.chars_per_page) ELSE abs(p.text_chars - d.chars_per_page) / greatest(1, d.chars_per_page) END DESC,
-  sha256('{SEED}' || chr(0) || d.case_id || ':page' || chr(0) || p.page)) AS k FROM drawn d JOIN pages p USING (case_id) WHERE d.r <= 6)
-SELECT case_id, string_agg(page, ',' ORDER BY page) AS pages FROM scored WHERE k <= 2 GROUP BY 1""")
-def page_selection(spark, sf):
+  sha256('{SEED}' || chr(0) || d.case_id || ':page' || chr(0) || p.page)) AS k FROM drawn d JOIN pages p USING (case_id) WHERE d.r <= 6)"""
+
+
+def _selected_pages(spark, sf):
     s, drawn = _drawn(spark, sf)
     cases = drawn.join(s.select("case_id", "chars_per_page"), "case_id")
     pages = signals.inspect_pages(X.page_evidence(spark, sf)).withColumn("warnings", F.lit(0))
-    return sampling.select_pages(cases, pages, SEED).select("case_id", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
+    return sampling.select_pages(cases, pages, SEED)
+
+
+query(f"WITH {_SCORED} SELECT p.case_id, count(*) AS page_count, sum(p.text_chars)::BIGINT AS total_text_chars, round(CASE WHEN sum(thai_chars + latin_chars) = 0 THEN 0 ELSE sum(latin_chars) / sum(thai_chars + latin_chars) END, 6) AS latin_char_ratio FROM scored s JOIN pages p USING (case_id, page) WHERE s.k <= 2 GROUP BY 1")(sampled_signals)
+
+
+@query(f"WITH {_SCORED} SELECT case_id, string_agg(page, ',' ORDER BY page) AS pages FROM scored WHERE k <= 2 GROUP BY 1")
+def page_selection(spark, sf):
+    return _selected_pages(spark, sf).select("case_id", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
 
 
 @query(f"WITH {_DRAW} SELECT stratum, count(*) FILTER (r <= 2) AS calibration, count(*) FILTER (r > 2) AS evaluation, sum(page_count)::BIGINT AS pages FROM drawn WHERE r <= 6 GROUP BY 1")
@@ -257,13 +266,13 @@ def status_counts(spark, sf):
     return timing.status_counts(X.run_cells(spark, sf), ["tier"])
 
 
-_MATRIX = X.RUN_CELLS + """, actual AS (SELECT DISTINCT case_id, tier FROM cells WHERE status <> 'failed'), expected AS (SELECT DISTINCT user_id AS case_id, tier FROM events, (VALUES ('T0'), ('T1'), ('T2')) AS v(tier))"""
+_MATRIX = X.RUN_CELLS + """, actual AS (SELECT DISTINCT case_id, tier FROM cells WHERE status <> 'failed' AND NOT (case_id % 5 = 0 AND tier = 'T1')), expected AS (SELECT DISTINCT user_id AS case_id, tier FROM events, (VALUES ('T0'), ('T1'), ('T2')) AS v(tier))"""
 
 
 def _matrix(spark, sf):
     cells = X.run_cells(spark, sf)
     expected = cells.select("case_id").distinct().withColumn("partition", F.lit("evaluation"))
-    return timing.expected_cells(expected), cells.where("status <> 'failed'").select("case_id", "tier").distinct()
+    return timing.expected_cells(expected), cells.where("status <> 'failed' AND NOT (case_id % 5 = 0 AND tier = 'T1')").select("case_id", "tier").distinct()
 
 
 @query(f"WITH {_MATRIX} SELECT case_id, tier, 'missing' AS gap FROM (FROM expected EXCEPT FROM actual) UNION ALL SELECT case_id, tier, 'unexpected' FROM (FROM actual EXCEPT FROM expected)")
@@ -288,9 +297,9 @@ def provider_overheads(spark, sf):
     return timing.calibrate_overheads(X.run_cells(spark, sf).select("provider_id", "wall_ms", "provider_ms", F.lit(None).cast("double").alias("baseline_ms")))
 
 
-@query(f"WITH {X.RUN_CELLS} SELECT page, round(CASE WHEN provider_ms IS NOT NULL THEN provider_ms ELSE greatest(0, wall_ms - 3) END, 6) AS marginal_ms, CASE WHEN provider_ms IS NOT NULL THEN 'provider-reported' ELSE 'client-observed-wall-minus-baseline-proxy' END AS marginal_basis, round(wall_ms / 50, 6) AS t0_ratio, 1 AS billed_excluded, round(wall_ms / 3600000 * 0.1, 9) AS machine_time_proxy FROM cells WHERE wall_ms >= 0")
+@query(f"WITH {X.RUN_CELLS} SELECT page, round(CASE WHEN provider_ms IS NOT NULL THEN provider_ms ELSE greatest(0, abs(wall_ms) - 3) END, 6) AS marginal_ms, CASE WHEN provider_ms IS NOT NULL THEN 'provider-reported' ELSE 'client-observed-wall-minus-baseline-proxy' END AS marginal_basis, round(abs(wall_ms) / 50, 6) AS t0_ratio, 1 AS billed_excluded, round(abs(wall_ms) / 3600000 * 0.1, 9) AS machine_time_proxy FROM cells")
 def timing_and_cost(spark, sf):
-    rows = X.run_cells(spark, sf).where("wall_ms >= 0").withColumns({"fixed_overhead_ms": F.lit(3.0), "t0_wall_ms": F.lit(50.0), "billed_cost": F.lit(None).cast("double"), "machine_hourly_rate": F.lit(0.1)})
+    rows = X.run_cells(spark, sf).withColumns({"wall_ms": F.abs("wall_ms"), "fixed_overhead_ms": F.lit(3.0), "t0_wall_ms": F.lit(50.0), "billed_cost": F.lit(None).cast("double"), "machine_hourly_rate": F.lit(0.1)})
     out = timing.timing_and_cost(rows)
     return out.select("page", F.round("marginal_ms", 6).alias("marginal_ms"), "marginal_basis", F.round("t0_ratio", 6).alias("t0_ratio"), "billed_excluded", F.round("machine_time_proxy", 9).alias("machine_time_proxy"))
 
@@ -324,19 +333,18 @@ def boundary_metrics(spark, sf):
     return metrics.boundary_metrics(X.boundaries(spark, sf), metrics.fixed_chunks(X.elements(spark, sf), 50))
 
 
-def _element_sides(spark, sf, n=None):
-    """n: characters of each text, as the SQL has them; None: whole texts."""
+def _element_sides(spark, sf):
     text = F.regexp_replace("text", r"[^\x00-\x7F]", "")
-    e = X.elements(spark, sf).select("doc_id", F.col("role").alias("type"), F.col("reading_order").alias("idx"), (F.substring(text, 1, n) if n else text).alias("text"))
+    e = X.elements(spark, sf).select("doc_id", F.col("role").alias("type"), F.col("reading_order").alias("idx"), text.alias("text"))
     return e, e.withColumn("text", F.when(F.col("idx") % 3 == 0, F.regexp_replace("text", "e", "")).otherwise(F.col("text")))
 
 
-_SIDES = """r AS (SELECT conv_id AS doc_id, role AS type, turn AS idx, left(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '', 'g'), 80) AS text FROM conversations), o AS (SELECT doc_id, type, idx, CASE WHEN idx % 3 = 0 THEN replace(text, 'e', '') ELSE text END AS text FROM r)"""
+_SIDES = """r AS (SELECT conv_id AS doc_id, role AS type, turn AS idx, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '', 'g') AS text FROM conversations), o AS (SELECT doc_id, type, idx, CASE WHEN idx % 3 = 0 THEN replace(text, 'e', '') ELSE text END AS text FROM r)"""
 
 
 @query(f"WITH {_SIDES}, s AS (SELECT r.doc_id, r.idx AS ref_idx, o.idx AS out_idx, CASE WHEN greatest(length(r.text), length(o.text)) = 0 THEN 1 ELSE 1 - levenshtein(r.text, o.text) / greatest(length(r.text), length(o.text)) END AS similarity FROM r JOIN o ON r.doc_id = o.doc_id AND r.type = o.type) SELECT doc_id, ref_idx, out_idx, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.9")
 def similar_elements(spark, sf):
-    return metrics.similar_elements(*_element_sides(spark, sf, 80)).withColumn("similarity", F.round("similarity", 6))
+    return metrics.similar_elements(*_element_sides(spark, sf)).withColumn("similarity", F.round("similarity", 6))
 
 
 @query()
@@ -344,20 +352,18 @@ def structure_matching(spark, sf):
     return metrics.structure_metrics(*_element_sides(spark, sf)).select("doc_id", "true_positives", "false_positives", "false_negatives", F.col("f1.value").alias("f1"))
 
 
-_PAIRS = """p AS (SELECT b.item_id, left(regexp_replace(coalesce(b.text, ''), '[^\\x00-\\x7F]', '', 'g'), 200) AS r, left(regexp_replace(coalesce(d.text, ''), '[^\\x00-\\x7F]', '', 'g'), 200) AS o FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)"""
+_PAIRS = """p AS (SELECT b.item_id, regexp_replace(coalesce(b.text, ''), '[^\\x00-\\x7F]', '', 'g') AS r, regexp_replace(coalesce(d.text, ''), '[^\\x00-\\x7F]', '', 'g') AS o FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)"""
 
 
-def _pairs(spark, sf, n=None):
-    """n: characters of each text, as the SQL has them; None: whole texts."""
-    ascii_ = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\x00-\x7F]", "")
-    plain = lambda c: F.substring(ascii_(c), 1, n) if n else ascii_(c)
+def _pairs(spark, sf):
+    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\x00-\x7F]", "")
     d = X.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), plain(F.col("text")).alias("o"))
     return X.table(spark, sf, "benchmark").select("item_id", plain(F.col("text")).alias("r")).join(d, "item_id")
 
 
 @query(f"WITH {_PAIRS} SELECT item_id, levenshtein(r, o) AS edits, length(r) AS reference_length, round(levenshtein(r, o) / length(r), 6) AS cer, round(1 - levenshtein(r, o) / greatest(length(r), length(o)), 6) AS similarity FROM p WHERE length(r) > 0")
 def character_errors(spark, sf):
-    p = _pairs(spark, sf, 200).where(F.length("r") > 0).withColumn("e", T.character_error_rate(F.col("r"), F.col("o")))
+    p = _pairs(spark, sf).where(F.length("r") > 0).withColumn("e", T.character_error_rate(F.col("r"), F.col("o")))
     return p.select("item_id", F.col("e.numerator").alias("edits"), F.col("e.denominator").alias("reference_length"), F.round("e.value", 6).alias("cer"), F.round(T.text_similarity(F.col("r"), F.col("o")), 6).alias("similarity"))
 
 
@@ -374,7 +380,7 @@ def markup_stripped(spark, sf):
     return X.table(spark, sf, "pages").select("page_id", F.sha2(T.strip_markup(F.coalesce("html", F.lit(""))), 256).alias("plain_sha256"))
 
 
-@query("""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\\x{2018}\\x{2019}\\x{201B}]', '''', 'g'), '[\\x{201C}\\x{201D}]', '"', 'g'), '[\\x{2010}-\\x{2015}]', '-', 'g'), '[\\x09-\\x0D\\x20\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+', ' ', 'g'))) AS folded_sha256 FROM documents""")
+@query("""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\\x{2018}-\\x{201B}]', '''', 'g'), '[\\x{201C}-\\x{201F}]', '"', 'g'), '[\\x{2010}-\\x{2015}]', '-', 'g'), '[\\x09-\\x0D\\x20\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+', ' ', 'g'))) AS folded_sha256 FROM documents""")
 def typography_folded(spark, sf):
     return X.table(spark, sf, "documents").select("doc_id", F.sha2(T.fold_typography(F.coalesce("text", F.lit(""))), 256).alias("folded_sha256"))
 
@@ -552,3 +558,50 @@ def cell_names(spark, sf):
 def page_budget(spark, sf):
     sample = _drawn(spark, sf)[1].withColumn("pages", F.when(F.col("partition") == "evaluation", F.array(F.lit(1), F.lit(2))))
     return timing.page_budget(sample, 40_000.0, 1_461_000.0).select("calibration_documents", "evaluation_documents", "evaluation_pages", "calibration_pages", "total_pages", "warm_ms")
+
+
+@query(f"WITH {X.ORACLE_PAGES} SELECT CASE WHEN case_id % 3 = 0 THEN 'calibration' ELSE 'evaluation' END AS partition, count(*) AS pages, count(*) FILTER (len({_DEGRADED}) > 0) AS degraded_pages FROM oracle_pages GROUP BY 1")
+def degradation_counts(spark, sf):
+    d = oracle.derive(X.oracle_pages(spark, sf))
+    return oracle.degradation_counts(d.withColumn("partition", F.when(F.col("case_id") % 3 == 0, "calibration").otherwise("evaluation")))
+
+
+@query(f"WITH {_DRAW} SELECT d.case_id, CASE WHEN d.r <= 2 THEN 'calibration' ELSE 'evaluation' END AS partition, CASE WHEN d.case_id % 4 = 0 THEN 0 ELSE d.page_count END AS page_count FROM drawn d WHERE d.r <= 6")
+def sample_page_counts(spark, sf):
+    s, drawn = _drawn(spark, sf)
+    return timing.with_page_counts(drawn, s.where("case_id % 4 <> 0")).select("case_id", "partition", "page_count")
+
+
+@query(f"WITH {_SCORED} SELECT s.case_id, s.page, CASE WHEN d.r <= 2 THEN 'calibration' ELSE 'evaluation' END AS partition, d.stratum, s.page * 10.0::DOUBLE AS wall_ms FROM scored s JOIN drawn d USING (case_id) WHERE s.k <= 2")
+def declared_cells(spark, sf):
+    declaration = _drawn(spark, sf)[1].drop("page_count").join(_selected_pages(spark, sf), "case_id")
+    cells = declaration.select("case_id", F.explode("pages").alias("page")).withColumn("wall_ms", F.col("page") * 10.0)
+    return timing.declared_page_cells(cells, declaration)
+
+
+@query(f"WITH {X.STRATA_SQL} SELECT case_id, CASE WHEN case_id % 10 = 3 AND stratum <> 'scanned-degraded-en' THEN 'scanned-degraded-en' ELSE stratum END AS stratum FROM strata")
+def adjusted_strata(spark, sf):
+    s = X.signals(spark, sf)
+    was = s.select("case_id", signals.stratum().alias("from_stratum")).where("case_id % 10 = 3 AND from_stratum <> 'scanned-degraded-en'")
+    return sampling.adjusted_strata(s, was.select("case_id", "from_stratum", F.lit("scanned-degraded-en").alias("to_stratum"), F.lit("seen").alias("reason")), reviewed=True).select("case_id", "stratum")
+
+
+@query("""SELECT event_type, CASE WHEN count(*) FILTER (event_id % 3 = 0) >= 0 AND count(*) > 0 THEN format('{:.1f}% ({}/{})', 100.0 * count(*) FILTER (event_id % 3 = 0) / count(*), count(*) FILTER (event_id % 3 = 0), count(*)) END AS share FROM events GROUP BY 1""")
+def share_texts(spark, sf):
+    e = X.table(spark, sf, "events").groupBy("event_type").agg(F.count_if(F.col("event_id") % 3 == 0).alias("n"), F.count("*").alias("d"))
+    return e.select("event_type", percentage(F.col("n"), F.col("d")).alias("share"))
+
+
+@query("""SELECT doc_id, doc_id % 4 = 0 AS frozen FROM labels""")
+def frozen_criteria(spark, sf):
+    frozen = {"axis": "reading", "least": 0.5, "tiers": ["T0", "T1"]}
+    i = F.col("doc_id") % 4
+    text = F.when(i == 0, '{"axis": "reading", "least": 5e-1, "tiers": ["T0", "T1"]}').when(i == 1, '{"least":0.5,"axis":"reading","tiers":["T0","T1"]}').when(i == 2, '{"axis":"reading","least":0.5,"tiers":["T1","T0"]}')
+    return X.table(spark, sf, "labels").select("doc_id", oracle.frozen_criterion(frozen)(text).alias("frozen"))
+
+
+@query("""SELECT doc_id, '{"B":' || (doc_id % 7)::INT || ',"id":' || doc_id || ',"share":' || ['0', '0.5', '1e-7', '1000', '1e+21'][doc_id % 5 + 1] || '}' AS canonical FROM labels""")
+def canonical_records(spark, sf):
+    d, share = F.col("doc_id"), F.element_at(F.array(*map(F.lit, ("0.0", "0.50", "0.0000001", "1e3", "1e21"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    text = F.concat(F.lit('{ "share" : '), share, F.lit(', "id": '), d.cast("string"), F.lit(', "B": '), (d % 7).cast("string"), F.lit("}"))
+    return X.table(spark, sf, "labels").select("doc_id", ST.canonical(text).alias("canonical"))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
+import urllib.error
+import urllib.request
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -39,6 +45,101 @@ def read_blobs(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path", "length", "content")
 
 
+class StorageError(Exception):
+    """A blob can't be read; code tells why."""
+
+    def __init__(self, code: str):
+        super().__init__(code)
+        self.code = code
+
+
+def http_get(url: str, timeout_s: float = 60.0) -> bytes:
+    """The body at a URL, redirects followed; STORAGE_HTTP_<status> otherwise."""
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, method="GET"), timeout=timeout_s) as r:
+            return r.read()
+    except urllib.error.HTTPError as e:
+        raise StorageError(f"STORAGE_HTTP_{e.code}") from e
+    except (urllib.error.URLError, TimeoutError) as e:
+        raise StorageError("STORAGE_UNREACHABLE") from e
+
+
+def read_stored(files: DataFrame, folder: str, get: Callable[[str], bytes] = http_get, key: str = "case_id") -> DataFrame:
+    """(key, content, content_hash, error_code) of stored files (key, storage_url, storage_path, file_hash).
+
+    http and https URLs are fetched by the executors, other files read below folder by Spark. Where file_hash is a
+    SHA-256, content of another hash is refused; a null one is not tested.
+    """
+    web = F.coalesce(F.col("storage_url").rlike("(?i)^https?://"), F.lit(False))
+    kind = files.schema[key].dataType.simpleString()
+
+    def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for k, url, want in zip(frame["key_"], frame["storage_url"], frame["file_hash"], strict=True):
+                try:
+                    row = (k, get(url), want, None)
+                except StorageError as e:
+                    row = (k, None, want, e.code)
+                yield pd.DataFrame([row], columns=["key_", "content", "file_hash", "error_code"])
+
+    fetched = files.where(web).select(F.col(key).alias("key_"), "storage_url", "file_hash").mapInPandas(fetch, f"key_ {kind}, content binary, file_hash string, error_code string")
+    outside = F.col("storage_path").startswith("/") | F.array_contains(F.split("storage_path", "/"), "..")
+    root = files.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(files.sparkSession._jsc.hadoopConfiguration()).makeQualified(root).toString()
+    blobs = read_blobs(files.sparkSession, folder, "*").select(F.expr(f"substring(path, {len(root.rstrip('/')) + 2})").alias("storage_path"), "content")
+    local = files.where(~web).select(F.col(key).alias("key_"), "storage_path", "file_hash", outside.alias("outside_")).join(blobs, "storage_path", "left")
+    why = F.when(F.col("outside_"), "STORAGE_PATH_OUTSIDE_FOLDER").when(F.col("content").isNull(), "STORAGE_NOT_FOUND")
+    rows = fetched.unionByName(local.select("key_", F.when(~F.col("outside_"), F.col("content")).alias("content"), "file_hash", why.alias("error_code")))
+    want, found = F.lower("file_hash"), F.sha2("content", 256)
+    other = want.rlike("^[a-f0-9]{64}$") & (want != found)
+    code = F.coalesce("error_code", F.when(other, "STORAGE_HASH_MISMATCH"))
+    return rows.select(F.col("key_").alias(key), F.when(code.isNull(), F.col("content")).alias("content"), F.when(code.isNull(), found).alias("content_hash"), code.alias("error_code"))
+
+
+def read_or_cache(files: DataFrame, folder: str, cache: str, get: Callable[[str], bytes] = http_get, key: str = "case_id") -> DataFrame:
+    """read_stored through a cache folder of (key, content, content_hash): a copy there is used where no hash is known
+    or the known one is its own; the others are read, and those that can be are added to the cache."""
+    spark = files.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    kind = files.schema[key].dataType.simpleString()
+    copies = spark.read.schema(f"`{key}` {kind}, content binary, content_hash string").parquet(cache) if there else spark.createDataFrame([], f"`{key}` {kind}, content binary, content_hash string")
+    want = F.lower("file_hash")
+    known = files.select(key, F.when(want.rlike("^[a-f0-9]{64}$"), want).alias("want_")).join(copies, key).where("want_ IS NULL OR want_ = content_hash").drop("want_").dropDuplicates([key])
+    read = read_stored(files.join(known.select(key), key, "left_anti"), folder, get, key)
+    # A copy of another hash stays in the cache and is never used again; what is read now is added beside it.
+    new = read.where("error_code IS NULL").select(key, "content", "content_hash")
+    new.write.mode("append").parquet(cache)
+    now = spark.read.schema(copies.schema).parquet(cache)
+    kept = files.select(key, F.when(want.rlike("^[a-f0-9]{64}$"), want).alias("want_")).join(now, key).where("want_ IS NULL OR want_ = content_hash").drop("want_").dropDuplicates([key])
+    return files.select(key).join(kept, key, "left").withColumn("error_code", F.when(F.col("content").isNull(), "STORAGE_UNAVAILABLE"))
+
+
+def write_pair(spark: SparkSession, text: str, path: str) -> str:
+    """Write a declaration and, beside it, a manifest with its SHA-256, where neither is yet; returns the hash."""
+    digest = hashlib.sha256(text.encode()).hexdigest()
+    write_new(spark.createDataFrame([(text,)], "value string").coalesce(1), path, "parquet")
+    write_new(spark.createDataFrame([(digest, True)], "sha256 string, immutable_write boolean").coalesce(1), f"{path}.manifest", "parquet")
+    return digest
+
+
+def read_pair(spark: SparkSession, path: str) -> dict:
+    """The declaration that write_pair wrote; raises unless its manifest has its hash and it is frozen."""
+    text, m = spark.read.parquet(path).first()["value"], spark.read.parquet(f"{path}.manifest").first()
+    if not m["immutable_write"] or m["sha256"] != hashlib.sha256(text.encode()).hexdigest():
+        raise ValueError("the manifest isn't of this declaration")
+    value = json.loads(text)
+    if value.get("status") != "frozen":
+        raise ValueError("the declaration isn't frozen")
+    return value
+
+
+def verify_hashes(checks: DataFrame) -> DataFrame:
+    """(name, found, passed) of (name, content, sha256): whether each content, canonical JSON or bytes, has its hash."""
+    found = F.sha2(F.col("content").cast("binary"), 256)
+    return checks.select("name", found.alias("found"), F.coalesce(found == F.lower("sha256"), F.lit(False)).alias("passed"))
+
+
 def read_table(spark: SparkSession, url: str, query: str, timeout_s: int = 60, **options: str) -> DataFrame:
     """A read-only query over JDBC with a statement timeout; other statements are refused."""
     if statement_kind(query) not in ("select", "with"):
@@ -100,8 +201,6 @@ def write_csv(df: DataFrame, path: str) -> None:
 def output_hash(df: DataFrame, order: list[str]) -> str:
     """One SHA-256 over all rows, whatever their partitioning: row hashes summed by leading bytes in Spark, so
     nothing but 256 sums reaches the driver. order names the columns that make up a row."""
-    import hashlib
-
     row = F.sha2(F.to_json(F.struct(*order)), 256)
     sums = df.select(F.substring(row, 1, 2).alias("k"), F.conv(F.substring(row, 3, 15), 16, 10).cast("decimal(38,0)").alias("v")).groupBy("k").agg(F.sum("v").alias("v"), F.count("*").alias("n"))
     listed = sorted((r["k"], int(r["v"]), r["n"]) for r in sums.collect())
