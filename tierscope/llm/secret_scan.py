@@ -91,7 +91,7 @@ def _listed(spans: list[Span]) -> str:
 
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
-    """One row per input row: id, counts by base kind, number of linked weak parts, SHA-256 of the base spans, all spans."""
+    """One row per input row: id, counts by base kind, SHA-256 of the base spans, all spans, number of linked weak parts."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,12 +101,12 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 base = base_spans(text or "")
                 more = linked_spans(text or "", base, reach)
                 n = [sum(k == i for _, k, _ in base) for i in range(3)]
-                rows.append((*n, len(more), hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(sorted(base + more))))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "n_linked", "base_sha256", "spans"])
+                rows.append((*n, hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(sorted(base + more)), len(more)))
+            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked"])
             out.insert(0, id_col, frame["id_"])
             yield out
 
-    schema = f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, n_linked long, base_sha256 string, spans string"
+    schema = f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long"
     return in_batches(df).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).mapInPandas(tidy(run), schema)
 
 
