@@ -3,15 +3,18 @@
 The test items are the indexed side, and every passage of every document is a query. Impacts are BM25 scores
 divided by the item's own score, so one threshold fits short and long items. An item of more
 than PASSAGE words, of which a passage holds too small a share, is indexed as pieces of at most PIECE words, each
-with its own score: a copy of a piece lies whole in some passage. A find of a piece is verified on the whole item. Posting lists lie in blocks of
-items that keep each term's largest impact. All pivot tests of a block of passages are taken at once with
-numpy: the sum of the terms' list maxima must reach the threshold, then the sum of their block maxima for an
-item block, and only then are the items of that block scored in full. Both are upper bounds, so every passage
-and item above the threshold is found. A find is verified on words: at least OVERLAP of the item's runs of
-five words stand near the passage, and both its question and its answer are covered.
-
-The index is made in shards of SHARD_ITEMS items or pieces whose size is bounded; documents are read once. Null texts
-count as empty and match nothing; items without words are left out; repeated items and rows repeat finds.
+with its own score: a copy of a piece lies whole in some passage. A find of a piece is verified on the whole item.
+
+Posting lists are sparse and lie in blocks of items, and keep the largest impact of the list and of each block. Both bounds are taken with numpy for many
+passages at once: the sum of the terms' list maxima must reach the threshold, then the sum of their maxima for a
+block of items. The blocks left, few, are walked by pivots: the lists' cursors in the order of their items, the pivot
+where the maxima so far reach the threshold, and a score in full only where all cursors before it stand there too.
+Bounds never fall short, so every passage and item above the threshold is found. A find is verified on words: at least
+OVERLAP of the item's runs of five words stand near the passage, and both its question and its answer are covered.
+
+The index goes to every task: it has 8 bytes for each distinct word of an item, so it follows the benchmark and not
+the corpus; more than MOST_POSTINGS of them are refused. Documents are read once. Null texts count as empty and match
+nothing; items without words are left out; repeated items and rows repeat finds.
 """
 
 from __future__ import annotations
@@ -38,7 +41,9 @@ RUN, OVERLAP = 5, 0.8
 #: Share of the question's words, and of the answer's, that found runs must cover.
 PART_OVERLAP = 0.5
 K1, B = 1.2, 0.75
-BLOCK_ITEMS, SHARD_ITEMS = 8, 256
+BLOCK_ITEMS = 8
+#: Cells of passages by blocks that are bounded at once; most postings of an index, 400 MB.
+CELLS, MOST_POSTINGS = 1 << 19, 50_000_000
 
 
 @dataclass
@@ -59,12 +64,16 @@ class Piece:
 
 
 @dataclass
-class Shard:
-    """An index of some pieces: sorted term hashes; impacts by term and item, term and block, term."""
+class Index:
+    """Postings by term, in the order of the pieces: first[t]:first[t + 1] of piece and impact, and likewise of blocks."""
 
-    items: list[Piece]
-    terms: np.ndarray
+    pieces: list[Piece]
+    terms: np.ndarray  # sorted hashes
+    first: np.ndarray
+    piece: np.ndarray
     impact: np.ndarray
+    first_block: np.ndarray
+    block: np.ndarray
     block_max: np.ndarray
     list_max: np.ndarray
 
@@ -109,27 +118,30 @@ def pieces_of(item: Item) -> list[Piece]:
     return [Piece(item, part) for part in np.array_split(item.words, 1 if n <= PASSAGE else -(-n // PIECE))]
 
 
-def build_index(items: list[Item], k1: float = K1, b: float = B) -> list[Shard]:
-    """Shards of pieces; inverse document frequencies are over items."""
+def build_index(items: list[Item], k1: float = K1, b: float = B) -> Index | None:
+    """Inverse document frequencies are over items; impacts are by piece."""
     if not items:
-        return []
-    all_terms, df = np.unique(np.concatenate([np.unique(i.words) for i in items]), return_counts=True)
+        return None
+    terms, df = np.unique(np.concatenate([np.unique(i.words) for i in items]), return_counts=True)
     idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
-    pieces = [p for i in items for p in pieces_of(i)]
+    # Pieces of like length stand together, which makes tight block maxima.
+    pieces = sorted((p for i in items for p in pieces_of(i)), key=lambda p: len(p.words))
     mean = np.mean([len(p.words) for p in pieces])
-    shards = []
-    ordered = sorted(pieces, key=lambda i: len(i.words))  # alike lengths make tight block maxima
-    for at in range(0, len(ordered), SHARD_ITEMS):
-        part = ordered[at : at + SHARD_ITEMS]
-        terms = np.unique(np.concatenate([i.words for i in part]))
-        impact = np.zeros((len(terms), -(-len(part) // BLOCK_ITEMS) * BLOCK_ITEMS), np.float32)
-        for c, item in enumerate(part):
-            own, tf = np.unique(item.words, return_counts=True)
-            w = idf[np.searchsorted(all_terms, own)] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(item.words) / mean))
-            impact[np.searchsorted(terms, own), c] = w / w.sum()
-        block_max = impact.reshape(len(terms), -1, BLOCK_ITEMS).max(axis=2)
-        shards.append(Shard(part, terms, impact, block_max, block_max.max(axis=1)))
-    return shards
+    term, impact = [], []
+    for p in pieces:
+        own, tf = np.unique(p.words, return_counts=True)
+        at = np.searchsorted(terms, own)
+        w = idf[at] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(p.words) / mean))
+        term.append(at)
+        impact.append((w / w.sum()).astype(np.float32))
+    if (n := sum(map(len, term))) > MOST_POSTINGS:
+        raise ValueError(f"a benchmark of {n} postings doesn't go to every task; split it")
+    piece, term, impact = np.repeat(np.arange(len(pieces), dtype=np.int32), [len(t) for t in term]), np.concatenate(term), np.concatenate(impact)
+    order = np.argsort(term, kind="stable")
+    piece, term, impact = piece[order], term[order], impact[order]
+    first = np.searchsorted(term, np.arange(len(terms) + 1))
+    heads = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(piece // BLOCK_ITEMS, prepend=-1) != 0))
+    return Index(pieces, terms, first, piece, impact, np.searchsorted(term[heads], np.arange(len(terms) + 1)), piece[heads] // BLOCK_ITEMS, np.maximum.reduceat(impact, heads), np.maximum.reduceat(impact, first[:-1]))
 
 
 def passages(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -150,34 +162,62 @@ def _sums(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray
     return total[last] - total[first]
 
 
-def search(w: Words, shard: Shard, threshold: float = THRESHOLD) -> Iterator[tuple[int, int, int, float]]:
-    """(first word, past-the-last word, item number, score) of every passage and item at or above the threshold."""
+def walk(index: Index, terms: list[int], block: int, threshold: float) -> Iterator[tuple[int, float]]:
+    """(piece, score) of the pieces of a block that reach the threshold with the terms, by pivots."""
+    low, high = block * BLOCK_ITEMS, (block + 1) * BLOCK_ITEMS
+    cursors = []  # [piece, place of its posting, past the last place, largest impact in the block]
+    for t in terms:
+        a, b = index.first[t], index.first[t + 1]
+        a, b = a + np.searchsorted(index.piece[a:b], (low, high))
+        if a < b:
+            cursors.append([int(index.piece[a]), int(a), int(b), float(index.impact[a:b].max())])
+    while cursors:
+        cursors.sort()
+        bound, pivot = 0.0, -1
+        for c in cursors:
+            bound += c[3]
+            if bound >= threshold - 1e-6:
+                pivot = c[0]
+                break
+        if pivot < 0:
+            return
+        if cursors[0][0] == pivot:
+            score = float(sum(index.impact[c[1]] for c in cursors if c[0] == pivot))
+            if score >= threshold:
+                yield pivot, score
+            pivot += 1
+        for c in cursors:
+            while c[0] < pivot:
+                c[1] += 1
+                c[0] = int(index.piece[c[1]]) if c[1] < c[2] else high
+        cursors = [c for c in cursors if c[0] < high]
+
+
+def search(w: Words, index: Index, threshold: float = THRESHOLD) -> Iterator[tuple[int, int, int, float]]:
+    """(first word, past-the-last word, piece number, score) of every passage and piece at or above the threshold."""
     first, last = passages(w)
-    at = np.minimum(np.searchsorted(shard.terms, w.h), len(shard.terms) - 1)
-    known = shard.terms[at] == w.h
+    at = np.minimum(np.searchsorted(index.terms, w.h), len(index.terms) - 1)
+    known = index.terms[at] == w.h
     # A term counts once in a query, but its repeats may stay in an upper bound.
-    fit = np.flatnonzero(_sums(np.where(known, shard.list_max[at], 0.0), first, last) >= threshold - 1e-6)
-    if not len(fit):
-        return
+    fit = np.flatnonzero(_sums(np.where(known, index.list_max[at], 0.0), first, last) >= threshold - 1e-6)
     # Only the known words of those passages are looked at any more.
-    seen = np.concatenate([[0], np.cumsum(known)])
-    where = np.flatnonzero(known)
-    step = 4096
+    seen, where = np.concatenate([[0], np.cumsum(known)]), np.flatnonzero(known)
+    n_blocks = -(-len(index.pieces) // BLOCK_ITEMS)
+    step = max(1, CELLS // n_blocks)
     for chunk in (fit[i : i + step] for i in range(0, len(fit), step)):
         a, b = seen[first[chunk]], seen[last[chunk]]
         owner = np.repeat(np.arange(len(chunk)), b - a)
         term = at[where[np.arange(len(owner)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)]]
-        pair = np.unique(owner * np.int64(len(shard.terms)) + term)
-        owner, term = pair // len(shard.terms), pair % len(shard.terms)
-        heads = np.flatnonzero(np.diff(owner, prepend=-1))
-        bound = np.add.reduceat(shard.block_max[term], heads, axis=0)
-        ends = np.append(heads[1:], len(owner))
-        for row, block in zip(*np.nonzero(bound >= threshold - 1e-6), strict=True):
-            items = slice(block * BLOCK_ITEMS, (block + 1) * BLOCK_ITEMS)
-            score = shard.impact[term[heads[row] : ends[row]], items].sum(axis=0)
-            p = chunk[owner[heads[row]]]
-            for i in np.flatnonzero(score >= threshold):
-                yield int(first[p]), int(last[p]), int(block * BLOCK_ITEMS + i), float(score[i])
+        pair = np.unique(owner * np.int64(len(index.terms)) + term)
+        owner, term = pair // len(index.terms), pair % len(index.terms)
+        size = index.first_block[term + 1] - index.first_block[term]
+        entry = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(index.first_block[term], size)
+        bound = np.bincount(np.repeat(owner, size) * n_blocks + index.block[entry], index.block_max[entry], len(chunk) * n_blocks)
+        cut = np.searchsorted(owner, np.arange(len(chunk) + 1))
+        for cell in np.flatnonzero(bound >= threshold - 1e-6).tolist():
+            p, block = divmod(cell, n_blocks)
+            for piece, score in walk(index, term[cut[p] : cut[p + 1]].tolist(), block, threshold):
+                yield int(first[chunk[p]]), int(last[chunk[p]]), piece, score
 
 
 def verify(h: np.ndarray, item: Item) -> tuple[float, float, float]:
@@ -198,21 +238,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     The benchmark is gathered on the driver: its size is that of a published test set, not of the corpus.
     """
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    shards = build_index(build_items([tuple(r) for r in benchmark.select(item_col, item_text).orderBy(item_col, item_text).collect()]))
+    index = build_index(build_items([tuple(r) for r in benchmark.select(item_col, item_text).orderBy(item_col, item_text).collect()]))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in blocks(frames, "text_"):
             w = _words(texts_in(frame, "text_"))
             bounds, best = w.bounds(), {}
-            for shard in shards if len(w.h) else []:
-                for first, last, i, score in search(w, shard, threshold):
-                    item, doc = shard.items[i].item, int(w.doc[first])
-                    wide = len(item.words)
-                    found = verify(w.h[max(bounds[doc], first - wide) : min(bounds[doc + 1], last + wide)], item)
-                    if found[0] >= OVERLAP and min(found[1:]) >= PART_OVERLAP:
-                        key = (doc, id(item))
-                        if key not in best or best[key][1:] < (found[0], score):
-                            best[key] = (item.item_id, found[0], score, *found[1:])
+            for first, last, i, score in search(w, index, threshold) if index is not None and len(w.h) else ():
+                item, doc = index.pieces[i].item, int(w.doc[first])
+                wide = len(item.words)
+                found = verify(w.h[max(bounds[doc], first - wide) : min(bounds[doc + 1], last + wide)], item)
+                if found[0] >= OVERLAP and min(found[1:]) >= PART_OVERLAP:
+                    key = (doc, id(item))
+                    if key not in best or best[key][1:] < (found[0], score):
+                        best[key] = (item.item_id, found[0], score, *found[1:])
             rows = [(frame["id_"][doc], item_id, score, overlap, q, a) for (doc, _), (item_id, overlap, score, q, a) in best.items()]
             yield pd.DataFrame(rows, columns=[id_col, item_col, "score", "overlap", "question_overlap", "answer_overlap"])
 
