@@ -20,6 +20,7 @@ nothing; items without words are left out; repeated items and rows repeat finds.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +42,7 @@ RUN, OVERLAP = 5, 0.8
 #: Share of the question's words, and of the answer's, that found runs must cover.
 PART_OVERLAP = 0.5
 K1, B = 1.2, 0.75
-BLOCK_ITEMS = 8
+BLOCK_ITEMS = 4
 #: Cells of passages by blocks that are bounded at once; most postings of an index, 400 MB.
 CELLS, MOST_POSTINGS = 1 << 19, 50_000_000
 
@@ -166,11 +167,11 @@ def walk(index: Index, terms: list[int], block: int, threshold: float) -> Iterat
     """(piece, score) of the pieces of a block that reach the threshold with the terms, by pivots."""
     low, high = block * BLOCK_ITEMS, (block + 1) * BLOCK_ITEMS
     cursors = []  # [piece, place of its posting, past the last place, largest impact in the block]
-    for t in terms:
-        a, b = index.first[t], index.first[t + 1]
-        a, b = a + np.searchsorted(index.piece[a:b], (low, high))
+    for a, b in zip(index.first[terms].tolist(), index.first[np.add(terms, 1)].tolist(), strict=True):
+        a = bisect_left(index.piece, low, a, b)
+        b = bisect_left(index.piece, high, a, b)
         if a < b:
-            cursors.append([int(index.piece[a]), int(a), int(b), float(index.impact[a:b].max())])
+            cursors.append([int(index.piece[a]), a, b, max(index.impact[a:b].tolist())])
     while cursors:
         cursors.sort()
         bound, pivot = 0.0, -1
