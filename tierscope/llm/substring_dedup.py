@@ -251,7 +251,9 @@ def repeated_ranges(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def sorted_(bucket: pd.DataFrame) -> pd.DataFrame:
         return repeats(list(zip(bucket["numbers"], bucket["words"], strict=True)), window)
 
-    found = rows.where("id_ IS NOT NULL").mapInPandas(tidy(packed), "bucket long, numbers binary, words binary").groupBy("bucket").applyInPandas(sorted_, "doc long, start long, end long")
+    # As many partitions as buckets: few of them have more than one or two.
+    dealt = rows.where("id_ IS NOT NULL").mapInPandas(tidy(packed), "bucket long, numbers binary, words binary").repartition(n_buckets, "bucket")
+    found = dealt.groupBy("bucket").applyInPandas(sorted_, "doc long, start long, end long")
 
     def merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
