@@ -1,5 +1,8 @@
 """Null ids, rows that share an id, and empty tables, for every operator on documents."""
 
+import hashlib
+import random
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 from tierscope.llm import bm25_decontam, byte_bpe, lang_id, license_digest, lm_score, quality_qda, secret_scan, substring_dedup
 from tierscope.llm.ngram_jaccard import group_documents
 
-from .test_documents import PATH, docs_of
+from .test_documents import PATH, brute_base, brute_substrings, docs_of, sentence, words
 
 
 def operators(spark):
@@ -44,3 +47,27 @@ def test_edges(spark, name):
     assert run(docs.limit(0)).count() == 0
     if name != "language":  # whose labels are a column of the documents
         assert len(run(docs.select("text", "doc_id")).collect()) == len(got)
+
+
+def test_texts_longer_than_a_block(spark):
+    """A text of over a megabyte beside short ones, for every operator: it counts whole, and its end as much as its begin."""
+    rng = random.Random(51)
+    passage, item = sentence(rng, 40), "which colour has the sky at noon on a clear day in summer. It is a light blue."
+    long_ = sentence(rng, 230_000, 50_000) + f" {passage} password=hunter22hunter {item}\nReleased under the MIT License."
+    texts = [long_, "short words " + passage, "one more text", long_ + " end"]
+    assert len(long_) > 1_200_000
+    docs, run = docs_of(spark, texts), operators(spark)
+    rows = {name: {r["doc_id"]: r for r in run[name](docs).collect()} for name in ("quality", "secrets", "redaction", "substrings", "licences", "lm", "language", "bpe", "jaccard")}
+    assert all(set(r) == {0, 1, 2, 3} for r in rows.values())
+    want = brute_substrings(list(enumerate(texts)))
+    assert {i: (r["n_words"], r["n_removed"], r["kept_text"]) for i, r in rows["substrings"].items()} == want and want[3][1] > 230_000
+    assert rows["secrets"][0]["base_sha256"] == hashlib.sha256(brute_base(long_).encode()).hexdigest() and rows["secrets"][0]["n_assign"] == 1
+    assert "hunter22" not in rows["redaction"][0]["text"] and rows["redaction"][0]["text"].startswith(long_[:1000])
+    assert (rows["licences"][0]["n_notices"], rows["licences"][0]["notice_ids"]) == (1, "MIT")
+    assert rows["lm"][0]["n_tokens"] == len(words(long_)) and rows["lm"][2]["n_tokens"] == 3
+    assert rows["bpe"][0]["decoded_sha256"] == hashlib.sha256(long_.encode()).hexdigest()
+    sizes = [len({tuple(w[i : i + 4]) for i in range(len(w) - 3)} or [w]) for w in (words(t.lower()) for t in texts)]
+    assert [rows["jaccard"][i]["n_shingles"] for i in range(4)] == sizes
+    assert [rows["jaccard"][i]["component_id"] for i in range(4)] == [0, 1, 2, 0]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r["doc_id"] for r in bm25_decontam.find_leaks(docs, items).collect()} == {0, 3}
