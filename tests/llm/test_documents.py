@@ -120,10 +120,15 @@ def test_one_piece_and_lockstep_agree():
     codec = byte_bpe.ByteBPE(ranks, public_tokenizers.PATTERN, keep=50)
     rng = random.Random(2)
     pieces = ["".join(rng.choice("abcést ") for _ in range(rng.randrange(1, 40))) for _ in range(400)]
-    into = {}
-    codec.learn(set(pieces), into)
+    codec.learn(set(pieces))
     for p in pieces:
-        assert into[p][1] == ",".join(map(str, byte_bpe.merge_piece(p.encode(), ranks))) and into[p][2] == p.encode()
+        assert codec.store[p] == ",".join(map(str, byte_bpe.merge_piece(p.encode(), ranks)))
+    assert not codec.changed
+    # What is decoded comes from the ids: with another table of tokens it isn't the text.
+    codec.token = codec.token | {ranks[b"e"]: b"<e>"}
+    codec.store = {}
+    [(n, ids, data)] = codec.encoded(["q\x01e q\x01e"])
+    assert data == b"".join(codec.token[int(i)] for i in ids.split(",")) and b"<e>" in data and n == len(ids.split(","))
 
 
 # --- substring dedup ----------------------------------------------------------------------------------

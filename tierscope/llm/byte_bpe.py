@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import blocks, in_batches, keeps, texts_in, tidy
 
-#: Pieces kept by the store of a Python worker, at about 400 bytes each.
-KEPT_PIECES = 100_000
+#: Pieces kept by the store of a Python worker, at about 200 bytes each.
+KEPT_PIECES = 250_000
 _NONE = 1 << 62
 
 
@@ -178,7 +178,9 @@ class ByteBPE:
         self.token = {i: b for b, i in ranks.items()}
         self.pairs, self.byte_ids = PairTable(ranks), np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.name = [str(i) for i in range(max(self.token) + 1)]
-        self.store: dict[str, tuple[int, str, bytes]] = {}
+        # Ids of pieces, joined by commas; what the ids of a piece decode to where that isn't the piece.
+        self.store: dict[str, str] = {}
+        self.changed: dict[str, bytes] = {}
 
     def ids(self, text: str) -> list[int]:
         return [i for m in self.pattern.finditer(text) for i in merge_piece(m.group().encode(), self.ranks)]
@@ -186,8 +188,8 @@ class ByteBPE:
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
-    def learn(self, pieces: Iterable[str], into: dict[str, tuple[int, str, bytes]]) -> None:
-        """Encode and decode pieces, by width of the tree that they need; over 32 bytes one at a time."""
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Encode pieces, by width of the tree that they need, over 32 bytes one at a time, and decode their ids."""
         by: dict[int, list[str]] = {}
         for p in pieces:
             n = len(p.encode())
@@ -204,7 +206,9 @@ class ByteBPE:
                 names, data = list(map(self.name.__getitem__, ids)), list(map(self.token.__getitem__, ids))
                 a = 0
                 for p, b in zip(part, ends, strict=True):
-                    into[p] = (b - a, ",".join(names[a:b]), b"".join(data[a:b]))
+                    self.store[p] = ",".join(names[a:b])
+                    if (decoded := b"".join(data[a:b])) != p.encode():
+                        self.changed[p] = decoded
                     a = b
 
     def encoded(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
@@ -213,11 +217,13 @@ class ByteBPE:
         wanted: set[str] = set().union(*cut)
         if len(self.store) + len(wanted) > self.keep:
             self.store = {p: x for p in wanted if (x := self.store.get(p)) is not None}
-        self.learn([p for p in wanted if p not in self.store], self.store)
+            self.changed = {p: x for p, x in self.changed.items() if p in self.store}
+        self.learn([p for p in wanted if p not in self.store])
         out = []
         for pieces in cut:
-            counts, ids, data = zip(*map(self.store.__getitem__, pieces), strict=True) if pieces else ((), (), ())
-            out.append((sum(counts), ",".join(ids), b"".join(data)))
+            ids = ",".join(map(self.store.__getitem__, pieces))
+            data = b"".join(self.changed[p] if p in self.changed else p.encode() for p in pieces) if self.changed else "".join(pieces).encode()
+            out.append((ids.count(",") + 1 if ids else 0, ids, data))
         return out
 
 
