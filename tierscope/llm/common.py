@@ -18,7 +18,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, StringType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
 #: Bytes of text that one block of the vectorised operators holds at a time.
 BLOCK_BYTES = 1 << 20
@@ -189,6 +190,19 @@ def tidy(run: Run, owner: str = "") -> Run:
     return tidied
 
 
+def map_frames(df: DataFrame, run: Run, schema: str, owner: str = "") -> DataFrame:
+    """mapInPandas that keeps whole numbers whole: where a batch has nulls in a column of longs, pandas would make it doubles,
+    which hold 53 bits; here it has Python's numbers and None. Tasks are tidied as tidy() does."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames = (batch.to_pandas(integer_object_nulls=True) for batch in batches)
+        for frame in tidy(run, owner)(frames):
+            yield pa.RecordBatch.from_pandas(frame, schema=arrow, preserve_index=False)
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    return df.mapInArrow(mapped, schema)
+
+
 def in_batches(df: DataFrame) -> DataFrame:
     """The same rows, to go to Python in batches of bounded bytes, however long the texts are: rows by count alone
     would hold ten thousand texts at once. The bound is a setting of the session; one of its own stays."""
