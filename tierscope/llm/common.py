@@ -197,7 +197,7 @@ def map_frames(df: DataFrame, run: Run, schema: str, owner: str = "") -> DataFra
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frames = (batch.to_pandas(integer_object_nulls=True) for batch in batches)
         for frame in tidy(run, owner)(frames):
-            yield pa.RecordBatch.from_pandas(frame, schema=arrow, preserve_index=False)
+            yield from pa.Table.from_pandas(frame, schema=arrow, preserve_index=False).to_batches()
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     return df.mapInArrow(mapped, schema)

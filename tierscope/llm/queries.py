@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_trie, embedding_dedup, lang_id, license_digest, ngram_jaccard, quality_rules, substring_dedup
+from . import conversation_trie, embedding_dedup, lang_id, license_digest, ngram_jaccard, quality_rules, spelling_variants, substring_dedup
 from .bm25_decontam import find_leaks
 from .byte_bpe import encode_digests
 from .common import held_out, read
@@ -69,7 +69,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_trie(read(spark, sf_dir, "conversations", even=False)).drop("node")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_qda, op2_secret_scan, op3_substring_dedup, op4_license_digest, op5_lm_score, op6_embedding_dedup, op7_lang_id, op8_byte_bpe, op9_bm25_decontam, op10_ngram_jaccard, op11_rule_ledger, op12_prefix_trie)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_variants(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_qda, op2_secret_scan, op3_substring_dedup, op4_license_digest, op5_lm_score, op6_embedding_dedup, op7_lang_id, op8_byte_bpe, op9_bm25_decontam, op10_ngram_jaccard, op11_rule_ledger, op12_prefix_trie, op13_spelling_variants)}
 
 #: DuckDB SQL by query; a query without one is tested against a brute-force version in tests/llm.
 ORACLE_SQL: dict[str, str] = {
@@ -79,4 +83,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_ngram_jaccard": ngram_jaccard.ORACLE_SQL,
     "op11_rule_ledger": quality_rules.oracle_sql(),
     "op12_prefix_trie": conversation_trie.ORACLE_SQL,
+    "op13_spelling_variants": spelling_variants.ORACLE_SQL,
 }
