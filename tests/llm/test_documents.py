@@ -63,6 +63,9 @@ def test_weak_parts_need_company():
     kinds = lambda t: [secret_scan.KINDS[k] for _, k, _ in secret_scan.linked_spans(t, secret_scan.base_spans(t))]
     assert kinds(alone) == []
     assert kinds("client_id: acme-7 nothing else") == []
+    for lone in (f'client_id: "{key}"', f"client_id: {key}", f"client_id={key}", f'client_id="{key}"', f"client_id = {key}", f"{{\"client_id\": \"{key}\"}}", f"https://example.com/{key}/v1", f"see https://example.com/?login={key} there"):
+        assert kinds(lone) == [], lone
+    assert kinds(f'client_id: "{key}"\nlogin: someone') == [], "a value is no secret for another identifier"
     assert kinds(f"client_id: acme-7\nkey {key}\nhttps://api.example.com/v1") == ["weak_id", "weak_secret", "endpoint"]
     assert kinds(f"client_id: acme-7\n\nkey {key}") == [], "a blank line ends the scope"
     assert kinds(f"client_id: acme-7 {'x ' * 300}{key}") == [], "too far apart"
@@ -73,19 +76,18 @@ def test_linking_against_all_pairs():
     """Each weak part is linked where parts of all roles that it needs lie in its scope and within reach."""
     rng = random.Random(31)
     key = "Ab3dEf6hIj9kLm2nOp5q"
-    parts = ["client_id=worker7", "login: someone", key, key.swapcase(), "https://api.example.org/v1", "host=db.example.org", "password=hunter22hunter", "AKIA" + "Q7" * 8, "0" * 32, "\n \n", "\n", "plain words", "x " * 60, "é" * 90]
+    parts = ["client_id=worker7", "login: someone", f'client_id: "{key}"', f"user={key}", f'"account": "{key}"', key, key.swapcase(), "https://api.example.org/v1", f"https://example.org/{key}/x?login=someone", "host=db.example.org", "password=hunter22hunter", "AKIA" + "Q7" * 8, "0" * 32, "\n \n", "\n", "plain words", "x " * 60, "é" * 90]
     needs, linked = {3: ("secret",), 4: ("id",), 5: ("id", "secret")}, 0
     role = {0: "secret", 1: "id", 2: "secret", 3: "id", 4: "secret", 5: "endpoint"}
     for _ in range(300):
         text = " ".join(rng.choice(parts) for _ in range(rng.randrange(0, 14)))
         base = secret_scan.base_spans(text)
-        ids = list(secret_scan._WEAK_ID.finditer(text))
-        own = {m.start(1) for m in ids if text[m.start(1) - 1] == "="}
-        weak = {(m.start(), 4, m.end()) for m in secret_scan._WEAK_SECRET.finditer(text) if secret_scan._opaque(m.group()) and m.start() not in own}
-        weak |= {(m.start(), 3, m.end()) for m in ids} | {(m.start(), 5, m.end()) for m in secret_scan._ENDPOINT.finditer(text)}
-        weak = {w for w in weak if not any(b[0] < w[2] and w[0] < b[2] for b in base)}
+        overlap = lambda x, y: x[0] < y[2] and y[0] < x[2]
+        named = {(m.start(), 3, m.end()) for m in secret_scan._WEAK_ID.finditer(text)} | {(m.start(), 5, m.end()) for m in secret_scan._ENDPOINT.finditer(text)}
+        weak = {w for w in ((m.start(), 4, m.end()) for m in secret_scan._WEAK_SECRET.finditer(text) if secret_scan._opaque(m.group())) if not any(overlap(w, n) for n in named)} | named
+        weak = {w for w in weak if not any(overlap(w, b) for b in base)}
         scope = lambda s: sum(m.start() <= s for m in re.finditer(r"\n[\x20\t\r]*\n", text))
-        meets = lambda w, o, r: role[o[1]] == r and scope(w[0]) == scope(o[0]) and o[0] <= w[2] + secret_scan.REACH and o[2] >= w[0] - secret_scan.REACH
+        meets = lambda w, o, r: role[o[1]] == r and not overlap(w, o) and scope(w[0]) == scope(o[0]) and o[0] <= w[2] + secret_scan.REACH and o[2] >= w[0] - secret_scan.REACH
         want = sorted(w for w in weak if all(any(meets(w, o, r) for o in [*base, *weak]) for r in needs[w[1]]))
         assert secret_scan.linked_spans(text, base) == want
         linked += len(want)

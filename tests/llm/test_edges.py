@@ -2,12 +2,13 @@
 
 import hashlib
 import random
+import zlib
 
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tierscope.llm import bm25_decontam, byte_bpe, lang_id, license_digest, lm_score, quality_qda, secret_scan, substring_dedup
+from tierscope.llm import bm25_decontam, byte_bpe, embedding_dedup, lang_id, license_digest, lm_score, quality_qda, secret_scan, substring_dedup
 from tierscope.llm.ngram_jaccard import group_documents
 
 from .test_documents import PATH, brute_base, brute_substrings, docs_of, sentence, words
@@ -71,3 +72,30 @@ def test_texts_longer_than_a_block(spark):
     assert [rows["jaccard"][i]["component_id"] for i in range(4)] == [0, 1, 2, 0]
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert {r["doc_id"] for r in bm25_decontam.find_leaks(docs, items).collect()} == {0, 3}
+
+
+BIG = [(1 << 60) + 1, None, (1 << 60) + 3]
+
+
+@pytest.mark.parametrize("name", ["quality", "secrets", "substrings", "licences", "lm", "language", "bpe", "jaccard"])
+def test_ids_of_64_bits_beside_null(spark, name):
+    """Doubles hold 53 bits: ids stay as they are where one of a batch is null."""
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, text + f" end{n}", "en") for n, i in enumerate(BIG)], "doc_id long, text string, lang string").coalesce(1)
+    rows = operators(spark)[name](docs).collect()
+    assert sorted(map(str, (r["doc_id"] for r in rows))) == sorted(map(str, BIG))
+    if name == "quality":
+        assert {r["doc_id"]: r["held_out"] for r in rows} == {i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1 for i in BIG}
+    if name == "jaccard":
+        assert {r["doc_id"]: r["component_id"] for r in rows if r["doc_id"]} == {BIG[0]: BIG[0], BIG[2]: BIG[0]}
+    if name == "substrings":
+        assert {r["doc_id"]: r["n_removed"] for r in rows if r["doc_id"]} == {BIG[0]: 0, BIG[2]: 40}
+
+
+def test_leaks_and_links_of_64_bit_ids(spark):
+    item = "which colour has the sky at noon on a clear day in summer. It is a light blue."
+    docs = spark.createDataFrame([(i, f"{n} {item}") for n, i in enumerate(BIG)], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in bm25_decontam.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()} == set(BIG)
+    vectors = spark.createDataFrame([(BIG[0], [1.0, 0.01, 0.3]), (None, [1.0, 0.0, 0.3]), (BIG[2], [1.0, 0.0, 0.3])], "vec_id long, embedding array<double>").coalesce(1)
+    rows = {r["vec_id"]: r for r in embedding_dedup.link_vectors(vectors).collect()}
+    assert set(rows) == set(BIG) and all(rows[i]["n_links"] == 1 and rows[i]["component_id"] == BIG[0] for i in (BIG[0], BIG[2]))

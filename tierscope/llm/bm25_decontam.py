@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, Words, blocks, in_batches, join_checked, stored, texts_in, tidy, words_of
+from .common import NON_WORD, Words, blocks, in_batches, join_checked, map_frames, stored, texts_in, words_of
 
 #: Words in a passage, and from one passage's begin to the next one's.
 PASSAGE, STRIDE = 64, 32
@@ -254,10 +254,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     if key not in best or best[key][1:] < (found[0], score):
                         best[key] = (item.item_id, found[0], score, *found[1:])
             rows = [(frame["id_"][doc], item_id, score, overlap, q, a) for (doc, _), (item_id, overlap, score, q, a) in best.items()]
-            yield pd.DataFrame(rows, columns=[id_col, item_col, "score", "overlap", "question_overlap", "answer_overlap"])
+            yield pd.DataFrame(rows, columns=[id_col, item_col, "score", "overlap", "question_overlap", "answer_overlap"], dtype=object)
 
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, score double, overlap double, question_overlap double, answer_overlap double"
-    return in_batches(docs).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).mapInPandas(tidy(run), schema)
+    return map_frames(in_batches(docs).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")), run, schema)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, in_batches, keeps, texts_in, tidy
+from .common import blocks, in_batches, keeps, map_frames, texts_in
 
 #: Pieces kept by the store of a Python worker, at about 200 bytes each.
 KEPT_PIECES = 250_000
@@ -253,7 +253,7 @@ def encode_texts(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 rows = own.encoded([t or "" for t in texts_in(part, "text_")])
                 yield pd.DataFrame({id_col: part["id_"].to_numpy(), "n_tokens": [r[0] for r in rows], "ids": [r[1] for r in rows], "decoded": [r[2] for r in rows]})
 
-    return in_batches(df).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).mapInPandas(tidy(run, __name__), f"`{id_col}` {kind}, n_tokens long, ids string, decoded binary")
+    return map_frames(in_batches(df).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")), run, f"`{id_col}` {kind}, n_tokens long, ids string, decoded binary", __name__)
 
 
 def encode_digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,4 +268,4 @@ def encode_digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id
             out.insert(0, id_col, frame["id_"])
             yield out
 
-    return in_batches(df).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).mapInPandas(tidy(run, __name__), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_frames(in_batches(df).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")), run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", __name__)

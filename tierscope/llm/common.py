@@ -278,9 +278,10 @@ def _row_bytes(df: DataFrame) -> Column:
 
 
 def join_checked(df: DataFrame, small: DataFrame, on: list[str] | str, how: str = "inner", most: int | None = None) -> DataFrame:
-    """Join with a stored table: broadcast if it has at most so many bytes, a shuffled join of the same result otherwise."""
+    """Join with a stored table: broadcast if it has at most so many bytes, otherwise a sorted join of the same result, which
+    Spark doesn't turn into a broadcast by the size of compressed files."""
     size = small.agg(F.sum(_row_bytes(small))).first()[0] or 0
-    return df.join(F.broadcast(small) if size <= (BROADCAST_BYTES if most is None else most) else small, on, how)
+    return df.join(F.broadcast(small) if size <= (BROADCAST_BYTES if most is None else most) else small.hint("merge"), on, how)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, in_batches, join_checked, mix, signed, stored, tidy
+from .common import components, in_batches, join_checked, map_frames, mix, signed, stored, tidy
 from .ngram_jaccard import _groups
 
 COSINE = 0.95
@@ -190,7 +190,7 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             yield pd.DataFrame({"id_": frame["id_"], "vector": [None if x is None else scaled(np.asarray(x, np.float64)).tobytes() for x in frame["vector_"]]})
 
     rows = in_batches(df).select(F.col(id_col).cast("long").alias("id_"), F.col(vector_col).cast("array<double>").alias("vector_")).withColumn("vector_", F.when(fine, v))
-    rows = rows.mapInPandas(tidy(packed), "id_ long, vector binary").distinct()
+    rows = map_frames(rows, packed, "id_ long, vector binary").distinct()
     rows = stored(rows.withColumn("key", F.when(F.col("id_").isNotNull(), F.sha2("vector", 256))), "vectors")
     classes = stored(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id_").alias("id_"), F.count("*").alias("copies"), F.first("vector").alias("vector")), "vector-classes")
 
@@ -204,10 +204,10 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     placed = stored(classes.mapInPandas(tidy(entered), "id_ long, copies long, vector binary, places array<long>, cells binary"), "vector-cells")
     spread = placed.select("id_", F.posexplode("places").alias("at", "cell")).select("id_", "cell", F.expr(f"at div {1 + PROBES}").alias("t"), (F.col("at") % (1 + PROBES) == 0).alias("home"))
     sizes = spread.groupBy("t", "cell").agg(F.count("*").alias("c"), F.max("home").alias("any")).where("c > 1 AND any").select("t", "cell", F.ceil(F.col("c") / TILE).alias("tiles"))
-    meeting = spread.join(sizes, ["t", "cell"]).withColumn("tile", F.pmod(F.xxhash64("id_"), F.col("tiles")))
+    meeting = spread.join(sizes.hint("merge"), ["t", "cell"]).withColumn("tile", F.pmod(F.xxhash64("id_"), F.col("tiles")))
     meeting = meeting.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     meeting = meeting.select("t", "cell", "id_", "home", "tile", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"))
-    meeting = meeting.join(placed.select("id_", "copies", "vector", "cells"), "id_").repartition("t", "cell", "x", "y").sortWithinPartitions("t", "cell", "x", "y", "id_")
+    meeting = meeting.join(placed.select("id_", "copies", "vector", "cells").hint("merge"), "id_").repartition("t", "cell", "x", "y").sortWithinPartitions("t", "cell", "x", "y", "id_")
 
     def compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _groups(frames, ["t", "cell", "x", "y"]):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import load_ranks
-from .common import _power_tables, _BYTE, blocks, held_out, in_batches, join_checked, keeps, mix, stored, texts_in, tidy, words_of
+from .common import _BYTE, _power_tables, blocks, held_out, in_batches, join_checked, keeps, map_frames, mix, stored, texts_in, tidy, words_of
 
 #: Training documents for each language at most: those whose hashed ids come first, among the first few times as many.
 TRAIN_DOCS = 400
@@ -331,7 +331,7 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
             lang, score = posteriors(texts_in(frame, "text_"), model, known)
             yield pd.DataFrame({id_col: frame["id_"], "lang_pred": lang, "score": score})
 
-    return in_batches(df).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).mapInPandas(tidy(run, __name__), f"`{id_col}` {kind}, lang_pred string, score double")
+    return map_frames(in_batches(df).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")), run, f"`{id_col}` {kind}, lang_pred string, score double", __name__)
 
 
 def accepted(df: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.5) -> DataFrame:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, blocks, components, in_batches, join_checked, mix, shingles_of, signed, stored, texts_in, tidy, words_of
+from .common import ASCII_LOWER, blocks, components, in_batches, join_checked, map_frames, mix, shingles_of, signed, stored, texts_in, tidy, words_of
 
 SHINGLE = 4
 #: A pair links when 100 * intersection >= PERCENT * union, unless another percentage is given.
@@ -192,14 +192,14 @@ def describe(rows: DataFrame, k: int = SHINGLE) -> DataFrame:
             sets = shingle_sets(texts_in(frame, "text_"), k)
             yield pd.DataFrame({"id_": frame["id_"], "n": [len(s) for s in sets], "set_": [_class_of(s) for s in sets], "least_": [signed(np.array([mix(s, salt).min() if len(s) else 0 for salt in range(ORDERS)], np.uint64)) for s in sets]})
 
-    return rows.mapInPandas(tidy(run), "id_ long, n long, set_ long, least_ array<long>")
+    return map_frames(rows, run, "id_ long, n long, set_ long, least_ array<long>")
 
 
 def block_links(rows: DataFrame, classes: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(a, b): links between classes whose smallest shingle in an order is the same, as many as join their components."""
     classes = classes.select("id_", "set_", F.posexplode("least_").alias("order_", "least_")).withColumn("least_", F.xxhash64("order_", "least_"))
     sizes = classes.groupBy("least_").agg(F.count("*").alias("c")).where("c > 1")
-    chosen = classes.join(sizes, "least_").withColumn("tiles", F.ceil(F.col("c") / TILE)).withColumn("tile", F.pmod(F.xxhash64("set_"), F.col("tiles")))
+    chosen = classes.join(sizes.hint("merge"), "least_").withColumn("tiles", F.ceil(F.col("c") / TILE)).withColumn("tile", F.pmod(F.xxhash64("set_"), F.col("tiles")))
     chosen = stored(chosen.select("id_", "set_", "least_", "tiles", "tile"), "jaccard-blocks")
     # The first tile goes along with every other one.
     to = F.when(F.col("tile") == 0, F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).otherwise(F.array("tile"))
@@ -276,7 +276,7 @@ def may_have_more(rows: DataFrame, classes: DataFrame, k: int = SHINGLE, percent
     marked = sent.withColumns({"least": F.min("lo").over(by), "most": F.max("hi").over(by)})
     counts = marked.where("w > 0 AND least < most").groupBy("set_").agg(F.sum("w").alias("w"))
     size = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
-    return classes.join(counts, "set_").withColumn("size", size).where(F.col("w") >= F.expr("1 + size div 3")).select("set_", "id_", "n")
+    return classes.join(counts.hint("merge"), "set_").withColumn("size", size).where(F.col("w") >= F.expr("1 + size div 3")).select("set_", "id_", "n")
 
 
 def first_shingles(sets: DataFrame, last: np.ndarray, percent: int = PERCENT) -> DataFrame:
@@ -315,7 +315,7 @@ def other_links(rows: DataFrame, described: DataFrame, classes: DataFrame, joine
     sets = stored(join_checked(rows, left.select("set_", "id_", "root"), "id_").mapInPandas(tidy(whole), "set_ long, root long, n long, bits binary, shingles binary"), "jaccard-sets")
     first = stored(_compared(sets, _candidates(sets, True, percent), percent), "jaccard-first")
     ends = sets.select("set_", "root").distinct()
-    roots = first.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select("x", "y")
+    roots = first.join(ends.toDF("a", "x").hint("merge"), "a").join(ends.toDF("b", "y").hint("merge"), "b").select("x", "y")
     merged = stored(components(roots, "x", "y").toDF("root", "into"), "jaccard-merged")
     rest = join_checked(sets, merged, "root", "left").withColumn("root", F.coalesce("into", "root")).drop("into")
     return first.unionByName(_compared(sets, _candidates(rest, False, percent), percent))
@@ -331,7 +331,7 @@ def _candidates(sets: DataFrame, best: bool, percent: int) -> DataFrame:
     dealt = held.withColumn("tiles", F.ceil(F.col("c") / TILE)).withColumn("tile", F.pmod(F.xxhash64("set_"), F.col("tiles")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     dealt = dealt.select("shingle", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "tile", "set_", "root")
-    dealt = dealt.join(sets.select("set_", "n", "bits"), "set_").repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y", "n")
+    dealt = dealt.join(sets.select("set_", "n", "bits").hint("merge"), "set_").repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y", "n")
 
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _groups(frames, ["shingle", "x", "y"]):
@@ -368,7 +368,7 @@ def _compared(sets: DataFrame, maybe: DataFrame, percent: int) -> DataFrame:
             ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(frame["s_a"], frame["s_b"], strict=True)]
             yield frame.loc[np.array(ok, bool), ["a", "b"]]
 
-    return maybe.join(left, "a").join(right, "b").mapInPandas(tidy(compare), "a long, b long").distinct()
+    return maybe.join(left.hint("merge"), "a").join(right.hint("merge"), "b").mapInPandas(tidy(compare), "a long, b long").distinct()
 
 
 def group_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, held_out, in_batches, shingles_of, stored, texts_in, tidy, words_of
+from .common import blocks, held_out, in_batches, map_frames, shingles_of, stored, texts_in, words_of
 
 #: Share of the pooled covariance, and of the mean variance as a multiple of the identity.
 POOL, RIDGE = 0.2, 0.02
@@ -85,7 +85,7 @@ def with_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for frame in blocks(frames, "text_"):
             yield pd.DataFrame({id_col: frame["id_"], "stats": list(statistics(texts_in(frame, "text_")))})
 
-    return in_batches(df).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).mapInPandas(tidy(run), f"`{id_col}` {kind}, stats array<double>")
+    return map_frames(in_batches(df).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")), run, f"`{id_col}` {kind}, stats array<double>")
 
 
 @dataclass
@@ -164,7 +164,7 @@ def classify(stats: DataFrame, model: QDA | float, id_col: str = "doc_id") -> Da
             score = np.full(len(frame), model) if isinstance(model, float) or not len(frame) else model.score(np.stack(frame["stats"].to_numpy()))
             yield pd.DataFrame({id_col: frame[id_col], "score": score, "predicted": (score >= 0.5).astype(int)})
 
-    return stats.select(id_col, "stats").mapInPandas(run, f"`{id_col}` {kind}, score double, predicted int")
+    return map_frames(stats.select(id_col, "stats"), run, f"`{id_col}` {kind}, score double, predicted int")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

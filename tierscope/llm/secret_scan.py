@@ -3,7 +3,9 @@
 Three base kinds are reported wherever they match. Weak parts (account identifiers, endpoints, opaque
 tokens) say little alone: they are reported only when complementary parts lie in the same scope. A scope
 is a run of lines without a blank one; within it each part's interval is widened by REACH on both sides
-and joined with the others by a sweep over sorted bounds, so no pair of parts is ever listed.
+and joined with the others by a sweep over sorted bounds, so no pair of parts is ever listed. A part gives
+support only from outside the span that it supports, and the value of an identifier or a piece of an endpoint is
+no part of its own.
 
 Null texts count as empty. Rows are independent: repeated rows give repeated results.
 """
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, texts_in, tidy
+from .common import in_batches, map_frames, texts_in
 
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 #: Most code points between two parts of one credential.
@@ -52,21 +54,22 @@ def _opaque(token: str) -> bool:
     return any(c.isdigit() for c in token) and any(c.isupper() for c in token) and any(c.islower() for c in token) and len(set(token)) >= 10
 
 
+def _overlaps(spans: list[Span], others: list[Span]) -> list[int]:
+    """How many of the others each span overlaps: those begun before its end less those ended by its begin."""
+    starts, ends = sorted(s for s, _, _ in others), sorted(e for _, _, e in others)
+    return [bisect_left(starts, e) - bisect_right(ends, s) for s, _, e in spans]
+
+
 def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     """Weak parts that complementary parts support: an identifier with a secret, an opaque token with an
     identifier, an endpoint with both. Weak parts that overlap a base span are left to it."""
     weak: list[Span] = [(m.start(), 4, m.end()) for m in _WEAK_SECRET.finditer(text) if _opaque(m.group())]
     if ":" in text or "=" in text:
-        ids = list(_WEAK_ID.finditer(text))
-        # An identifier's own value in key=value form is no second part.
-        values = {m.start(1) for m in ids if text[m.start(1) - 1] == "="}
-        weak = [w for w in weak if w[0] not in values]
-        weak += [(m.start(), 3, m.end()) for m in ids]
-        weak += [(m.start(), 5, m.end()) for m in _ENDPOINT.finditer(text)]
+        named = [(m.start(), 3, m.end()) for m in _WEAK_ID.finditer(text)] + [(m.start(), 5, m.end()) for m in _ENDPOINT.finditer(text)]
+        weak = [w for w, n in zip(weak, _overlaps(weak, named), strict=True) if not n] + named
+    weak = [w for w, n in zip(weak, _overlaps(weak, base), strict=True) if not n]
     if not weak:
         return []
-    starts, ends = [s for s, _, _ in base], sorted(e for _, _, e in base)
-    weak = [w for w in weak if bisect_left(starts, w[2]) - bisect_right(ends, w[0]) <= 0]
     cuts = [m.start() for m in _BLANK.finditer(text)]
     role = {0: "secret", 1: "id", 2: "secret", 3: "id", 4: "secret", 5: "endpoint"}
     held: dict[tuple[str, int], tuple[list[int], list[int]]] = {}
@@ -78,9 +81,12 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
         at[1].sort()
 
     def near(part: Span, what: str) -> bool:
-        """Whether an interval of that role overlaps the part's widened one: those begun less those ended."""
+        """Whether an interval of that role overlaps the part's widened one, but not the part: those begun less those ended."""
         at = held.get((what, bisect_right(cuts, part[0])))
-        return at is not None and bisect_right(at[0], part[2] + reach) > bisect_left(at[1], part[0] - reach)
+        if at is None:
+            return False
+        around = bisect_right(at[0], part[2] + reach) - bisect_left(at[1], part[0] - reach)
+        return around > bisect_left(at[0], part[2]) - bisect_right(at[1], part[0])
 
     needs = {3: ("secret",), 4: ("id",), 5: ("id", "secret")}
     return sorted(w for w in set(weak) if all(near(w, what) for what in needs[w[1]]))
@@ -107,7 +113,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield out
 
     schema = f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long"
-    return in_batches(df).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).mapInPandas(tidy(run), schema)
+    return map_frames(in_batches(df).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")), run, schema)
 
 
 def redact(text: str | None, mark: str = "[REDACTED]", reach: int = REACH) -> str | None:

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, in_batches, join_checked, mix, signed, stored, texts_in, tidy, words_of
+from .common import Words, blocks, in_batches, join_checked, map_frames, mix, signed, stored, texts_in, tidy, words_of
 
 WINDOW, MINIMISER = 20, 3
 #: Characters of text for each bucket, and in each block.
@@ -292,7 +292,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             part.insert(0, id_col, frame["id_"])
             yield part
 
-    return rows.mapInPandas(tidy(run), f"`{id_col}` {kind}, n_words long, n_removed long, kept_text string")
+    return map_frames(rows, run, f"`{id_col}` {kind}, n_words long, n_removed long, kept_text string")
 
 
 ORACLE_SQL = r"""
