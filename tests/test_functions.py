@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tierscope.functions import core, structure, text
+from tierscope.functions import core, distance, structure, text
 
 
 def one(spark, **columns):
@@ -79,7 +79,7 @@ def test_errors(spark):
     assert e("abc", "axc")["value"] == pytest.approx(1 / 3)
     assert e("", "") == {"numerator": 0, "denominator": 0, "excluded_count": 0, "value": 0.0}
     assert e("", "x") == {"numerator": 0, "denominator": 0, "excluded_count": 1, "value": None}
-    assert text.edit_distance(list("kitten"), list("sitting")) == 3
+    assert distance.edit_distance(list("kitten"), list("sitting")) == 3
     tokens = text.word_tokens()
     w = one(spark, v=text.word_error_rate(tokens(lit("It's 3.5 km, no?"), lit("english")), tokens(lit("It's 3.5 miles"), lit("english"))))["v"]
     assert (w["numerator"], w["denominator"]) == (2, 4)

@@ -220,8 +220,6 @@ def test_structure(spark):
     assert (r["true_positives"], r["false_positives"], r["false_negatives"]) == (1, 2, 1) and r["f1"]["value"] == pytest.approx(0.4)
     p = metrics.structure_metrics(ref, out, complete=False).first()
     assert p["false_positives"] is None and p["precision"]["value"] is None and p["recall"]["value"] == 0.5
-    assert metrics.maximum_matching([(0, 0, 1.0), (0, 1, 0.9), (1, 0, 1.0)]) == 2
-    assert metrics.maximum_matching([(0, 0, 1.0), (0, 1, 0.9), (1, 0, 1.0), (1, 1, 0.95), (2, 1, 1.0), (2, 2, 0.9)]) == 3
 
 
 def test_chunks(spark):

@@ -13,7 +13,9 @@ import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
+
+from .distance import token_edit_distance
 
 # Unicode classes as regular-expression sets.
 ECMA_SPACE = r"[\x09-\x0D\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -123,21 +125,6 @@ def word_tokens(segmenter=default_segmenter):
     return tokens
 
 
-def edit_distance(a: list, b: list) -> int:
-    """Levenshtein distance of two sequences in one row of memory."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1]
-
-
-@F.pandas_udf(LongType())
-def token_edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else edit_distance(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int64")
-
-
 def error_rate(edits: Column, reference_length: Column, output_length: Column) -> Column:
     """Edits by reference length; an empty reference with output is excluded, not zero."""
     from .core import metric

@@ -5,67 +5,41 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import metric, ratio_value
-from ..functions.text import text_similarity
+from .graphs import matched_by_component
+from .similarity import alike, text_classes
+
+
+def _sides(reference: DataFrame, output: DataFrame, key: str) -> list[DataFrame]:
+    return [text_classes(side, [key, "type"], "idx", "text") for side in (reference, output)]
 
 
 def similar_elements(reference: DataFrame, output: DataFrame, threshold: float = 0.9, key: str = "doc_id") -> DataFrame:
-    """(key, ref_idx, out_idx, similarity) of pairs of one type that are alike enough: an equi-join on document
-    and type, with the least length difference tested before the distance."""
-    r = reference.select(key, "type", F.col("idx").alias("ref_idx"), F.col("text").alias("ref_text"))
-    o = output.select(key, "type", F.col("idx").alias("out_idx"), F.col("text").alias("out_text"))
-    a, b = F.length("ref_text"), F.length("out_text")
-    near = F.abs(a - b) <= (1 - threshold) * F.greatest(a, b) + 1e-9
-    pairs = r.join(o, [key, "type"]).where(near).withColumn("similarity", text_similarity(F.col("ref_text"), F.col("out_text")))
-    return pairs.where(F.col("similarity") >= threshold).select(key, "ref_idx", "out_idx", "similarity")
-
-
-def maximum_matching(edges: list[tuple[int, int, float]]) -> int:
-    """Size of the largest one-to-one matching, by augmenting paths; better candidates are tried first."""
-    near: dict[int, list[int]] = {}
-    for ref, out, _ in sorted(edges, key=lambda e: (e[0], -e[2], e[1])):
-        near.setdefault(ref, []).append(out)
-    taken: dict[int, int] = {}
-
-    def augment(start: int) -> bool:
-        seen: set[int] = set()
-        stack, path = [(start, iter(near[start]))], []
-        while stack:
-            ref, rest = stack[-1]
-            out = next((o for o in rest if o not in seen), None)
-            if out is None:
-                stack.pop()
-                if path:
-                    path.pop()
-                continue
-            seen.add(out)
-            path.append((ref, out))
-            if out not in taken:
-                for r, o in path:
-                    taken[o] = r
-                return True
-            stack.append((taken[out], iter(near.get(taken[out], []))))
-        return False
-
-    return sum(augment(ref) for ref in near)
+    """(key, ref_idx, out_idx, similarity) of pairs of one type that are alike enough. Different texts are compared once,
+    and only those that have a piece in common."""
+    by = [key, "type"]
+    r, o = _sides(reference, output, key)
+    found = alike(r, o, by, threshold)
+    named = []
+    for side, classes, rep, idx in ((reference, r, "left_rep", "ref_idx"), (output, o, "right_rep", "out_idx")):
+        named.append(side.select(*by, F.col("idx").alias(idx), "text").join(classes.select(*by, "text", F.col("rep").alias(rep)).hint("merge"), [*by, "text"]).drop("text"))
+    return found.join(named[0].hint("merge"), [*by, "left_rep"]).join(named[1].hint("merge"), [*by, "right_rep"]).select(key, "ref_idx", "out_idx", "similarity")
 
 
 def structure_metrics(reference: DataFrame, output: DataFrame, threshold: float = 0.9, complete: bool = True, key: str = "doc_id") -> DataFrame:
     """By document: matched, spurious and missed elements, precision, recall and F1 as metric values.
 
-    complete False: the reference covers a part, so spurious elements, precision and F1 are withheld.
+    complete False: the reference covers a part, so spurious elements, precision and F1 are withheld. Elements of
+    equal text stand for one node that is matched as often as there are of them; idx is a number that is unique in a document's side.
     """
-    edges = similar_elements(reference, output, threshold, key)
-    kind = reference.schema[key].dataType.simpleString()
-
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        n = maximum_matching(list(zip(group["ref_idx"], group["out_idx"], group["similarity"], strict=True)))
-        return pd.DataFrame({key: [group[key].iloc[0]], "true_positives": [n]})
-
-    matched = edges.groupBy(key).applyInPandas(match, f"`{key}` {kind}, true_positives long")
+    r, o = _sides(reference, output, key)
+    copies = [side.select(key, "type", F.col("rep").alias(f"{name}_rep"), F.col("copies").alias(f"n_{name}")) for side, name in ((r, "left"), (o, "right"))]
+    pairs = alike(r, o, [key, "type"], threshold).join(copies[0].hint("merge"), [key, "type", "left_rep"]).join(copies[1].hint("merge"), [key, "type", "right_rep"])
+    edges = pairs.select(key, F.col("left_rep").cast("long").alias("left_id"), F.col("right_rep").cast("long").alias("right_id"), "n_left", "n_right")
+    matched = matched_by_component(edges, key).withColumnRenamed("matched", "true_positives")
     sizes = reference.groupBy(key).agg(F.count("*").alias("n_ref")).join(output.groupBy(key).agg(F.count("*").alias("n_out")), key, "full").na.fill(0, ["n_ref", "n_out"])
     out = sizes.join(matched, key, "left").na.fill(0, ["true_positives"])
     tp, n_ref, n_out = F.col("true_positives"), F.col("n_ref"), F.col("n_out")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import STATUSES, STRATA, TIERS, ratio_value
+from .quantiles import percentiles, with_percentiles
 
 
 @dataclass(frozen=True)
@@ -116,17 +118,25 @@ def page_groups(cells: DataFrame, by: list[list[str]]) -> DataFrame:
     columns = list(dict.fromkeys(c for s in by for c in s))
     wall = F.when((F.col("status") == "succeeded") & F.col("wall_ms").isNotNull(), F.col("wall_ms"))
     out = cells.groupingSets([[F.col(c) for c in s] for s in by], *columns).agg(
+        F.grouping_id().alias("set_"),
         F.count(wall).alias("numerator"), F.count("*").alias("denominator"), (F.count("*") - F.count(wall)).alias("excluded_count"),
         *(F.count_if(F.col("status") == s).alias(s) for s in STATUSES),
-        F.coalesce(F.sum(wall), F.lit(0.0)).alias("total_ms"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN status = 'succeeded' THEN wall_ms END)").alias("median_ms"), F.min(wall).alias("min_ms"), F.max(wall).alias("max_ms"))
+        F.coalesce(F.sum(wall), F.lit(0.0)).alias("total_ms"), F.min(wall).alias("min_ms"), F.max(wall).alias("max_ms"))
+    # The rows of each grouping set, named as grouping_id does.
+    timed, kinds = cells.where(wall.isNotNull()), {f.name: f.dataType for f in cells.schema.fields}
+    parts = [timed.select(F.lit(sum(1 << i for i, c in enumerate(reversed(columns)) if c not in s)).cast("long").alias("set_"), *(F.col(c) if c in s else F.lit(None).cast(kinds[c]).alias(c) for c in columns), "wall_ms") for s in by]
+    found = percentiles(reduce(DataFrame.unionByName, parts), ["set_", *columns], "wall_ms", nearest={"median_ms": 0.5})
+    out = with_percentiles(out, found, ["set_", *columns], ["median_ms"]).drop("set_")
     n = F.col("numerator")
     return out.withColumns({"total_ms": F.round("total_ms", 3), "total_minutes": F.round(F.col("total_ms") / 60_000, 3), "mean_ms": F.when(n > 0, F.round(F.col("total_ms") / F.when(n > 0, n), 3))})
 
 
 def page_count_profile(documents: DataFrame, column: str = "page_count") -> DataFrame:
     """Nearest-rank percentiles, least, most and mean of page counts; all 0 without documents."""
-    ranks = [F.expr(f"cast(percentile_disc({p}) WITHIN GROUP (ORDER BY {column}) AS bigint)").alias(n) for n, p in (("p50", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95))]
-    out = documents.agg(F.count("*").alias("documents"), *ranks, F.min(column).alias("min"), F.max(column).alias("max"), F.avg(column).alias("mean"))
+    ranks = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
+    out = documents.agg(F.count("*").alias("documents"), F.min(column).alias("min"), F.max(column).alias("max"), F.avg(column).alias("mean"))
+    out = with_percentiles(out, percentiles(documents, [], column, nearest=ranks), [], list(ranks))
+    out = out.select("documents", *(F.col(r).cast("long").alias(r) for r in ranks), "min", "max", "mean")
     return out.na.fill(0)
 
 
@@ -134,10 +144,15 @@ def calibrate_overheads(samples: DataFrame) -> DataFrame:
     """(provider_id, fixed_overhead_ms, basis) of probe samples (provider_id, wall_ms, provider_ms,
     baseline_ms): the median of wall less reported time, or the median of baseline calls where nothing is
     reported. Raises where a provider has neither."""
-    reported = F.count("provider_ms") > 0
-    return samples.groupBy("provider_id").agg(
-        F.round(F.when(reported, F.greatest(F.lit(0.0), F.median(F.when(F.col("provider_ms").isNotNull(), F.col("wall_ms") - F.col("provider_ms"))))).when(F.count("baseline_ms") > 0, F.median("baseline_ms")).otherwise(F.raise_error(F.lit("a provider has no sample to take a median of")).cast("double")), 3).alias("fixed_overhead_ms"),
-        F.when(reported, "provider-reported").otherwise("client-observed-wall-minus-baseline-proxy").alias("basis"))
+    known = F.col("provider_ms").isNotNull()
+    groups = samples.groupBy("provider_id").agg((F.count("provider_ms") > 0).alias("reported"), F.count("baseline_ms").alias("n_baseline"))
+    values = samples.select("provider_id", F.when(known, F.col("wall_ms") - F.col("provider_ms")).alias("rest"), "baseline_ms")
+    out = groups
+    for column, name in (("rest", "rest_median"), ("baseline_ms", "baseline_median")):
+        out = with_percentiles(out, percentiles(values, ["provider_id"], column, between={name: 0.5}), ["provider_id"], [name])
+    reported = F.col("reported")
+    overhead = F.when(reported, F.greatest(F.lit(0.0), "rest_median")).when(F.col("n_baseline") > 0, F.col("baseline_median")).otherwise(F.raise_error(F.lit("a provider has no sample to take a median of")).cast("double"))
+    return out.select("provider_id", F.round(overhead, 3).alias("fixed_overhead_ms"), F.when(reported, "provider-reported").otherwise("client-observed-wall-minus-baseline-proxy").alias("basis"))
 
 
 def timing_and_cost(observations: DataFrame) -> DataFrame:

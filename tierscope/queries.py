@@ -257,7 +257,7 @@ def timing_cube(spark, sf):
 @query(f"""WITH {X.RUN_CELLS}, t AS (SELECT partition, stratum, status, CASE WHEN status = 'succeeded' THEN wall_ms END AS w FROM cells WHERE tier = 'T3')
 SELECT partition, stratum, count(w) AS numerator, count(*) AS denominator, count(*) - count(w) AS excluded_count, count(*) FILTER (status = 'failed') AS failed, round(coalesce(sum(w), 0), 2) AS total_ms, quantile_disc(w, 0.5) AS median_ms, min(w) AS min_ms, max(w) AS max_ms FROM t GROUP BY GROUPING SETS ((), (partition), (partition, stratum))""")
 def page_timing(spark, sf):
-    out = timing.page_groups(X.run_cells(spark, sf).where("tier = 'T3'"), [[], ["partition"], ["partition", "stratum"]])
+    out = timing.page_timing(X.run_cells(spark, sf).where("tier = 'T3'"), [[], ["partition"], ["partition", "stratum"]])
     return out.select("partition", "stratum", "numerator", "denominator", "excluded_count", "failed", F.round("total_ms", 2).alias("total_ms"), "median_ms", "min_ms", "max_ms")
 
 
@@ -334,12 +334,19 @@ def boundary_metrics(spark, sf):
 
 
 def _element_sides(spark, sf):
-    text = F.regexp_replace("text", r"[^\x00-\x7F]", "")
-    e = X.elements(spark, sf).select("doc_id", F.col("role").alias("type"), F.col("reading_order").alias("idx"), text.alias("text"))
-    return e, e.withColumn("text", F.when(F.col("idx") % 3 == 0, F.regexp_replace("text", "e", "")).otherwise(F.col("text")))
+    e = X.elements(spark, sf).select("doc_id", F.col("role").alias("type"), F.col("reading_order").alias("idx"), "text")
+    return e, e.withColumn("text", F.when(F.col("idx") % 3 == 0, F.replace("text", F.lit("e"), F.lit(""))).otherwise(F.col("text")))
 
 
-_SIDES = """r AS (SELECT conv_id AS doc_id, role AS type, turn AS idx, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '', 'g') AS text FROM conversations), o AS (SELECT doc_id, type, idx, CASE WHEN idx % 3 = 0 THEN replace(text, 'e', '') ELSE text END AS text FROM r)"""
+def _coded(text: str, alphabet: str) -> str:
+    """SQL for a text with its characters as places in an alphabet: the other engine's distance is one of bytes."""
+    return f"CASE WHEN {text} = '' THEN '' ELSE array_to_string(list_transform(string_split({text}, ''), lambda c: chr(list_position({alphabet}, c)::INT)), '') END"
+
+
+_SIDES = f"""raw AS (SELECT conv_id AS doc_id, role AS type, turn AS idx, coalesce(text, '') AS text FROM conversations),
+alphabets AS (SELECT doc_id, list_distinct(flatten(list(string_split(text, '')))) AS cs FROM raw GROUP BY doc_id),
+r AS (SELECT doc_id, type, idx, {_coded('text', 'cs')} AS text FROM raw JOIN alphabets USING (doc_id)),
+o AS (SELECT doc_id, type, idx, {_coded('text', 'cs')} AS text FROM (SELECT doc_id, type, idx, CASE WHEN idx % 3 = 0 THEN replace(text, 'e', '') ELSE text END AS text FROM raw) JOIN alphabets USING (doc_id))"""
 
 
 @query(f"WITH {_SIDES}, s AS (SELECT r.doc_id, r.idx AS ref_idx, o.idx AS out_idx, CASE WHEN greatest(length(r.text), length(o.text)) = 0 THEN 1 ELSE 1 - levenshtein(r.text, o.text) / greatest(length(r.text), length(o.text)) END AS similarity FROM r JOIN o ON r.doc_id = o.doc_id AND r.type = o.type) SELECT doc_id, ref_idx, out_idx, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.9")
@@ -352,27 +359,54 @@ def structure_matching(spark, sf):
     return metrics.structure_metrics(*_element_sides(spark, sf)).select("doc_id", "true_positives", "false_positives", "false_negatives", F.col("f1.value").alias("f1"))
 
 
-_PAIRS = """p AS (SELECT b.item_id, regexp_replace(coalesce(b.text, ''), '[^\\x00-\\x7F]', '', 'g') AS r, regexp_replace(coalesce(d.text, ''), '[^\\x00-\\x7F]', '', 'g') AS o FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)"""
+def _pairs(spark, sf):
+    d = X.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.coalesce("text", F.lit("")).alias("o"))
+    return X.table(spark, sf, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("r")).join(d, "item_id")
 
 
-def _pairs(spark, sf):
-    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\x00-\x7F]", "")
-    d = X.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), plain(F.col("text")).alias("o"))
-    return X.table(spark, sf, "benchmark").select("item_id", plain(F.col("text")).alias("r")).join(d, "item_id")
+_TEXT_PAIRS = "pairs AS (SELECT b.item_id, coalesce(b.text, '') AS r, coalesce(d.text, '') AS o FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)"
 
 
-@query(f"WITH {_PAIRS} SELECT item_id, levenshtein(r, o) AS edits, length(r) AS reference_length, round(levenshtein(r, o) / length(r), 6) AS cer, round(1 - levenshtein(r, o) / greatest(length(r), length(o)), 6) AS similarity FROM p WHERE length(r) > 0")
-def character_errors(spark, sf):
-    p = _pairs(spark, sf).where(F.length("r") > 0).withColumn("e", T.character_error_rate(F.col("r"), F.col("o")))
-    return p.select("item_id", F.col("e.numerator").alias("edits"), F.col("e.denominator").alias("reference_length"), F.round("e.value", 6).alias("cer"), F.round(T.text_similarity(F.col("r"), F.col("o")), 6).alias("similarity"))
+def _stripped(text: str) -> str:
+    return rf"""regexp_replace(regexp_replace(regexp_replace(nfc_normalize({text}), '<[A-Za-z/!?](?:[^"''>]|"[^"]*"|''[^'']*'')*>', ' ', 'g'), '\$\$([\s\S]*?)\$\$', '\1', 'g'), '\$((?:[^0-9$][^$]*)?)\$', '\1', 'g')"""
 
 
-@query()
+def _without_space(text: str) -> str:
+    return f"nfc_normalize(regexp_replace({_stripped(text)}, '{T.WHITE_SPACE}+', '', 'g'))"
+
+
+@query(f"""WITH {_TEXT_PAIRS}, solid AS (SELECT item_id, {_without_space('r')} AS r, {_without_space('o')} AS o FROM pairs),
+lettered AS (SELECT *, list_distinct(string_split(r || o, '')) AS cs FROM solid),
+p AS (SELECT item_id, length(r) AS n, length(o) AS m, levenshtein({_coded('r', 'cs')}, {_coded('o', 'cs')}) AS edits FROM lettered)
+SELECT item_id, CASE WHEN n = 0 THEN 0 ELSE edits END::BIGINT AS edits, n AS reference_length, CASE WHEN n = 0 AND m > 0 THEN 1 ELSE 0 END AS excluded, CASE WHEN n > 0 THEN round(edits / n, 6) WHEN m = 0 THEN 0 END AS cer, CASE WHEN greatest(n, m) = 0 THEN 1 ELSE round(1 - edits / greatest(n, m), 6) END AS similarity FROM p""")
+def character_errors(spark, sf):
+    p = _pairs(spark, sf).select("item_id", T.for_cer(F.col("r")).alias("r"), T.for_cer(F.col("o")).alias("o")).withColumn("e", T.character_error_rate(F.col("r"), F.col("o")))
+    return p.select("item_id", F.col("e.numerator").alias("edits"), F.col("e.denominator").cast("long").alias("reference_length"), F.col("e.excluded_count").alias("excluded"), F.round("e.value", 6).alias("cer"), F.round(T.text_similarity(F.col("r"), F.col("o")), 6).alias("similarity"))
+
+
+def _words_of(text: str) -> str:
+    """SQL for the word tokens of a text without Thai; what follows a mark within a word is part of the pattern, as it has no
+    look-ahead."""
+    spaced = f"trim(regexp_replace({_stripped(text)}, '{T.ECMA_SPACE}+', ' ', 'g'))"
+    one = r"(?:[\p{L}\p{N}_]\p{M}*)"
+    return rf"regexp_extract_all({spaced}, '{one}+(?:(?:[.''\x{{2019}}]\p{{L}}\p{{M}}*|[.,]\p{{N}}\p{{M}}*){one}*)*')"
+
+
+# A row of the dynamic programme a round: the least of three neighbours is a running minimum along the row.
+@query(f"""WITH RECURSIVE {_TEXT_PAIRS}, tokens AS (SELECT item_id, {_words_of('r')} AS rt, {_words_of('o')} AS ot FROM pairs),
+cells(item_id, i, j, d) AS (
+  SELECT item_id, 0::BIGINT, unnest(range(len(ot) + 1)), unnest(range(len(ot) + 1)) FROM tokens
+  UNION ALL
+  SELECT item_id, i, j, j + min(t - j) OVER (PARTITION BY item_id ORDER BY j) FROM (
+    SELECT c.item_id, c.i + 1 AS i, c.j, CASE WHEN c.j = 0 THEN c.i + 1 ELSE least(c.d + 1, lag(c.d) OVER (PARTITION BY c.item_id ORDER BY c.j) + CASE WHEN k.rt[c.i + 1] = k.ot[c.j] THEN 0 ELSE 1 END) END AS t
+    FROM cells c JOIN tokens k ON k.item_id = c.item_id AND c.i < len(k.rt))),
+ends AS (SELECT k.item_id, len(rt) AS n, len(ot) AS m, d FROM tokens k JOIN cells c ON c.item_id = k.item_id AND c.i = len(rt) AND c.j = len(ot))
+SELECT item_id, CASE WHEN n = 0 THEN 0 ELSE d END::BIGINT AS edits, n::BIGINT AS reference_words, CASE WHEN n = 0 AND m > 0 THEN 1 ELSE 0 END AS excluded, CASE WHEN n > 0 THEN round(d / n, 6) WHEN m = 0 THEN 0 END AS wer FROM ends""")
 def word_errors(spark, sf):
     tokens = T.word_tokens()
     p = _pairs(spark, sf).withColumn("s", F.lit("english"))
     p = p.withColumn("e", T.word_error_rate(tokens(T.for_wer(F.col("r"), F.col("s")), F.col("s")), tokens(T.for_wer(F.col("o"), F.col("s")), F.col("s"))))
-    return p.select("item_id", F.col("e.numerator").alias("edits"), F.col("e.denominator").alias("reference_words"), F.round("e.value", 6).alias("wer"))
+    return p.select("item_id", F.col("e.numerator").alias("edits"), F.col("e.denominator").alias("reference_words"), F.col("e.excluded_count").alias("excluded"), F.round("e.value", 6).alias("wer"))
 
 
 @query(r"""SELECT page_id, sha256(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<[A-Za-z/!?](?:[^"''>]|"[^"]*"|''[^'']*'')*>', ' ', 'g'), '\$\$([\s\S]*?)\$\$', '\1', 'g'), '\$((?:[^0-9$][^$]*)?)\$', '\1', 'g')) AS plain_sha256 FROM pages""")
