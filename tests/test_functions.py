@@ -93,33 +93,6 @@ def test_small_normalisers(spark):
     assert (m["numerator"], m["denominator"]) == (3, 6)
 
 
-def test_anchored_window(spark):
-    page, following = "A heading line that is long enough to anchor\nmore of it", "Another page begins with this line\nrest"
-    flat = "intro " + page + " tail words " + following
-    assert text.anchored_window(flat, page, following) == (page.replace("\n", " ") + " tail words ", True)
-    assert text.anchored_window(flat, "nothing of this page can be found anywhere", following) is None
-    cut, bounded = text.anchored_window("x" * 30 + "y" * 9000, "x" * 30, None)
-    assert (len(cut), bounded) == (600, False)
-    assert text.anchor_at("a line of 28 characters here", "a line of 28 characters here") == -1, "no line of under 30 characters anchors"
-    got = one(spark, w=text.window_of_page(lit(flat), lit(page), lit(None).cast("string"), lit(None).cast("string")))["w"]
-    assert got["text"].startswith("A heading") and got["bounded"] is False
-
-
-def test_windows_use_the_neighbouring_pages():
-    header = "Running header of the whole report"
-    pages = [f"{header}\nPage {i} opens with a line of its own, number {i}{i}\n" + f"Page {i} ends with this much longer closing line, which anchors it well" for i in range(3)]
-    flat = " ".join(x.replace("\n", " ") for x in pages)
-    middle, bounded = text.anchored_window(flat, pages[1], pages[2], pages[0])
-    assert bounded and middle.startswith(header) and "Page 1 ends" in middle
-    alone, _ = text.anchored_window(flat, pages[1], pages[2])
-    assert alone.startswith("Page 1 ends"), "without the page before, its longest line is all there is"
-    # A paragraph on both pages is no border between them; a line that stands at the begin marks nothing.
-    both = "This paragraph goes on over the page break and is on both"
-    a, b = "First line of the first page of two\n" + both, both + "\nAnd this is only on the second page"
-    assert text.earliest_after("First line of the first page of two " + both + " And this is only on the second page", 0, b, a) == 94
-    assert text.earliest_after("abcdefghijklmnop abcdefghijklmnop", 0, "abcdefghijklmnop") == -1
-
-
 def test_trees(spark):
     assert structure.canonical_json({"b": 1, "a": [True, None, "é"]}) == '{"a":[true,null,"é"],"b":1}'
     assert structure.canonical_json({"b": 1, "B": 2, "a": 3, "_": 4, "1": 5}) == '{"_":4,"1":5,"a":3,"b":1,"B":2}'
@@ -134,6 +107,18 @@ def test_trees(spark):
         assert got == structure.artifact_key("c" * 64, provider, version, None, {"ocr": False})
 
 
+def test_canonical_columns(spark):
+    """Keys by Unicode collation, numbers as doubles, on the column path and on the driver."""
+    import json
+
+    tree = {"z": 1152921504606846977, "é": {"b c": 1, "b_c": 2, "b-c": 3, "É": [1.50, 1e3, -0.0, 2**53, 2**53 + 2]}, "f": "é\n\"", "e": None, "E": True, "10": 1, "9": 2, "": 0}
+    want = '{"":0,"10":1,"9":2,"e":null,"E":true,"é":{"b c":1,"b_c":2,"b-c":3,"É":[1.5,1000,0,9007199254740992,9007199254740994]},"f":"é\\n\\"","z":1152921504606847000}'
+    rows = spark.createDataFrame([(json.dumps(tree),), (json.dumps(tree, ensure_ascii=False),), ("3",), ("[]",), (None,), ('{"ж":1,"я":2,"ё":3,"ß":4,"ss":5,"日":6}',)], "t string")
+    got = [r["c"] for r in rows.select(structure.canonical("t").alias("c")).collect()]
+    assert got[:5] == [want, want, "3", "[]", None] and structure.canonical_json(tree) == want
+    assert got[5] == '{"ss":5,"ß":4,"ё":3,"ж":1,"я":2,"日":6}', "orders that no table of marks has"
+
+
 def test_views(spark):
     item = lambda ref, page, **more: {"self_ref": ref, "prov": [{"page_no": page}], **more}
     tree = {

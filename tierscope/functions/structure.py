@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import json
+import unicodedata
 from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 # Keys that can tell where a document came from.
 LOCATION_KEYS = ("filename", "file_path", "filepath", "origin", "path", "source_url", "sourceurl", "uri", "url")
 
 
-# The collation order of ASCII punctuation; digits and letters follow.
-_MARKS = "_-,;:!?.'\"()[]{}@*/\\&#%`^+<=>|~$"
+# The collation order of white space and ASCII punctuation; digits and letters follow.
+_MARKS = "\t\n\x0b\x0c\r  _-,;:!?.'\"()[]{}@*/\\&#%`^+<=>|~$"
 
 
 def _number(x: float) -> str:
@@ -39,20 +40,24 @@ def _number(x: float) -> str:
 
 
 def _collated(key: str) -> tuple:
-    """Marks before digits before letters, letters by themselves first and then the small one before the capital."""
-    return [(0, _MARKS.find(c), "") if c in _MARKS else (1, 0, c) if c.isdigit() else (2, 0, c.lower()) for c in key], [c.isupper() for c in key], key
+    """Marks before digits before letters; letters by themselves first, then by their accents, then the small one before the
+    capital. Right for Latin letters; column functions take any key's order from the engine's collation instead."""
+    split = unicodedata.normalize("NFD", key)
+    plain = [c for c in split if not unicodedata.combining(c)]
+    return [(0, _MARKS.find(c), "") if c in _MARKS else (1, 0, c) if c.isdigit() else (2, 0, c.lower()) for c in plain], [c for c in split if unicodedata.combining(c)], [c.isupper() for c in plain], key
 
 
-def stringify(value: object, sort: bool = False) -> str:
-    """JSON without spaces and with ECMAScript's numbers; keys as they come, or in collation order."""
+def stringify(value: object, sort: bool = False, order: dict[str, int] | None = None) -> str:
+    """JSON without spaces and with ECMAScript's numbers, which are doubles; keys as they come, or in collation order, by
+    their given places where order has them."""
     if isinstance(value, bool) or value is None or isinstance(value, str):
         return json.dumps(value, ensure_ascii=False)
     if isinstance(value, (int, float)):
-        return str(value) if isinstance(value, int) else _number(value)
+        return str(value) if isinstance(value, int) and abs(value) <= 2**53 else _number(float(value) if abs(value) < 2**1024 else float("inf"))
     if isinstance(value, dict):
-        keys = sorted(value, key=_collated) if sort else value
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{stringify(value[k], sort)}" for k in keys) + "}"
-    return "[" + ",".join(stringify(x, sort) for x in value) + "]"
+        keys = (sorted(value, key=_collated) if order is None else sorted(value, key=order.__getitem__)) if sort else value
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{stringify(value[k], sort, order)}" for k in keys) + "}"
+    return "[" + ",".join(stringify(x, sort, order) for x in value) + "]"
 
 
 def canonical_json(value: object) -> str:
@@ -60,10 +65,29 @@ def canonical_json(value: object) -> str:
     return stringify(value, sort=True)
 
 
+def _keys(value: object) -> set[str]:
+    """The keys of all objects in a tree."""
+    if isinstance(value, list):
+        return set().union(*map(_keys, value))
+    return set(value).union(*map(_keys, value.values())) if isinstance(value, dict) else set()
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _keys_of(tree: pd.Series) -> pd.Series:
+    return tree.map(lambda t: None if t is None else sorted(_keys(json.loads(t))))
+
+
 @F.pandas_udf(StringType())
-def canonical(tree: pd.Series) -> pd.Series:
-    """canonical_json of JSON texts."""
-    return tree.map(lambda t: None if t is None else canonical_json(json.loads(t)))
+def _written(tree: pd.Series, keys: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else stringify(json.loads(t), True, {k: i for i, k in enumerate(ks)}) for t, ks in zip(tree, keys, strict=True)], dtype=object)
+
+
+def canonical(tree: Column | str) -> Column:
+    """canonical_json of JSON texts, the keys of each text ordered by the engine's Unicode collation, which no table here has to
+    know; keys that it holds for equal are ordered by code points."""
+    tree = F.col(tree) if isinstance(tree, str) else tree
+    ordered = F.transform(F.array_sort(F.transform(_keys_of(tree), lambda k: F.struct(F.collate(k, "UNICODE").alias("c"), k.alias("k")))), lambda x: x["k"])
+    return _written(tree, ordered)
 
 
 def sha256_text(value: str) -> str:

@@ -1,4 +1,4 @@
-"""Unicode counting, sanity, script, comparison and alignment functions over text columns.
+"""Unicode counting, sanity, script and comparison functions over text columns.
 
 Character classes are spelled out, as the engines' shorthands differ. Counts are of code points; where the
 specified behaviour is in UTF-16 units, it says so.
@@ -6,14 +6,13 @@ specified behaviour is in UTF-16 units, it says so.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
+from pyspark.sql.types import ArrayType, StringType
 
 from .distance import token_edit_distance
 
@@ -169,64 +168,3 @@ def short_thai_runs(text: Column) -> Column:
     words = F.split(text, WHITE_SPACE + "+")
     short = F.aggregate(F.filter(words, lambda w: w.rlike(f"^{THAI_BLOCK}{{1,2}}$")), F.lit(0).cast("long"), lambda n, w: n + F.length(w))
     return metric(short, count_of(text, THAI_BLOCK))
-
-
-_SPACES = re.compile("[\\x09-\\x0d\\x20\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+")
-
-
-def _fold(text: str | None) -> str:
-    for pattern, to in (("[\u2018-\u201b]", "'"), ("[\u201c-\u201f]", '"'), ("[\u2010-\u2015]", "-")):
-        text = re.sub(pattern, to, text or "")
-    return _SPACES.sub(" ", text).strip(" ")
-
-
-def anchor_lines(text: str | None, least: int = 24, most: int = 5) -> list[str]:
-    """The longest folded lines, the first of equal ones first."""
-    lines = [x for x in map(_fold, (text or "").split("\n")) if len(x) >= least]
-    return sorted(lines, key=len, reverse=True)[:most]
-
-
-def anchor_at(flat: str, page: str | None) -> int:
-    """Where one of the page's longest lines begins in folded text, by its first 80, 48 or 30 characters if it has so
-    many; -1 if none does."""
-    for line in anchor_lines(page):
-        for size in (80, 48, 30):
-            if len(line) >= size and (at := flat.find(line[:size])) >= 0:
-                return at
-    return -1
-
-
-def earliest_after(flat: str, start: int, following: str | None, page: str | None = None) -> int:
-    """The least place after start where a line of the following text is found first, lines of the page itself left
-    out; -1 without. A line that stands at start itself marks nothing."""
-    own = set(map(_fold, (page or "").split("\n")))
-    lines = {x for x in map(_fold, (following or "").split("\n")) if len(x) >= 12 and x not in own}
-    return min((at for x in lines if (at := flat.find(x[:60], start)) > start), default=-1)
-
-
-def anchored_window(flat: str, page: str | None, following: str | None = None, previous: str | None = None) -> tuple[str, bool] | None:
-    """The part of a flat text that a page seems to be, and whether its end is known.
-
-    It begins at the page's first line found after the previous page's anchor, or at the page's own anchor; None without.
-    It ends where the next page's lines begin, unless that leaves 200 characters or fewer and the next page's anchor lies
-    behind the begin; without either it has a width by the page's length.
-    """
-    flat = _fold(flat)
-    before = anchor_at(flat, previous)
-    start = earliest_after(flat, before, page) if before >= 0 else -1
-    if start < 0:
-        start = anchor_at(flat, page)
-    if start < 0:
-        return None
-    tight, loose = earliest_after(flat, start, following, page), anchor_at(flat, following)
-    end = tight if tight > start + 200 or loose <= start else loose
-    if end > start:
-        return flat[start:end], True
-    return flat[start : start + min(4000, max(600, 3 * len(_fold(page))))], False
-
-
-@F.pandas_udf(StructType().add("text", StringType()).add("bounded", BooleanType()))
-def window_of_page(flat: pd.Series, page: pd.Series, following: pd.Series, previous: pd.Series) -> pd.DataFrame:
-    """(text, bounded) of anchored_window, null without an anchor."""
-    found = [None if f is None else anchored_window(f, p, n, b) for f, p, n, b in zip(flat, page, following, previous, strict=True)]
-    return pd.DataFrame([x or (None, None) for x in found], columns=["text", "bounded"])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import fixtures as X
 from .functions import structure as ST
 from .functions import text as T
+from .functions import windows as W
 from .functions.core import percentage
 from .operators import calibration, corpus, export, gate, metrics, oracle, policies, sampling, signals, timing
 from .sources import providers
@@ -419,15 +420,39 @@ def typography_folded(spark, sf):
     return X.table(spark, sf, "documents").select("doc_id", F.sha2(T.fold_typography(F.coalesce("text", F.lit(""))), 256).alias("folded_sha256"))
 
 
-@query("SELECT doc_id, sha256(lang || chr(0) || source || chr(0) || doc_id) AS source_key FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def _folded(text: str) -> str:
+    return rf"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({text}, '[\x{{2018}}-\x{{201B}}]', '''', 'g'), '[\x{{201C}}-\x{{201F}}]', '"', 'g'), '[\x{{2010}}-\x{{2015}}]', '-', 'g'), '{T.ECMA_SPACE}+', ' ', 'g'))"""
+
+
+# Pages of four lines each, sought in the same text without lines.
+@query(f"""WITH flats AS (SELECT doc_id, {_folded("coalesce(text, '')")} AS flat FROM documents),
+raw AS (SELECT doc_id, i AS n, (i - 1) // 4 AS page, lines[i] AS l FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+lines AS (SELECT doc_id, n, page, {_folded('l')} AS l FROM raw),
+pages AS (SELECT doc_id, page, length({_folded("string_agg(l, chr(10) ORDER BY n)")}) AS size FROM raw GROUP BY ALL),
+longest AS (SELECT doc_id, page, l, row_number() OVER (PARTITION BY doc_id, page ORDER BY length(l) DESC, n) AS k FROM lines WHERE length(l) >= 24 QUALIFY k <= 5),
+places AS (SELECT doc_id, page, first(spot ORDER BY k, w DESC) AS spot FROM (SELECT doc_id, page, k, w, strpos(flat, left(l, w)) AS spot FROM longest JOIN flats USING (doc_id), (VALUES (80), (48), (30)) AS v(w) WHERE length(l) >= w) WHERE spot > 0 GROUP BY ALL),
+openings AS (SELECT doc_id, page, min(b.spot + o - 1) AS spot FROM (SELECT l.doc_id, l.page, b.spot, strpos(substr(flat, b.spot), left(l.l, 60)) AS o FROM lines l JOIN places b ON b.doc_id = l.doc_id AND b.page = l.page - 1 JOIN flats f ON f.doc_id = l.doc_id WHERE length(l.l) >= 12) b WHERE o > 1 GROUP BY ALL),
+starts AS (SELECT p.doc_id, p.page, p.size, coalesce(o.spot, a.spot) AS spot FROM pages p LEFT JOIN openings o USING (doc_id, page) LEFT JOIN places a USING (doc_id, page)),
+borders AS (SELECT doc_id, page, min(spot + o - 1) AS spot FROM (SELECT s.doc_id, s.page, s.spot, strpos(substr(flat, s.spot), left(l.l, 60)) AS o FROM starts s JOIN lines l ON l.doc_id = s.doc_id AND l.page = s.page + 1 JOIN flats f ON f.doc_id = s.doc_id
+  WHERE length(l.l) >= 12 AND NOT EXISTS (SELECT 1 FROM lines x WHERE x.doc_id = s.doc_id AND x.page = s.page AND x.l = l.l)) WHERE o > 1 GROUP BY ALL),
+ends AS (SELECT s.*, CASE WHEN b.spot > s.spot + 200 OR coalesce(n.spot, 0) <= s.spot THEN b.spot ELSE n.spot END AS stop FROM starts s LEFT JOIN borders b USING (doc_id, page) LEFT JOIN places n ON n.doc_id = s.doc_id AND n.page = s.page + 1)
+SELECT e.doc_id, page, coalesce(stop > spot, false) AND spot IS NOT NULL AS bounded, CASE WHEN spot IS NOT NULL THEN sha256(substr(flat, spot, CASE WHEN stop > spot THEN stop - spot ELSE least(4000, greatest(600, 3 * size)) END)) END AS window_sha256 FROM ends e JOIN flats f ON f.doc_id = e.doc_id""")
+def page_windows(spark, sf):
+    rows = X.page_evidence(spark, sf).select(F.col("case_id").alias("doc_id"), F.floor((F.col("page") - 1) / 4).alias("page"), F.struct("page", "text").alias("line"))
+    pages = rows.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["text"]), "\n").alias("text"))
+    found = W.page_windows(X.texts(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), pages)
+    return found.select("doc_id", "page", F.coalesce("bounded", F.lit(False)).alias("bounded"), F.sha2("text", 256).alias("window_sha256"))
+
+
+@query("SELECT doc_id, sha256(coalesce(lang || chr(0), '') || coalesce(source || chr(0), '') || coalesce(doc_id::VARCHAR, '')) AS source_key FROM documents")
 def source_keys(spark, sf):
-    d = X.table(spark, sf, "documents").where("lang IS NOT NULL AND source IS NOT NULL")
+    d = X.table(spark, sf, "documents")
     return d.select("doc_id", ST.source_key(F.col("lang"), F.col("source"), F.col("doc_id").cast("string")).alias("source_key"))
 
 
-@query("""SELECT doc_id, sha256('{"contentHash":"' || sha256(coalesce(text, '')) || '","model":null,"parametersHash":"' || sha256('{"ocr":false}') || '","providerId":"' || source || '","providerVersion":"1.0"}') AS artifact_key FROM documents WHERE source IS NOT NULL""")
+@query("""SELECT doc_id, sha256('{"contentHash":"' || sha256(coalesce(text, '')) || '","model":null,"parametersHash":"' || sha256('{"ocr":false}') || '","providerId":' || coalesce('"' || source || '"', 'null') || ',"providerVersion":"1.0"}') AS artifact_key FROM documents""")
 def artifact_keys(spark, sf):
-    d = X.table(spark, sf, "documents").where("source IS NOT NULL")
+    d = X.table(spark, sf, "documents")
     return d.select("doc_id", ST.artifact_key_column(F.sha2(F.coalesce("text", F.lit("")), 256), F.col("source"), F.lit("1.0"), F.lit(None).cast("string"), F.lit('{"ocr":false}')).alias("artifact_key"))
 
 
@@ -498,10 +523,10 @@ def clean_hashes(spark, sf):
 _ONE_SPACE = r"trim(regexp_replace({0}, '[\x09-\x0D\x20\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}]+', '{1}', 'g'), ' ')"
 
 
-@query(f"SELECT doc_id, sha256({_ONE_SPACE.format('nfc_normalize(text)', ' ')}) AS metadata_sha256, sha256({_ONE_SPACE.format('lower(nfc_normalize(text))', '')}) AS control_sha256 FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, sha256({_ONE_SPACE.format('nfc_normalize(text)', ' ')}) AS metadata_sha256, sha256({_ONE_SPACE.format('lower(nfc_normalize(text))', '')}) AS control_sha256 FROM documents")
 def normalised_texts(spark, sf):
-    d = X.table(spark, sf, "documents").where("text IS NOT NULL")
-    return d.select("doc_id", F.sha2(F.coalesce(T.metadata_text(F.col("text")), F.lit("")), 256).alias("metadata_sha256"), F.sha2(T.control_text(F.col("text")), 256).alias("control_sha256"))
+    d = X.table(spark, sf, "documents")
+    return d.select("doc_id", F.sha2(F.when(F.col("text").isNotNull(), F.coalesce(T.metadata_text(F.col("text")), F.lit(""))), 256).alias("metadata_sha256"), F.sha2(T.control_text(F.col("text")), 256).alias("control_sha256"))
 
 
 @query(f"WITH {_COMPONENTS} SELECT case_id || ':' || tier AS artifact_key, round(character_sanity, 6)::DOUBLE AS character_sanity, character_sanity < 0.95 AS below FROM components")
@@ -634,8 +659,11 @@ def frozen_criteria(spark, sf):
     return X.table(spark, sf, "labels").select("doc_id", oracle.frozen_criterion(frozen)(text).alias("frozen"))
 
 
-@query("""SELECT doc_id, '{"B":' || (doc_id % 7)::INT || ',"id":' || doc_id || ',"share":' || ['0', '0.5', '1e-7', '1000', '1e+21'][doc_id % 5 + 1] || '}' AS canonical FROM labels""")
+# The words of a text as the keys of an object, their lengths as values.
+@query(r"""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS w FROM documents)
+SELECT doc_id, sha256('{"number":' || ['0', '0.5', '1e-7', '1000', '1e+21', '1152921504606847000'][doc_id % 6 + 1] || ',"words":{' || coalesce(string_agg(to_json(w) || ':' || length(w), ',' ORDER BY w COLLATE en, w) FILTER (w IS NOT NULL), '') || '}}') AS canonical_sha256 FROM documents LEFT JOIN w USING (doc_id) GROUP BY doc_id""")
 def canonical_records(spark, sf):
-    d, share = F.col("doc_id"), F.element_at(F.array(*map(F.lit, ("0.0", "0.50", "0.0000001", "1e3", "1e21"))), (F.col("doc_id") % 5 + 1).cast("int"))
-    text = F.concat(F.lit('{ "share" : '), share, F.lit(', "id": '), d.cast("string"), F.lit(', "B": '), (d % 7).cast("string"), F.lit("}"))
-    return X.table(spark, sf, "labels").select("doc_id", ST.canonical(text).alias("canonical"))
+    words = F.array_distinct(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    number = F.element_at(F.array(*map(F.lit, ("0.0", "0.50", "0.0000001", "1e3", "1e21", "1152921504606846977"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    rows = X.texts(spark, sf).select("doc_id", number.alias("n"), F.to_json(F.map_from_arrays(words, F.transform(words, F.length))).alias("words"))
+    return rows.select("doc_id", F.sha2(ST.canonical(F.concat(F.lit('{ "words" : '), "words", F.lit(', "number": '), "n", F.lit("}"))), 256).alias("canonical_sha256"))
