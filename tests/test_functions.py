@@ -99,7 +99,6 @@ def test_trees(spark):
     numbers = [1.0, -0.0, 1e-7, 1.5e-7, 1e-6, 123456.789, 1e21, 1.5e300, 1e20, 1.2345678901234567e20, 0.1 + 0.2, -2.5, 10**20]
     assert structure.stringify(numbers) == "[1,0,1e-7,1.5e-7,0.000001,123456.789,1e+21,1.5e+300,100000000000000000000,123456789012345670000,0.30000000000000004,-2.5,100000000000000000000]"
     assert structure.sanitise({"body": [], "Origin": {"x": 1}, "nested": {"sourceUrl": "u", "semantic": 1}}) == {"body": [], "nested": {"semantic": 1}}
-    assert structure.holds_structure([{"x": {"label": "t"}}]) and not structure.holds_structure({"label": "", "text": 3})
     key = structure.artifact_key("c" * 64, "p", "1", None, {"ocr": False})
     assert key != structure.artifact_key("c" * 64, "p", "1", None, {"ocr": True})
     for provider, version in (("p", "1"), ('a"b', "v\\1"), ("é\n", 'v"1')):
@@ -117,23 +116,3 @@ def test_canonical_columns(spark):
     got = [r["c"] for r in rows.select(structure.canonical("t").alias("c")).collect()]
     assert got[:5] == [want, want, "3", "[]", None] and structure.canonical_json(tree) == want
     assert got[5] == '{"ss":5,"ß":4,"ё":3,"ж":1,"я":2,"日":6}', "orders that no table of marks has"
-
-
-def test_views(spark):
-    item = lambda ref, page, **more: {"self_ref": ref, "prov": [{"page_no": page}], **more}
-    tree = {
-        "body": {"children": [{"$ref": "#/groups/0"}, {"$ref": "#/pictures/0"}, {"$ref": "#/texts/1"}, {"$ref": "#/none"}]},
-        "groups": [{"self_ref": "#/groups/0", "children": [{"$ref": "#/texts/0"}, {"$ref": "#/tables/0"}, {"$ref": "#/groups/0"}]}],
-        "texts": [item("#/texts/0", 1, label="section_header", text=" Methods "), item("#/texts/1", 1, text=" ")],
-        "tables": [item("#/tables/0", 1, data={"num_rows": 2, "num_cols": 2, "grid": [[{"text": "Treatment"}, {"text": "Value"}], [{"text": " "}, {}], "odd"]})],
-        "pictures": [item("#/pictures/0", 1)],
-    }
-    assert structure.tree_view(tree, 1) == "[section_header] Methods\n\n[table 2x2]\nTreatment | Value\n|\n\n[picture]\n\n[text]"
-    assert structure.tree_view(tree, 2) is None
-    assert structure.tree_view(tree | {"body": None}, 1) == "[section_header] Methods\n\n[text]\n\n[table 2x2]\nTreatment | Value\n|\n\n[picture]"
-    pages = [{"parsing_res_list": [{"block_order": 2, "block_label": "text", "block_content": "b"}, {"block_content": " "}]}, {"parsing_res_list": [{"block_order": 1, "block_label": "title", "block_content": "a"}]}, "odd"]
-    assert structure.block_view(pages) == "[block]\n\n[title] a\n\n[text] b" and structure.block_view([]) is None
-    import json
-
-    rows = spark.createDataFrame([(json.dumps(tree), 1), (json.dumps(pages), 1), ("3", 1), (None, 1)], "t string, p int")
-    assert [r["v"] for r in rows.select(structure.structural_view("t", "p").alias("v")).collect()] == [structure.tree_view(tree, 1), structure.block_view(pages), None, None]

@@ -1,4 +1,4 @@
-"""JSON trees: canonical form and keys, sanitising, structure tests, page texts and readable views."""
+"""JSON trees: canonical form and keys, sanitising and page texts."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Keys that can tell where a document came from.
 LOCATION_KEYS = ("filename", "file_path", "filepath", "origin", "path", "source_url", "sourceurl", "uri", "url")
@@ -123,88 +123,11 @@ def sanitise(value: object) -> object:
     return value
 
 
-def holds_structure(value: object) -> bool:
-    """Whether any object in the tree has a type, label or text that is a non-empty string."""
-    if isinstance(value, list):
-        return any(map(holds_structure, value))
-    if not isinstance(value, dict):
-        return False
-    return any(holds_structure(x) or (k in ("type", "label", "text") and isinstance(x, str) and x != "") for k, x in value.items())
-
-
-@F.pandas_udf(BooleanType())
-def has_structure(tree: pd.Series) -> pd.Series:
-    return tree.map(lambda t: t is not None and holds_structure(json.loads(t)))
-
-
 @F.pandas_udf(StringType())
 def sanitised(tree: pd.Series) -> pd.Series:
     return tree.map(lambda t: None if t is None else canonical_json(sanitise(json.loads(t))))
 
 
-def _items(value: object) -> list[dict]:
-    return [x for x in value if isinstance(x, dict)] if isinstance(value, list) else []
-
-
-def _text(value: object) -> str:
-    return value.strip() if isinstance(value, str) else ""
-
-
-def _labelled(label: str, text: str) -> str:
-    return f"[{label}] {text}" if text else f"[{label}]"
-
-
-def _shown(item: dict, kind: str) -> str:
-    """A block of the view: a table with its size and rows, a picture, or a label and its text."""
-    if kind == "pictures":
-        return "[picture]"
-    if kind != "tables":
-        return _labelled(_text(item.get("label")) or kind.removesuffix("s"), _text(item.get("text")))
-    data = item.get("data") if isinstance(item.get("data"), dict) else {}
-    rows = [" | ".join(_text(c.get("text")) if isinstance(c, dict) else "" for c in row).strip() for row in data.get("grid") or [] if isinstance(row, list)]
-    size = "x".join("?" if data.get(k) is None else stringify(data[k]) for k in ("num_rows", "num_cols"))
-    return "\n".join([f"[table {size}]", *filter(None, rows)])
-
-
-def tree_view(tree: dict, page: int | None = None) -> str | None:
-    """Readable blocks of a reference tree in reading order, an empty line between them; groups are transparent and
-    cycles are cut. If the walk finds nothing, the texts, tables and pictures follow one another. None without blocks."""
-    index = {ref: (item, kind) for kind in ("texts", "tables", "pictures", "groups") for item in _items(tree.get(kind)) if (ref := _text(item.get("self_ref")))}
-    here = lambda item: page is None or any(p.get("page_no") == page for p in _items(item.get("prov")))
-    children = lambda item: [_text(c.get("$ref")) for c in reversed(_items(item.get("children")))]
-    body = tree.get("body")
-    found, seen, stack = [], set(), children(body) if isinstance(body, dict) else []
-    while stack:
-        ref = stack.pop()
-        if ref in seen or ref not in index:
-            continue
-        seen.add(ref)
-        item, kind = index[ref]
-        if kind != "groups" and here(item):
-            found.append(_shown(item, kind))
-        stack += children(item)
-    found = found or [_shown(item, kind) for kind in ("texts", "tables", "pictures") for item in _items(tree.get(kind)) if here(item)]
-    return "\n\n".join(found) or None
-
-
-def block_view(pages: list) -> str | None:
-    """Readable blocks of all pages' lists (parsing_res_list) by block order, 0 for those without one; None without blocks."""
-    listed = [b for page in _items(pages) for b in _items(page.get("parsing_res_list"))]
-    ordered = sorted(listed, key=lambda b: b.get("block_order") or 0)
-    return "\n\n".join(_labelled(_text(b.get("block_label")) or "block", _text(b.get("block_content"))) for b in ordered) or None
-
-
-@F.pandas_udf(StringType())
-def structural_view(tree: pd.Series, page: pd.Series) -> pd.Series:
-    def view(t: str | None, p: object) -> str | None:
-        if t is None:
-            return None
-        value = json.loads(t)
-        return block_view(value) if isinstance(value, list) else tree_view(value, None if pd.isna(p) else int(p)) if isinstance(value, dict) else None
-
-    return pd.Series([view(t, p) for t, p in zip(tree, page, strict=True)], dtype=object)
-
-
 def page_texts(items: DataFrame, key: str = "case_id", pages: str = "pages", text: str = "text", order: str = "ord") -> DataFrame:
     """(key, page, text): each page's non-blank items in order, an empty line between them."""
     shown = items.where(F.trim(text) != "").withColumn("page", F.explode(F.array_distinct(pages)))

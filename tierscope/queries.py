@@ -12,7 +12,7 @@ from .functions import structure as ST
 from .functions import text as T
 from .functions import windows as W
 from .functions.core import percentage
-from .operators import calibration, corpus, export, gate, metrics, oracle, policies, sampling, signals, timing
+from .operators import calibration, corpus, export, gate, metrics, oracle, policies, sampling, signals, timing, trees
 from .sources import providers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -667,3 +667,28 @@ def canonical_records(spark, sf):
     number = F.element_at(F.array(*map(F.lit, ("0.0", "0.50", "0.0000001", "1e3", "1e21", "1152921504606846977"))), (F.col("doc_id") % 6 + 1).cast("int"))
     rows = X.texts(spark, sf).select("doc_id", number.alias("n"), F.to_json(F.map_from_arrays(words, F.transform(words, F.length))).alias("words"))
     return rows.select("doc_id", F.sha2(ST.canonical(F.concat(F.lit('{ "words" : '), "words", F.lit(', "number": '), "n", F.lit("}"))), 256).alias("canonical_sha256"))
+
+
+# A tree for each document: its lines are texts, five to a group, the groups in falling order; each group leads to itself as
+# well, the body to a group again and to nothing.
+@query("""WITH lines AS (SELECT doc_id, i, (i - 1) // 5 AS g, trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS l, len(lines) AS n FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+shown AS (SELECT doc_id, g, i, CASE WHEN i % 5 = 1 THEN '[section_header' ELSE '[text' END || ']' || CASE WHEN l = '' THEN '' ELSE ' ' || l END AS s FROM lines),
+views AS (SELECT doc_id, string_agg(s, chr(10) || chr(10) ORDER BY g DESC, i) || chr(10) || chr(10) || '[table 1x2]' || chr(10) || doc_id || ' | ' || max(i) || chr(10) || chr(10) || '[picture]' AS v FROM shown GROUP BY doc_id)
+SELECT doc_id, sha256(v) AS view_sha256, true AS has_structure FROM views""")
+def structural_views(spark, sf):
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    docs = X.texts(spark, sf).select("doc_id", lines.alias("lines")).withColumn("groups", F.ceil(F.size("lines") / 5).cast("int"))
+    ref = lambda kind, i: F.concat(F.lit(f"#/{kind}/"), i.cast("string"))
+    link = lambda kind, i: F.struct(ref(kind, i).alias("$ref"))
+    numbers = F.sequence(F.lit(0), F.size("lines") - 1)
+    texts = F.transform(numbers, lambda i: F.struct(ref("texts", i).alias("self_ref"), F.when(i % 5 == 0, "section_header").alias("label"), F.get("lines", i).alias("text")))
+    inside = lambda g: F.transform(F.filter(numbers, lambda i: F.floor(i / 5) == g), lambda i: link("texts", i))
+    groups = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda g: F.struct(ref("groups", g).alias("self_ref"), F.concat(F.array(link("groups", g)), inside(g), F.array(link("groups", g))).alias("children")))
+    grid = F.array(F.array(F.struct(F.col("doc_id").cast("string").alias("text")), F.struct(F.size("lines").cast("string").alias("text"))))
+    table = F.struct(F.lit("#/tables/0").alias("self_ref"), F.struct(F.lit(1).alias("num_rows"), F.lit(2).alias("num_cols"), grid.alias("grid")).alias("data"))
+    falling = F.transform(F.sequence(F.col("groups") - 1, F.lit(0), F.lit(-1)), lambda g: link("groups", g))
+    body = F.concat(falling, F.array(link("tables", F.lit(0)), link("pictures", F.lit(0)), link("groups", F.lit(0)), link("none", F.lit(0))))
+    tree = F.to_json(F.struct(F.struct(body.alias("children")).alias("body"), texts.alias("texts"), groups.alias("groups"), F.array(table).alias("tables"), F.array(F.struct(F.lit("#/pictures/0").alias("self_ref"))).alias("pictures")))
+    rows = docs.select("doc_id", tree.alias("tree"))
+    views = trees.structural_views(rows, key="doc_id").select("doc_id", F.sha2("view", 256).alias("view_sha256"))
+    return rows.select("doc_id", trees.has_structure("tree").alias("has_structure")).join(views, "doc_id")
