@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.work import written
+
 _READ_ONLY = {"select", "with", "begin", "rollback", "set", "show"}
 _OPTION = re.compile(r"^[a-zA-Z0-9][a-zA-Z0-9._-]*$")
 
@@ -98,21 +100,20 @@ def read_stored(files: DataFrame, folder: str, get: Callable[[str], bytes] = htt
 
 def read_or_cache(files: DataFrame, folder: str, cache: str, get: Callable[[str], bytes] = http_get, key: str = "case_id") -> DataFrame:
     """read_stored through a cache folder of (key, content, content_hash): a copy there is used where no hash is known
-    or the known one is its own; the others are read, and those that can be are added to the cache."""
+    or the known one is its own, of several copies the one of the least hash. The others are read once, and those that
+    can be are added to the cache; what can't be has no content and read_stored's error_code."""
     spark = files.sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(cache)
     there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
     kind = files.schema[key].dataType.simpleString()
     copies = spark.read.schema(f"`{key}` {kind}, content binary, content_hash string").parquet(cache) if there else spark.createDataFrame([], f"`{key}` {kind}, content binary, content_hash string")
     want = F.lower("file_hash")
-    known = files.select(key, F.when(want.rlike("^[a-f0-9]{64}$"), want).alias("want_")).join(copies, key).where("want_ IS NULL OR want_ = content_hash").drop("want_").dropDuplicates([key])
-    read = read_stored(files.join(known.select(key), key, "left_anti"), folder, get, key)
+    fitting = files.select(key, F.when(want.rlike("^[a-f0-9]{64}$"), want).alias("want_")).join(copies, key).where("want_ IS NULL OR want_ = content_hash")
+    known = written(fitting.groupBy(key).agg(F.min_by("content", "content_hash").alias("content"), F.min("content_hash").alias("content_hash")), "stored-known")
+    read = written(read_stored(files.join(known.select(key), key, "left_anti"), folder, get, key), "stored-read")
     # A copy of another hash stays in the cache and is never used again; what is read now is added beside it.
-    new = read.where("error_code IS NULL").select(key, "content", "content_hash")
-    new.write.mode("append").parquet(cache)
-    now = spark.read.schema(copies.schema).parquet(cache)
-    kept = files.select(key, F.when(want.rlike("^[a-f0-9]{64}$"), want).alias("want_")).join(now, key).where("want_ IS NULL OR want_ = content_hash").drop("want_").dropDuplicates([key])
-    return files.select(key).join(kept, key, "left").withColumn("error_code", F.when(F.col("content").isNull(), "STORAGE_UNAVAILABLE"))
+    read.where("error_code IS NULL").select(key, "content", "content_hash").write.mode("append").parquet(cache)
+    return known.withColumn("error_code", F.lit(None).cast("string")).unionByName(read)
 
 
 def write_pair(spark: SparkSession, text: str, path: str) -> str:
@@ -196,12 +197,3 @@ def write_pending(df: DataFrame, path: str) -> None:
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; values with commas, quotes or line breaks are quoted, quotes doubled."""
     df.write.mode("errorifexists").option("header", True).option("quote", '"').option("escape", '"').csv(path)
-
-
-def output_hash(df: DataFrame, order: list[str]) -> str:
-    """One SHA-256 over all rows, whatever their partitioning: row hashes summed by leading bytes in Spark, so
-    nothing but 256 sums reaches the driver. order names the columns that make up a row."""
-    row = F.sha2(F.to_json(F.struct(*order)), 256)
-    sums = df.select(F.substring(row, 1, 2).alias("k"), F.conv(F.substring(row, 3, 15), 16, 10).cast("decimal(38,0)").alias("v")).groupBy("k").agg(F.sum("v").alias("v"), F.count("*").alias("n"))
-    listed = sorted((r["k"], int(r["v"]), r["n"]) for r in sums.collect())
-    return hashlib.sha256(repr(listed).encode()).hexdigest()

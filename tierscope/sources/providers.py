@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import TIERS
 from ..functions.structure import canonical_json, sanitise
 
 EXECUTIONS = ("local", "private", "hosted")
@@ -137,6 +138,15 @@ def unavailable_cells(todo: DataFrame, probed: dict) -> DataFrame:
     return todo.select("case_id", F.lit(probed["tier"]).alias("tier"), F.lit(probed["provider_id"]).alias("provider_id"), F.lit("unavailable").alias("status"), F.lit("PROVIDER_UNAVAILABLE").alias("error_code"), F.lit(probed["reason"]).alias("error_message"))
 
 
+def attempts_by_tier(cases: DataFrame, providers: DataFrame) -> DataFrame:
+    """(case_id, tier, provider_id, status): each case's tiers (case_id, tiers) with the provider that a probe found for the tier
+    (tier, provider_id, status); `unprobed` where none did. Raises if a tier has two providers. As many rows as tiers."""
+    if providers.groupBy("tier").count().where("count > 1").limit(1).count():
+        raise ValueError("a tier has two providers")
+    asked = cases.select("case_id", F.explode(F.array_distinct("tiers")).alias("tier"))
+    return asked.join(F.broadcast(providers.where(F.col("tier").isin(*TIERS)).select("tier", "provider_id", "status")), "tier", "left").select("case_id", "tier", "provider_id", F.coalesce("status", F.lit("unprobed")).alias("status"))
+
+
 def combine_pages(page_artifacts: DataFrame) -> DataFrame:
     """One artifact by case from its sampled pages (case_id, page, cache_key, text, wall_ms): texts in page order
     with an empty line between, summed time, and a key over the pages' keys."""
