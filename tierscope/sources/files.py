@@ -141,14 +141,6 @@ def verify_hashes(checks: DataFrame) -> DataFrame:
     return checks.select("name", found.alias("found"), F.coalesce(found == F.lower("sha256"), F.lit(False)).alias("passed"))
 
 
-def read_table(spark: SparkSession, url: str, query: str, timeout_s: int = 60, **options: str) -> DataFrame:
-    """A read-only query over JDBC with a statement timeout; other statements are refused."""
-    if statement_kind(query) not in ("select", "with"):
-        raise ValueError("only queries can be read")
-    reader = spark.read.format("jdbc").option("url", url).option("query", query).option("queryTimeout", timeout_s).option("sessionInitStatement", "SET default_transaction_read_only = on")
-    return reader.options(**options).load()
-
-
 def statement_kind(sql: str) -> str:
     """The first keyword of a statement; raises unless it can't write."""
     kind = (re.match(r"\s*([A-Za-z]+)", sql) or [None, ""])[1].lower()
