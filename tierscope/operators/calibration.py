@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +34,24 @@ def accepted_by_all_pages(judgements: DataFrame, tiers: str, key: str = "case_id
 
 
 def routing_candidates(records: DataFrame, axes: dict[str, Sequence[float]] = ROUTING_GRID) -> DataFrame:
-    """Every candidate with correct and denominator over calibration records (signals and stratum), best first."""
-    all_ = records.crossJoin(F.broadcast(grid(records.sparkSession, axes)))
-    hit = route(F.col("t_coverage"), F.col("t_full_page_image"), F.col("t_anomaly"))["tier"] == expected_tier(F.col("stratum"))
+    """Every candidate with correct and denominator over calibration records (signals and stratum), best first.
+
+    A record counts by how many thresholds of each axis it crosses, none for a missing signal, so only as many kinds as the
+    grid tells apart meet the grid.
+    """
+    crossed = {"coverage": lambda t: F.col("text_layer_coverage") < t, "full_page_image": lambda t: F.col("full_page_image_ratio") >= t, "anomaly": lambda t: F.col("encoding_anomaly_ratio") >= t}
+    numbers = [sum(F.coalesce(f(t), F.lit(False)).cast("int") for t in axes[a]).alias(f"n_{a}") for a, f in crossed.items()]
+    # No threshold of these is crossed: what the route is without them.
+    unscanned = route(F.lit(-1.0), F.lit(float("inf")), F.lit(float("inf")))["tier"]
+    kinds = records.select(*numbers, unscanned.alias("unscanned"), expected_tier(F.col("stratum")).alias("expected")).groupBy(*(f"n_{a}" for a in crossed), "unscanned", "expected").agg(F.count("*").alias("n"))
+    # Coverage is crossed from above, the others from below.
+    least = {a: sum(((F.lit(t) >= F.col(f"t_{a}")) if a == "coverage" else (F.lit(t) <= F.col(f"t_{a}"))).cast("int") for t in axes[a]) for a in crossed}
+    scanned = reduce(or_, (F.col(f"n_{a}") >= n for a, n in least.items()))
+    hit = F.when(scanned, F.lit("T2")).otherwise(F.col("unscanned")) == F.col("expected")
     keys = [f"t_{a}" for a in axes]
-    return all_.groupBy(*keys).agg(F.count_if(hit).alias("correct"), F.count("*").alias("denominator")).orderBy(F.desc("correct"), F.desc("t_coverage"), "t_full_page_image", "t_anomaly")
+    all_ = kinds.crossJoin(F.broadcast(grid(records.sparkSession, axes)))
+    out = all_.groupBy(*keys).agg(F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias("correct"), F.sum("n").alias("denominator"))
+    return out.orderBy(F.desc("correct"), F.desc("t_coverage"), "t_full_page_image", "t_anomaly")
 
 
 def routing_policy_hash(selected: dict, case_ids: list[str], candidates: list[dict]) -> str:

@@ -48,6 +48,11 @@ def declared_page_cells(cells: DataFrame, declaration: DataFrame) -> DataFrame:
     return rows.withColumn("partition", F.when(F.col("partition").isNull(), outside.cast("string")).otherwise(F.col("partition")))
 
 
+def undeclared_page_cells(cells: DataFrame, declaration: DataFrame) -> DataFrame:
+    """The page cells (case_id, page, ...) that a declaration (case_id, pages) doesn't have; declared_page_cells raises on one."""
+    return cells.join(declaration.select("case_id", F.explode("pages").alias("page")), ["case_id", "page"], "left_anti")
+
+
 def with_page_counts(sample: DataFrame, inspections: DataFrame) -> DataFrame:
     """The sample with page_count of the inspections (case_id, page_count), 0 for cases without one."""
     return sample.drop("page_count").join(inspections.select("case_id", "page_count"), "case_id", "left").withColumn("page_count", F.coalesce("page_count", F.lit(0)))
@@ -155,16 +160,20 @@ def calibrate_overheads(samples: DataFrame) -> DataFrame:
     return out.select("provider_id", F.round(overhead, 3).alias("fixed_overhead_ms"), F.when(reported, "provider-reported").otherwise("client-observed-wall-minus-baseline-proxy").alias("basis"))
 
 
-def timing_and_cost(observations: DataFrame) -> DataFrame:
+def timing_and_cost(observations: DataFrame, mark: bool = False) -> DataFrame:
     """Marginal time with its basis, ratio to T0, billed cost (excluded where null) and machine-time proxy.
 
-    Raises on negative durations or rates and on a T0 time that isn't positive.
+    Raises on negative durations or rates and on a T0 time that isn't positive; mark: such rows have refused true and
+    no figures instead.
     """
     bad = (F.col("wall_ms") < 0) | (F.col("fixed_overhead_ms") < 0) | (F.col("machine_hourly_rate") < 0) | (F.col("t0_wall_ms") <= 0)
     reported = (F.col("provider_timing_status") == "observed") & F.col("provider_ms").isNotNull()
-    wall = F.when(bad, F.raise_error(F.lit("negative duration or rate, or no T0 baseline")).cast("double")).otherwise(F.col("wall_ms"))
+    bad = F.coalesce(bad, F.lit(False))
+    refused = F.lit(None) if mark else F.raise_error(F.lit("negative duration or rate, or no T0 baseline"))
+    wall = F.when(bad, refused.cast("double")).otherwise(F.col("wall_ms"))
     return observations.withColumns({
-        "marginal_ms": F.when(reported, F.col("provider_ms")).otherwise(F.greatest(F.lit(0.0), wall - F.col("fixed_overhead_ms"))),
+        **({"refused": bad} if mark else {}),
+        "marginal_ms": F.when(reported & ~(bad if mark else F.lit(False)), F.col("provider_ms")).when(~bad if mark else F.lit(True), F.greatest(F.lit(0.0), wall - F.col("fixed_overhead_ms"))),
         "marginal_basis": F.when(reported, "provider-reported").otherwise("client-observed-wall-minus-baseline-proxy"),
         "t0_ratio": ratio_value(wall, F.col("t0_wall_ms")),
         "billed_excluded": F.when(F.col("billed_cost").isNull(), 1).otherwise(0),

@@ -13,7 +13,8 @@ from .functions import text as T
 from .functions import windows as W
 from .functions.core import percentage
 from .operators import calibration, corpus, export, gate, metrics, oracle, policies, sampling, signals, timing, trees
-from .sources import providers
+from .operators.work import written
+from .sources import lines, providers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -276,9 +277,10 @@ def _matrix(spark, sf):
     return timing.expected_cells(expected), cells.where("status <> 'failed' AND NOT (case_id % 5 = 0 AND tier = 'T1')").select("case_id", "tier").distinct()
 
 
-@query(f"WITH {_MATRIX} SELECT case_id, tier, 'missing' AS gap FROM (FROM expected EXCEPT FROM actual) UNION ALL SELECT case_id, tier, 'unexpected' FROM (FROM actual EXCEPT FROM expected)")
+@query(f"WITH {_MATRIX} SELECT case_id, tier, 'missing' AS gap FROM (FROM expected EXCEPT FROM actual) UNION ALL SELECT case_id, tier, 'unexpected' FROM (FROM actual EXCEPT FROM expected) UNION ALL SELECT case_id, tier, 'repeated' FROM actual WHERE case_id % 6 = 1 AND tier = 'T2'")
 def matrix_gaps(spark, sf):
     expected, actual = _matrix(spark, sf)
+    actual = actual.unionByName(actual.where("case_id % 6 = 1 AND tier = 'T2'"))
     return timing.matrix_gaps(expected, actual, ["case_id", "tier"])
 
 
@@ -293,16 +295,21 @@ def page_count_profile(spark, sf):
     return timing.page_count_profile(X.page_evidence(spark, sf).groupBy("case_id").agg(F.count("*").alias("page_count")))
 
 
-@query(f"WITH {X.RUN_CELLS} SELECT provider_id, round(greatest(0, median(wall_ms - provider_ms)), 3) AS fixed_overhead_ms, 'provider-reported' AS basis FROM cells GROUP BY 1")
+# A third provider reports nothing and has baseline calls.
+@query(f"""WITH {X.RUN_CELLS}, samples AS (SELECT CASE WHEN page % 7 = 3 THEN 'p2' ELSE provider_id END AS provider_id, wall_ms, CASE WHEN page % 7 <> 3 THEN provider_ms END AS provider_ms, CASE WHEN page % 7 = 3 AND page % 2 = 1 THEN wall_ms / 4 END AS baseline_ms FROM cells)
+SELECT provider_id, round(CASE WHEN count(provider_ms) > 0 THEN greatest(0, median(wall_ms - provider_ms)) ELSE median(baseline_ms) END, 3) AS fixed_overhead_ms, CASE WHEN count(provider_ms) > 0 THEN 'provider-reported' ELSE 'client-observed-wall-minus-baseline-proxy' END AS basis FROM samples GROUP BY 1""")
 def provider_overheads(spark, sf):
-    return timing.calibrate_overheads(X.run_cells(spark, sf).select("provider_id", "wall_ms", "provider_ms", F.lit(None).cast("double").alias("baseline_ms")))
+    silent = F.col("page") % 7 == 3
+    cells = X.run_cells(spark, sf).select(F.when(silent, "p2").otherwise(F.col("provider_id")).alias("provider_id"), "wall_ms", F.when(~silent, F.col("provider_ms")).alias("provider_ms"), F.when(silent & (F.col("page") % 2 == 1), F.col("wall_ms") / 4).alias("baseline_ms"))
+    return timing.calibrate_overheads(cells)
 
 
-@query(f"WITH {X.RUN_CELLS} SELECT page, round(CASE WHEN provider_ms IS NOT NULL THEN provider_ms ELSE greatest(0, abs(wall_ms) - 3) END, 6) AS marginal_ms, CASE WHEN provider_ms IS NOT NULL THEN 'provider-reported' ELSE 'client-observed-wall-minus-baseline-proxy' END AS marginal_basis, round(abs(wall_ms) / 50, 6) AS t0_ratio, 1 AS billed_excluded, round(abs(wall_ms) / 3600000 * 0.1, 9) AS machine_time_proxy FROM cells")
+@query(f"""WITH {X.RUN_CELLS}, o AS (SELECT *, coalesce(wall_ms < 20, false) AS refused, wall_ms - 20 AS w FROM cells)
+SELECT page, refused, CASE WHEN refused THEN NULL WHEN provider_ms IS NOT NULL THEN round(provider_ms, 6) ELSE round(greatest(0, w - 3), 6) END AS marginal_ms, CASE WHEN provider_ms IS NOT NULL THEN 'provider-reported' ELSE 'client-observed-wall-minus-baseline-proxy' END AS marginal_basis, CASE WHEN NOT refused THEN round(w / 50, 6) END AS t0_ratio, 1 AS billed_excluded, CASE WHEN NOT refused THEN round(w / 3600000 * 0.1, 9) END AS machine_time_proxy FROM o""")
 def timing_and_cost(spark, sf):
-    rows = X.run_cells(spark, sf).withColumns({"wall_ms": F.abs("wall_ms"), "fixed_overhead_ms": F.lit(3.0), "t0_wall_ms": F.lit(50.0), "billed_cost": F.lit(None).cast("double"), "machine_hourly_rate": F.lit(0.1)})
-    out = timing.timing_and_cost(rows)
-    return out.select("page", F.round("marginal_ms", 6).alias("marginal_ms"), "marginal_basis", F.round("t0_ratio", 6).alias("t0_ratio"), "billed_excluded", F.round("machine_time_proxy", 9).alias("machine_time_proxy"))
+    rows = X.run_cells(spark, sf).withColumns({"wall_ms": F.col("wall_ms") - 20, "fixed_overhead_ms": F.lit(3.0), "t0_wall_ms": F.lit(50.0), "billed_cost": F.lit(None).cast("double"), "machine_hourly_rate": F.lit(0.1)})
+    out = timing.timing_and_cost(rows, mark=True)
+    return out.select("page", "refused", F.round("marginal_ms", 6).alias("marginal_ms"), "marginal_basis", F.round("t0_ratio", 6).alias("t0_ratio"), "billed_excluded", F.round("machine_time_proxy", 9).alias("machine_time_proxy"))
 
 
 @query("SELECT p_size AS page_count, count(*) AS parts, round(p_size * 2856.500583 / 3600000, 9) AS born_digital_hours, round(p_size * ((7499.753416 + 7564.891833) / 2) / 3600000, 9) AS scanned_warm_hours FROM part GROUP BY 1")
@@ -327,11 +334,14 @@ def structural_chunks(spark, sf):
     return metrics.structural_chunks(metrics.breaks_before(X.elements(spark, sf), X.boundaries(spark, sf)), 60)
 
 
-@query(f"""WITH {_FIXED}, j AS (SELECT b.expected_action = 'join' AS jn, x.last_chunk = y.first_chunk AS same FROM boundaries b JOIN chunks x ON x.id = b.before_id JOIN chunks y ON y.id = b.after_id)
-SELECT count(*) FILTER (jn) AS joins, count(*) FILTER (NOT jn) AS breaks, 0::BIGINT AS excluded_joins, 0::BIGINT AS excluded_breaks, count(*) FILTER (jn AND NOT same) AS splits, count(*) FILTER (NOT jn AND same) AS merges, CASE WHEN count(*) FILTER (jn) = 0 THEN 0 ELSE count(*) FILTER (jn AND NOT same) / count(*) FILTER (jn) END AS split_rate,
-  CASE WHEN count(*) FILTER (NOT jn) = 0 THEN 0 ELSE count(*) FILTER (NOT jn AND same) / count(*) FILTER (NOT jn) END AS merge_rate, count(*) FILTER (jn <> same) * 100 / count(*) AS violations_per_100 FROM j""")
+# Elements of nine tokens, eighteen and so on have no chunk: boundaries beside them are excluded.
+@query(f"""WITH {_FIXED}, known AS (SELECT c.* FROM chunks c JOIN elements e USING (id) WHERE e.tokens % 9 <> 0),
+j AS (SELECT b.expected_action = 'join' AS jn, x.last_chunk = y.first_chunk AS same, x.id IS NOT NULL AND y.id IS NOT NULL AS k FROM boundaries b LEFT JOIN known x ON x.id = b.before_id LEFT JOIN known y ON y.id = b.after_id),
+n AS (SELECT count(*) FILTER (k AND jn) AS joins, count(*) FILTER (k AND NOT jn) AS breaks, count(*) FILTER (NOT k AND jn) AS excluded_joins, count(*) FILTER (NOT k AND NOT jn) AS excluded_breaks, count(*) FILTER (k AND jn AND NOT same) AS splits, count(*) FILTER (k AND NOT jn AND same) AS merges FROM j)
+SELECT *, CASE WHEN joins > 0 THEN splits / joins WHEN excluded_joins = 0 THEN 0 END AS split_rate, CASE WHEN breaks > 0 THEN merges / breaks WHEN excluded_breaks = 0 THEN 0 END AS merge_rate, (splits + merges) * 100 / (joins + breaks) AS violations_per_100 FROM n""")
 def boundary_metrics(spark, sf):
-    return metrics.boundary_metrics(X.boundaries(spark, sf), metrics.fixed_chunks(X.elements(spark, sf), 50))
+    chunks = metrics.fixed_chunks(X.elements(spark, sf), 50).where("tokens % 9 <> 0")
+    return metrics.boundary_metrics(X.boundaries(spark, sf), chunks)
 
 
 def _element_sides(spark, sf):
@@ -501,9 +511,11 @@ def coverage_regimes(spark, sf):
     return corpus.coverage_regimes(X.signals(spark, sf))
 
 
-@query("SELECT count(*) AS n_rows, count(DISTINCT (conv_id, turn)) AS n_keys, count(*) = count(DISTINCT (conv_id, turn)) AS is_unique FROM conversations")
+@query("""SELECT 'turn' AS of, count(*) AS n_rows, count(DISTINCT (conv_id, turn)) AS n_keys, count(*) = count(DISTINCT (conv_id, turn)) AS is_unique FROM conversations
+UNION ALL SELECT 'conversation', count(*), count(DISTINCT conv_id), count(*) = count(DISTINCT conv_id) FROM conversations""")
 def key_uniqueness(spark, sf):
-    return corpus.uniqueness(X.table(spark, sf, "conversations"), ["conv_id", "turn"])
+    rows = X.table(spark, sf, "conversations")
+    return corpus.uniqueness(rows, ["conv_id", "turn"]).withColumn("of", F.lit("turn")).unionByName(corpus.uniqueness(rows, ["conv_id"]).withColumn("of", F.lit("conversation")))
 
 
 @query("""SELECT 'tier.' || event_type || '_share' AS key, 'Tier ' || event_type || ' share' AS name, 'observed' AS label, count(*) / (SELECT count(*) FROM events) AS value_num, NULL::VARCHAR AS value_str, count(*)::DOUBLE AS numerator, (SELECT count(*) FROM events)::DOUBLE AS denominator, 0::DOUBLE AS excluded_count FROM events GROUP BY event_type""")
@@ -638,6 +650,14 @@ def declared_cells(spark, sf):
     return timing.declared_page_cells(cells, declaration)
 
 
+@query(f"WITH {_SCORED} SELECT case_id, page FROM scored WHERE k > 2 AND page % 3 <> 0")
+def undeclared_cells(spark, sf):
+    drawn = _drawn(spark, sf)[1]
+    declaration = drawn.drop("page_count").join(_selected_pages(spark, sf), "case_id")
+    cells = X.page_evidence(spark, sf).where("page % 3 <> 0").join(drawn.select("case_id"), "case_id").select("case_id", "page")
+    return timing.undeclared_page_cells(cells, declaration)
+
+
 @query(f"WITH {X.STRATA_SQL} SELECT case_id, CASE WHEN case_id % 10 = 3 AND stratum <> 'scanned-degraded-en' THEN 'scanned-degraded-en' ELSE stratum END AS stratum FROM strata")
 def adjusted_strata(spark, sf):
     s = X.signals(spark, sf)
@@ -692,3 +712,66 @@ def structural_views(spark, sf):
     rows = docs.select("doc_id", tree.alias("tree"))
     views = trees.structural_views(rows, key="doc_id").select("doc_id", F.sha2("view", 256).alias("view_sha256"))
     return rows.select("doc_id", trees.has_structure("tree").alias("has_structure")).join(views, "doc_id")
+
+
+@query("""SELECT conv_id, turn, '{"body":{"text":' || to_json(coalesce(text, '')) || '},"parts":[{"role":' || to_json(role) || '}]}' AS tree FROM conversations""")
+def sanitised_trees(spark, sf):
+    text, role = F.coalesce("text", F.lit("")), F.col("role")
+    body = F.struct(text.alias("text"), F.lit("x").alias("filePath"), F.lit("y").alias("URL"))
+    part = F.struct(role.alias("role"), F.struct(F.lit(1).alias("a")).alias("Origin"))
+    tree = F.to_json(F.struct(F.lit("z").alias("source_url"), F.array(part).alias("parts"), body.alias("body")))
+    return X.table(spark, sf, "conversations").select("conv_id", "turn", ST.sanitised(tree).alias("tree"))
+
+
+_CHOICE = QUERIES["routing_grid"], ORACLE_SQL["routing_grid"]
+
+
+@query(f"SELECT t_coverage AS coverage, t_full_page_image AS full_page_image, t_anomaly AS anomaly, correct, denominator FROM ({_CHOICE[1]}) ORDER BY correct DESC, t_coverage DESC, t_full_page_image, t_anomaly LIMIT 1")
+def routing_choice(spark, sf):
+    found = X.signals(spark, sf)
+    sample = found.withColumn("stratum", signals.stratum()).select("case_id", "stratum", F.lit("calibration").alias("partition"))
+    chosen, candidates = calibration.tune_routing(sample, found)
+    best = candidates.limit(1)
+    return best.select(*(F.lit(v).alias(k) for k, v in chosen.items()), "correct", "denominator")
+
+
+@query(f"SELECT {', '.join(f't_{c} AS {c}' for c in gate.COMPONENTS)}, total_false_accepts, total_false_rejects FROM ({_GATE_GRID}) ORDER BY total_false_accepts, worst_false_accepts, total_false_rejects, worst_false_rejects, {', '.join(f't_{c} DESC' for c in gate.COMPONENTS)} LIMIT 1")
+def gate_choice(spark, sf):
+    c = F.col("case_id")
+    examples = _components(spark, sf).select(*gate.COMPONENTS, (c % 3 != 0).alias("reading_accepted"), (c % 4 != 0).alias("structurally_accepted"))
+    chosen, candidates = calibration.select_gate(examples)
+    return candidates.limit(1).select(*(F.lit(v).alias(k) for k, v in chosen.items()), "total_false_accepts", "total_false_rejects")
+
+
+@query("""WITH lines AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS place, '{"doc_id":' || doc_id || ',"lang":' || coalesce(to_json(lang), 'null') || ',"text_sha256":"' || sha256(coalesce(text, '')) || '"}' AS line FROM documents),
+one AS (SELECT place // 1000 AS place, sha256(string_agg(line, chr(10) ORDER BY place)) AS h FROM lines GROUP BY ALL),
+two AS (SELECT place // 1000 AS place, sha256(string_agg(h, chr(10) ORDER BY place)) AS h, count(*) AS n FROM one GROUP BY ALL)
+SELECT (SELECT count(*) FROM lines) AS n_rows, CASE WHEN (SELECT count(*) FROM one) = 1 THEN (SELECT h FROM one) ELSE (SELECT h FROM two) END AS root""")
+def output_root(spark, sf):
+    d = X.table(spark, sf, "documents").select("doc_id", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    placed = written(lines.placed_lines(d, ["doc_id"]), "placed")
+    n, root = lines.tree_root(placed)
+    return placed.agg(F.count("*").alias("n_rows")).withColumn("root", F.when(F.col("n_rows") == n, root))
+
+
+@query("""WITH asked AS (SELECT DISTINCT user_id AS case_id, 'T' || (event_id % 4) AS tier FROM events)
+SELECT case_id, tier, CASE tier WHEN 'T0' THEN 'p0' WHEN 'T1' THEN 'p1' WHEN 'T3' THEN 'p3' END AS provider_id, CASE tier WHEN 'T0' THEN 'available' WHEN 'T1' THEN 'available' WHEN 'T3' THEN 'unavailable' ELSE 'unprobed' END AS status FROM asked""")
+def attempts_by_tier(spark, sf):
+    cases = X.run_cells(spark, sf).groupBy("case_id").agg(F.collect_set("tier").alias("tiers"))
+    probes = spark.createDataFrame([("T0", "p0", "available"), ("T1", "p1", "available"), ("T3", "p3", "unavailable")], "tier string, provider_id string, status string")
+    return providers.attempts_by_tier(cases, probes)
+
+
+@query("""SELECT DISTINCT unnest(regexp_extract_all(coalesce(text, ''), '[A-Z]{3,}')) AS warning FROM documents""")
+def seen_warnings(spark, sf):
+    pages = X.texts(spark, sf).select(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Z]{3,}"), F.lit(0)).alias("warnings"))
+    return corpus.warnings_seen(pages)
+
+
+@query("""WITH v AS (SELECT 'doc.' || (doc_id // 2) AS key, CASE WHEN doc_id % 5 <> 0 THEN quality::DOUBLE END AS n, CASE WHEN doc_id % 7 = 0 THEN 'odd' ELSE 'observed' END AS label FROM labels)
+SELECT key, CASE WHEN n IS NULL THEN 'number without accounting' ELSE 'unknown label' END AS problem FROM v WHERE n IS NULL OR label = 'odd' UNION ALL SELECT key, 'repeated key' FROM v GROUP BY key HAVING count(*) > 1""")
+def unaccounted_values(spark, sf):
+    d = F.col("doc_id")
+    rows = X.table(spark, sf, "labels").select(F.concat(F.lit("doc."), F.floor(d / 2).cast("string")).alias("key"), F.when(d % 5 != 0, F.col("quality")).alias("numerator"), F.lit(1).alias("denominator"), F.lit(0).alias("excluded_count"), F.lit(0.5).alias("value"), (d % 7 == 0).alias("odd"))
+    values = export.metric_values(rows.where("NOT odd").drop("odd")).unionByName(export.metric_values(rows.where("odd").drop("odd"), "odd"))
+    return export.unaccounted(values)
