@@ -12,7 +12,7 @@ from .functions import structure as ST
 from .functions import text as T
 from .functions import windows as W
 from .functions.core import percentage
-from .operators import calibration, corpus, export, gate, metrics, oracle, policies, sampling, signals, timing, trees
+from .operators import calibration, corpus, export, gate, lexicon, metrics, oracle, policies, sampling, signals, timing, trees
 from .operators.work import written
 from .sources import lines, providers
 
@@ -775,3 +775,19 @@ def unaccounted_values(spark, sf):
     rows = X.table(spark, sf, "labels").select(F.concat(F.lit("doc."), F.floor(d / 2).cast("string")).alias("key"), F.when(d % 5 != 0, F.col("quality")).alias("numerator"), F.lit(1).alias("denominator"), F.lit(0).alias("excluded_count"), F.lit(0.5).alias("value"), (d % 7 == 0).alias("odd"))
     values = export.metric_values(rows.where("NOT odd").drop("odd")).unionByName(export.metric_values(rows.where("odd").drop("odd"), "odd"))
     return export.unaccounted(values)
+
+
+# Letters of the turns as those of a script without spaces, a run for each line.
+_LETTERS, _SCRIPT = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "กขคงจชซดตทนบปพมยรลวสหอฮฟฝผ" * 2
+
+
+@query(f"""WITH runs AS (SELECT run, count(*) AS n FROM (SELECT unnest(string_split(translate(regexp_replace(coalesce(text, ''), '[^A-Za-z\\n]', '', 'g'), '{_LETTERS}', '{_SCRIPT}'), chr(10))) AS run FROM conversations) WHERE run <> '' GROUP BY run),
+begun AS (SELECT n, s, unnest(range(1, length(s) + 1)) AS i FROM (SELECT n, '^' || run || '$' AS s FROM runs)),
+strings AS (SELECT substr(s, i::INT, k::INT) AS g, sum(n)::DOUBLE AS n FROM begun, range(1, 9) AS r(k) WHERE i + k - 1 <= length(s) GROUP BY g),
+ahead AS (SELECT left(g, -1) AS w, log2(sum(n)) - sum(CASE WHEN right(g, 1) = '$' THEN 0 ELSE n * log2(n) END) / sum(n) AS h FROM strings WHERE length(g) > 1 GROUP BY w),
+behind AS (SELECT right(g, -1) AS w, log2(sum(n)) - sum(CASE WHEN left(g, 1) = '^' THEN 0 ELSE n * log2(n) END) / sum(n) AS h FROM strings WHERE length(g) > 1 GROUP BY w)
+SELECT g AS word, n::BIGINT AS n, round(b.h, 6) AS before, round(a.h, 6) AS after FROM strings s JOIN ahead a ON a.w = g JOIN behind b ON b.w = g WHERE n >= 5 AND length(g) <= 6 AND NOT regexp_matches(g, '[\\^$]') AND a.h >= 1 - 1e-9 AND b.h >= 1 - 1e-9""")
+def learned_words(spark, sf):
+    lines_ = F.translate(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z\n]", ""), _LETTERS, _SCRIPT)
+    found = lexicon.learn_lexicon(X.texts(spark, sf, "conversations").select(lines_.alias("text")))
+    return found.select("word", "n", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))
