@@ -23,6 +23,8 @@ from .work import written
 RUN, UNIT = r"[\x{0E00}-\x{0E7F}]+", r"[\x{0E00}-\x{0E30}\x{0E32}\x{0E33}\x{0E3F}-\x{0E46}\x{0E4F}-\x{0E7F}][\x{0E31}\x{0E34}-\x{0E3E}\x{0E47}-\x{0E4E}]*|[\x{0E31}\x{0E34}-\x{0E3E}\x{0E47}-\x{0E4E}]+"
 #: Most units of a word, fewest occurrences, and least entropy on either side in bits.
 MOST_UNITS, LEAST_COUNT, LEAST_ENTROPY = 6, 5, 1.0
+#: How much more often than by chance two words stand together to be one, and units of a word where chance is reckoned.
+COHESION, UNITS_PER_WORD = 3.0, 2
 #: A lexicon goes to every task: beyond this many bytes it is refused.
 MOST_BYTES = 64 << 20
 
@@ -48,8 +50,9 @@ def _entropy(strings: DataFrame, inner: F.Column, outer: F.Column, name: str) ->
     return out.select("units", (F.log2("total") - F.col("nlogn") / F.col("total")).alias(name))
 
 
-def learn_lexicon(df: DataFrame, text: str = "text", most: int = MOST_UNITS, least_count: int = LEAST_COUNT, least_entropy: float = LEAST_ENTROPY) -> DataFrame:
-    """(word, n, before, after): strings of units that occur often enough, and whose neighbours on both sides vary enough."""
+def learn_lexicon(df: DataFrame, text: str = "text", most: int = MOST_UNITS, least_count: int = LEAST_COUNT, least_entropy: float = LEAST_ENTROPY, cohesion: float = COHESION) -> DataFrame:
+    """(word, n, before, after): strings of units that occur often enough, whose neighbours on both sides vary enough, and that
+    are not two words that meet by chance."""
     strings = written(counted_strings(df, text, most), "lexicon-strings")
     size = F.size("units")
     after = _entropy(strings, F.slice("units", F.lit(1), size - 1), F.element_at("units", -1), "after")
@@ -57,7 +60,14 @@ def learn_lexicon(df: DataFrame, text: str = "text", most: int = MOST_UNITS, lea
     words = strings.where((F.col("n") >= least_count) & (size <= most) & ~F.array_contains("units", ""))
     found = words.join(after.hint("merge"), "units").join(before.hint("merge"), "units")
     least = least_entropy - 1e-9  # sums of doubles have no one order
-    return found.where((F.col("after") >= least) & (F.col("before") >= least)).select(F.array_join("units", "").alias("word"), "n", "before", "after")
+    likely = written(found.where((F.col("after") >= least) & (F.col("before") >= least)), "lexicon-likely")
+    # Two words that often meet have varied neighbours too, but no more occurrences than their shares make them have.
+    one = strings.where((size == 1) & ~F.array_contains("units", "")).agg((F.coalesce(F.sum("n"), F.lit(0)) / UNITS_PER_WORD).alias("tokens"))
+    cuts = likely.where(size > 1).select("units", "n", F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
+    halves = [likely.select(F.col("units").alias(name), F.col("n").alias(f"n_{name}")).hint("merge") for name in ("left", "right")]
+    cuts = cuts.withColumns({"left": F.slice("units", F.lit(1), F.col("k")), "right": F.slice("units", F.col("k") + 1, size - F.col("k"))}).join(halves[0], "left").join(halves[1], "right")
+    chance = cuts.crossJoin(F.broadcast(one)).where(F.col("n") * F.col("tokens") <= cohesion * F.col("n_left") * F.col("n_right")).select("units").distinct()
+    return likely.join(chance.hint("merge"), "units", "left_anti").select(F.array_join("units", "").alias("word"), "n", "before", "after")
 
 
 def lexicon_costs(lexicon: DataFrame) -> dict[str, float]:

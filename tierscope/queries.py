@@ -785,8 +785,11 @@ _LETTERS, _SCRIPT = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ก
 begun AS (SELECT n, s, unnest(range(1, length(s) + 1)) AS i FROM (SELECT n, '^' || run || '$' AS s FROM runs)),
 strings AS (SELECT substr(s, i::INT, k::INT) AS g, sum(n)::DOUBLE AS n FROM begun, range(1, 9) AS r(k) WHERE i + k - 1 <= length(s) GROUP BY g),
 ahead AS (SELECT left(g, -1) AS w, log2(sum(n)) - sum(CASE WHEN right(g, 1) = '$' THEN 0 ELSE n * log2(n) END) / sum(n) AS h FROM strings WHERE length(g) > 1 GROUP BY w),
-behind AS (SELECT right(g, -1) AS w, log2(sum(n)) - sum(CASE WHEN left(g, 1) = '^' THEN 0 ELSE n * log2(n) END) / sum(n) AS h FROM strings WHERE length(g) > 1 GROUP BY w)
-SELECT g AS word, n::BIGINT AS n, round(b.h, 6) AS before, round(a.h, 6) AS after FROM strings s JOIN ahead a ON a.w = g JOIN behind b ON b.w = g WHERE n >= 5 AND length(g) <= 6 AND NOT regexp_matches(g, '[\\^$]') AND a.h >= 1 - 1e-9 AND b.h >= 1 - 1e-9""")
+behind AS (SELECT right(g, -1) AS w, log2(sum(n)) - sum(CASE WHEN left(g, 1) = '^' THEN 0 ELSE n * log2(n) END) / sum(n) AS h FROM strings WHERE length(g) > 1 GROUP BY w),
+likely AS (SELECT g, n, a.h AS after, b.h AS before FROM strings s JOIN ahead a ON a.w = g JOIN behind b ON b.w = g WHERE n >= 5 AND length(g) <= 6 AND NOT regexp_matches(g, '[\\^$]') AND a.h >= 1 - 1e-9 AND b.h >= 1 - 1e-9),
+cuts AS (SELECT g, n, k FROM likely, range(1, 6) AS r(k) WHERE k < length(g)),
+chance AS (SELECT DISTINCT c.g FROM cuts c JOIN likely x ON x.g = left(c.g, k::INT) JOIN likely y ON y.g = right(c.g, -k::INT) WHERE c.n * (SELECT sum(n) / 2 FROM strings WHERE length(g) = 1 AND g NOT IN ('^', '$')) <= 3 * x.n * y.n)
+SELECT g AS word, n::BIGINT AS n, round(before, 6) AS before, round(after, 6) AS after FROM likely WHERE g NOT IN (SELECT g FROM chance)""")
 def learned_words(spark, sf):
     lines_ = F.translate(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z\n]", ""), _LETTERS, _SCRIPT)
     found = lexicon.learn_lexicon(X.texts(spark, sf, "conversations").select(lines_.alias("text")))
