@@ -102,3 +102,24 @@ def test_extreme_components_null_ids_and_repeated_rows(spark):
     assert got == sorted([(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (5, 0, 5, True), (None, 0, None, True), (None, 0, None, True)], key=str)
     tied = spark.createDataFrame([(i, [0.0, 3.0, 4.0], 0, "k", 7, 7) for i in (9, 8, 7, 7)], SCHEMA)
     assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in E.link_vectors(tied).collect()) == [(7, 2, 7, True), (8, 2, 7, False), (9, 2, 7, False)]
+
+
+def test_sql_of_planted_links(spark):
+    """The query's SQL on vectors with groups of near copies, chains and odd rows, where links are many."""
+    import duckdb
+
+    rng = np.random.default_rng(77)
+    rows, at = [], 0
+    for size in (1, 1, 2, 3, 12, 40):
+        centre = rng.normal(size=24)
+        for _ in range(size):
+            rows.append((at, (centre + rng.normal(size=24) * 0.05).tolist()))
+            at += 1
+    rows += [(at, None), (at + 1, [0.0] * 24), (at + 2, [float("nan")] + [1.0] * 23), (at + 3, []), (at + 4, (np.array(rows[0][1]) * 3).tolist())]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    columns = ["vec_id", "n_links", "component_id", "kept"]
+    want = sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({E.ORACLE_SQL})").fetchall())
+    got = sorted(tuple(r[c] for c in columns) for r in E.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == want and sum(r[1] for r in got) > 1000
