@@ -93,13 +93,18 @@ ORACLE_PAGES = """oracle_pages AS (SELECT doc_id AS case_id, 1 AS page,
 
 def run_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run cell for each event."""
-    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    return cells_of(table(spark, sf_dir, "events"))
+
+
+def cells_of(e: DataFrame) -> DataFrame:
+    """Run cells of events, of a table or a stream."""
+    i = F.col("event_id")
     status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "unavailable").when((F.col("event_type") == "view") & (i % 7 == 0), "censored").otherwise("succeeded")
     return e.select(
         F.col("user_id").alias("case_id"), i.alias("page"), F.concat(F.lit("T"), (i % 4).cast("string")).alias("tier"), F.when(F.col("user_id") % 3 == 0, "calibration").otherwise("evaluation").alias("partition"),
         F.element_at(F.array(*map(F.lit, ("born-digital-en", "layout-heavy-born-digital", "scanned-degraded-en", "scanned-degraded-thai-mixed"))), (F.col("user_id") % 4 + 1).cast("int")).alias("stratum"),
         (F.col("user_id") % 9 + 1).alias("page_count"), status.alias("status"), (i % 11 != 0).alias("has_artifact"), F.col("value").alias("wall_ms"), F.concat(F.lit("p"), (i % 2).cast("string")).alias("provider_id"),
-        F.when(i % 3 == 0, F.col("value") / 2).alias("provider_ms"), F.when(i % 3 == 0, "observed").otherwise("unavailable").alias("provider_timing_status"), (i % 5 == 0).alias("cache_hit"), F.when(status == "censored", F.col("value")).alias("observed_minimum_wall_ms"))
+        F.when(i % 3 == 0, F.col("value") / 2).alias("provider_ms"), F.when(i % 3 == 0, "observed").otherwise("unavailable").alias("provider_timing_status"), (i % 5 == 0).alias("cache_hit"), F.when(status == "censored", F.col("value")).alias("observed_minimum_wall_ms"), F.col("ts").cast("timestamp").alias("started_at"))
 
 
 RUN_CELLS = """cells AS (SELECT user_id AS case_id, event_id AS page, 'T' || (event_id % 4) AS tier, CASE WHEN user_id % 3 = 0 THEN 'calibration' ELSE 'evaluation' END AS partition,

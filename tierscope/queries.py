@@ -15,6 +15,7 @@ from .functions.core import percentage
 from .operators import calibration, corpus, export, gate, lexicon, metrics, oracle, policies, sampling, signals, timing, trees
 from .operators.work import written
 from .sources import lines, providers
+from .streaming import runlog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -794,3 +795,11 @@ def learned_words(spark, sf):
     lines_ = F.translate(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z\n]", ""), _LETTERS, _SCRIPT)
     found = lexicon.learn_lexicon(X.texts(spark, sf, "conversations").select(lines_.alias("text")))
     return found.select("word", "n", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))
+
+
+# Every cell comes twice; the stream counts it once.
+@query(ORACLE_SQL["status_counts"])
+def streamed_status(spark, sf):
+    events = spark.readStream.schema(X.table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    cells = X.cells_of(events)
+    return runlog.settled(runlog.status_stream(runlog.once(cells.unionAll(cells))))
