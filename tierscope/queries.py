@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import fixtures as X
 from .functions import structure as ST
@@ -13,8 +15,9 @@ from .functions import text as T
 from .functions import windows as W
 from .functions.core import percentage
 from .operators import calibration, corpus, export, gate, lexicon, metrics, oracle, policies, sampling, signals, timing, trees
-from .operators.work import written
-from .sources import lines, providers
+from .operators.work import shared_folder, written
+from .plans import analysis, declaration
+from .sources import artifacts, files, lines, providers, run_cells
 from .streaming import runlog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -803,3 +806,61 @@ def streamed_status(spark, sf):
     events = spark.readStream.schema(X.table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
     cells = X.cells_of(events)
     return runlog.settled(runlog.status_stream(runlog.once(cells.unionAll(cells))))
+
+
+@query(f"""WITH {_COMPONENTS}, {X.ORACLE_PAGES}, judged AS (SELECT case_id, tier, list_contains(usable_tiers, tier) AS reading_accepted, list_contains(structurally_adequate_tiers, tier) AS structurally_accepted FROM oracle_pages, (VALUES ('T0'), ('T1'), ('T2'), ('T3')) AS v(tier))
+SELECT case_id, tier, {', '.join(f'round({c}, 6)::DOUBLE AS {c}' for c in gate.COMPONENTS)}, reading_accepted, structurally_accepted FROM components JOIN judged USING (case_id, tier)""")
+def gate_examples(spark, sf):
+    inspections = X.signals(spark, sf).select("case_id", "total_text_chars", "page_count", "thai_char_ratio", "latin_char_ratio", (F.col("case_id") % 2 == 0).alias("expects_structure"))
+    rows = analysis.gate_examples(X.tier_artifacts(spark, sf), inspections, X.oracle_pages(spark, sf))
+    return rows.select("case_id", "tier", *(F.round(c, 6).alias(c) for c in gate.COMPONENTS), "reading_accepted", "structurally_accepted")
+
+
+@query(f"SELECT page_id, sha256(trim(regexp_replace({_stripped('h')}, '{T.ECMA_SPACE}+', ' ', 'g'), ' ')) AS words_sha256, sha256({_without_space('h')}) AS characters_sha256 FROM (SELECT page_id, coalesce(html, '') AS h FROM pages)")
+def compared_texts(spark, sf):
+    html = F.coalesce("html", F.lit(""))
+    return X.texts(spark, sf, "pages").select("page_id", F.sha2(T.for_wer(html, F.lit("english")), 256).alias("words_sha256"), F.sha2(T.for_cer(html), 256).alias("characters_sha256"))
+
+
+# Every third document's artifact is stored, and all are asked for under another case's name.
+@query("""SELECT doc_id, 'case-' || doc_id AS case_id, doc_id % 3 = 0 AS hit, CASE WHEN doc_id % 3 = 0 THEN sha256('{"text":' || coalesce('"' || sha256(text) || '"', 'null') || '}') END AS payload_sha256 FROM documents""")
+def stored_artifacts(spark, sf):
+    key = F.sha2(F.col("doc_id").cast("string"), 256)
+    docs = X.texts(spark, sf).select("doc_id", key.alias("cache_key"), F.to_json(F.struct(F.sha2("text", 256).alias("text")), {"ignoreNullFields": "false"}).alias("payload"))
+    store = artifacts.ArtifactStore(spark, f"{shared_folder(spark)}/artifacts-{uuid.uuid4().hex}")
+    store.put(docs.where("doc_id % 3 = 0").select("cache_key", F.col("doc_id").cast("string").alias("case_id"), "payload"))
+    found = store.get(docs.select("cache_key", F.concat(F.lit("case-"), F.col("doc_id").cast("string")).alias("case_id")))
+    return found.join(docs.select("doc_id", "cache_key"), "cache_key").select("doc_id", "case_id", "hit", F.sha2("payload", 256).alias("payload_sha256"))
+
+
+@query("SELECT doc_id, lang, sha256(text) AS text_sha256, n_chars::BIGINT AS n_chars FROM documents")
+def stored_lines(spark, sf):
+    path = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}.jsonl"
+    lines.write_lines(X.table(spark, sf, "documents").select("doc_id", "lang", "text", "n_chars"), path, ["doc_id"])
+    rows = files.read_json_lines(spark, path, "doc_id long, lang string, text string, n_chars long")
+    return rows.select("doc_id", "lang", F.sha2("text", 256).alias("text_sha256"), "n_chars")
+
+
+# One cell a case and tier, written and read as files; of the cells of T1 and T3 only, other files aren't opened.
+@query(f"""WITH {X.RUN_CELLS} SELECT partition, 'C' || case_id AS case_id, NULL::INT AS page, tier, min(status) AS status, round(sum(wall_ms), 4) AS wall_ms, bool_or(cache_hit) AS cache_hit FROM cells WHERE tier IN ('T1', 'T3') GROUP BY partition, case_id, tier""")
+def stored_cells(spark, sf):
+    run_cells.register(spark)
+    folder = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    cells = X.run_cells(spark, sf).groupBy("partition", F.concat(F.lit("C"), F.col("case_id").cast("string")).alias("case_id"), "tier").agg(F.min("status").alias("status"), F.sum("wall_ms").alias("wall_ms"), F.bool_or("cache_hit").alias("cache_hit"))
+    schema = StructType.fromDDL(run_cells.SCHEMA)
+    cells.select(*(F.col(f.name) if f.name in cells.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema)).write.format("run_cells").mode("append").save(folder)
+    return spark.read.format("run_cells").load(folder).where(F.col("tier").isin("T1", "T3")).select("partition", "case_id", "page", "tier", "status", F.round("wall_ms", 4).alias("wall_ms"), "cache_hit")
+
+
+@query(f"WITH {_SCORED} SELECT CASE WHEN d.r <= 2 THEN 'calibration' ELSE 'evaluation' END || '-' || d.case_id || '-P' || lpad(s.page::VARCHAR, 4, '0') || '-T3.json' AS name, d.page_count FROM scored s JOIN drawn d USING (case_id) WHERE s.k <= 2")
+def declared_pages(spark, sf):
+    found, drawn = _drawn(spark, sf)
+    chosen = _selected_pages(spark, sf).withColumnRenamed("pages", "frozen")
+    cases = drawn.join(found.select("case_id", "chars_per_page"), "case_id").join(chosen, "case_id").withColumn("pages", F.when(F.col("partition") == "evaluation", F.col("frozen"))).drop("frozen")
+    pages = signals.inspect_pages(X.page_evidence(spark, sf)).withColumn("warnings", F.lit(0))
+    policy = {"status": "frozen", "evaluation_cells": 0, "opened_cases": [], "sample_hash": "m", "config_hash": "c"}
+    declared = declaration.declare_evaluation(cases, pages, spark.createDataFrame([], "name string"), {"config_hash": "c", "inspection_hash": "i", "seed": SEED}, policy, "c", "i", "m", "p", SEED, "2026-08-05")
+    names = spark.createDataFrame([(n,) for n in declaration.expected_cells(declared)], "name string")
+    # A sample has a handful of cases by stratum, and so has its declaration.
+    counts = spark.createDataFrame([(f"{c['partition']}-{c['caseId']}-", c["documentPageCount"]) for c in declared["cases"]], "start string, page_count long")
+    return names.join(counts, F.col("name").startswith(F.col("start"))).select("name", "page_count")
