@@ -90,6 +90,18 @@ class Echo(providers.TierProvider):
         return providers.Extraction(text=f"{content.decode()} {language}", structure={"url": "u", "text": "t"}, provider_ms=providers.parse_seconds(0.5))
 
 
+def test_locations_of_columns(spark):
+    rows = [(u, d) for u in ("http://127.0.0.1:9/x", "http://LOCALHOST", "https://x.example", "http://[::1]:80/", "https://a.localhost/y", "https://128.0.0.1", "odd") for d in (None, "local", "private", "hosted", "other")]
+    got = {(r["url"], r["declared"]): (r["execution"], r["problem"]) for r in providers.execution_locations(spark.createDataFrame(rows, "url string, declared string")).collect()}
+    for url, declared in rows:
+        try:
+            assert got[url, declared] == (providers.execution_location(url, declared), None)
+        except ValueError as e:
+            assert got[url, declared] == (None, str(e))
+    hints = spark.createDataFrame([("scanned-degraded-thai-mixed",), ("born-digital-en",), (None,)], "s string").select(providers.language_hints(F.col("s")).alias("h"))
+    assert [r["h"] for r in hints.collect()] == ["eng+tha", "eng", "eng"]
+
+
 def test_providers(spark):
     assert providers.execution_location("http://127.0.0.1:9/x") == providers.execution_location("http://localhost") == "local"
     assert providers.execution_location("https://x.example", "private") == "private"

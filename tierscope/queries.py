@@ -870,3 +870,19 @@ def declared_pages(spark, sf):
     # A sample has a handful of cases by stratum, and so has its declaration.
     counts = spark.createDataFrame([(f"{c['partition']}-{c['caseId']}-", c["documentPageCount"]) for c in declared["cases"]], "start string, page_count long")
     return names.join(counts, F.col("name").startswith(F.col("start"))).select("name", "page_count")
+
+
+@query("""WITH e AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'http://127.0.0.1:' || page_id ELSE url END AS url, [NULL, 'local', 'private', 'hosted', 'odd'][page_id % 7 + 1] AS declared FROM pages),
+h AS (SELECT *, regexp_matches(url, '^https?://(127[.]|localhost)') AS loopback FROM e),
+p AS (SELECT *, CASE WHEN declared = 'odd' THEN 'unknown execution location' WHEN loopback AND declared <> 'local' THEN 'a loopback host is local' WHEN NOT loopback AND (declared IS NULL OR declared = 'local') THEN 'a remote host must be declared private or hosted' END AS problem FROM h)
+SELECT page_id, problem, CASE WHEN problem IS NULL THEN CASE WHEN loopback THEN 'local' ELSE declared END END AS execution FROM p""")
+def execution_locations(spark, sf):
+    i = F.col("page_id")
+    declared = F.try_element_at(F.array(F.lit(None).cast("string"), *map(F.lit, ("local", "private", "hosted", "odd"))), (i % 7 + 1).cast("int"))
+    rows = X.table(spark, sf, "pages").select("page_id", F.when(i % 5 == 0, F.concat(F.lit("http://127.0.0.1:"), i.cast("string"))).otherwise(F.col("url")).alias("url"), declared.alias("declared"))
+    return providers.execution_locations(rows).select("page_id", "problem", "execution")
+
+
+@query(f"WITH {X.STRATA_SQL} SELECT case_id, CASE WHEN stratum = 'scanned-degraded-thai-mixed' THEN 'eng+tha' ELSE 'eng' END AS language FROM strata")
+def language_hints(spark, sf):
+    return X.signals(spark, sf).select("case_id", providers.language_hints(signals.stratum()).alias("language"))

@@ -10,7 +10,7 @@ from dataclasses import asdict, dataclass, field
 from urllib.parse import urlparse
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import TIERS
@@ -83,6 +83,20 @@ def language_hint(stratum: str) -> str:
     return "eng+tha" if stratum.endswith("thai-mixed") else "eng"
 
 
+def language_hints(stratum: Column) -> Column:
+    """language_hint of a column; a missing stratum has the plain one."""
+    return F.when(F.coalesce(stratum.endswith("thai-mixed"), F.lit(False)), "eng+tha").otherwise("eng")
+
+
+def execution_locations(endpoints: DataFrame, url: str = "url", declared: str = "declared") -> DataFrame:
+    """endpoints with execution and problem: execution_location of each row, or why there is none."""
+    host = F.regexp_replace(F.lower(F.coalesce(F.parse_url(F.col(url), F.lit("HOST")), F.lit(""))), r"^\[|\]$", "")
+    loopback = (host == "localhost") | host.endswith(".localhost") | host.rlike(r"^127(\.\d{1,3}){3}$") | (host == "::1")
+    said = F.col(declared)
+    problem = F.when(said.isNotNull() & ~said.isin(*EXECUTIONS), "unknown execution location").when(loopback & (said != "local"), "a loopback host is local").when(~loopback & (said.isNull() | (said == "local")), "a remote host must be declared private or hosted")
+    return endpoints.withColumn("problem", problem).withColumn("execution", F.when(F.col("problem").isNull(), F.when(loopback, "local").otherwise(said)))
+
+
 def probe(provider: TierProvider) -> dict:
     """An available or unavailable record; never raises."""
     try:
