@@ -25,8 +25,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         low = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(low.hint("merge"), "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
         after = written(small.unionByName(low.select("x", F.col("m").alias("y"))).distinct(), "components")
-        # Stars of one root each are the end: no edge leads to a node that leads on.
-        if after.select(F.col("y").alias("x")).distinct().join(after.select("x").hint("merge"), "x", "left_semi").limit(1).count() == 0 and after.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() == 0:
+        # Stars of one root each are the end: no edge leads to a node that leads on, and none leads to two.
+        onward = after.select(F.col("y").alias("x")).distinct().join(after.select("x").hint("merge"), "x", "left_semi")
+        if onward.unionByName(after.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x")).isEmpty():
             break
         pairs = after
     return after.select(F.col("x").alias("node"), F.col("y").alias("root")).unionByName(after.select(F.col("y").alias("node"), F.col("y").alias("root")).distinct())
