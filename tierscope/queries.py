@@ -16,7 +16,7 @@ from .functions import windows as W
 from .functions.core import percentage
 from .operators import calibration, corpus, export, gate, lexicon, metrics, oracle, policies, sampling, signals, timing, trees
 from .operators.work import shared_folder, written
-from .plans import analysis, declaration
+from .plans import analysis, annotations, declaration, report
 from .sources import artifacts, files, lines, providers, run_cells
 from .streaming import runlog
 
@@ -886,3 +886,64 @@ def execution_locations(spark, sf):
 @query(f"WITH {X.STRATA_SQL} SELECT case_id, CASE WHEN stratum = 'scanned-degraded-thai-mixed' THEN 'eng+tha' ELSE 'eng' END AS language FROM strata")
 def language_hints(spark, sf):
     return X.signals(spark, sf).select("case_id", providers.language_hints(signals.stratum()).alias("language"))
+
+
+_GATE_BEST = f"SELECT * FROM ({_GATE_GRID}) ORDER BY total_false_accepts, worst_false_accepts, total_false_rejects, worst_false_rejects, {', '.join(f't_{c} DESC' for c in gate.COMPONENTS)} LIMIT 1"
+_OVERALL = "(SELECT * FROM (" + ORACLE_SQL["timing_cube"] + ") WHERE \"group\" = 'overall' AND tier <> 'T3')"
+_PAGES_T3 = "(SELECT * FROM (" + ORACLE_SQL["page_timing"] + ") WHERE partition = 'evaluation' AND stratum IS NULL)"
+
+
+def _figure(key: str, unit: str, label: str, numerator: str, denominator: str, source: str, excluded: str = "0", value: str | None = None) -> str:
+    rate = value or f"CASE WHEN {denominator} <> 0 THEN {numerator} / {denominator} WHEN {numerator} = 0 AND {excluded} = 0 THEN 0 END"
+    return f"SELECT {key} AS key, '{label}' AS label, round(({rate})::DOUBLE, 6) AS value_num, NULL::VARCHAR AS value_str, round(({numerator})::DOUBLE, 6) AS numerator, ({denominator})::DOUBLE AS denominator, ({excluded})::DOUBLE AS excluded_count, '{unit}' AS unit FROM {source}"
+
+
+def _report_sql() -> str:
+    of = lambda name: f"({ORACLE_SQL[name]})"
+    out = [_figure(f"'corpus.{n}'", u, "observed", n, n, of("corpus_summary"), value=n) for n, u in (("attachments", "attachments"), ("included", "PDFs"), ("excluded", "attachments"), ("unreadable", "PDFs"), ("pages", "pages"))]
+    out += [_figure(f"'corpus.text_layer_coverage_{n}'", "PDFs", "observed", n, "documents", of("coverage_regimes"), value=n) for n in ("high", "low", "middle")]
+    out += [_figure(f"'sample.{n}_documents'", "documents", "sampled", n, "calibration + evaluation", f"(SELECT sum(calibration) AS calibration, sum(evaluation) AS evaluation FROM {of('sample_summary')})", value=n) for n in ("calibration", "evaluation")]
+    out += [_figure(f"'gate.threshold.{n}'", "score threshold", "observed", f"t_{n}", "denominator", f"({_GATE_BEST})", value=f"t_{n}") for n in gate.COMPONENTS]
+    out += [_figure(f"'gate.calibration.{a}.{e}'", "document-tier examples", "sampled", f"{a}_{e}", "denominator", f"({_GATE_BEST})", value=f"{a}_{e}") for a in ("reading", "structural") for e in ("false_accepts", "false_rejects")]
+    p = of("policy_simulation")
+    out += [_figure(f"'policy.' || policy || '.tier.{t}.documents'", "documents", "sampled", f"selected_{t.lower()}", "selected_documents", p, "documents - selected_documents") for t in ("T0", "T1", "T2", "T3")]
+    out += [_figure(f"'policy.' || policy || '.{a}.{e}'", "fraction of pages", "sampled", f"{a}_{e}", "covered_pages", p, "pages - covered_pages") for a in ("reading", "structural") for e in ("false_accepts", "false_escalations")]
+    out += [_figure("'policy.' || policy || '.observed_timing_coverage'", "fraction of documents", "sampled", "observed_documents", "documents", p)]
+    out += [_figure(f"'policy.all_T3_pages.{a}.{e}'", "fraction of pages", "sampled", f"{a}_{e}", "pages", of("page_baseline")) for a in ("reading", "structural") for e in ("false_accepts", "false_escalations")]
+    out += [_figure("'timing.' || tier || '.mean_wall_ms_per_document'", "ms/document", "sampled", "wall_ms", "succeeded", _OVERALL, "documents - succeeded")]
+    out += [_figure("'cost_proxy.' || tier || '.total'", "USD", "sampled", "round(marginal_ms / 3600000 * 0.1, 6)", "documents", _OVERALL, "documents - succeeded", "round(marginal_ms / 3600000 * 0.1, 6)")]
+    out += [_figure("'timing.T3.evaluation_mean_wall_ms_per_page'", "ms/page", "sampled", "total_ms", "numerator", _PAGES_T3, "excluded_count")]
+    hours = f"total_ms / numerator * (SELECT pages FROM {of('corpus_summary')}) / 3600000"
+    out += [_figure("'timing.T3.projected_corpus_hours'", "hours", "projected", hours, f"(SELECT pages FROM {of('corpus_summary')})", _PAGES_T3, "excluded_count", hours)]
+    d = of("degradation_counts")
+    out += [_figure("'oracle.' || partition || '.higher_tier_degradation'", "fraction of pages", "sampled", "degraded_pages", "pages", d)]
+    out += [_figure("'oracle.all.higher_tier_degradation'", "fraction of pages", "sampled", "degraded_pages", "pages", f"(SELECT sum(degraded_pages) AS degraded_pages, sum(pages) AS pages FROM {d})")]
+    out += [_figure("'T2.thai_short_run_density'", "short runs by Thai code point", "sampled", "numerator", "denominator", f"(SELECT sum(numerator) AS numerator, sum(denominator) AS denominator FROM {of('short_run_density')})")]
+    text = "NULL::DOUBLE AS value_num, {} AS value_str, NULL::DOUBLE AS numerator, NULL::DOUBLE AS denominator, NULL::DOUBLE AS excluded_count, NULL::VARCHAR AS unit"
+    out += [f"SELECT 'provider.' || tier || '.identity' AS key, 'observed' AS label, {text.format(chr(39) + 'provider ' + chr(39) + ' || tier')} FROM (SELECT DISTINCT 'T' || (event_id % 4) AS tier FROM events)"]
+    out += [f"SELECT 'cost.billed_spend' AS key, 'unavailable' AS label, {text.format(chr(39) + 'nothing was billed' + chr(39))}"]
+    return " UNION ALL ".join(f"({x})" for x in out)
+
+
+@query(_report_sql())
+def value_report(spark, sf):
+    c = F.col("case_id")
+    examples = _components(spark, sf).select(*gate.COMPONENTS, (c % 3 != 0).alias("reading_accepted"), (c % 4 != 0).alias("structurally_accepted"))
+    best = calibration.gate_candidates(examples).limit(1).withColumnsRenamed({f"t_{n}": n for n in gate.COMPONENTS})
+    cells = X.run_cells(spark, sf)
+    pages = timing.page_timing(cells.where("tier = 'T3'"), [[], ["partition"], ["partition", "stratum"]]).where("stratum IS NULL")
+    probes = cells.select("tier").distinct().select("tier", F.lit("provider").alias("provider_id"), F.col("tier").alias("version"), F.lit("available").alias("status"))
+    out = report.value_report(
+        QUERIES["corpus_summary"](spark, sf), QUERIES["coverage_regimes"](spark, sf), QUERIES["sample_summary"](spark, sf), best, QUERIES["policy_simulation"](spark, sf), QUERIES["page_baseline"](spark, sf),
+        timing.timing_cube(cells, _overheads(spark)), pages, QUERIES["degradation_counts"](spark, sf), QUERIES["short_run_density"](spark, sf), probes, spark.createDataFrame([("cost.billed_spend", "nothing was billed")], "key string, reason string"))
+    return out.select("key", "label", F.round("value_num", 6).alias("value_num"), "value_str", F.round("numerator", 6).alias("numerator"), "denominator", "excluded_count", "unit")
+
+
+# The lines of a page stand for its image; records of pages that are divisible by three are there already.
+@query(f"WITH {_SCORED} SELECT s.case_id, s.page, d.stratum, 't3-page-images/' || s.case_id || '-P' || lpad(s.page::VARCHAR, 4, '0') || '.png' AS image_file, sha256(e.text) AS image_sha256, s.case_id || '/P' || lpad(s.page::VARCHAR, 4, '0') || '.private.json' AS annotation_file, CASE WHEN s.page % 3 = 0 THEN 'complete' ELSE 'pending' END AS annotation_status, s.page % 3 <> 0 AS created FROM scored s JOIN drawn d USING (case_id) JOIN page_evidence e ON e.case_id = s.case_id AND e.page = s.page WHERE s.k <= 2 AND d.r > 2")
+def annotation_pack(spark, sf):
+    drawn = _drawn(spark, sf)[1].select("case_id", "partition", "stratum")
+    declared = drawn.join(_selected_pages(spark, sf), "case_id")
+    images = X.page_evidence(spark, sf).select("case_id", "page", F.col("text").cast("binary").alias("content"))
+    existing = declared.where("partition = 'evaluation'").select("case_id", F.explode("pages").alias("page")).where("page % 3 = 0").withColumn("annotation_status", F.lit("complete"))
+    return annotations.prepare_pack(declared, images, existing)
