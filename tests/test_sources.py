@@ -232,28 +232,6 @@ def test_declarations_come_with_their_hash(spark, tmp_path):
     assert [r["passed"] for r in files.verify_hashes(checks).orderBy("name").collect()] == [False, False]
 
 
-def test_schemas(spark):
-    from tierscope.operators.schemas import SchemaRegistry, format_errors
-
-    schema = {
-        "type": "object", "required": ["id", "tier"], "additionalProperties": False, "$defs": {"hash": {"type": "string", "pattern": "^[a-f0-9]{4}$"}},
-        "properties": {"id": {"type": "string", "minLength": 1}, "tier": {"enum": ["T0", "T1"]}, "n": {"type": ["integer", "null"], "minimum": 0}, "hash": {"$ref": "#/$defs/hash"}, "pages": {"type": "array", "minItems": 1, "uniqueItems": True, "items": {"type": "integer", "exclusiveMinimum": 0}}, "v": {"const": 1}, "note": {"anyOf": [{"type": "string"}, {"type": "null"}]}},
-        "allOf": [{"if": {"properties": {"tier": {"const": "T1"}}, "required": ["tier"]}, "then": {"required": ["n"]}, "else": {"not": {"required": ["hash"]}}}],
-    }
-    registry = SchemaRegistry({"run": schema})
-    told = lambda v: format_errors(registry.validate("run", v))
-    assert told({"id": "a", "tier": "T0", "n": 2.0, "pages": [1, 2], "v": 1, "note": None}) == ""
-    assert told([]) == "/ must be object"
-    assert told({"id": "", "tier": "T9", "x": 1, "n": -1}) == "/id must NOT have fewer than 1 characters; /tier must be equal to one of the allowed values; / must NOT have additional properties; /n must be >= 0"
-    assert told({"id": "a", "tier": "T1", "hash": "zz"}) == '/hash must match pattern "^[a-f0-9]{4}$"; / must have required property \'n\'; / must match "then" schema'
-    assert told({"id": "a", "tier": "T0", "hash": "abcd"}) == '/ must NOT be valid; / must match "else" schema'
-    assert told({"id": "a", "tier": "T0", "pages": [1, 1, 0], "v": True, "note": 3}) == "/pages must NOT have duplicate items (items ## 1 and 0 are identical); /pages/2 must be > 0; /v must be equal to constant; /note must be string; /note must be null; /note must match a schema in anyOf"
-    with pytest.raises(ValueError, match="unknown schema"):
-        registry.validate("other", {})
-    rows = spark.createDataFrame([('{"id":"a","tier":"T0"}',), ('{"id":1,"tier":"T0"}',), ("{",), (None,)], "t string")
-    assert [r["v"] for r in rows.select(registry.violations("run")("t").alias("v")).collect()] == [[], ["/id must be string"], ["/ must be JSON"], None]
-
-
 def test_frozen_rules():
     from tierscope.operators import oracle
 

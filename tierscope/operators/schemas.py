@@ -1,28 +1,56 @@
-"""Schema registry: JSON records against JSON Schemas (draft 2020-12, the keywords that record schemas use), all errors told."""
+"""Schema registry: JSON Schemas (draft 2020-12, the keywords that record schemas use) as column expressions over VARIANT.
+
+A schema is turned into one expression that gives the list of what a record violates, so records are checked where they
+are read, within the engine's own plan. Every violation is told, "path message" each. A schema that refers to itself has
+no such expression and is refused.
+"""
 
 from __future__ import annotations
 
 import json
-import math
-import re
-from collections.abc import Iterator
+from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
-
-from ..functions.structure import canonical_json
 
 # The names of the record schemas.
 SCHEMA_NAMES = ("benchmark-config", "corpus", "inspection", "sample", "artifact", "provider-probe", "provider-run", "decision", "annotation", "run", "paper-value")
-Error = tuple[str, str]  # path, message
+
+_NONE = "array<string>"
+
+
+def _no() -> Column:
+    return F.array().cast(_NONE)
+
+
+def _told(path: Column, message: str | Column, when: Column) -> Column:
+    """A violation if a condition holds (null: it doesn't)."""
+    text = F.concat(F.when(path == "", "/").otherwise(path), F.lit(" "), message if isinstance(message, Column) else F.lit(message))
+    return F.when(F.coalesce(when, F.lit(False)), F.array(text)).otherwise(_no())
+
+
+def _kind(v: Column, *kinds: str) -> Column:
+    """Whether a value is of one of the JSON types."""
+    of = F.schema_of_variant(v)
+    number = of.isin("BIGINT", "DOUBLE", "FLOAT") | of.startswith("DECIMAL")
+    as_double = F.try_variant_get(v, "$", "double")
+    tests = {"null": of == "VOID", "boolean": of == "BOOLEAN", "string": of == "STRING", "array": of.startswith("ARRAY"), "object": of.startswith("OBJECT"), "number": number, "integer": number & (as_double == F.floor(as_double).cast("double"))}
+    return F.coalesce(reduce(lambda a, b: a | b, (tests[k] for k in kinds)), F.lit(False))
+
+
+def _items(v: Column) -> Column:
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
 
 
-def _is(value: object, kind: str) -> bool:
-    number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    return {"null": value is None, "boolean": isinstance(value, bool), "string": isinstance(value, str), "array": isinstance(value, list), "object": isinstance(value, dict),
-            "number": number and math.isfinite(value), "integer": number and math.isfinite(value) and value == int(value)}[kind] if kind != "integer" or number else False
+def _plain(v: Column) -> Column:
+    """JSON to compare by: keys are sorted already, numbers by their value."""
+    return F.when(_kind(v, "number"), F.concat(F.lit("#"), F.try_variant_get(v, "$", "double").cast("string"))).otherwise(F.to_json(v))
+
+
+def _same(v: Column, value: object) -> Column:
+    return _plain(v) == _plain(F.parse_json(F.lit(json.dumps(value))))
 
 
 def _resolve(root: dict, ref: str) -> object:
@@ -32,86 +60,90 @@ def _resolve(root: dict, ref: str) -> object:
     return at
 
 
-def errors(value: object, schema: object, root: dict | None = None, path: str = "") -> Iterator[Error]:
-    """Every violation as (path, message); a schema is an object, or true or false."""
+def _property(name: str) -> str:
+    return '$["' + name + '"]'
+
+
+def violations(v: Column, schema: object, root: dict | None = None, path: Column | None = None, within: tuple[str, ...] = ()) -> Column:
+    """What a value (a VARIANT; none if SQL null) violates of a schema, an object or true or false."""
+    path = F.lit("") if path is None else path
     if isinstance(schema, bool):
-        if not schema:
-            yield path, "boolean schema is false"
-        return
+        return _no() if schema else F.when(v.isNotNull(), _told(path, "boolean schema is false", F.lit(True))).otherwise(_no())
     root = schema if root is None else root
-    sub = lambda v, s, p=path: list(errors(v, s, root, p))
+    sub: Callable[..., Column] = lambda x, s, p=path: violations(x, s, root, p, within)
+    found: list[Column] = []
     if "$ref" in schema:
-        yield from sub(value, _resolve(root, schema["$ref"]))
+        if schema["$ref"] in within:
+            raise ValueError(f"a schema that refers to itself can't be checked in columns: {schema['$ref']}")
+        found.append(violations(v, _resolve(root, schema["$ref"]), root, path, (*within, schema["$ref"])))
+    if "const" in schema:
+        found.append(_told(path, "must be equal to constant", ~_same(v, schema["const"])))
+    if "enum" in schema:
+        found.append(_told(path, "must be equal to one of the allowed values", ~reduce(lambda a, b: a | b, (_same(v, x) for x in schema["enum"]), F.lit(False))))
+    number = F.when(_kind(v, "number"), F.try_variant_get(v, "$", "double"))
+    for key, sign, ok in (("minimum", ">=", number.__ge__), ("maximum", "<=", number.__le__), ("exclusiveMinimum", ">", number.__gt__), ("exclusiveMaximum", "<", number.__lt__)):
+        if key in schema:
+            found.append(_told(path, f"must be {sign} {schema[key]}", ~ok(schema[key])))
+    text = F.when(_kind(v, "string"), F.try_variant_get(v, "$", "string"))
+    sizes = [("Length", F.length(text), "characters"), ("Items", F.when(_kind(v, "array"), F.size(_items(v))), "items")]
+    for what, size, unit in sizes:
+        for key, word, bad in ((f"min{what}", "fewer", size.__lt__), (f"max{what}", "more", size.__gt__)):
+            if key in schema:
+                found.append(_told(path, f"must NOT have {word} than {schema[key]} {unit}", bad(schema[key])))
+    if "pattern" in schema:
+        found.append(_told(path, f'must match pattern "{schema["pattern"]}"', ~text.rlike(schema["pattern"])))
+    if schema.get("uniqueItems"):
+        plain = F.transform(_items(v), _plain)
+        again = F.filter(F.transform(plain, lambda x, i: F.when(F.array_position(plain, x) <= i, i)), lambda i: i.isNotNull())
+        first = F.try_element_at(again, F.lit(1))
+        found.append(_told(path, F.concat(F.lit("must NOT have duplicate items (items ## "), first.cast("string"), F.lit(" and "), (F.array_position(plain, F.get(plain, first)) - 1).cast("string"), F.lit(" are identical)")), _kind(v, "array") & first.isNotNull()))
+    if "items" in schema:
+        inside = F.flatten(F.transform(_items(v), lambda x, i: sub(x, schema["items"], F.concat(path, F.lit("/"), i.cast("string")))))
+        found.append(F.when(_kind(v, "array"), inside).otherwise(_no()))
+    own = schema.get("properties", {})
+    rest = schema.get("additionalProperties", True)
+    members: list[Column] = []
+    for key in schema.get("required", ()):
+        members.append(_told(path, f"must have required property '{key}'", F.try_variant_get(v, _property(key), "variant").isNull()))
+    for key, part in own.items():
+        members.append(sub(F.try_variant_get(v, _property(key), "variant"), part, F.concat(path, F.lit("/" + key.replace("~", "~0").replace("/", "~1")))))
+    if rest is not True or "propertyNames" in schema:
+        entries = F.map_entries(F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
+        if "propertyNames" in schema:
+            members.append(F.flatten(F.transform(entries, lambda e: _told(path, "property name must be valid", F.size(sub(F.try_variant_get(F.try_parse_json(F.to_json(F.struct(e["key"].alias("k")))), "$.k", "variant"), schema["propertyNames"])) > 0))))
+        if rest is not True:
+            more = F.filter(entries, lambda e: ~e["key"].isin(*own) if own else F.lit(True))
+            at = lambda e: F.concat(path, F.lit("/"), F.replace(F.replace(e["key"], F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
+            members.append(F.flatten(F.transform(more, lambda e: _told(path, "must NOT have additional properties", F.lit(True)) if rest is False else sub(e["value"], rest, at(e)))))
+    if members:
+        found.append(F.when(_kind(v, "object"), F.concat(*members)).otherwise(_no()))
+    found += [sub(v, part) for part in schema.get("allOf", ())]
+    if "anyOf" in schema:
+        tries = [sub(v, s) for s in schema["anyOf"]]
+        none = reduce(lambda a, b: a & b, (F.size(t) > 0 for t in tries))
+        found.append(F.when(none, F.concat(*tries, _told(path, "must match a schema in anyOf", F.lit(True)))).otherwise(_no()))
+    if "oneOf" in schema:
+        fitting = reduce(lambda a, b: a + b, ((F.size(sub(v, s)) == 0).cast("int") for s in schema["oneOf"]))
+        found.append(_told(path, "must match exactly one schema in oneOf", fitting != 1))
+    if "not" in schema:
+        found.append(_told(path, "must NOT be valid", F.size(sub(v, schema["not"])) == 0))
+    if "if" in schema:
+        fits = F.size(sub(v, schema["if"])) == 0
+        for branch, taken in (("then", fits), ("else", ~fits)):
+            if branch in schema:
+                inner = sub(v, schema[branch])
+                found.append(F.when(taken & (F.size(inner) > 0), F.concat(inner, _told(path, f'must match "{branch}" schema', F.lit(True)))).otherwise(_no()))
+    out = F.concat(*found) if found else _no()
     if "type" in schema:
         kinds = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-        if not any(_is(value, k) for k in kinds):
-            yield path, f"must be {','.join(kinds)}"
-            return
-    if "const" in schema and canonical_json(value) != canonical_json(schema["const"]):
-        yield path, "must be equal to constant"
-    if "enum" in schema and canonical_json(value) not in map(canonical_json, schema["enum"]):
-        yield path, "must be equal to one of the allowed values"
-    if _is(value, "number"):
-        for key, sign, ok in (("minimum", ">=", lambda a, b: a >= b), ("maximum", "<=", lambda a, b: a <= b), ("exclusiveMinimum", ">", lambda a, b: a > b), ("exclusiveMaximum", "<", lambda a, b: a < b)):
-            if key in schema and not ok(value, schema[key]):
-                yield path, f"must be {sign} {schema[key]}"
-    if isinstance(value, str):
-        for key, word, bad in (("minLength", "fewer", len(value) < schema.get("minLength", 0)), ("maxLength", "more", len(value) > schema.get("maxLength", math.inf))):
-            if bad:
-                yield path, f"must NOT have {word} than {schema[key]} characters"
-        if "pattern" in schema and not re.search(schema["pattern"], value):
-            yield path, f'must match pattern "{schema["pattern"]}"'
-    if isinstance(value, list):
-        for key, word, bad in (("minItems", "fewer", len(value) < schema.get("minItems", 0)), ("maxItems", "more", len(value) > schema.get("maxItems", math.inf))):
-            if bad:
-                yield path, f"must NOT have {word} than {schema[key]} items"
-        if schema.get("uniqueItems"):
-            seen: dict[str, int] = {}
-            for i, x in enumerate(map(canonical_json, value)):
-                if x in seen:
-                    yield path, f"must NOT have duplicate items (items ## {i} and {seen[x]} are identical)"
-                    break
-                seen[x] = i
-        if "items" in schema:
-            for i, x in enumerate(value):
-                yield from sub(x, schema["items"], f"{path}/{i}")
-    if isinstance(value, dict):
-        own = schema.get("properties", {})
-        for key in schema.get("required", ()):
-            if key not in value:
-                yield path, f"must have required property '{key}'"
-        for key, x in value.items():
-            at = f"{path}/{key.replace('~', '~0').replace('/', '~1')}"
-            if "propertyNames" in schema and sub(key, schema["propertyNames"]):
-                yield path, "property name must be valid"
-            if key in own:
-                yield from sub(x, own[key], at)
-            elif schema.get("additionalProperties") is False:
-                yield path, "must NOT have additional properties"
-            elif "additionalProperties" in schema:
-                yield from sub(x, schema["additionalProperties"], at)
-    for part in schema.get("allOf", ()):
-        yield from sub(value, part)
-    if "anyOf" in schema and all(tries := [sub(value, s) for s in schema["anyOf"]]):
-        yield from (e for t in tries for e in t)
-        yield path, "must match a schema in anyOf"
-    if "oneOf" in schema and sum(not sub(value, s) for s in schema["oneOf"]) != 1:
-        yield path, "must match exactly one schema in oneOf"
-    if "not" in schema and not sub(value, schema["not"]):
-        yield path, "must NOT be valid"
-    if "if" in schema:
-        branch = "else" if sub(value, schema["if"]) else "then"
-        if branch in schema and (found := sub(value, schema[branch])):
-            yield from found
-            yield path, f'must match "{branch}" schema'
-
-
-def format_errors(found: list[Error]) -> str:
-    return "; ".join(f"{path or '/'} {message}" for path, message in found)
+        # A value of another type is told once, and nothing else of it.
+        before = found[0] if "$ref" in schema else _no()
+        out = F.when(_kind(v, *kinds), out).otherwise(F.concat(before, _told(path, f"must be {','.join(kinds)}", F.lit(True))))
+    return F.when(v.isNull(), _no()).otherwise(out)
 
 
 class SchemaRegistry:
-    """Schemas by name; validate tells every violation of a value."""
+    """Schemas by name."""
 
     def __init__(self, schemas: dict[str, dict]):
         self.schemas = schemas
@@ -121,28 +153,10 @@ class SchemaRegistry:
         """From <name>.schema.json files of a folder on the driver."""
         return cls({n: json.loads(Path(folder, f"{n}.schema.json").read_text(encoding="utf-8")) for n in names})
 
-    def validate(self, name: str, value: object) -> list[Error]:
-        if name not in self.schemas:
-            raise ValueError(f"unknown schema: {name}")
-        return list(errors(value, self.schemas[name]))
-
-    def violations(self, name: str):
-        """A function of a column of JSON texts: an array of "path message", empty if valid, null for null."""
+    def violations(self, name: str, text: Column | str) -> Column:
+        """Of a column of JSON texts: an array of "path message", empty if valid, null for null."""
         if name not in self.schemas:
             raise ValueError(f"unknown schema: {name}")
-        schema = self.schemas[name]
-
-        @F.pandas_udf(ArrayType(StringType()))
-        def told(texts: pd.Series) -> pd.Series:
-            def one(text: str | None) -> list[str] | None:
-                if text is None:
-                    return None
-                try:
-                    value = json.loads(text)
-                except ValueError:
-                    return ["/ must be JSON"]
-                return [f"{path or '/'} {message}" for path, message in errors(value, schema)]
-
-            return pd.Series([one(t) for t in texts], dtype=object)
-
-        return told
+        text = F.col(text) if isinstance(text, str) else text
+        v = F.try_parse_json(text)
+        return F.when(v.isNotNull(), violations(v, self.schemas[name])).when(text.isNotNull(), F.array(F.lit("/ must be JSON")))

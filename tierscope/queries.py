@@ -14,7 +14,7 @@ from .functions import structure as ST
 from .functions import text as T
 from .functions import windows as W
 from .functions.core import percentage
-from .operators import calibration, corpus, export, gate, lexicon, metrics, oracle, policies, sampling, signals, timing, trees
+from .operators import calibration, corpus, export, gate, lexicon, metrics, oracle, policies, sampling, schemas, signals, timing, trees
 from .operators.work import shared_folder, written
 from .plans import analysis, annotations, declaration, report
 from .sources import artifacts, files, lines, providers, run_cells
@@ -947,3 +947,26 @@ def annotation_pack(spark, sf):
     images = X.page_evidence(spark, sf).select("case_id", "page", F.col("text").cast("binary").alias("content"))
     existing = declared.where("partition = 'evaluation'").select("case_id", F.explode("pages").alias("page")).where("page % 3 = 0").withColumn("annotation_status", F.lit("complete"))
     return annotations.prepare_pack(declared, images, existing)
+
+
+_RECORD = {
+    "type": "object", "required": ["id", "tier"], "additionalProperties": False, "$defs": {"hash": {"type": "string", "pattern": "^[a-f0-9]{4}$"}},
+    "properties": {"id": {"type": "string", "minLength": 1}, "tier": {"enum": ["T0", "T1"]}, "n": {"type": ["integer", "null"], "minimum": 0}, "hash": {"$ref": "#/$defs/hash"}},
+    "allOf": [{"if": {"properties": {"tier": {"const": "T1"}}, "required": ["tier"]}, "then": {"required": ["n"]}}],
+}
+
+
+@query("""WITH e AS (SELECT event_id AS i, event_type <> 'view' AS has_n FROM events),
+m AS (SELECT i, list_sort(list_filter([CASE WHEN i % 5 = 0 THEN '/id must be string' END, CASE WHEN i % 7 = 0 AND i % 5 <> 0 THEN '/id must NOT have fewer than 1 characters' END, CASE WHEN i % 3 = 2 THEN '/tier must be equal to one of the allowed values' END,
+  CASE WHEN has_n AND i % 4 = 1 THEN '/n must be integer,null' WHEN has_n AND i % 4 = 2 THEN '/n must be >= 0' END, CASE WHEN i % 6 = 1 THEN '/hash must match pattern "^[a-f0-9]{4}$"' END, CASE WHEN i % 11 = 3 THEN '/ must NOT have additional properties' END,
+  CASE WHEN i % 3 = 1 AND NOT has_n THEN '/ must have required property ''n''' END, CASE WHEN i % 3 = 1 AND NOT has_n THEN '/ must match "then" schema' END], lambda x: x IS NOT NULL)) AS found FROM e)
+SELECT i AS record, len(found) AS n_violations, array_to_string(found, '; ') AS violations FROM m""")
+def record_checks(spark, sf):
+    i, has_n = F.col("event_id"), F.col("event_type") != "view"
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    ident = F.when(i % 5 == 0, i.cast("string")).when(i % 7 == 0, F.lit('""')).otherwise(q(i.cast("string")))
+    n = F.when(i % 4 == 0, i.cast("string")).when(i % 4 == 1, F.concat(i.cast("string"), F.lit(".5"))).when(i % 4 == 2, F.lit("-3.0")).otherwise(F.lit("null"))
+    members = [F.concat(F.lit('"id":'), ident), F.concat(F.lit('"tier":"T'), (i % 3).cast("string"), F.lit('"')), F.when(has_n, F.concat(F.lit('"n":'), n)), F.concat(F.lit('"hash":'), F.when(i % 6 == 1, F.lit('"zz"')).otherwise(F.lit('"ab12"'))), F.when(i % 11 == 3, F.lit('"more":[1]'))]
+    records = X.table(spark, sf, "events").select(i.alias("record"), F.concat(F.lit("{"), F.array_join(F.array(*members), ","), F.lit("}")).alias("text"))
+    found = F.array_sort(schemas.SchemaRegistry({"record": _RECORD}).violations("record", "text"))
+    return records.select("record", F.size(found).cast("long").alias("n_violations"), F.array_join(found, "; ").alias("violations"))
