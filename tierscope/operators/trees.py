@@ -98,7 +98,7 @@ def structural_views(df: DataFrame, key: str = "case_id", tree: str = "tree", pa
 
     Groups are transparent; if the walk finds nothing, texts, tables and pictures follow one another. A list of pages
     gives its blocks (parsing_res_list) by block order, 0 for those without. page: the column of the page that is shown,
-    null for all. Null without blocks, and for what is no tree.
+    null for all. Null without blocks, and for what is no tree. The trees are read four times, so they should be a written table.
     """
     trees = df.select(F.col(key).alias("key"), (F.col(page).cast("double") if page else F.lit(None).cast("double")).alias("page"), F.try_parse_json(tree).alias("v"))
     objects = trees.where(_is(F.col("v"), "OBJECT"))

@@ -712,14 +712,14 @@ def structural_views(spark, sf):
     link = lambda kind, i: F.struct(ref(kind, i).alias("$ref"))
     numbers = F.sequence(F.lit(0), F.size("lines") - 1)
     texts = F.transform(numbers, lambda i: F.struct(ref("texts", i).alias("self_ref"), F.when(i % 5 == 0, "section_header").alias("label"), F.get("lines", i).alias("text")))
-    inside = lambda g: F.transform(F.filter(numbers, lambda i: F.floor(i / 5) == g), lambda i: link("texts", i))
+    inside = lambda g: F.transform(F.slice(numbers, g * 5 + 1, 5), lambda i: link("texts", i))
     groups = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda g: F.struct(ref("groups", g).alias("self_ref"), F.concat(F.array(link("groups", g)), inside(g), F.array(link("groups", g))).alias("children")))
     grid = F.array(F.array(F.struct(F.col("doc_id").cast("string").alias("text")), F.struct(F.size("lines").cast("string").alias("text"))))
     table = F.struct(F.lit("#/tables/0").alias("self_ref"), F.struct(F.lit(1).alias("num_rows"), F.lit(2).alias("num_cols"), grid.alias("grid")).alias("data"))
     falling = F.transform(F.sequence(F.col("groups") - 1, F.lit(0), F.lit(-1)), lambda g: link("groups", g))
     body = F.concat(falling, F.array(link("tables", F.lit(0)), link("pictures", F.lit(0)), link("groups", F.lit(0)), link("none", F.lit(0))))
     tree = F.to_json(F.struct(F.struct(body.alias("children")).alias("body"), texts.alias("texts"), groups.alias("groups"), F.array(table).alias("tables"), F.array(F.struct(F.lit("#/pictures/0").alias("self_ref"))).alias("pictures")))
-    rows = docs.select("doc_id", tree.alias("tree"))
+    rows = written(docs.select("doc_id", tree.alias("tree")), "trees")
     views = trees.structural_views(rows, key="doc_id").select("doc_id", F.sha2("view", 256).alias("view_sha256"))
     return rows.select("doc_id", trees.has_structure("tree").alias("has_structure")).join(views, "doc_id")
 
