@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tierscope.plans import corpus_run, declaration
-from tierscope.sources import artifacts, lines, providers
+from tierscope.sources import artifacts, claims, files, lines, providers
 
 
 def root_of(texts, block):
@@ -116,11 +116,31 @@ def test_writers_of_one_key_meet(spark, tmp_path):
 def test_claims_of_a_lost_writer(spark, tmp_path):
     store = artifacts.ArtifactStore(spark, str(tmp_path / "cas"), wait_s=0.5)
     rows = spark.createDataFrame([("ab1", "c", "{}"), ("cd1", "c", "{}")], "cache_key string, case_id string, payload string")
-    assert store._claim("cd")
-    with pytest.raises(artifacts.RangeClaimed):
+    assert store.claims.take("cd")
+    with pytest.raises(claims.Claimed):
         store.put(rows)
     assert store.put(rows.where("cache_key = 'ab1'")) == 1, "other ranges go on"
-    assert store.release("cd") and store.put(rows) == 1 and store.put(rows) == 0
+    assert store.claims.release("cd") and store.put(rows) == 1 and store.put(rows) == 0
+
+
+@pytest.mark.parametrize("other", [False, True])
+def test_two_writers_of_one_path(spark, tmp_path, other):
+    """Both write at once: one does, and the other one finds its rows there, or others."""
+    found, together = [], threading.Barrier(2)
+
+    def write(n):
+        df = spark.range(n).repartition(2)
+        together.wait()
+        try:
+            found.append(files.write_once(df, str(tmp_path / "t")))
+        except ValueError as e:
+            found.append(str(e))
+
+    threads = [threading.Thread(target=write, args=(n,)) for n in (10, 11 if other else 10)]
+    [t.start() for t in threads]
+    [t.join(300) for t in threads]
+    assert len(found) == 2 and True in found and (any("other rows" in str(f) for f in found) if other else False in found)
+    assert spark.read.parquet(str(tmp_path / "t")).count() in (10, 11)
 
 
 def test_attempts_by_tier(spark):

@@ -7,18 +7,11 @@ one sees the first one's row: the same payload adds nothing, another one is a co
 
 from __future__ import annotations
 
-import getpass
-import os
-import random
-import socket
-import time
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .claims import Claims
+
 
 class CorruptArtifact(ValueError):
     """A stored payload whose hash isn't the recorded one."""
@@ -28,61 +21,12 @@ class ConflictingArtifact(ValueError):
     """A key that would get a second, different payload."""
 
 
-class RangeClaimed(TimeoutError):
-    """Another writer holds a range of keys for too long."""
-
-
 class ArtifactStore:
     """Rows of cache_key, case_id, payload (canonical JSON). A key is written once."""
 
     def __init__(self, spark: SparkSession, path: str, wait_s: float = 600.0):
-        self.spark, self.path, self.wait_s = spark, path, wait_s
-        self._claims = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_claims")
-        self._files = self._claims.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _claim(self, bucket: str) -> bool:
-        """Create the claim of a bucket; False if it is there. Hadoop's create is atomic in shared stores, and a local folder
-        has the operating system's."""
-        self._files.mkdirs(self._claims)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._claims, bucket)
-        owner = f"{getpass.getuser()}@{socket.gethostname()} {os.getpid()} {time.time():.0f}"
-        if self._files.getScheme() == "file":
-            try:
-                with open(path.toUri().getPath(), "x") as f:
-                    f.write(owner)
-                return True
-            except FileExistsError:
-                return False
-        try:
-            out = self._files.create(path, False)
-        except Py4JJavaError as e:
-            if "FileAlreadyExists" in e.java_exception.getClass().getName():
-                return False
-            raise
-        out.writeBytes(owner)
-        out.close()
-        return True
-
-    @contextmanager
-    def _claimed(self, buckets: list[str]) -> Iterator[None]:
-        """The buckets, claimed in order, so that no two writers wait for each other."""
-        held: list[str] = []
-        until = time.monotonic() + self.wait_s
-        try:
-            for bucket in sorted(buckets):
-                while not self._claim(bucket):
-                    if time.monotonic() > until:
-                        raise RangeClaimed(f"keys {bucket}* are claimed by another writer; release() frees those of one that is gone")
-                    time.sleep(random.uniform(0.05, 0.25))
-                held.append(bucket)
-            yield
-        finally:
-            for bucket in held:
-                self.release(bucket)
-
-    def release(self, bucket: str) -> bool:
-        """Drop the claim of a bucket, for a writer that can't any more."""
-        return self._files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._claims, bucket), False)
+        self.spark, self.path = spark, path
+        self.claims = Claims(spark, path.rstrip("/") + "/_claims", wait_s)
 
     def _table(self) -> DataFrame:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -107,7 +51,7 @@ class ArtifactStore:
         if rows.groupBy("cache_key").agg(F.count_distinct("payload_hash").alias("n")).where("n > 1").limit(1).count():
             raise ConflictingArtifact("a key comes with two payloads")
         # At most as many as two characters tell apart.
-        with self._claimed([r["bucket"] for r in rows.select("bucket").distinct().collect()]):
+        with self.claims.held([r["bucket"] for r in rows.select("bucket").distinct().collect()]):
             held = self._table().select("cache_key", "bucket", F.col("payload_hash").alias("there"))
             if rows.join(held, ["cache_key", "bucket"]).where("there <> payload_hash").limit(1).count():
                 raise ConflictingArtifact("a key holds another payload already")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.work import written
+from .claims import Claims
 
 _READ_ONLY = {"select", "with", "begin", "rollback", "set", "show"}
 _OPTION = re.compile(r"^[a-zA-Z0-9][a-zA-Z0-9._-]*$")
@@ -168,17 +169,19 @@ def write_new(df: DataFrame, path: str, kind: str = "parquet") -> None:
     df.write.mode("errorifexists").format(kind).save(path)
 
 
-def write_once(df: DataFrame, path: str) -> bool:
-    """Write, or find the same rows there already (False); other rows are an error."""
+def write_once(df: DataFrame, path: str, wait_s: float = 600.0) -> bool:
+    """Write, or find the same rows there already (False); other rows are an error. The path is claimed meanwhile: of two
+    writers one writes, and the other one compares."""
     spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        df.write.mode("errorifexists").parquet(path)
-        return True
-    there = spark.read.parquet(path)
-    if there.exceptAll(df).limit(1).count() or df.exceptAll(there).limit(1).count():
-        raise ValueError(f"{path} holds other rows")
-    return False
+    target = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    with Claims(spark, f"{target.getParent().toString()}/_claims", wait_s).held([target.getName()]):
+        if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+            df.write.mode("errorifexists").parquet(path)
+            return True
+        there = spark.read.parquet(path)
+        if there.exceptAll(df).limit(1).count() or df.exceptAll(there).limit(1).count():
+            raise ValueError(f"{path} holds other rows")
+        return False
 
 
 def write_pending(df: DataFrame, path: str) -> None:
