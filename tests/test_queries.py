@@ -3,6 +3,7 @@
 import glob
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_module
@@ -13,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return None
     v = v.item() if hasattr(v, "item") else v
     return round(v, 6) if isinstance(v, float) else v if isinstance(v, (bool, int, str)) else str(v)

@@ -847,12 +847,12 @@ def stored_lines(spark, sf):
     return rows.select("doc_id", "lang", F.sha2("text", 256).alias("text_sha256"), "n_chars")
 
 
-# One cell a case and tier, written and read as files; of the cells of T1 and T3 only, other files aren't opened.
-@query(f"""WITH {X.RUN_CELLS} SELECT partition, 'C' || case_id AS case_id, NULL::INT AS page, tier, min(status) AS status, round(sum(wall_ms), 4) AS wall_ms, bool_or(cache_hit) AS cache_hit FROM cells WHERE tier IN ('T1', 'T3') GROUP BY partition, case_id, tier""")
+# One page's cell a case and tier, written and read as files; of the cells of T1 and T3 only, other files aren't opened.
+@query(f"""WITH {X.RUN_CELLS} SELECT partition, 'C' || case_id AS case_id, 7 AS page, tier, min(status) AS status, round(sum(wall_ms), 4) AS wall_ms, bool_or(cache_hit) AS cache_hit FROM cells WHERE tier IN ('T1', 'T3') GROUP BY partition, case_id, tier""")
 def stored_cells(spark, sf):
     run_cells.register(spark)
     folder = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
-    cells = X.run_cells(spark, sf).groupBy("partition", F.concat(F.lit("C"), F.col("case_id").cast("string")).alias("case_id"), "tier").agg(F.min("status").alias("status"), F.sum("wall_ms").alias("wall_ms"), F.bool_or("cache_hit").alias("cache_hit"))
+    cells = X.run_cells(spark, sf).groupBy("partition", F.concat(F.lit("C"), F.col("case_id").cast("string")).alias("case_id"), "tier").agg(F.min("status").alias("status"), F.sum("wall_ms").alias("wall_ms"), F.bool_or("cache_hit").alias("cache_hit")).withColumn("page", F.lit(7))
     schema = StructType.fromDDL(run_cells.SCHEMA)
     cells.select(*(F.col(f.name) if f.name in cells.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema)).write.format("run_cells").mode("append").save(folder)
     return spark.read.format("run_cells").load(folder).where(F.col("tier").isin("T1", "T3")).select("partition", "case_id", "page", "tier", "status", F.round("wall_ms", 4).alias("wall_ms"), "cache_hit")
