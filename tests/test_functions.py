@@ -1,5 +1,6 @@
 """Column functions and tree helpers against hand-checked values."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,23 @@ def test_canonical_columns(spark):
     got = [r["c"] for r in rows.select(structure.canonical("t").alias("c")).collect()]
     assert got[:5] == [want, want, "3", "[]", None] and structure.canonical_json(tree) == want
     assert got[5] == '{"ss":5,"ß":4,"ё":3,"ж":1,"я":2,"日":6}', "orders that no table of marks has"
+
+
+def largest_batch(spark, build):
+    """Most bytes of text that one batch takes to Python after build() has made its columns."""
+    @F.pandas_udf("long")
+    def size(t: pd.Series) -> pd.Series:
+        return pd.Series([int(t.str.len().sum())] * len(t))
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    try:
+        build()
+        return spark.range(3000, numPartitions=1).select(size(F.repeat(F.lit("0123456789"), 1000)).alias("n")).agg(F.max("n")).first()[0]
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
+def test_canonical_goes_to_python_in_bounded_batches(spark):
+    assert largest_batch(spark, lambda: structure.canonical("t")) < 4 << 20

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 TIERS = ("T0", "T1", "T2", "T3")
 STATUSES = ("succeeded", "failed", "unavailable", "censored")
 STRATA = ("born-digital-en", "layout-heavy-born-digital", "scanned-degraded-en", "scanned-degraded-thai-mixed")
+#: Bytes of an Arrow batch on the way to Python, unless the session has a bound of its own.
+BATCH_BYTES = 2 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def bound_batches(spark: SparkSession | None = None) -> None:
+    """Rows go to Python in batches of bounded bytes: by count alone a worker would hold ten thousand texts, and what it makes of
+    them, at once. A setting of the session; one of its own stays."""
+    conf = (spark or SparkSession.active()).conf
+    if int(str(conf.get(_BATCH, str(_BATCH_DEFAULT))).rstrip("bB") or 0) == _BATCH_DEFAULT:
+        conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def tier_rank(tier: Column) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from .core import bound_batches
+
 # Keys that can tell where a document came from.
 LOCATION_KEYS = ("filename", "file_path", "filepath", "origin", "path", "source_url", "sourceurl", "uri", "url")
 
@@ -85,6 +87,7 @@ def _written(tree: pd.Series, keys: pd.Series) -> pd.Series:
 def canonical(tree: Column | str) -> Column:
     """canonical_json of JSON texts, the keys of each text ordered by the engine's Unicode collation, which no table here has to
     know; keys that it holds for equal are ordered by code points."""
+    bound_batches()
     tree = F.col(tree) if isinstance(tree, str) else tree
     ordered = F.transform(F.array_sort(F.transform(_keys_of(tree), lambda k: F.struct(F.collate(k, "UNICODE").alias("c"), k.alias("k")))), lambda x: x["k"])
     return _written(tree, ordered)
