@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tierscope.functions import core, distance, structure, text
+from tierscope.functions import core, distance, structure, text, windows
 
 
 def one(spark, **columns):
@@ -137,3 +137,8 @@ def largest_batch(spark, build):
 
 def test_canonical_goes_to_python_in_bounded_batches(spark):
     assert largest_batch(spark, lambda: structure.canonical("t")) < 4 << 20
+
+
+def test_windows_go_to_python_in_bounded_batches(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert largest_batch(spark, lambda: windows.page_windows(docs, docs.withColumn("page", F.lit(0)))) < 4 << 20

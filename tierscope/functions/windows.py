@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .core import bound_batches
+
 # Least length and number of lines that tell a place and the lengths of them that are looked for, least
 # length of lines at a border and what is looked for of them, what a page has at least before a near border is believed,
 # and the least and greatest width without a border and how much wider than the page's text it is.
@@ -109,6 +111,7 @@ def windows(flat: str | None, texts: Sequence[str | None]) -> list[tuple[str, bo
 def page_windows(flat: DataFrame, pages: DataFrame, key: str = "doc_id", text: str = "text", page: str = "page") -> DataFrame:
     """(key, page, text, bounded) for the pages (key, page, text) of documents with a flat text (key, text); null where a page has
     no place in it. A document's pages go together, as they look for one another's lines; pages of one number keep no order."""
+    bound_batches(flat.sparkSession)
     together = pages.groupBy(F.col(key).alias("key_")).agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("page"), F.col(text).alias("text")))).alias("pages_"))
 
     @F.pandas_udf("array<struct<text:string,bounded:boolean>>")
