@@ -142,3 +142,31 @@ def test_canonical_goes_to_python_in_bounded_batches(spark):
 def test_windows_go_to_python_in_bounded_batches(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert largest_batch(spark, lambda: windows.page_windows(docs, docs.withColumn("page", F.lit(0)))) < 4 << 20
+
+
+def test_counts_of_one_pass_against_plain_python(spark):
+    """Runs that end with their text, wide characters, several texts of a batch, and a null."""
+    import unicodedata
+
+    texts = ["aaaaaaa", "aaaaaaaa", "a" * 9, "", "\n" * 20 + "x" * 7 + "😀" * 9, "กกกกกกกก é\ufffd\x00 Ж\u0301", "e\u0301" * 9, "\x0b\x85\ufeff\u2028 ª×", "x" * 8 + "y" * 9]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string").coalesce(1)
+    got = {r["i"]: r for r in rows.select("i", *(c.alias(k) for k, c in text.gate_counts(F.col("t")).items()), text.character_counts(F.col("t"), normalise=True).alias("c")).collect()}
+    runs = [0, 1, 2, 0, 11, 1, 0, 0, 3]
+    for i, t in enumerate(texts):
+        spaces = sum(c in "\t\n\x0b\x0c\r \x85\xa0\u2028\u2029\u3000" for c in t)
+        odd = sum(c in "\x00\ufffd" for c in t)
+        assert (got[i]["solid_"], got[i]["bad_"], got[i]["thai_"]) == (len(t) - spaces, odd + runs[i], t.count("ก")), t
+        n = unicodedata.normalize("NFC", t)
+        assert got[i]["c"]["letter_chars"] == sum(unicodedata.category(c)[0] == "L" for c in n), t
+    assert got[len(texts)]["solid_"] is None and got[len(texts)]["c"]["text_chars"] is None
+
+
+def test_gate_counts_go_with_rows_in_place_of_texts(spark):
+    from tierscope.operators import gate
+
+    df = spark.createDataFrame([(1, "word " * 9, ["word " * 9], True), (2, "", None, False)], "case_id long, text string, pages array<string>, has_structure boolean")
+    seen = spark.createDataFrame([(1, 36, 1, 0.0, 1.0, True), (2, 5, 2, 0.2, 0.0, True)], "case_id long, total_text_chars long, page_count long, thai_char_ratio double, latin_char_ratio double, expects_structure boolean")
+    few = gate.counted(df)
+    assert not {"text", "pages"} & set(few.columns)
+    want = gate.with_components(df.join(seen, "case_id")).select("case_id", *gate.COMPONENTS)
+    assert sorted(gate.with_components(few.join(seen, "case_id")).select("case_id", *gate.COMPONENTS).collect()) == sorted(want.collect())

@@ -24,16 +24,27 @@ class Thresholds:
     script_consistency: float = 0.95
 
 
+def _counts() -> dict[str, Column]:
+    long_pages = F.size(F.filter("pages", lambda p: F.length(F.coalesce(p, F.lit(""))) >= 32))
+    return {**gate_counts(F.col("text")), "chars_": F.length("text"), "long_pages_": F.when(F.col("pages").isNotNull(), long_pages)}
+
+
+def counted(artifacts: DataFrame) -> DataFrame:
+    """The rows with what with_components counts in text and pages, and without these: a join with the inspections then moves
+    a few numbers a row and no text."""
+    return artifacts.withColumns(_counts()).drop("text", "pages")
+
+
 def with_components(artifacts: DataFrame) -> DataFrame:
-    """Add the components to rows of text, pages (array of text, or null), has_structure, and of the inspection
-    total_text_chars, page_count, thai_char_ratio, latin_char_ratio, expects_structure. Only sanity is never null."""
+    """Add the components to rows of text, pages (array of text, or null), or of what counted() has made of them, has_structure,
+    and of the inspection total_text_chars, page_count, thai_char_ratio, latin_char_ratio, expects_structure. Only sanity is
+    never null."""
     total, pages = F.col("total_text_chars"), F.col("page_count")
-    long_pages = F.size(F.filter("pages", lambda p: F.length(F.coalesce(p, F.lit(""))) >= 32))
-    counted = artifacts.withColumns({**gate_counts(F.col("text")), "chars_": F.length("text"), "long_pages_": long_pages})
+    counted = artifacts if "long_pages_" in artifacts.columns else artifacts.withColumns(_counts())
     return counted.withColumns({
         "character_sanity": character_sanity(F.col("solid_"), F.col("bad_")),
         "text_retention": F.when(total > 0, F.least(F.lit(1.0), F.col("chars_") / F.when(total > 0, total))),
-        "usable_page_ratio": F.when(F.col("pages").isNotNull() & (pages != 0), F.col("long_pages_") / F.when(pages != 0, pages)),
+        "usable_page_ratio": F.when(pages != 0, F.col("long_pages_") / F.when(pages != 0, pages)),
         "structural_yield": F.when(F.col("expects_structure"), F.when(F.col("has_structure"), 1.0).otherwise(0.0)),
         "script_consistency": script_consistency(F.col("thai_"), F.col("latin_"), F.col("thai_char_ratio"), F.col("latin_char_ratio")),
     }).drop("solid_", "bad_", "thai_", "latin_", "chars_", "long_pages_")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import reasons
-from ..functions.text import character_counts, nfc
+from ..functions.text import character_counts
 
 
 @dataclass(frozen=True)
@@ -34,10 +34,10 @@ TUNED = Routing(0.75, 0.25, 0.01)
 def inspect_pages(evidence: DataFrame, key: str = "case_id", normalised: bool = False) -> DataFrame:
     """Page evidence (key, page, text, image_area_ratio) with its character counts.
 
-    normalised: the texts are NFC already, and the Python step is left out.
+    normalised: the texts are NFC already.
     """
     text = F.coalesce("text", F.lit(""))
-    counted = evidence.withColumn("counts", character_counts(text if normalised else nfc(text)))
+    counted = evidence.withColumn("counts", character_counts(text, normalise=not normalised))
     return counted.select(key, "page", "counts.*", "image_area_ratio")
 
 

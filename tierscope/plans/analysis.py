@@ -21,7 +21,7 @@ def draw_sample(evidence: DataFrame, seed: str, adjustments: DataFrame | None =
 
 def gate_examples(artifacts: DataFrame, inspections: DataFrame, judgements: DataFrame) -> DataFrame:
     """Document and tier examples: components once, and acceptance by all judged pages on both axes."""
-    rows = gate.with_components(artifacts.join(inspections, "case_id"))
+    rows = gate.with_components(gate.counted(artifacts).join(inspections, "case_id"))
     for axis, column in (("reading_accepted", "usable_tiers"), ("structurally_accepted", "structurally_adequate_tiers")):
         rows = rows.join(calibration.accepted_by_all_pages(judgements, column).withColumnRenamed("accepted", axis), ["case_id", "tier"])
     return rows.select("case_id", "tier", *gate.COMPONENTS, "reading_accepted", "structurally_accepted")
@@ -33,7 +33,7 @@ def analyse_policies(found: DataFrame, artifacts: DataFrame, cells: DataFrame, j
     artifact the replay selected, none if a needed artifact is missing."""
     routed = signals.initial_route(found, routing).withColumn("initial_tier", F.col("route.tier"))
     inspections = routed.select("case_id", "total_text_chars", "page_count", "thai_char_ratio", "latin_char_ratio", (F.col("initial_tier") != "T0").alias("expects_structure"))
-    decided = gate.decide(gate.with_components(artifacts.join(inspections, "case_id")), thresholds).select("case_id", "tier", "artifact_key", "passed", "reasons")
+    decided = gate.decide(gate.with_components(gate.counted(artifacts).join(inspections, "case_id")), thresholds).select("case_id", "tier", "artifact_key", "passed", "reasons")
     replayed = gate.replay(routed.select("case_id", "initial_tier"), decided, max_escalations)
     chosen = replayed.join(artifacts.select("case_id", F.col("tier").alias("gated_tier"), F.col("artifact_key").alias("selected_key")), ["case_id", "selected_key"], "left")
     return policies.simulate(chosen.select("case_id", F.col("initial_tier").alias("static_tier"), "gated_tier"), cells, judgements)
