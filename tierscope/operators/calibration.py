@@ -13,6 +13,7 @@ from ..functions.core import TIERS
 from ..functions.structure import canonical_json, sha256_text
 from .gate import COMPONENTS
 from .signals import expected_tier, route
+from .work import written
 
 # The declared grids.
 ROUTING_GRID = {"coverage": (0.25, 0.5, 0.75), "full_page_image": (0.25, 0.5, 0.75), "anomaly": (0.01, 0.02, 0.05)}
@@ -51,7 +52,11 @@ def routing_candidates(records: DataFrame, axes: dict[str, Sequence[float]] = RO
     keys = [f"t_{a}" for a in axes]
     all_ = kinds.crossJoin(F.broadcast(grid(records.sparkSession, axes)))
     out = all_.groupBy(*keys).agg(F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias("correct"), F.sum("n").alias("denominator"))
-    return out.orderBy(F.desc("correct"), F.desc("t_coverage"), "t_full_page_image", "t_anomaly")
+    return _routing_order(out)
+
+
+def _routing_order(candidates: DataFrame) -> DataFrame:
+    return candidates.orderBy(F.desc("correct"), F.desc("t_coverage"), "t_full_page_image", "t_anomaly")
 
 
 def routing_policy_hash(selected: dict, case_ids: list[str], candidates: list[dict]) -> str:
@@ -61,7 +66,8 @@ def routing_policy_hash(selected: dict, case_ids: list[str], candidates: list[di
 def tune_routing(sample: DataFrame, signals: DataFrame, evaluation_cells: DataFrame | None = None, axes: dict[str, Sequence[float]] = ROUTING_GRID) -> tuple[dict, DataFrame]:
     """Choose routing thresholds on the calibration cases of sample (case_id, stratum, partition).
 
-    Refuses if the partitions overlap, if a calibration case has no signals, or if an evaluation cell exists.
+    Refuses if the partitions overlap, if a calibration case has no signals, or if an evaluation cell exists. Sample and
+    signals are read several times, so they should be written tables; the candidates are.
     """
     calibration, evaluation = (sample.where(F.col("partition") == p) for p in ("calibration", "evaluation"))
     if calibration.join(evaluation, "case_id", "left_semi").limit(1).count():
@@ -70,7 +76,7 @@ def tune_routing(sample: DataFrame, signals: DataFrame, evaluation_cells: DataFr
         raise ValueError("a calibration case has no inspection")
     if evaluation_cells is not None and evaluation_cells.limit(1).count():
         raise ValueError("thresholds can't be tuned after evaluation cells exist")
-    candidates = routing_candidates(calibration.join(signals, "case_id"), axes)
+    candidates = _routing_order(written(routing_candidates(calibration.join(signals, "case_id"), axes), "routing-candidates"))
     best = candidates.first()
     return {a: best[f"t_{a}"] for a in axes}, candidates
 
@@ -99,11 +105,15 @@ def gate_candidates(examples: DataFrame, axes: dict[str, Sequence[float]] = GATE
     for kind in ("false_accepts", "false_rejects"):
         a, b = F.col(f"reading_{kind}"), F.col(f"structural_{kind}")
         out = out.withColumn(f"total_{kind}", a + b).withColumn(f"worst_{kind}", F.greatest(a, b))
-    return out.orderBy("total_false_accepts", "worst_false_accepts", "total_false_rejects", "worst_false_rejects", *(F.desc(k) for k in keys))
+    return _gate_order(out)
+
+
+def _gate_order(candidates: DataFrame) -> DataFrame:
+    return candidates.orderBy("total_false_accepts", "worst_false_accepts", "total_false_rejects", "worst_false_rejects", *(F.desc(f"t_{c}") for c in COMPONENTS))
 
 
 def select_gate(examples: DataFrame, axes: dict[str, Sequence[float]] = GATE_GRID) -> tuple[dict, DataFrame]:
-    """The best threshold vector, and all candidates."""
-    candidates = gate_candidates(examples, axes)
+    """The best threshold vector, and all candidates. These are written once, so that the examples aren't scored again for each use."""
+    candidates = _gate_order(written(gate_candidates(examples, axes), "gate-candidates"))
     best = candidates.first()
     return {c: best[f"t_{c}"] for c in COMPONENTS}, candidates
