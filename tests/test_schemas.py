@@ -155,3 +155,12 @@ def test_registry_of_a_folder(spark, tmp_path):
     (tmp_path / "run.schema.json").write_text(json.dumps(RUN))
     registry = SchemaRegistry.read(str(tmp_path), ("run",))
     assert registry.schemas == {"run": RUN}
+
+
+def test_a_record_is_parsed_once(spark):
+    """However often a schema looks at its value."""
+    schema = {"type": "object", "required": ["a", "b"], "properties": {"a": {"type": "string"}, "b": {"type": ["integer", "null"], "minimum": 0}}}
+    df = spark.createDataFrame([('{"a":"x","b":-1}',), ("{",), (None,)], "t string").select(SchemaRegistry({"s": schema}).violations("s", "t").alias("v"))
+    assert [r["v"] for r in df.collect()] == [["/b must be >= 0"], ["/ must be JSON"], None]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") + plan.count("parseJson") <= 2, plan[:2000]

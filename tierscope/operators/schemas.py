@@ -158,5 +158,6 @@ class SchemaRegistry:
         if name not in self.schemas:
             raise ValueError(f"unknown schema: {name}")
         text = F.col(text) if isinstance(text, str) else text
-        v = F.try_parse_json(text)
-        return F.when(v.isNotNull(), violations(v, self.schemas[name])).when(text.isNotNull(), F.array(F.lit("/ must be JSON")))
+        # Bound by a lambda, a record is parsed once and not wherever its value is looked at.
+        found = lambda v: F.when(v.isNotNull(), violations(v, self.schemas[name])).when(text.isNotNull(), F.array(F.lit("/ must be JSON")))
+        return F.get(F.transform(F.array(F.try_parse_json(text)), found), F.lit(0))
