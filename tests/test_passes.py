@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tierscope import fixtures, queries
 from tierscope.operators import calibration, gate
-from tierscope.plans import annotations
+from tierscope.plans import annotations, report
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +36,10 @@ def test_only_images_of_the_pack_go_on(spark):
     pack = annotations.prepare_pack(declared, images)
     assert [(r["page"], r["image_file"]) for r in pack.orderBy("page").collect()] == [(1, "t3-page-images/1-P0001.png"), (2, "t3-page-images/1-P0002.png")]
     assert all("/pack-" in f for f in pack.inputFiles())
+
+
+def test_inputs_of_the_report_are_written_once(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(report, "written", lambda df, name, f=report.written: names.append(name) or f(df, name))
+    assert queries.QUERIES["value_report"](spark, "/root/testdata/sf0.01").count() > 0
+    assert len(names) == len(set(names)) and {"report-gate", "report-policies", "report-corpus", "report-page-timing"} <= set(names)

@@ -240,5 +240,5 @@ def short_thai_runs(text: Column) -> Column:
     from .core import metric
 
     words = F.split(text, WHITE_SPACE + "+")
-    short = F.aggregate(F.filter(words, lambda w: w.rlike(f"^{THAI_BLOCK}{{1,2}}$")), F.lit(0).cast("long"), lambda n, w: n + F.length(w))
+    short = F.aggregate(F.filter(words, lambda w: (F.length(w) <= 2) & w.rlike(f"^{THAI_BLOCK}{{1,2}}$")), F.lit(0).cast("long"), lambda n, w: n + F.length(w))
     return metric(short, count_of(text, THAI_BLOCK))

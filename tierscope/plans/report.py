@@ -53,6 +53,10 @@ def value_report(corpus: DataFrame, coverage: DataFrame, sample: DataFrame, gate
     available provider, the policies cover different pages, or a value has no accounting or a key that another has.
     """
     c = F.col
+    # Several parts and checks read each of these; written, what they come from is made once. All are small.
+    density = density.agg(F.sum("numerator").alias("numerator"), F.sum("denominator").alias("denominator"))
+    inputs = {"corpus": corpus, "coverage": coverage, "sample": sample, "gate": gate, "policies": policies, "baseline": baseline, "timing": timing, "page-timing": page_timing, "degradation": degradation, "density": density, "probes": probes}
+    corpus, coverage, sample, gate, policies, baseline, timing, page_timing, degradation, density, probes = (written(rows, f"report-{name}") for name, rows in inputs.items())
     parts = [
         counts(corpus, "observed", "corpus summary", [(f"corpus.{n}", u, c(n), c(n)) for n, u in (("attachments", "attachments"), ("included", "PDFs"), ("excluded", "attachments"), ("unreadable", "PDFs"), ("pages", "pages"))]),
         counts(coverage, "observed", "inspections", [(f"corpus.text_layer_coverage_{n}", "PDFs", c(n), c("documents")) for n in ("high", "low", "middle")]),
@@ -71,7 +75,7 @@ def value_report(corpus: DataFrame, coverage: DataFrame, sample: DataFrame, gate
         figures(page_timing.where("partition = 'evaluation'").crossJoin(F.broadcast(corpus.select(c("pages").alias("corpus_pages")))), "projected", "page timing and corpus", [("timing.T3.projected_corpus_hours", "hours", c("total_ms") / F.when(c("numerator") > 0, c("numerator")) * c("corpus_pages") / 3_600_000, c("corpus_pages"), c("excluded_count"), c("total_ms") / F.when(c("numerator") > 0, c("numerator")) * c("corpus_pages") / 3_600_000)]),
         figures(degradation, "sampled", "judgements", [(F.concat(F.lit("oracle."), c("partition"), F.lit(".higher_tier_degradation")), "fraction of pages", c("degraded_pages"), c("pages"))]),
         figures(degradation.agg(F.sum("degraded_pages").alias("degraded_pages"), F.sum("pages").alias("pages")), "sampled", "judgements", [("oracle.all.higher_tier_degradation", "fraction of pages", c("degraded_pages"), c("pages"))]),
-        figures(density.agg(F.sum("numerator").alias("numerator"), F.sum("denominator").alias("denominator")), "sampled", "Thai runs", [("T2.thai_short_run_density", "short runs by Thai code point", c("numerator"), c("denominator"))]),
+        figures(density, "sampled", "Thai runs", [("T2.thai_short_run_density", "short runs by Thai code point", c("numerator"), c("denominator"))]),
         texts(probes, "observed", "probes", F.concat(F.lit("provider."), c("tier"), F.lit(".identity")), F.concat_ws(" ", "provider_id", "version")),
         texts(unavailable, "unavailable", "scope", c("key"), c("reason")),
     ]
