@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tierscope import fixtures, queries
 from tierscope.operators import calibration, gate, trees
 from tierscope.plans import annotations, report
+from tierscope.sources import artifacts
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,3 +55,16 @@ def test_trees_are_read_once(spark, tmp_path, monkeypatch):
     views = trees.structural_views(spark.read.parquet(f"{tmp_path}/trees"))
     assert {f.split("/")[-2].rsplit("-", 1)[0] for f in views.inputFiles()} <= {"tree-nodes", "walk"} and names.count("walk") == 2
     assert sorted((r["case_id"] or 0, r["view"], r["has_structure"]) for r in views.collect()) == [(0, None, False), (1, "[text] x", True), (2, None, False)]
+
+
+def test_a_bucket_is_written_by_one_task(spark, tmp_path):
+    """What is put is evaluated once, and a put writes a file a bucket, however many tasks its rows come from."""
+    seen = spark.sparkContext.accumulator(0)
+    payload = F.udf(lambda i: seen.add(1) or f'{{"x":{i}}}', "string")
+    store, key = artifacts.ArtifactStore(spark, str(tmp_path / "cas")), F.concat(F.element_at(F.array(*map(F.lit, ("ab", "cd", "ef"))), (F.col("id") % 3 + 1).cast("int")), F.col("id").cast("string"))
+    rows = spark.range(0, 600, 1, 6).select(key.alias("cache_key"), F.lit("c").alias("case_id"), payload("id").alias("payload"))
+    files = lambda: len(list((tmp_path / "cas").glob("bucket=*/*.parquet")))
+    assert (store.put(rows.where("id < 450").union(rows.where("id < 30"))), files(), seen.value) == (450, 3, 480)
+    assert (store.put(rows), files(), seen.value) == (150, 6, 1080)
+    found = store.get(rows.select("cache_key", "case_id"))
+    assert found.where("hit").count() == found.join(rows, ["cache_key", "payload"]).count() == 600

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.work import written
 from .claims import Claims
 
 
@@ -46,21 +47,25 @@ class ArtifactStore:
 
     def put(self, artifacts: DataFrame) -> int:
         """Append the keys that aren't there; the same payload again is fine, another one raises. Returns the
-        number written."""
-        rows = artifacts.select("cache_key", "case_id", "payload", F.sha2("payload", 256).alias("payload_hash"), F.substring("cache_key", 1, 2).alias("bucket"))
-        if rows.groupBy("cache_key").agg(F.count_distinct("payload_hash").alias("n")).where("n > 1").limit(1).count():
+        number written. What is put is evaluated once, and a bucket's rows are gathered before they are written: a
+        task that has some of every bucket would write a file for each."""
+        rows = artifacts.select("cache_key", "case_id", "payload", F.sha2("payload", 256).alias("payload_hash"))
+        one = rows.groupBy("cache_key").agg(F.max(F.struct("payload_hash", "case_id", "payload")).alias("row"), F.min("payload_hash").alias("least"))
+        rows = written(one.select("cache_key", "row.case_id", "row.payload", "row.payload_hash", F.substring("cache_key", 1, 2).alias("bucket"), "least"), "artifact-rows")
+        if not rows.where("least <> payload_hash").isEmpty():
             raise ConflictingArtifact("a key comes with two payloads")
         # At most as many as two characters tell apart.
-        with self.claims.held([r["bucket"] for r in rows.select("bucket").distinct().collect()]):
-            held = self._table().select("cache_key", "bucket", F.col("payload_hash").alias("there"))
-            if rows.join(held, ["cache_key", "bucket"]).where("there <> payload_hash").limit(1).count():
+        buckets = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
+        with self.claims.held(buckets):
+            held = self._table().where(F.col("bucket").isin(buckets)).select("cache_key", "bucket", F.col("payload_hash").alias("there"))
+            # Settled before the append changes the table that the new rows are compared with.
+            taken = written(rows.select("cache_key", "bucket", "payload_hash").join(held, ["cache_key", "bucket"]), "artifact-taken")
+            if not taken.where("there <> payload_hash").isEmpty():
                 raise ConflictingArtifact("a key holds another payload already")
-            # The new rows are settled before the append changes the table that they are compared with.
-            new = rows.dropDuplicates(["cache_key"]).join(held, ["cache_key", "bucket"], "left_anti").select(*rows.columns).persist()
-            n = new.count()
+            n = rows.count() - taken.select("cache_key").distinct().count()
             if n:
-                new.write.mode("append").partitionBy("bucket").parquet(self.path)
-            new.unpersist()
+                new = rows.drop("least").join(taken, "cache_key", "left_anti")
+                new.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(self.path)
             return n
 
     def verify(self) -> DataFrame:
